@@ -10,10 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 _LOCAL: dict[str, str] = {}
 
 
+#: Rows and bytes of text that a Python worker gets at once: texts are long, and a worker's memory is small.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches, unless they are smaller already."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
 

@@ -6,9 +6,7 @@ list (position, difference) for the rest. The footer has the index of block star
 token count, and its place in order. Texts are dealt out by ranges of ``doc_id`` (ties by text stay
 together), so file order is document order and only one count per file meets on the driver.
 
-Texts are encoded in units that end before a space followed by a non-space; the byte-level
-pre-tokenizer always splits there, so a unit's ids don't depend on its neighbours and units met
-before come from a bounded cache. Null texts are empty: they get the end id alone. Repeated rows are
+Null texts are empty: they get the end id alone. Repeated rows are
 documents of their own. An empty table gives no rows. Null ids sort first."""
 
 from __future__ import annotations
@@ -32,10 +30,14 @@ BLOCK = 4096
 PERCENTILE = 98
 END_ID = 2
 MAGIC = b"CLPF0001"
-CACHE_UNITS = 400_000
+#: Pieces that a worker keeps.
+CACHE_PIECES = 500_000
 _HEAD = struct.Struct("<IBHH")
-_ODD = re.compile(r" \s| $")
-_CUT = re.compile(r" (?=\S)")
+_L, _N = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+#: Characters beyond those that _PIECES knows.
+_ODD = r"[^\n -~\u00a1-\u024f]"
+#: The byte-level pre-tokenizer's pattern over the other characters.
+_PIECES = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
 
 
 def default_tokenizer() -> str:
@@ -45,29 +47,62 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """ids of whole texts as bytes of little-endian unsigned 32-bit integers."""
+    """ids of whole texts as bytes of little-endian unsigned 32-bit integers.
+
+    A text of plain characters is cut into the byte-level pre-tokenizer's pieces, whose ids don't
+    depend on their neighbours; pieces met for the first time are encoded, many in one call with line
+    ends between them, and kept in a cache that starts anew when it is full. Other texts, and texts
+    that name an added token, are encoded as they are."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-
-    def _learn(self, cache: dict[str, bytes], units: list[str], lead: str) -> None:
-        if len(cache) > CACHE_UNITS:
-            cache.clear()
-        new = list({u for u in units if u not in cache})
-        if new:
-            for u, e in zip(new, self.tokenizer.encode_batch_fast([lead + u for u in new], add_special_tokens=False), strict=True):
-                cache[u] = np.array(e.ids, "<u4").tobytes()
+        self.line_end = self._ids("\n")[0]
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = re.compile("|".join([_ODD, *added]))
+        self.pieces: dict[str, bytes] = {}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, new: list[str]) -> None:
+        lone = [p for p in new if "\n" in p]
+        part = [p for p in new if "\n" not in p]
+        for i in range(0, len(part), 2000):
+            some = part[i : i + 2000]
+            ids = self._ids("\n".join(some))
+            ends = np.flatnonzero(ids == self.line_end)
+            if len(ends) != len(some) - 1:
+                lone += some
+                continue
+            data, at = ids.tobytes(), 0
+            for p, end in zip(some, [*ends.tolist(), len(ids)], strict=True):
+                self.pieces[p] = data[4 * at : 4 * end]
+                at = end + 1
+        for p in lone:
+            self.pieces[p] = self._ids(p).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") if not _ODD.search(t) else _CUT.split(t) for t in texts]
-        for cache, units, lead in ((self.first, [u[0] for u in split], ""), (self.later, [x for u in split for x in u[1:]], " ")):
-            self._learn(cache, units, lead)
-        get, first = self.later.__getitem__, self.first
-        return [first[u[0]] + b"".join(map(get, u[1:])) for u in split]
+        odd = self.odd.search
+        split = [None if odd(t) else _PIECES.findall(t) for t in texts]
+        if len(self.pieces) > CACHE_PIECES:
+            self.pieces.clear()
+        known = self.pieces
+        if new := [p for p in set().union(*filter(None, split)) if p not in known]:
+            self._learn(new)
+        get = self.pieces.__getitem__
+        return [self._ids(t).tobytes() if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One for each worker process, so what a task learnt serves the next."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def pack_block(ids: np.ndarray) -> bytes:
@@ -90,12 +125,21 @@ def unpack_block(data: bytes, at: int = 0) -> np.ndarray:
     where = np.frombuffer(data, "<u2", odd, at)
     what = np.frombuffer(data, "<u4", odd, at + 2 * odd)
     at += 6 * odd
-    diff = np.zeros(n, np.uint32)
-    if width:
-        bits = np.unpackbits(np.frombuffer(data, np.uint8, (n * width + 7) // 8, at), count=n * width).reshape(n, width)
-        whole = np.zeros((n, 16 if width <= 16 else 32), np.uint8)
-        whole[:, whole.shape[1] - width :] = bits
-        diff = np.packbits(whole, axis=1).view(">u2" if width <= 16 else ">u4").ravel().astype(np.uint32)
+    size = (n * width + 7) // 8
+    if width == 0:
+        diff = np.zeros(n, np.uint32)
+    elif width <= 25:
+        # four bytes hold a value, wherever in its first byte it starts
+        raw = np.concatenate([np.frombuffer(data, np.uint8, size, at), np.zeros(4, np.uint8)]).astype(np.uint32)
+        bit = np.arange(n) * width
+        byte = bit >> 3
+        window = raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]
+        diff = (window[byte] << (bit & 7).astype(np.uint32)) >> np.uint32(32 - width)
+    else:
+        bits = np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=n * width).reshape(n, width)
+        whole = np.zeros((n, 32), np.uint8)
+        whole[:, 32 - width :] = bits
+        diff = np.packbits(whole, axis=1).view(">u4").ravel().astype(np.uint32)
     diff[where] = what
     return diff + np.uint32(low)
 
@@ -181,13 +225,13 @@ def write_tokens(docs: DataFrame, folder: str | None = None, tokenizer: str | No
         fs, inner = file_system(folder)
         fs.create_dir(inner, recursive=True)
         name = f"tokens-{rank:06d}-{uuid.uuid4().hex}.clpf"
-        encoder, n, tokens = Encoder(tokenizer), 0, 0
+        enc, n, tokens = encoder(tokenizer), 0, 0
         with fs.open_output_stream(f"{inner}/{name}") as f:
             w = Writer(f)
             for b in batches:
-                for i in range(0, len(b), 256):
-                    part = b.iloc[i : i + 256]
-                    ids = [x + end for x in encoder.encode([t or "" for t in part.text])]
+                for i in range(0, len(b), 64):
+                    part = b.iloc[i : i + 64]
+                    ids = [x + end for x in enc.encode([t or "" for t in part.text])]
                     w.add([(None if d is None or d != d else int(d), len(x) // 4) for d, x in zip(part.doc_id.astype(object), ids, strict=True)], b"".join(ids))
                     n, tokens = n + len(ids), tokens + sum(map(len, ids)) // 4
             w.close()
