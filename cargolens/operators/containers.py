@@ -8,9 +8,7 @@ import lzma
 import tarfile
 import zipfile
 import zlib
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +16,6 @@ from .. import knowledge as K
 from ..functions.content import base_name, path_parts_contain, suffix
 from ..model import emit, rule
 
-MEMBERS = "target_id string, path string, container string, ord int, member string, is_dir boolean, comp_size long, size long, external_attr long, mode int, kind string, error string, content binary"
-_NAMES = [x.split()[0] for x in MEMBERS.split(", ")]
 _NUMPY = b"\x93NUMPY"
 #: kind of a member's content: pickle, npy, config (a Keras config), big-pickle (beyond the limit), or none.
 
@@ -74,28 +70,6 @@ def tar_members(data: bytes) -> list[dict]:
     return out
 
 
-def _unpack(files: DataFrame, container: str) -> DataFrame:
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for target, path, fmt, data in zip(b.target_id, b.path, b.format, b.content, strict=True):
-                rows = tar_members(bytes(data)) if container == "tar" else zip_members(bytes(data), fmt == "npz")
-                out = pd.DataFrame([{"target_id": target, "path": path, "container": container, **r} for r in rows], columns=_NAMES).astype(object)
-                for n, kind in (("ord", "Int32"), ("mode", "Int32"), ("comp_size", "Int64"), ("size", "Int64"), ("external_attr", "Int64"), ("is_dir", "boolean")):
-                    out[n] = pd.array([None if x is None or x != x else x for x in out[n]], kind)
-                yield out.where(out.notna(), None)
-
-    return files.select("target_id", "path", "format", "content").mapInPandas(read, MEMBERS)
-
-
-def members(files: DataFrame) -> DataFrame:
-    """Members of the ZIP files of identified artifacts (``npz`` labels other than ZIP give their error)."""
-    return _unpack(files.where(F.col("format").isin("torch-zip", "zip", "keras-v3", "npz")), "zip")
-
-
-def tar_rows(files: DataFrame) -> DataFrame:
-    return _unpack(files, "tar")
-
-
 def bounded_inflate(data: bytes, codec: str, limit: int) -> tuple[bytes | None, int, str | None]:
     """(bytes, their number, error). At most ``limit`` + 1 bytes are made, so a bomb costs no more."""
     try:
@@ -125,40 +99,27 @@ def bounded_inflate(data: bytes, codec: str, limit: int) -> tuple[bytes | None,
     return None, 0, f"no codec {codec}"
 
 
-def inflated(files: DataFrame, zstd: bool = False) -> DataFrame:
-    """Compressed files with ``raw``, ``raw_size``, ``error``, ``outcome`` and ``inner``.
+def stream_row(fmt: str, data: bytes, zstd: bool = False) -> tuple[dict, bytes | None]:
+    """What a compressed file holds, and its bytes where they are looked into.
 
     zstd streams are reported as unsupported unless ``zstd``, as scanners without that codec do."""
     limit = K.DECOMPRESSED_LIMIT
-    names = "target_id string, path string, format string, size long, raw binary, raw_size long, error string, outcome string, inner string"
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for target, path, fmt, data in zip(b.target_id, b.path, b.format, b.content, strict=True):
-                n, raw, size, error, inner = len(data), None, 0, None, None
-                if n > limit:
-                    outcome = "too-big"
-                elif fmt == "zstd" and not zstd:
-                    outcome = "unsupported"
-                else:
-                    raw, size, error = bounded_inflate(bytes(data), fmt, limit)
-                    outcome = "error" if error else "bomb" if size / max(n, 1) > K.RATIO_LIMIT else "too-big-inside" if size > limit else "ok"
-                if outcome == "ok":
-                    inner = _kind(raw) or ("zip" if raw[:2] == b"PK" else "tar" if raw[257:262] == b"ustar" else "other")
-                rows.append((target, path, fmt, n, raw if inner in ("pickle", "npy", "tar") else None, size, error, outcome, inner))
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in names.split(", ")])
-
-    return files.where(F.col("format").isin("gzip", "bzip2", "xz", "zstd")).select("target_id", "path", "format", "content").mapInPandas(read, names)
-
-
-def streams(rows: DataFrame, kind: str) -> DataFrame:
-    """target_id, location, content of the members of that kind."""
-    return rows.where(F.col("kind") == kind).select("target_id", F.concat_ws("!", "path", "member").alias("location"), "content")
+    n, raw, size, error, inner = len(data), None, 0, None, None
+    if n > limit:
+        outcome = "too-big"
+    elif fmt == "zstd" and not zstd:
+        outcome = "unsupported"
+    else:
+        raw, size, error = bounded_inflate(data, fmt, limit)
+        outcome = "error" if error else "bomb" if size / max(n, 1) > K.RATIO_LIMIT else "too-big-inside" if size > limit else "ok"
+    if outcome == "ok":
+        inner = _kind(raw) or ("zip" if raw[:2] == b"PK" else "tar" if raw[257:262] == b"ustar" else "other")
+    row = {"format": fmt, "size": n, "raw_size": size, "error": error, "outcome": outcome, "inner": inner}
+    return row, raw if inner in ("pickle", "npy", "tar") else None
 
 
 def findings(rows: DataFrame) -> list[DataFrame]:
-    """ZIP-000 to 007 from member rows of both containers."""
+    """ZIP-000 to 007 from the members of both containers."""
     at = rows.withColumn("location", F.concat_ws("!", "path", "member"))
     member, shown = F.col("member"), F.array("member")
     zipped = F.col("container") == "zip"
@@ -186,7 +147,7 @@ def findings(rows: DataFrame) -> list[DataFrame]:
 
 
 def stream_findings(rows: DataFrame) -> list[DataFrame]:
-    """ENG-001 to 004 and ZIP-003 from ``inflated``."""
+    """ENG-001 to 004 and ZIP-003. rows: path and the fields of ``stream_row``."""
     sizes = F.concat(F.col("size").cast("string"), F.lit(" -> "), F.col("raw_size").cast("string"))
     return [
         emit(

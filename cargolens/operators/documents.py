@@ -35,10 +35,7 @@ def _json_udf(kind: str, read):
     def parsed(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
-            try:
-                rows.append(read(json.loads(t)))
-            except Exception:
-                rows.append(read(None) | {"ok": False})
+            rows.append(json_row(read, t))
         return pd.DataFrame(rows)
 
     return lambda text: F.pandas_udf(parsed, kind)(text)
@@ -47,17 +44,17 @@ def _json_udf(kind: str, read):
 json_leaves = _json_udf(LEAVES, lambda x: {"ok": True, "leaves": leaves(x)})
 
 
-def _config(x: object) -> dict:
+def config_row(x: object) -> dict:
     d = x if isinstance(x, dict) else {}
     urls = [k for k in ("quantization_config", "auto_map", "architectures") if isinstance(d.get(k), str) and ("http://" in d[k] or "https://" in d[k])]
     custom = d.get("custom_pipeline") or d.get("custom_pipelines")
     return {"ok": True, "auto_map": json.dumps(d["auto_map"])[:400] if "auto_map" in d else None, "custom": str(custom)[:200] if custom else None, "urls": urls, "mentions_map": (isinstance(x, (dict, list, str)) and "auto_map" in x)}
 
 
-config_facts = _json_udf("struct<ok:boolean,auto_map:string,custom:string,urls:array<string>,mentions_map:boolean>", _config)
+config_facts = _json_udf("struct<ok:boolean,auto_map:string,custom:string,urls:array<string>,mentions_map:boolean>", config_row)
 
 
-def _cells(x: object) -> dict:
+def notebook_row(x: object) -> dict:
     if not isinstance(x, dict):
         return {"ok": True, "lines": []}
     out = []
@@ -67,10 +64,7 @@ def _cells(x: object) -> dict:
     return {"ok": True, "lines": out}
 
 
-notebook_lines = _json_udf("struct<ok:boolean,lines:array<struct<cell:int,line:string>>>", _cells)
-
-
-def _keras(x: object) -> dict:
+def keras_row(x: object) -> dict:
     """Modules of objects outside Keras, in the order in which the last child is visited first; whether a Lambda or builtins is named."""
     modules: dict[str, str] = {}
     stack, words, builtins = [x], set(), False
@@ -90,7 +84,18 @@ def _keras(x: object) -> dict:
     return {"ok": True, "has_lambda": "Lambda" in words, "has_builtins": "registered_name" in words and builtins, "modules": [{"module": m, "name": n} for m, n in modules.items()]}
 
 
-keras_facts = _json_udf("struct<ok:boolean,has_lambda:boolean,has_builtins:boolean,modules:array<struct<module:string,name:string>>>", _keras)
+KERAS = "ok boolean, has_lambda boolean, has_builtins boolean, modules array<struct<module:string,name:string>>"
+CONFIG = "ok boolean, auto_map string, custom string, urls array<string>, mentions_map boolean"
+LINES = "ok boolean, lines array<struct<cell:int,line:string>>"
+TEMPLATE = "ok boolean, leaves array<struct<path:string,value:string>>"
+
+
+def json_row(read, text: str) -> dict:
+    """``read`` of a parsed document; what isn't JSON is not ok."""
+    try:
+        return read(json.loads(text))
+    except Exception:
+        return read(None) | {"ok": False}
 
 
 def as_text(data: Column) -> Column:
@@ -105,6 +110,11 @@ def _utf8(data: pd.Series) -> pd.Series:
 def config_findings(files: DataFrame) -> list[DataFrame]:
     """CFG-000 to 003 over files named config.json."""
     at = files.where("name = 'config.json' and format not in ('gzip', 'bzip2', 'xz', 'zstd', 'tar')").withColumn("x", config_facts(as_text(F.col("content"))))
+    return config_rules(at.withColumn("location", F.col("path")))
+
+
+def config_rules(at: DataFrame) -> list[DataFrame]:
+    """at: location and ``x``, the facts of a config."""
     urls = [rule("CFG-003", F.array_contains("x.urls", k), "MEDIUM", "metadata", "medium", k) for k in ("quantization_config", "auto_map", "architectures")]
     return [
         emit(
@@ -113,7 +123,6 @@ def config_findings(files: DataFrame) -> list[DataFrame]:
             rule("CFG-001", "x.auto_map is not null", "HIGH", "execution", evidence=F.array("x.auto_map")),
             rule("CFG-002", "x.custom is not null", "HIGH", "execution", evidence=F.array("x.custom")),
             *urls,
-            location="path",
         )
     ]
 
@@ -126,15 +135,25 @@ def judged_templates(rows: DataFrame) -> DataFrame:
     return rows.withColumn("is_key", key).withColumn("has_mark", F.col("value").rlike(K.TEMPLATE_MARK)).withColumn("token", F.regexp_extract("value", K.TEMPLATE_HINT, 0))
 
 
-def template_findings(files: DataFrame) -> list[DataFrame]:
-    """TPL-001 to 003 over template files of directories."""
-    base = F.lower("name")
-    chosen = files.where("is_repo").where(base.isin(*K.TEMPLATE_FILES) | base.endswith(".jinja")).withColumn("location", F.col("path")).withColumn("text", F.substring(as_text(F.col("content")), 1, 4 << 20))
-    is_json = ~base.endswith(".jinja")
-    whole = F.array(F.struct(F.lit("<file>").alias("path"), F.col("text").alias("value")))
-    at = chosen.withColumn("x", F.when(is_json, json_leaves("text"))).withColumn("leaves", F.when(is_json, F.col("x.leaves")).otherwise(whole))
-    bad = at.select("target_id", "location", F.lit("").alias("path_in_file"), F.lit("").alias("value"), F.lit(True).alias("bad")).where(~F.col("x.ok"))
-    inside = at.select("target_id", "location", F.explode("leaves").alias("l")).select("target_id", "location", F.col("l.path").alias("path_in_file"), F.col("l.value").alias("value"), F.lit(False).alias("bad"))
+def is_template(name: str) -> bool:
+    return name.lower() in K.TEMPLATE_FILES or name.lower().endswith(".jinja")
+
+
+def template_row(name: str, text: str) -> dict:
+    """ok and leaves of a template file; a Jinja file is one leaf."""
+    text = text[: 4 << 20]
+    if name.lower().endswith(".jinja"):
+        return {"ok": True, "leaves": [{"path": "<file>", "value": text}]}
+    try:
+        return {"ok": True, "leaves": leaves(json.loads(text))}
+    except Exception:
+        return {"ok": False, "leaves": []}
+
+
+def template_findings(rows: DataFrame) -> list[DataFrame]:
+    """TPL-001 to 003. rows: target_id, location, ok and leaves of template files."""
+    bad = rows.select("target_id", "location", F.lit("").alias("path_in_file"), F.lit("").alias("value"), F.lit(True).alias("bad")).where(~F.col("ok"))
+    inside = rows.select("target_id", "location", F.explode("leaves").alias("l")).select("target_id", "location", F.col("l.path").alias("path_in_file"), F.col("l.value").alias("value"), F.lit(False).alias("bad"))
     key = F.concat(F.lit("key="), F.col("path_in_file"))
     return [
         emit(
@@ -154,18 +173,17 @@ def line_flags(lines: DataFrame) -> DataFrame:
     return lines.withColumn("hit", hit).withColumn("severe", ((s.contains("curl") | s.contains("wget")) & piped) | (s.contains("eval(") & s.contains("b64decode")))
 
 
-def notebook_findings(files: DataFrame) -> list[DataFrame]:
-    """NB-001: one for each notebook with a hit."""
-    at = files.where("format = 'notebook'").select("target_id", F.col("path").alias("location"), notebook_lines(as_text(F.col("content"))).alias("x"))
-    lines = line_flags(at.select("target_id", "location", F.posexplode("x.lines").alias("at", "l")).select("target_id", "location", "at", "l.cell", "l.line"))
+def notebook_findings(at: DataFrame) -> list[DataFrame]:
+    """NB-001: one for each notebook with a hit. at: target_id, location and ``lines``, of a code cell each."""
+    flat = line_flags(at.select("target_id", "location", F.posexplode("lines").alias("at", "l")).select("target_id", "location", "at", "l.cell", "l.line"))
     shown = F.when(F.col("hit"), F.struct("at", F.concat(F.lit("cell "), F.col("cell").cast("string"), F.lit(": "), F.substring("line", 1, 120)).alias("text")))
-    per = lines.groupBy("target_id", "location").agg(F.max("hit").alias("hit"), F.max("severe").alias("severe"), F.array_sort(F.collect_list(shown)).alias("shown")).where("hit")
+    per = flat.groupBy("target_id", "location").agg(F.max("hit").alias("hit"), F.max("severe").alias("severe"), F.array_sort(F.collect_list(shown)).alias("shown")).where("hit")
     return [emit(per, rule("NB-001", F.lit(True), F.when(F.col("severe"), "HIGH").otherwise("MEDIUM"), "execution", F.when(F.col("severe"), "high").otherwise("medium"), evidence=F.slice(F.transform("shown", lambda x: x["text"]), 1, 6)))]
 
 
-def keras_findings(streams: DataFrame) -> list[DataFrame]:
-    """KRS-001 to 003. streams: target_id, location, content of members named config.json."""
-    at = streams.withColumn("x", keras_facts(as_text(F.col("content")))).where("x.ok")
+def keras_findings(at: DataFrame) -> list[DataFrame]:
+    """KRS-001 to 003. at: target_id, location and ``x``, the facts of members named config.json."""
+    at = at.where("x.ok")
     custom = at.select("target_id", "location", F.explode("x.modules").alias("m"))
     return [
         emit(at, rule("KRS-001", "x.has_lambda", "HIGH", "execution"), rule("KRS-002", "x.has_builtins", "HIGH", "execution", "medium")),

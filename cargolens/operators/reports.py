@@ -46,7 +46,7 @@ def json_report(findings: DataFrame, files: DataFrame, verdicts: DataFrame) -> D
     f = _listed(titled(findings), shown, "findings")
     listed = files.groupBy("target_id").agg(F.array_sort(F.collect_list(F.struct("path", "size", "format", "sha256"))).alias("files"))
     doc = verdicts.join(f, "target_id", "left").join(listed, "target_id", "left")
-    empty = doc.withColumn("findings", F.coalesce("findings", F.expr("slice(findings, 1, 0)"), F.from_json(F.lit("[]"), dict(doc.dtypes)["findings"])))
+    empty = doc.withColumn("findings", F.coalesce("findings", F.array()))
     return empty.select("target_id", F.to_json(F.struct(F.lit(TOOL).alias("tool"), F.col("target_id").alias("target"), "verdict", "score", "max_severity", "exit_code", "findings", "files")).alias("document"))
 
 
@@ -60,7 +60,7 @@ def sarif(findings: DataFrame, targets: DataFrame) -> DataFrame:
     place = F.array(F.struct(F.struct(F.struct(outer_path(F.col("location")).alias("uri")).alias("artifactLocation")).alias("physicalLocation")))
     result = F.struct(F.col("rule_id").alias("ruleId"), _level(0).alias("level"), text(message).alias("message"), place.alias("locations"), F.struct("severity", "confidence", "evidence").alias("properties"))
     out = targets.select("target_id").distinct().join(per_rule, "target_id", "left").join(_listed(f, result, "results"), "target_id", "left")
-    out = out.withColumn("results", F.coalesce("results", F.from_json(F.lit("[]"), dict(out.dtypes)["results"]))).withColumn("rules", F.coalesce("rules", F.from_json(F.lit("[]"), dict(out.dtypes)["rules"])))
+    out = out.withColumn("results", F.coalesce("results", F.array())).withColumn("rules", F.coalesce("rules", F.array()))
     run = F.struct(F.struct(F.struct(F.lit(TOOL).alias("name"), "rules").alias("driver")).alias("tool"), "results")
     return out.select("target_id", F.to_json(F.struct(F.lit("https://json.schemastore.org/sarif-2.1.0.json").alias("$schema"), F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("document"))
 
@@ -74,10 +74,8 @@ def cyclonedx(findings: DataFrame, files: DataFrame) -> DataFrame:
     flaw = F.struct(F.col("rule_id").alias("id"), F.concat_ws(":", F.lit("finding"), "rule_id", "location").alias("bom-ref"), F.col("title").alias("description"), rating.alias("ratings"), F.array(F.struct(F.concat(F.lit("file:"), outer_path(F.col("location"))).alias("ref"))).alias("affects"))
     out = parts.join(_listed(titled(findings), flaw, "vulnerabilities"), "target_id", "left")
     model = F.struct(F.concat(F.lit("model:"), "target_id").alias("bom-ref"), F.lit("machine-learning-model").alias("type"), F.col("target_id").alias("name"))
-    files_as = dict(parts.dtypes)["files"]
-    blank = F.from_json(F.lit("[]"), dict(out.dtypes)["vulnerabilities"])
     with_hashes = F.struct(model["bom-ref"].alias("bom-ref"), model["type"].alias("type"), model["name"].alias("name"), F.lit(None).cast("array<struct<alg:string,content:string>>").alias("hashes"))
-    bom = F.struct(F.lit("CycloneDX").alias("bomFormat"), F.lit("1.6").alias("specVersion"), F.lit(1).alias("version"), F.struct(model.alias("component")).alias("metadata"), F.concat(F.array(with_hashes), F.col("files")).cast(files_as).alias("components"), F.coalesce("vulnerabilities", blank).alias("vulnerabilities"))
+    bom = F.struct(F.lit("CycloneDX").alias("bomFormat"), F.lit("1.6").alias("specVersion"), F.lit(1).alias("version"), F.struct(model.alias("component")).alias("metadata"), F.concat(F.array(with_hashes), F.col("files")).alias("components"), F.coalesce("vulnerabilities", F.array()).alias("vulnerabilities"))
     return out.select("target_id", F.to_json(bom).alias("document"))
 
 

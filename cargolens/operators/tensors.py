@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -105,13 +106,13 @@ def safetensors_findings(rows: DataFrame) -> list[DataFrame]:
 
 
 def npy_findings(streams: DataFrame) -> list[DataFrame]:
-    """NPY-000 and NPY-001. streams: target_id, location, content of npy files and members."""
+    """NPY-000 and NPY-001. streams: target_id, location, content of npy files and members; with n_bytes, content may be a head."""
     data = F.col("content")
     magic = F.hex(F.substring(data, 1, 6)) == "934E554D5059"
     first = F.hex(F.substring(data, 7, 1)) == "01"
     need, start = F.when(first, 10).otherwise(12), F.when(first, 11).otherwise(13)
     n = F.when(first, little_endian(data, 8, 2)).otherwise(little_endian(data, 8, 4))
-    big = F.length(data) > K.MEMBER_LIMIT
+    big = (F.col("n_bytes") if "n_bytes" in streams.columns else F.length(data)) > K.MEMBER_LIMIT
     marked = streams.withColumn("_ok", F.coalesce(magic, F.lit(False)) & (F.length(data) >= 10)).withColumn("_head", F.when(F.length(data) >= need, latin1(F.substring(data, start, F.least(n, F.lit(1 << 20).cast("decimal(20,0)")).cast("int")))))
     ok, head = F.col("_ok"), F.col("_head")
     return [
@@ -125,26 +126,58 @@ def npy_findings(streams: DataFrame) -> list[DataFrame]:
     ]
 
 
-def graph_findings(files: DataFrame) -> list[DataFrame]:
-    """H5, ONX, TF and GGUF rules over identified artifacts; each reads a bounded head."""
+def graph_facts(files: DataFrame) -> DataFrame:
+    """Graph files of identified artifacts with what their rules ask for, from a bounded head of each: native."""
     fmt = F.col("format")
     head = lambda mb: F.substring("content", 1, mb << 20)
     at = files.where(fmt.isin("hdf5", "onnx", "tf-protobuf", "gguf"))
-    at = fixed(at, _text=F.when(fmt == "hdf5", latin1(head(4))), _runs=F.when(fmt.isin("onnx", "tf-protobuf"), printable_runs(head(8))), version=F.when((fmt == "gguf") & (F.length("content") >= 8), little_endian(F.col("content"), 4, 4)))
+    at = fixed(at, _text=F.when(fmt == "hdf5", latin1(head(4))), _runs=F.when(fmt.isin("onnx", "tf-protobuf"), printable_runs(head(8))), version=F.when((fmt == "gguf") & (F.length("content") >= 8), little_endian(F.col("content"), 4, 4)).cast("long"))
     names = lambda ops: F.array_sort(F.array_intersect(F.array(*[F.lit(o) for o in ops]), "_runs"))
-    odd = F.filter("_runs", lambda s: (s.contains("..") | s.startswith("/")) & (F.length(s) < 200))
-    at = fixed(at, _ops=F.when(fmt == "onnx", names(K.ONNX_OPS)).when(fmt == "tf-protobuf", names(K.TF_OPS)), _odd=F.when((fmt == "onnx") & F.array_contains("_runs", "location"), odd))
-    text, ops, version = F.col("_text"), F.col("_ops"), F.concat(F.lit("version "), F.col("version").cast("string"))
+    odd = F.array_sort(F.array_distinct(F.filter("_runs", lambda s: (s.contains("..") | s.startswith("/")) & (F.length(s) < 200))))
+    text = F.col("_text")
+    marks = F.filter(F.array(*[F.lit(m) for m in K.HDF5_MARKERS]), lambda m: text.contains(m))
+    return fixed(
+        at,
+        has_lambda=text.contains('"class_name": "Lambda"') | text.contains('"class_name":"Lambda"'),
+        markers=F.when(fmt == "hdf5", marks),
+        ops=F.when(fmt == "onnx", names(K.ONNX_OPS)).when(fmt == "tf-protobuf", names(K.TF_OPS)),
+        odd=F.when((fmt == "onnx") & F.array_contains("_runs", "location"), odd),
+    ).select("target_id", F.col("path").alias("location"), "format", "has_lambda", "markers", "ops", "odd", "version")
+
+
+GRAPH = "format string, has_lambda boolean, markers array<string>, ops array<string>, odd array<string>, version long"
+_RUN = re.compile(rb"[\x20-\x7e]{4,}")
+
+
+def graph_row(fmt: str, data: bytes) -> dict:
+    """The same of one file, for a task that has its bytes at hand."""
+    out: dict = {"format": fmt}
+    if fmt == "hdf5":
+        head = data[: 4 << 20]
+        out["has_lambda"] = b'"class_name": "Lambda"' in head or b'"class_name":"Lambda"' in head
+        out["markers"] = [m for m in K.HDF5_MARKERS if m.encode() in head]
+    elif fmt == "gguf":
+        out["version"] = int.from_bytes(data[4:8], "little") if len(data) >= 8 else None
+    else:
+        runs = {r.decode() for r in _RUN.findall(data[: 8 << 20])}
+        out["ops"] = sorted(runs & set(K.ONNX_OPS if fmt == "onnx" else K.TF_OPS))
+        if fmt == "onnx" and "location" in runs:
+            out["odd"] = sorted(r for r in runs if (".." in r or r.startswith("/")) and len(r) < 200)[:5]
+    return out
+
+
+def graph_findings(facts: DataFrame) -> list[DataFrame]:
+    """H5, ONX, TF and GGUF rules. facts: ``graph_facts``."""
+    fmt, ops, version = F.col("format"), F.col("ops"), F.concat(F.lit("version "), F.col("version").cast("string"))
     return [
         emit(
-            at,
-            rule("H5-001", text.contains('"class_name": "Lambda"') | text.contains('"class_name":"Lambda"'), "HIGH", "execution"),
-            *[rule("H5-002", text.contains(m), "MEDIUM", "execution", "low", m) for m in K.HDF5_MARKERS],
+            facts,
+            rule("H5-001", "has_lambda", "HIGH", "execution"),
+            *[rule("H5-002", F.array_contains("markers", m), "MEDIUM", "execution", "low", m) for m in K.HDF5_MARKERS],
             rule("ONX-001", (fmt == "onnx") & (F.size(ops) > 0), "MEDIUM", "execution", "medium", evidence=F.slice(ops, 1, 8)),
-            rule("ONX-002", "size(_odd) > 0", "MEDIUM", "file_anomaly", "low", evidence=F.slice(F.array_sort(F.array_distinct("_odd")), 1, 5)),
+            rule("ONX-002", "size(odd) > 0", "MEDIUM", "file_anomaly", "low", evidence=F.slice("odd", 1, 5)),
             rule("TF-001", (fmt == "tf-protobuf") & (F.size(ops) > 0), F.when(F.arrays_overlap(ops, F.array(F.lit("PyFunc"), F.lit("WriteFile"))), "HIGH").otherwise("MEDIUM"), "execution", "medium", evidence=ops),
             rule("GGUF-001", "version is not null", "INFO", "serialization", detail=version),
             rule("GGUF-002", "version > 3 or version < 1", "LOW", "integrity", "low", version),
-            location="path",
         )
     ]

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import union
-from ..operators import containers, documents, governance, hub, identify, naming, pickles, repository, source_code, tensors
+from ..operators import containers, documents, facts, governance, hub, identify, naming, pickles, repository, source_code, tensors
 from ..sources import tree
 
 
@@ -34,43 +35,38 @@ def _wants(config: Config, *analyzers: str) -> bool:
     return any((not config.only or a in config.only) and a not in config.skip for a in analyzers)
 
 
+def file_facts(known: DataFrame, config: Config = Config()) -> DataFrame:
+    """One pass over the content of identified artifacts. Facts are small; they are kept, so that the rules
+    of all families share the pass, and a lost part is parsed again from its files."""
+    kinds = {k for k, analyzers in facts.ASKED_BY.items() if _wants(config, *analyzers)}
+    return facts.extract(known, kinds, config.extensions, config.extensions).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def file_findings(known: DataFrame, config: Config = Config()) -> DataFrame:
-    """Findings of all rules that look into files. known: identified artifacts with content.
-
-    Content stays in the tasks that parse it; what is shuffled later are facts and findings. An
-    analyzer that isn't wanted parses nothing."""
-    out: list[DataFrame] = []
-    plain = known.where("format not in ('gzip', 'bzip2', 'xz', 'zstd', 'tar')")
-    packed = containers.inflated(known, zstd=config.extensions)
-    at = lambda df: df.select("target_id", F.col("path").alias("location"), "content")
-    inner_tar = packed.where("inner = 'tar'").select("target_id", "path", F.lit("tar").alias("format"), F.col("raw").alias("content"))
-    tars = containers.tar_rows(known.where("format = 'tar'").select("target_id", "path", "format", "content").unionByName(inner_tar))
-    zips = containers.members(known)
-    unpacked = packed.select("target_id", F.col("path").alias("location"), F.col("raw").alias("content"), "inner")
+    """Findings of all rules that look into files. known: identified artifacts with content."""
+    found = file_facts(known, config)
+    of = lambda kind: facts.of(found, kind)
+    with_x = lambda kind: found.where(F.col("kind") == kind).select("target_id", "location", F.col(kind).alias("x"))
+    out = identify.findings(known) if _wants(config, "repository") else []
     if _wants(config, "pickle"):
-        found = [at(known.where("format = 'pickle'")), containers.streams(zips, "pickle"), containers.streams(tars, "pickle"), unpacked.where("inner = 'pickle'").drop("inner")]
-        facts = pickles.facts(union(found), memo=config.extensions)
-        out += pickles.findings(facts)
-        if config.extensions:
-            out.append(pickles.trailing_findings(facts))
+        streams = of("pickle")
+        out += pickles.findings(streams) + ([pickles.trailing_findings(streams)] if config.extensions else [])
     if _wants(config, "archive"):
-        out += containers.findings(zips.unionByName(tars)) + containers.stream_findings(packed)
+        out += containers.findings(of("member").drop("location")) + containers.stream_findings(of("stream"))
     if _wants(config, "keras"):
-        out += documents.keras_findings(containers.streams(zips, "config"))
+        out += documents.keras_findings(with_x("keras"))
     if _wants(config, "tensors"):
-        arrays = [at(known.where("format = 'npy'")), containers.streams(zips, "npy"), containers.streams(tars, "npy"), unpacked.where("inner = 'npy'").drop("inner")]
-        out += tensors.safetensors_findings(tensors.tensors(known)) + tensors.npy_findings(union(arrays))
+        out += tensors.safetensors_findings(of("tensor")) + tensors.npy_findings(of("npy"))
     if _wants(config, "graph", "keras", "tensors"):
-        out += tensors.graph_findings(plain)
+        out += tensors.graph_findings(of("graph"))
     if _wants(config, "code"):
-        out += source_code.findings(source_code.fact_rows(known)) + documents.notebook_findings(known)
+        out += source_code.findings(source_code.fact_rows(of("source"))) + documents.notebook_findings(of("notebook"))
     if _wants(config, "config"):
-        out += documents.config_findings(known)
+        out += documents.config_rules(with_x("config"))
     if _wants(config, "templates"):
-        out += documents.template_findings(known)
-    if _wants(config, "repository"):
-        out += identify.findings(known)
-    return governance.choose_analyzers(union(out), list(config.only), list(config.skip)) if out else union(identify.findings(known)).limit(0)
+        out += documents.template_findings(of("template"))
+    out = out or [f.limit(0) for f in identify.findings(known)]
+    return governance.choose_analyzers(union(out), list(config.only), list(config.skip))
 
 
 def audit(artifacts: DataFrame, config: Config = Config(), identifiers: DataFrame | None = None, repos: DataFrame | None = None, corpus: DataFrame | None = None, baseline: DataFrame | None = None, as_of: str = "now") -> Audit:

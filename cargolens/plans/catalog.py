@@ -128,13 +128,13 @@ def _graph_files(spark, sf_dir, ext: str) -> DataFrame:
 
 @_query("onnx_rules", "SELECT p_partkey, 'ONX-001' AS rule_id, 'MEDIUM' AS severity FROM part WHERE p_partkey % 6 < 2 UNION ALL SELECT p_partkey, 'ONX-002', 'MEDIUM' FROM part WHERE p_partkey % 6 = 4 AND p_partkey % 4 = 0")
 def onnx_rules(spark, sf_dir):
-    found = union(tensors.graph_findings(identify.identify(_graph_files(spark, sf_dir, ".onnx"))))
+    found = union(tensors.graph_findings(tensors.graph_facts(identify.identify(_graph_files(spark, sf_dir, ".onnx")))))
     return found.select(F.col("target_id").cast("long").alias("p_partkey"), "rule_id", "severity")
 
 
 @_query("tensorflow_rules", "SELECT p_partkey, 'TF-001' AS rule_id, CASE WHEN p_partkey % 6 = 2 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM part WHERE p_partkey % 6 IN (2, 3)")
 def tensorflow_rules(spark, sf_dir):
-    found = union(tensors.graph_findings(identify.identify(_graph_files(spark, sf_dir, ".pb"))))
+    found = union(tensors.graph_findings(tensors.graph_facts(identify.identify(_graph_files(spark, sf_dir, ".pb")))))
     return found.select(F.col("target_id").cast("long").alias("p_partkey"), "rule_id", "severity")
 
 
@@ -146,7 +146,7 @@ def hdf5_rules(spark, sf_dir):
     p = _table(spark, sf_dir, "part")
     data = F.concat(F.unhex(F.lit("894844460D0A1A0A")), F.encode(F.concat("p_name", _pick(_H5, F.col("p_partkey") % 4), "p_type"), "UTF-8"))
     files = described(p.select(F.col("p_partkey").cast("string").alias("target_id"), F.lit("m.h5").alias("path"), data.alias("content")))
-    return union(tensors.graph_findings(identify.identify(files))).select(F.col("target_id").cast("long").alias("p_partkey"), "rule_id", "severity")
+    return union(tensors.graph_findings(tensors.graph_facts(identify.identify(files)))).select(F.col("target_id").cast("long").alias("p_partkey"), "rule_id", "severity")
 
 
 @_query("gguf_version", "SELECT p_partkey, CAST(p_partkey % 7 AS BIGINT) AS version, p_partkey % 7 NOT IN (1, 2, 3) AS odd FROM part")
@@ -154,7 +154,7 @@ def gguf_version(spark, sf_dir):
     p = _table(spark, sf_dir, "part")
     data = F.concat(F.encode(F.lit("GGUF"), "UTF-8"), F.unhex(F.lpad(F.hex(F.col("p_partkey") % 7), 2, "0")), F.unhex(F.lit("000000")))
     files = identify.identify(described(p.select(F.col("p_partkey").cast("string").alias("target_id"), F.lit("m.gguf").alias("path"), data.alias("content"))))
-    found = union(tensors.graph_findings(files)).groupBy("target_id").agg(F.max(F.regexp_extract("detail", r"\d+", 0).cast("long")).alias("version"), F.max(F.col("rule_id") == "GGUF-002").alias("odd"))
+    found = union(tensors.graph_findings(tensors.graph_facts(files))).groupBy("target_id").agg(F.max(F.regexp_extract("detail", r"\d+", 0).cast("long")).alias("version"), F.max(F.col("rule_id") == "GGUF-002").alias("odd"))
     return found.select(F.col("target_id").cast("long").alias("p_partkey"), "version", "odd")
 
 
