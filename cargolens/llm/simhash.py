@@ -42,7 +42,7 @@ ANCHORS = 8
 #: Bits of 64 that candidates may differ in: sets of similarity 0.8 differ in 9.7 bits on average, with a standard deviation of 2.9.
 CANDIDATE_BITS = 20
 #: Hashes of shingle sets that one task compares at once.
-TASK_SHINGLES = 4_000_000
+TASK_SHINGLES = 1_000_000
 _ODD = (np.random.default_rng(20240229).integers(0, 1 << 63, ANCHORS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
@@ -270,22 +270,31 @@ def report(docs: DataFrame, size: int = 3, bits: int = 2, chunk: int = CHUNK) ->
 # --- near-duplicates of a similarity -------------------------------------------------------------
 
 
-def _similar(sets: list[np.ndarray], ids: list, similarity: float, all_pairs: bool) -> list:
-    """Of sets in rank order: for each the position of an earlier one that is similar enough, else -1.
-
-    Only sets that weren't matched themselves are compared with, unless ``all_pairs``."""
-    holders: dict[int, list[int]] = {}
-    out = []
-    for i, s in enumerate(sets):
-        counts: dict[int, int] = {}
-        for h in s.tolist():
-            for j in holders.get(h, ()):
-                counts[j] = counts.get(j, 0) + 1
-        found = next((j for j, c in sorted(counts.items()) if c >= similarity * (len(s) + len(sets[j]) - c) - 1e-9), -1)
-        out.append(found)
-        if found < 0 or all_pairs:
-            for h in s.tolist():
-                holders.setdefault(h, []).append(i)
+def _similar(sets: list[np.ndarray], similarity: float, all_pairs: bool) -> np.ndarray:
+    """Of sets in rank order: for each the position of the first earlier one that is similar enough, else -1.
+
+    Only sets that weren't matched themselves are compared with, unless ``all_pairs``. The sets that
+    hold a hash stand side by side in one sorted array, a few numbers for each hash of the group."""
+    n, sizes = len(sets), np.array([len(s) for s in sets])
+    out = np.full(n, -1)
+    flat, edge = np.concatenate(sets), np.concatenate(([0], np.cumsum(sizes)))
+    order = np.argsort(flat, kind="stable")
+    holder = np.repeat(np.arange(n, dtype=np.int32), sizes)[order]
+    place = np.empty(len(flat), np.int64)
+    place[order] = np.arange(len(flat))
+    flat = flat[order]
+    last = np.flatnonzero(np.append(flat[1:] != flat[:-1], True))
+    stop = np.repeat(last + 1, np.diff(last, prepend=-1))
+    for i in range(n - 1):
+        if out[i] >= 0 and not all_pairs:
+            continue
+        # of each of its hashes, the holders behind it
+        first = place[edge[i] : edge[i + 1]] + 1
+        more = stop[first - 1] - first
+        at = np.repeat(first - np.cumsum(more) + more, more) + np.arange(more.sum())
+        j, shared = np.unique(holder[at], return_counts=True)
+        near = (out[j] < 0) & (shared >= similarity * (sizes[i] + sizes[j] - shared) - 1e-9)
+        out[j[near]] = i
     return out
 
 
@@ -326,7 +335,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, chu
     def compare(frame: pd.DataFrame, all_pairs: bool) -> pd.DataFrame:
         frame = frame.sort_values(["doc_id", "node"], na_position="first")
         ids = [None if d is None or d != d else int(d) for d in frame.doc_id.astype(object)]
-        found = _similar([np.frombuffer(s, np.uint64) for s in frame.shingles], ids, similarity, all_pairs)
+        found = _similar([np.frombuffer(s, np.uint64) for s in frame.shingles], similarity, all_pairs).tolist()
         rows = [(g, d, ids[j]) for g, d, j in zip(frame.digest, ids, found, strict=True) if j >= 0]
         out = pd.DataFrame(rows, columns=["digest", "doc_id", "kept_doc_id"])
         return out.assign(doc_id=pd.array(out.doc_id, "Int64"), kept_doc_id=pd.array(out.kept_doc_id, "Int64"))
