@@ -66,9 +66,14 @@ class Model:
     """The projection to the latent space, and the neighbours' vectors and labels."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, dimensions: int = DIMENSIONS):
-        idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1
-        _, _, v = np.linalg.svd(x.astype(np.float64) * idf, full_matrices=False)
-        self.projection = (idf[:, None] * v[:dimensions].T).astype(np.float32)
+        idf = np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0))) + 1
+        # right singular vectors are eigenvectors of the terms' products, which are summed over blocks of rows
+        products = np.zeros((x.shape[1], x.shape[1]))
+        for i in range(0, len(x), 256):
+            block = x[i : i + 256] * idf
+            products += block.T @ block
+        v = np.linalg.eigh(products)[1][:, ::-1]
+        self.projection = (idf[:, None] * v[:, :dimensions]).astype(np.float32)
         self.neighbours, self.labels = self.embed(x), y.astype(np.float64)
 
     def embed(self, x: np.ndarray) -> np.ndarray:
@@ -103,7 +108,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, al
     rows.sort(key=lambda r: r.doc_id)
     if not rows:
         return None
-    return Model(np.stack([np.frombuffer(r.x, np.float32) for r in rows]), np.array([r.quality for r in rows]))
+    x, y = np.empty((len(rows), TERMS), np.float32), np.array([r.quality for r in rows])
+    for i, r in enumerate(rows):
+        x[i] = np.frombuffer(r.x, np.float32)
+    rows.clear()
+    return Model(x, y)
 
 
 def scored(docs: DataFrame, model: Model | None, neighbours: int = NEIGHBOURS) -> DataFrame:
