@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
 
@@ -67,6 +70,28 @@ def remove(df: DataFrame) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+#: Bits of a key filter: 16 for each key, 32 MB at most. A full filter only lets more rows through.
+KEY_BITS, MOST_BITS = 16, 1 << 28
+
+
+def key_filter(keys: DataFrame):
+    """A broadcast bitmap of the column ``_k`` (long), as a function of such a column: true for each of
+    the keys and for few others. It spares rows that can't match the shuffle of a join."""
+    bits = min(1 << max(KEY_BITS * keys.count(), 1 << 16).bit_length(), MOST_BITS)
+    at = f"(_k & {bits - 1}L)"
+    words = keys.groupBy(F.expr(f"shiftright({at}, 6)").alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, int({at} & 63L)))").alias("b")).toArrow()
+    bitmap = np.zeros(bits >> 6, np.int64)
+    bitmap[words["w"].to_numpy()] = words["b"].to_numpy()
+    shared = keys.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def may_match(k: pd.Series) -> pd.Series:
+        k = k.to_numpy(np.int64) & np.int64(bits - 1)
+        return pd.Series((shared.value[k >> 6] >> (k & 63)) & 1 == 1)
+
+    return may_match
+
+
 def file_system(uri: str):
     """pyarrow's file system for a URI or path of the shared folder, with the path inside it."""
     from pyarrow import fs

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import key_filter, written
 from .graph import components
 
 SEED = 42
@@ -42,7 +42,7 @@ ANCHORS = 8
 #: Bits of 64 that candidates may differ in: sets of similarity 0.8 differ in 9.7 bits on average, with a standard deviation of 2.9.
 CANDIDATE_BITS = 20
 #: Hashes of shingle sets that one task compares at once.
-TASK_SHINGLES = 1_000_000
+TASK_SHINGLES = 2_000_000
 _ODD = (np.random.default_rng(20240229).integers(0, 1 << 63, ANCHORS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
@@ -326,9 +326,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, chu
         return pd.Series([np.unique(shingle_hashes(t, size) if (t or "").split() else np.zeros(1, np.uint64)).tobytes() for t in texts], dtype=object)
 
     key = F.xxhash64("digest", "doc_id").alias("_k")
-    wanted = members.select(key, "digest", "doc_id", "node", "component")
-    texts = marked.select(key, "digest", "text").join(wanted, ["_k", "digest"]).dropDuplicates(["_k", "digest"])
-    sets = written(texts.select("digest", "doc_id", "node", "component", as_set("text").alias("shingles")), "shingle-sets")
+    wanted = written(_parted(members, F.greatest("n", F.lit(1)), task_shingles).select(key, "digest", "doc_id", "node", "component", "parts", "part"), "wanted")
+    texts = marked.select(key, "digest", "text").where(key_filter(wanted.select("_k"))("_k"))
+    texts = texts.join(wanted, ["_k", "digest"]).dropDuplicates(["_k", "digest"])
+    sets = written(texts.select("digest", "doc_id", "node", "component", "parts", "part", as_set("text").alias("shingles")), "shingle-sets")
 
     kinds = "digest binary, doc_id long, kept_doc_id long"
 
@@ -340,34 +341,33 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, chu
         out = pd.DataFrame(rows, columns=["digest", "doc_id", "kept_doc_id"])
         return out.assign(doc_id=pd.array(out.doc_id, "Int64"), kept_doc_id=pd.array(out.kept_doc_id, "Int64"))
 
-    gone = None
-    left = sets
+    gone, left = None, sets
     while True:
-        load = written(left.groupBy("component").agg(F.sum(F.length("shingles") / 8).alias("load"), F.count(F.lit(1)).alias("k")).where("k > 1").withColumn("parts", F.ceil(F.col("load") / task_shingles).cast("int")), "loads")
-        parts = load.agg(F.max("parts"), F.sum(F.when(F.col("parts") > 1, F.col("k")).otherwise(0))).first()
-        if parts[0] is None:
-            break
-        dealt = left.join(load.select("component", "parts"), "component").withColumn("part", F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")))
-        found = written(_grouped(dealt.drop("parts"), compare, kinds, False), "similar")
+        found = written(_grouped(left, compare, kinds, False), "similar")
         gone = found if gone is None else gone.unionByName(found)
-        if parts[0] <= 1:
+        split = left.where("parts > 1")
+        if not (was := split.count()):
             break
-        left = written(dealt.where("parts > 1").drop("parts", "part").join(found.select("digest"), "digest", "left_anti"), "left")
-        now = left.count()
-        if now > 0.9 * parts[1]:
+        # of components in parts, those that stay meet again
+        rest = written(split.drop("parts", "part").join(found.select("digest"), "digest", "left_anti"), "left")
+        left = _parted(rest, F.length("shingles") / 8, task_shingles)
+        if rest.count() > 0.9 * was:
             # what is left doesn't shrink: every two parts of a component meet in a task of their own
-            again = left.join(load.select("component", "parts"), "component").withColumn("part", F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")))
-            blocks = again.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+            blocks = left.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
             blocks = blocks.withColumn("part", F.least("part", "other") * F.col("parts") + F.greatest("part", "other")).drop("parts", "other")
             gone = gone.unionByName(_grouped(blocks, compare, kinds, True))
             break
     copies = compact.join(firsts.select("digest", F.col("doc_id").alias("kept_doc_id")), "digest").where(~F.col("doc_id").eqNullSafe(F.col("kept_doc_id"))).select("digest", "doc_id", "kept_doc_id")
-    if gone is None:
-        return copies.select("doc_id", "digest", "kept_doc_id")
     best = gone.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("kept_doc_id").alias("kept_doc_id"))
     return copies.unionByName(best.select("digest", "doc_id", "kept_doc_id")).select("doc_id", "digest", "kept_doc_id")
 
 
+def _parted(rows: DataFrame, load: F.Column, most: int) -> DataFrame:
+    """``rows`` with the number of parts that their component is dealt out to, and the row's part."""
+    loads = rows.groupBy("component").agg(F.ceil(F.sum(load) / most).cast("int").alias("parts"))
+    return rows.join(loads, "component").withColumn("part", F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")))
+
+
 def _grouped(rows: DataFrame, compare, kinds: str, all_pairs: bool) -> DataFrame:
     return rows.select("component", "part", "digest", "doc_id", "node", "shingles").groupBy("component", "part").applyInPandas(lambda f: compare(f, all_pairs), kinds)
 
@@ -380,7 +380,10 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8
     """``docs`` less the rows whose text equals or is similar to one before; of repeated rows one stays."""
     gone = written(near_duplicates(docs, size, similarity).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_d")).distinct(), "near-duplicates")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("_id"), digest_of("text").alias("_d"))
-    left = rows.join(gone, [rows["_id"].eqNullSafe(gone["_id"]), rows["_d"] == gone["_d"]], "left_anti")
+    rows = rows.withColumn("_k", F.xxhash64("_id", "_d"))
+    may_go = key_filter(gone.select(F.xxhash64("_id", "_d").alias("_k")))("_k")
+    doubtful = rows.where(may_go)
+    left = rows.where(~may_go).unionByName(doubtful.join(gone, [doubtful["_id"].eqNullSafe(gone["_id"]), doubtful["_d"] == gone["_d"]], "left_anti"))
     # a text of which every copy but its first went is one row, unless that row is repeated
     often = written(left.groupBy("_id", "_d").count().where("count > 1").select("_id", "_d"), "repeated-rows")
     if often.isEmpty():
