@@ -27,6 +27,8 @@ from .decontaminate import words
 
 #: Words that a run of repeats must have to be removed.
 MIN_WORDS = 25
+#: Occurrences of a digest that one task gets, and digests that are dealt out so: the most common ones, a small broadcast.
+HOT_UNITS, HOT_MOST = 20_000, 10_000
 _END = re.compile(r"[.!?]+[ \t\n\r]+|\n+")
 UNITS = "_row long, doc_id long, pos int, start int, end int, n_words int, digest binary"
 
@@ -69,8 +71,12 @@ def _removed(keyed: DataFrame, min_words: int) -> DataFrame:
                 yield frame
 
     every = written(keyed.mapInPandas(cut, UNITS), "passage-units")
-    first = every.groupBy("digest").agg(F.min(F.struct("doc_id", "_row", "pos", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    again = every.join(first, "digest").where("_row <> first._row or pos <> first.pos")
+    first = written(every.groupBy("digest").agg(F.min(F.struct("doc_id", "_row", "pos", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "passage-firsts")
+    # rows of a very common digest meet its first occurrence in several tasks
+    hot = F.broadcast(first.where(F.col("n") > HOT_UNITS).orderBy(F.desc("n"), "digest").limit(HOT_MOST).select("digest", F.ceil(F.col("n") / HOT_UNITS).cast("int").alias("salts")))
+    dealt = every.join(hot, "digest", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("_row", "pos"), F.col("salts")).cast("int"), F.lit(0))).drop("salts")
+    spread = first.join(hot, "digest", "left").select("digest", "first", F.explode(F.expr("sequence(0, coalesce(salts, 1) - 1)")).alias("salt"))
+    again = dealt.join(spread, ["digest", "salt"]).where("_row <> first._row or pos <> first.pos")
     lists = again.groupBy("_row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "start", "end", "n_words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start")))).alias("repeats"))
 
     @F.pandas_udf("array<struct<start:int,end:int,n_units:int,n_words:int,first_doc_id:bigint,first_start:int>>")

@@ -9,6 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from cargolens.llm.common import key_filter
 from cargolens.llm import decontaminate, graph, html_text, media, mixing, passages, pii, quality, secret_scan, simhash, token_files
 from cargolens.llm.common import file_system, small_batches
 
@@ -422,6 +423,21 @@ def test_passages(spark, docs):
     assert passages.repeated_passages(none(docs)).count() == 0
 
 
+def test_passages_of_common_digests_are_dealt_out(spark, docs, monkeypatch):
+    want = sorted(map(repr, passages.repeated_passages(docs).collect()))
+    monkeypatch.setattr(passages, "HOT_UNITS", 1)
+    assert want
+    assert sorted(map(repr, passages.repeated_passages(docs).collect())) == want
+
+
+def test_key_filter_passes_every_key(spark):
+    keys = spark.range(-500, 500).selectExpr("id * 7919 as _k")
+    may = key_filter(keys)
+    assert keys.where(may("_k")).count() == 1000
+    assert spark.range(10_000, 110_000).selectExpr("xxhash64(id) as _k").where(may("_k")).count() < 10_000
+    assert keys.where(key_filter(keys.limit(0))("_k")).count() == 0
+
+
 def test_passages_equal_sql(spark, tmp_path):
     import duckdb
 
