@@ -278,13 +278,15 @@ def _similar(sets: list[np.ndarray], similarity: float, all_pairs: bool) -> np.n
     n, sizes = len(sets), np.array([len(s) for s in sets])
     out = np.full(n, -1)
     flat, edge = np.concatenate(sets), np.concatenate(([0], np.cumsum(sizes)))
-    order = np.argsort(flat, kind="stable")
-    holder = np.repeat(np.arange(n, dtype=np.int32), sizes)[order]
-    place = np.empty(len(flat), np.int64)
-    place[order] = np.arange(len(flat))
+    order = np.argsort(flat, kind="stable").astype(np.int32 if len(flat) < 1 << 31 else np.int64)
     flat = flat[order]
-    last = np.flatnonzero(np.append(flat[1:] != flat[:-1], True))
+    last = np.flatnonzero(np.append(flat[1:] != flat[:-1], True)).astype(order.dtype)
+    del flat
     stop = np.repeat(last + 1, np.diff(last, prepend=-1))
+    holder = np.repeat(np.arange(n, dtype=np.int32), sizes)[order]
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order), dtype=order.dtype)
+    del order, last
     for i in range(n - 1):
         if out[i] >= 0 and not all_pairs:
             continue
