@@ -137,6 +137,18 @@ def test_near_duplicates_equal_brute_force(spark, task):
     assert not [(a, b) for a in kept for b in kept if a < b and jaccard(texts[a], texts[b]) >= 0.8]
 
 
+def test_repeated_line_stays_a_near_duplicate(spark):
+    """A line repeated 30 times hardly changes the set, though it outvotes the rest of a fingerprint with repeats."""
+    texts = []
+    for k in range(8):
+        base, line = words(300, 500 + k), words(14, 600 + k)
+        texts += [f"{base} {line}", base + f" {line}" * 30]
+    pairs = [(texts[i], texts[i + 1]) for i in range(0, 16, 2)]
+    assert all(jaccard(*p) >= 0.8 for p in pairs)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.kept_doc_id for r in simhash.near_duplicates(df).collect()} == {i: i - 1 for i in range(1, 16, 2)}
+
+
 def test_drop_near_duplicates_keeps_columns_and_one_of_repeated_rows(spark, docs):
     out = simhash.drop_near_duplicates(docs)
     assert out.columns == docs.columns
