@@ -29,7 +29,7 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import key_filter, written
@@ -271,11 +271,11 @@ def report(docs: DataFrame, size: int = 3, bits: int = 2, chunk: int = CHUNK) ->
 # --- near-duplicates of a similarity -------------------------------------------------------------
 
 
-def _similar(sets: list[np.ndarray], similarity: float, all_pairs: bool) -> np.ndarray:
+def _similar(sets: list[np.ndarray], similarity: float, leads: int) -> np.ndarray:
     """Of sets in rank order: for each the position of the first earlier one that is similar enough, else -1.
 
-    Only sets that weren't matched themselves are compared with, unless ``all_pairs``. The sets that
-    hold a hash stand side by side in one sorted array, a few numbers for each hash of the group."""
+    Only the first ``leads`` sets are compared with, of them those that weren't matched themselves. The
+    sets that hold a hash stand side by side in one sorted array, a few numbers for each hash of the group."""
     n, sizes = len(sets), np.array([len(s) for s in sets])
     out = np.full(n, -1)
     flat, edge = np.concatenate(sets), np.concatenate(([0], np.cumsum(sizes)))
@@ -288,8 +288,8 @@ def _similar(sets: list[np.ndarray], similarity: float, all_pairs: bool) -> np.n
     place = np.empty_like(order)
     place[order] = np.arange(len(order), dtype=order.dtype)
     del order, last
-    for i in range(n - 1):
-        if out[i] >= 0 and not all_pairs:
+    for i in range(min(leads, n - 1)):
+        if out[i] >= 0:
             continue
         # of each of its hashes, the holders behind it
         first = place[edge[i] : edge[i + 1]] + 1
@@ -304,7 +304,10 @@ def _similar(sets: list[np.ndarray], similarity: float, all_pairs: bool) -> np.n
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, chunk: int = CHUNK, task_shingles: int = TASK_SHINGLES) -> DataFrame:
     """doc_id and digest of the texts that go, for an earlier text (by doc_id) is equal or similar; with ``kept_doc_id``.
 
-    Every text that goes has a similar one before it, and of each group at least the first stays."""
+    In order of (doc_id, digest's hash) a text goes if a similar one before it stays, and its
+    ``kept_doc_id`` is the first of these: one definition for groups of all sizes. A group beyond a
+    task's share is settled from the front: its first texts among themselves in one task, then those
+    of them that stay meet all texts behind, dealt to tasks, and what is left goes round again."""
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", digest_of("text").alias("digest"))
 
     @F.pandas_udf("struct<fp:bigint,anchors:array<bigint>,n:bigint>")
@@ -330,50 +333,50 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, chu
         return pd.Series([np.unique(shingle_hashes(t, size) if (t or "").split() else np.zeros(1, np.uint64)).tobytes() for t in texts], dtype=object)
 
     key = F.xxhash64("digest", "doc_id").alias("_k")
-    wanted = written(_parted(members, F.greatest("n", F.lit(1)), task_shingles).select(key, "digest", "doc_id", "node", "component", "parts", "part"), "wanted")
+    wanted = written(members.select(key, "digest", "doc_id", "node", "component", F.greatest("n", F.lit(1)).alias("load")), "wanted")
     texts = marked.select(key, "digest", "text").where(key_filter(wanted.select("_k"))("_k"))
     texts = texts.join(wanted, ["_k", "digest"]).dropDuplicates(["_k", "digest"])
-    sets = written(texts.select("digest", "doc_id", "node", "component", "parts", "part", as_set("text").alias("shingles")), "shingle-sets")
+    sets = written(texts.select("digest", "doc_id", "node", "component", "load", as_set("text").alias("shingles")), "shingle-sets")
 
     kinds = "digest binary, doc_id long, kept_doc_id long"
 
-    def compare(frame: pd.DataFrame, all_pairs: bool) -> pd.DataFrame:
-        frame = frame.sort_values(["doc_id", "node"], na_position="first")
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["lead", "doc_id", "node"], ascending=[False, True, True], na_position="first")
         ids = [None if d is None or d != d else int(d) for d in frame.doc_id.astype(object)]
-        found = _similar([np.frombuffer(s, np.uint64) for s in frame.shingles], similarity, all_pairs).tolist()
+        found = _similar([np.frombuffer(s, np.uint64) for s in frame.shingles], similarity, int(frame.lead.sum())).tolist()
         rows = [(g, d, ids[j]) for g, d, j in zip(frame.digest, ids, found, strict=True) if j >= 0]
         out = pd.DataFrame(rows, columns=["digest", "doc_id", "kept_doc_id"])
         return out.assign(doc_id=pd.array(out.doc_id, "Int64"), kept_doc_id=pd.array(out.kept_doc_id, "Int64"))
 
+    def compared(rows: DataFrame, name: str) -> DataFrame:
+        return written(rows.select("component", "part", "digest", "doc_id", "node", "lead", "shingles").groupBy("component", "part").applyInPandas(compare, kinds), name)
+
+    whole = [F.lit(0).alias("part"), F.lit(True).alias("lead")]
+    half = max(task_shingles // 2, 1)
+    rank = F.struct(F.col("doc_id").isNotNull().alias("s"), F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("node").alias("n"))
+    ahead = Window.partitionBy("component").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     gone, left = None, sets
     while True:
-        found = written(_grouped(left, compare, kinds, False), "similar")
+        # a group beyond a task's share takes at least that many hashes, so these are few
+        large = written(left.groupBy("component").agg(F.sum("load").alias("all")).where(F.col("all") > task_shingles).select("component", F.ceil(F.col("all") / half).cast("int").alias("parts")), "large-groups")
+        sized = left.join(F.broadcast(large), "component", "left")
+        found = compared(sized.where("parts is null").select("*", *whole), "similar")
         gone = found if gone is None else gone.unionByName(found)
-        split = left.where("parts > 1")
-        if not (was := split.count()):
-            break
-        # of components in parts, those that stay meet again
-        rest = written(split.drop("parts", "part").join(found.select("digest"), "digest", "left_anti"), "left")
-        left = _parted(rest, F.length("shingles") / 8, task_shingles)
-        if rest.count() > 0.9 * was:
-            # what is left doesn't shrink: every two parts of a component meet in a task of their own
-            blocks = left.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-            blocks = blocks.withColumn("part", F.least("part", "other") * F.col("parts") + F.greatest("part", "other")).drop("parts", "other")
-            gone = gone.unionByName(_grouped(blocks, compare, kinds, True))
+        if large.isEmpty():
             break
+        ranked = sized.where("parts is not null").withColumn("rank", rank)
+        front = ranked.select("component", "rank", "load").withColumn("ahead", F.coalesce(F.sum("load").over(ahead), F.lit(0)))
+        ends = written(front.where(F.col("ahead") < half).groupBy("component").agg(F.max("rank").alias("end")), "fronts")
+        cut = ranked.join(F.broadcast(ends), "component").withColumn("first", F.col("rank") <= F.col("end")).drop("rank", "end")
+        first, behind = written(cut.where("first"), "first-sets"), cut.where("not first")
+        found = compared(first.select("*", *whole), "similar")
+        stay = first.join(found.select("digest"), "digest", "left_anti").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).withColumn("lead", F.lit(True))
+        dealt = behind.withColumn("part", F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")).cast("int")).withColumn("lead", F.lit(False))
+        met = compared(dealt.unionByName(stay), "similar")
+        gone = gone.unionByName(found).unionByName(met)
+        left = written(behind.join(met.select("digest"), "digest", "left_anti").select(*sets.columns), "left")
     copies = compact.join(firsts.select("digest", F.col("doc_id").alias("kept_doc_id")), "digest").where(~F.col("doc_id").eqNullSafe(F.col("kept_doc_id"))).select("digest", "doc_id", "kept_doc_id")
-    best = gone.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("kept_doc_id").alias("kept_doc_id"))
-    return copies.unionByName(best.select("digest", "doc_id", "kept_doc_id")).select("doc_id", "digest", "kept_doc_id")
-
-
-def _parted(rows: DataFrame, load: F.Column, most: int) -> DataFrame:
-    """``rows`` with the number of parts that their component is dealt out to, and the row's part."""
-    loads = rows.groupBy("component").agg(F.ceil(F.sum(load) / most).cast("int").alias("parts"))
-    return rows.join(loads, "component").withColumn("part", F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")))
-
-
-def _grouped(rows: DataFrame, compare, kinds: str, all_pairs: bool) -> DataFrame:
-    return rows.select("component", "part", "digest", "doc_id", "node", "shingles").groupBy("component", "part").applyInPandas(lambda f: compare(f, all_pairs), kinds)
+    return copies.unionByName(gone).select("doc_id", "digest", "kept_doc_id")
 
 
 def digest_of(column: str) -> F.Column:

@@ -137,6 +137,25 @@ def test_near_duplicates_equal_brute_force(spark, task):
     assert not [(a, b) for a in kept for b in kept if a < b and jaccard(texts[a], texts[b]) >= 0.8]
 
 
+@pytest.mark.parametrize("task", [4_000_000, 300])
+def test_near_duplicates_of_chains_are_those_of_one_greedy_pass(spark, task):
+    """Windows that move along a text: neighbours are similar, those further apart aren't."""
+    texts, rng = [], np.random.default_rng(5)
+    for g in range(3):
+        w = words(320, 700 + g).split()
+        texts += [" ".join(w[8 * k : 8 * k + 120]) for k in range(25)]
+    texts = [texts[i] for i in rng.permutation(len(texts))]
+    want, kept = {}, []
+    for i, t in enumerate(texts):
+        like = [k for k in kept if jaccard(texts[k], t) >= 0.8]
+        if like:
+            want[i] = like[0]
+        else:
+            kept.append(i)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.kept_doc_id for r in simhash.near_duplicates(df, task_shingles=task).collect()} == want
+
+
 def test_repeated_line_stays_a_near_duplicate(spark):
     """A line repeated 30 times hardly changes the set, though it outvotes the rest of a fingerprint with repeats."""
     texts = []
