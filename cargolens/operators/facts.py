@@ -18,7 +18,7 @@ KINDS = {
     "member": "container string, ord int, member string, is_dir boolean, comp_size long, size long, external_attr long, mode int, kind string, error string",
     "stream": "format string, size long, raw_size long, error string, outcome string, inner string",
     "tensor": "size long, header_size decimal(20,0), problem string, ord int, name string, dtype string, shape array<decimal(38,0)>, b decimal(38,0), e decimal(38,0), bad_offsets boolean, long_texts array<string>",
-    "npy": "n_bytes long, content binary",
+    "npy": tensors.NPY,
     "graph": tensors.GRAPH,
     "keras": documents.KERAS,
     "config": documents.CONFIG,
@@ -32,7 +32,6 @@ ASKED_BY = {
     "keras": ("keras",), "config": ("config",), "template": ("templates",), "notebook": ("code",), "source": ("code",),
 }
 _PACKED = ("gzip", "bzip2", "xz", "zstd")
-_NPY_HEAD = 1 << 16
 
 
 def _text(data: bytes) -> str:
@@ -82,7 +81,7 @@ class Parser:
             yield location, "pickle", pickles.walk(data, memo=self.memo)
 
     def _npy(self, location: str, data: bytes) -> Iterator[tuple[str, str, dict]]:
-        yield location, "npy", {"n_bytes": len(data), "content": data[:_NPY_HEAD]}
+        yield location, "npy", tensors.npy_row(data)
 
     def _inner(self, location: str, kind: str | None, data: bytes) -> Iterator[tuple[str, str, dict]]:
         if kind == "pickle":

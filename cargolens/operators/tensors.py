@@ -105,23 +105,52 @@ def safetensors_findings(rows: DataFrame) -> list[DataFrame]:
     ]
 
 
-def npy_findings(streams: DataFrame) -> list[DataFrame]:
-    """NPY-000 and NPY-001. streams: target_id, location, content of npy files and members; with n_bytes, content may be a head."""
+NPY = "n_bytes long, problem string, has_object boolean, evidence string"
+_NPY_SHOWN = 200
+
+
+def npy_row(data: bytes) -> dict:
+    """What the rules ask of a npy file or member: its whole header is searched, none of it is passed on but the evidence."""
+    row: dict = {"n_bytes": len(data)}
+    if len(data) > K.MEMBER_LIMIT:
+        return row
+    if len(data) < 10 or data[:6] != b"\x93NUMPY":
+        return row | {"problem": "no header"}
+    first = data[6] == 1
+    start = 10 if first else 12
+    if len(data) < start:
+        return row | {"problem": "header ends early"}
+    head = data[start : start + int.from_bytes(data[8:start], "little")]
+    found = b"|O" in head
+    return row | {"has_object": found, "evidence": head.decode("latin-1").strip()[:_NPY_SHOWN] if found else None}
+
+
+def npy_facts(streams: DataFrame) -> DataFrame:
+    """The same of a table with content: native."""
     data = F.col("content")
     magic = F.hex(F.substring(data, 1, 6)) == "934E554D5059"
     first = F.hex(F.substring(data, 7, 1)) == "01"
     need, start = F.when(first, 10).otherwise(12), F.when(first, 11).otherwise(13)
     n = F.when(first, little_endian(data, 8, 2)).otherwise(little_endian(data, 8, 4))
-    big = (F.col("n_bytes") if "n_bytes" in streams.columns else F.length(data)) > K.MEMBER_LIMIT
-    marked = streams.withColumn("_ok", F.coalesce(magic, F.lit(False)) & (F.length(data) >= 10)).withColumn("_head", F.when(F.length(data) >= need, latin1(F.substring(data, start, F.least(n, F.lit(1 << 20).cast("decimal(20,0)")).cast("int")))))
-    ok, head = F.col("_ok"), F.col("_head")
+    size = F.length(data)
+    # a header's length may be beyond the file's, and beyond an int
+    head = F.when((size <= K.MEMBER_LIMIT) & (size >= need), latin1(F.substring(data, start, F.least(n, size.cast("decimal(20,0)")).cast("int"))))
+    at = fixed(streams, _ok=F.coalesce(magic, F.lit(False)) & (size >= 10), _head=head)
+    problem = F.when(size.isNull() | (size > K.MEMBER_LIMIT), None).when(~F.col("_ok"), "no header").when(F.col("_head").isNull(), "header ends early")
+    found = (problem.isNull()) & F.col("_head").contains("|O")
+    return at.select("target_id", "location", size.cast("long").alias("n_bytes"), problem.alias("problem"), found.alias("has_object"), F.when(found, F.substring(F.trim("_head", F.lit(" \t\n\r\x0b\x0c")), 1, _NPY_SHOWN)).alias("evidence"))
+
+
+def npy_findings(streams: DataFrame) -> list[DataFrame]:
+    """NPY-000 and NPY-001. streams: target_id, location and the facts of npy files and members, or their content."""
+    facts = npy_facts(streams) if "content" in streams.columns else streams
     return [
         emit(
-            marked,
-            rule("NPY-000", big, "MEDIUM", "integrity", "medium", "beyond the read limit"),
-            rule("NPY-000", ~big & ~ok, "LOW", "integrity", "medium", "no header"),
-            rule("NPY-000", ~big & ok & head.isNull(), "MEDIUM", "integrity", "medium", "header ends early"),
-            rule("NPY-001", ~big & ok & head.contains("|O"), "HIGH", "serialization", evidence=F.array(F.substring(F.trim(head), 1, 200))),
+            facts,
+            rule("NPY-000", F.col("n_bytes") > K.MEMBER_LIMIT, "MEDIUM", "integrity", "medium", "beyond the read limit"),
+            rule("NPY-000", "problem = 'no header'", "LOW", "integrity", "medium", "no header"),
+            rule("NPY-000", "problem = 'header ends early'", "MEDIUM", "integrity", "medium", "header ends early"),
+            rule("NPY-001", F.coalesce("has_object", F.lit(False)), "HIGH", "serialization", evidence=F.array("evidence")),
         )
     ]
 

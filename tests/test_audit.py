@@ -59,6 +59,28 @@ def test_baseline(spark, golden):
     assert {r.rule_id for r in left.select("rule_id").distinct().collect()} == {"PKL-001"} and left.first().is_new
 
 
+def test_npy_header_is_searched_to_its_end(spark, tmp_path):
+    import struct
+
+    from cargolens.model import union
+    from cargolens.operators import tensors
+
+    head = b"{'descr': [" + b"('f', '<f4'), " * 100_000 + b"('o', '|O')], 'shape': (1,), }"
+    big = b"\x93NUMPY\x02\x00" + struct.pack("<I", len(head)) + head
+    a = audit_paths(spark, fixtures.write(tmp_path, {"big": {"m.npy": big, "w.npz": fixtures.archive({"arr.npy": big})}}))
+    found = [r for r in a.findings.where("rule_id = 'NPY-001'").collect()]
+    assert sorted(r.location for r in found) == ["m.npy", "w.npz!arr.npy"] and {r.severity for r in found} == {"HIGH"}
+    assert len(big) > 1 << 20 and {tuple(r.evidence) for r in found} == {(head[:200].decode(),)}
+    odd = [big, big[:9], big[:11], b"x" * 20, fixtures.npy(), fixtures.npy("<f4"), big[:-30]]
+    rows = spark.createDataFrame([("t", str(i), x) for i, x in enumerate(odd)], "target_id string, location string, content binary")
+    native = {r.location: tuple(r)[2:] for r in tensors.npy_facts(rows).collect()}
+    for i, x in enumerate(odd):
+        r = tensors.npy_row(x)
+        assert native[str(i)] == (r["n_bytes"], r.get("problem"), r.get("has_object", False), r.get("evidence")) or r.get("problem")
+        assert native[str(i)][1] == r.get("problem")
+    assert {(r.location, r.rule_id) for r in union(tensors.npy_findings(rows)).collect()} == {("0", "NPY-001"), ("1", "NPY-000"), ("2", "NPY-000"), ("3", "NPY-000"), ("4", "NPY-001")}
+
+
 def test_reports(golden):
     import json
 
