@@ -1,20 +1,21 @@
 """HTML extraction: equivalence classes of tokens that same-host pages share make up a template.
 
-Pages are read as tokens: tags with their path (and class), and the text between them. A token's
-occurrence vector says how often it occurs on each page of its host. Vectors are compared through
-their sums: pages with the token, occurrences, and a hash sum over (page, count), which add up in any
-order, so each task sums its own pages first and a hot host meets nowhere as rows. Tokens of a host
-with equal vectors form an equivalence class. A class is valid if it occurs on enough of the pages
-and its tokens nest (a tag and its ancestors); the class of tokens met exactly once on every page
-is the outer template, and classes inside one of its slots nest below it. Slots that never hold a
-template's role for side matter (menus, headers, footers, forms, notices) compete as main slot: the
-one with most text over the host wins, link text not counted; ``article`` and ``main`` go first.
+Pages are read as tokens: tags with their path (and class), and the text between them with the path
+of its element. A token's occurrence vector says how often it occurs on each page of its host, for
+text whether it does; of equal pages one counts. Vectors are compared through their sums: pages with
+the token, occurrences, and a hash sum over (page, count), which add up in any order, so each task
+sums its own pages first and a hot host meets nowhere as rows. Tokens of a host with equal vectors
+form an equivalence class. A text belongs to the template if it stands on enough of the pages,
+``TEXT_PAGES`` at least, and its class holds an element around it that occurs once a page: the
+text then stands wherever that element does. Blocks that are nothing but template text are left out.
+
+``article`` or else ``main`` is the main slot; on hosts without, the deepest element with nine tenths of the text.
 
 A page's text is what stands in its main slot, by blocks: side matter inside is left out, character
 references are decoded, white space is one space inside a block, blocks join with one newline.
 
 Null and empty pages give an empty text; unclosed tags close with their parents; pages whose main
-slot is missing (or whose host has none) fall back to the largest slot of the page itself; repeated
+slot is missing (or whose host has none) fall back to the page's own main slot; repeated
 rows give the same row again; an empty table gives no rows. Extra columns stay in :func:`extract`."""
 
 from __future__ import annotations
@@ -26,15 +27,18 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import key_filter, written
 
 #: Templates up to this count are broadcast; beyond it they are joined by a shuffle.
 BROADCAST_HOSTS = 20_000
 #: Share of a host's pages that a template token must occur on.
 SUPPORT = 0.6
+#: Different pages that a text must stand on to be taken for the template's.
+TEXT_PAGES = 5
 #: HTML's own element classes: fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math".split())
@@ -115,8 +119,18 @@ def _name(tag: str, attrs: dict[str, str]) -> str:
     return f"{tag}.{'.'.join(sorted(attrs['class'].split()))}" if attrs.get("class") else tag
 
 
-def slots(page: str) -> dict[str, list]:
-    """Of a page, by token (an element's path): [occurrences, text characters outside links and side matter, side]."""
+def _text_key(path: str, text: str) -> str:
+    return xxhash.xxh3_64_hexdigest(f"{path}\n{text}".encode("utf-8", "replace"))
+
+
+def _plain(raw: str) -> str:
+    return _SPACE.sub(" ", html.unescape(raw)).strip()
+
+
+def slots(page: str, texts: set[str] | None = None) -> dict[str, list]:
+    """Of a page, by token (an element's path): [occurrences, text characters outside links and side matter, side].
+
+    ``texts`` gets the tokens of the text outside side matter: path, a line end, and a hash."""
     out: dict[str, list] = {}
     path: list[str] = []
     flags: list[tuple[bool, bool]] = []
@@ -130,26 +144,18 @@ def slots(page: str) -> dict[str, list]:
             if path:
                 path.pop()
                 flags.pop()
-        elif kind == "text" and path and flags[-1] == (False, False) and (n := len(x.strip())):
-            for p in path:
-                out[p][1] += n
+        elif kind == "text" and path and not flags[-1][0] and (n := len(x.strip())):
+            if not flags[-1][1]:
+                for p in path:
+                    out[p][1] += n
+            if texts is not None:
+                texts.add(f"{path[-1]}\n{_text_key(path[-1], _plain(x))}")
     return out
 
 
-def _depth(token: str) -> int:
-    return token.count("/")
-
-
 def pick(tokens: list[tuple[str, int, int, int, int, bool]], pages: int) -> tuple[str, int] | None:
-    """The main slot, of a host's (token, pages with it, occurrences, hash sum, characters, side).
-
-    Classes are tokens of equal (pages, occurrences, hash sum). Of the valid classes' tokens that are
-    no side matter, an article or main wins; else the deepest one that still has nine tenths of the text."""
-    classes: dict[tuple, list] = defaultdict(list)
-    for t in tokens:
-        classes[t[1:4]].append(t)
-    names = {t[0] for t in tokens}
-    valid = [t for key, members in classes.items() if key[0] >= SUPPORT * pages for t in members if "/" not in t[0] or t[0].rsplit("/", 1)[0] in names]
+    """The main slot, of a host's (token, pages with it, occurrences, hash sum, characters, side); an empty one is the whole page."""
+    valid = [t for t in tokens if "\n" not in t[0] and t[1] >= SUPPORT * pages]
     once = [t for t in valid if not t[5] and t[2] <= 1.5 * t[1] and t[4] > 0]
     for tag in ("article", "main"):
         if named := [t for t in once if t[0].rsplit("/", 1)[-1].split(".")[0] == tag]:
@@ -158,22 +164,37 @@ def pick(tokens: list[tuple[str, int, int, int, int, bool]], pages: int) -> tupl
     if not once:
         return None
     most = max(t[4] for t in once)
-    best = max((t for t in once if t[4] >= 0.9 * most), key=lambda t: (_depth(t[0]), t[4], t[0]))
+    best = max((t for t in once if t[4] >= 0.9 * most), key=lambda t: (t[0].count("/"), t[4], t[0]))
     return best[0], len(once)
 
 
-def blocks(page: str, slot: str | None) -> list[str]:
-    """The blocks of text in the slots of that path (all slots if None), without side matter."""
+def template_texts(tokens: list[tuple[str, int, int, int, int, bool]], pages: int) -> list[str]:
+    """Hashes of the texts whose vector is that of an element around them which occurs once a page."""
+    vector = {t[0]: t[1:4] for t in tokens if "\n" not in t[0] and t[2] == t[1]}
+    out = []
+    for token, *key in (t[:4] for t in tokens if "\n" in t[0] and t[1] >= max(TEXT_PAGES, SUPPORT * pages)):
+        path, found = token.split("\n")
+        parts = path.split("/")
+        if any(vector.get("/".join(parts[:i])) == tuple(key) for i in range(1, len(parts) + 1)):
+            out.append(found)
+    return sorted(out)
+
+
+def blocks(page: str, slot: str | None, template: frozenset[str] = frozenset()) -> list[str]:
+    """The blocks of text in the slots of that path (all slots if None), without side matter and blocks of the template's texts alone."""
     out: list[str] = []
     now: list[str] = []
+    own = False
     path: list[str] = []
     flags: list[tuple[bool, bool]] = []
 
     def end() -> None:
+        nonlocal own
         # references are decoded here, so that one cut by nothing but a tag stays as it stands
-        if text := _SPACE.sub(" ", "".join(now)).strip():
+        if own and (text := _SPACE.sub(" ", "".join(now)).strip()):
             out.append(text)
         now.clear()
+        own = False
 
     for kind, x, attrs in read(page):
         if kind == "open":
@@ -193,18 +214,20 @@ def blocks(page: str, slot: str | None) -> list[str]:
                 end()
         elif (flags[-1] if flags else (slot is None, False)) == (True, False):
             now.append(html.unescape(x))
+            own = own or not template or not path or bool((text := _plain(x)) and _text_key(path[-1], text) not in template)
     end()
     return out
 
 
-def main_text(page: str | None, slot: str | None) -> str:
+def main_text(page: str | None, slot: str | None, template: frozenset[str] = frozenset()) -> str:
     if not page:
         return ""
-    own = slots(page)
-    if slot is None or slot not in own or own[slot][2]:
-        found = pick([(t, 1, c, 0, n, s) for t, (c, n, s) in own.items()], 1)
-        slot = found[0] if found else None
-    return "\n".join(blocks(page, slot))
+    if slot != "":
+        own = slots(page)
+        if slot is None or slot not in own or own[slot][2]:
+            found = pick([(t, 1, c, 0, n, s) for t, (c, n, s) in own.items()], 1)
+            slot = found[0] if found else None
+    return "\n".join(blocks(page, slot or None, template))
 
 
 def host_of(url: F.Column) -> F.Column:
@@ -212,7 +235,7 @@ def host_of(url: F.Column) -> F.Column:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """A row for each host that has a template: host, slot, pages, skeleton (tokens of its template)."""
+    """A row for each host that has a template: host, slot, pages, skeleton (tokens of its template), texts (hashes of the template's texts)."""
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[tuple, list] = defaultdict(lambda: [0, 0, 0, 0, False])
@@ -227,7 +250,9 @@ def templates(pages: DataFrame) -> DataFrame:
             for host, page in zip(b.host, b.html, strict=True):
                 # the page's part in every vector: by its content, so repeated rows count alike on any task
                 mark = int.from_bytes(hashlib.blake2b((page or "").encode("utf-8", "replace"), digest_size=4).digest(), "little")
-                for token, (count, chars, is_side) in [("", (1, 0, True)), *slots(page or "").items()]:
+                texts: set[str] = set()
+                own = slots(page or "", texts)
+                for token, (count, chars, is_side) in [("", (1, 0, True)), *own.items(), *((t, (1, 0, False)) for t in texts)]:
                     s = sums[host, token]
                     s[0] += 1
                     s[1] += count
@@ -238,32 +263,40 @@ def templates(pages: DataFrame) -> DataFrame:
                 yield given()
         yield given()
 
-    parts = pages.select(host_of(F.col("url")).alias("host"), "html").mapInPandas(vectors, "host string, token string, pages long, occurrences long, vector long, chars long, side boolean")
+    hosts = pages.select(host_of(F.col("url")).alias("host"), "html").withColumn("_k", F.xxhash64("host", "html"))
+    copied = written(hosts.groupBy("_k").count().where("count > 1").select("_k"), "copied-pages")
+    if not copied.isEmpty():
+        may = key_filter(copied)("_k")
+        hosts = hosts.where(~may).unionByName(hosts.where(may).dropDuplicates(["_k"]))
+    parts = hosts.select("host", "html").mapInPandas(vectors, "host string, token string, pages long, occurrences long, vector long, chars long, side boolean")
     tokens = parts.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("occurrences").alias("occurrences"), F.sum("vector").alias("vector"), F.sum("chars").alias("chars"), F.max("side").alias("side"))
     # only tokens on enough pages can be in a valid class, which bounds a host's list by its tags in common
     total = tokens.where("token = ''").select("host", F.col("pages").alias("all"))
-    common = tokens.where("token <> ''").join(total, "host").where(F.col("pages") >= SUPPORT * F.col("all"))
+    common = tokens.where("token <> ''").join(total, "host").where((F.col("pages") >= SUPPORT * F.col("all")) & ((F.col("pages") >= TEXT_PAGES) | ~F.contains("token", F.lit("\n"))))
     lists = common.groupBy("host", "all").agg(F.collect_list(F.struct("token", "pages", "occurrences", "vector", "chars", "side")).alias("tokens"))
 
-    @F.pandas_udf("struct<slot:string,skeleton:int>")
+    @F.pandas_udf("struct<slot:string,skeleton:int,texts:array<string>>")
     def choose(lists: pd.Series, n: pd.Series) -> pd.DataFrame:
-        found = [pick([(t["token"], t["pages"], t["occurrences"], t["vector"], t["chars"], t["side"]) for t in x], k) or (None, 0) for x, k in zip(lists, n, strict=True)]
-        return pd.DataFrame(found, columns=["slot", "skeleton"])
+        rows = []
+        for x, k in zip(lists, n, strict=True):
+            given = [(t["token"], t["pages"], t["occurrences"], t["vector"], t["chars"], t["side"]) for t in x]
+            rows.append((*(pick(given, k) or (None, 0)), template_texts(given, k)))
+        return pd.DataFrame(rows, columns=["slot", "skeleton", "texts"])
 
     return lists.select("host", F.col("all").alias("pages"), choose("tokens", "all").alias("x")).select("host", "pages", "x.*").where("slot is not null")
 
 
 def extract(pages: DataFrame, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
     """``pages`` with ``text`` in place of ``html``."""
-    known = written(templates(pages), "page-templates").select(F.col("host").alias("_host"), F.col("slot").alias("_slot"))
+    known = written(templates(pages), "page-templates").select(F.col("host").alias("_host"), F.col("slot").alias("_slot"), F.col("texts").alias("_texts"))
     small = known.limit(broadcast_hosts + 1).count() <= broadcast_hosts
     joined = pages.withColumn("_host", host_of(F.col("url"))).join(F.broadcast(known) if small else known, "_host", "left")
 
     @F.pandas_udf("string")
-    def text_of(html_col: pd.Series, slot: pd.Series) -> pd.Series:
-        return pd.Series([main_text(h, s) for h, s in zip(html_col, slot, strict=True)], dtype=object)
+    def text_of(html_col: pd.Series, slot: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([main_text(h, s, frozenset(() if t is None else t)) for h, s, t in zip(html_col, slot, texts, strict=True)], dtype=object)
 
-    return joined.withColumn("text", text_of("html", "_slot")).drop("_host", "_slot", "html")
+    return joined.withColumn("text", text_of("html", "_slot", "_texts")).drop("_host", "_slot", "_texts", "html")
 
 
 def report(pages: DataFrame) -> DataFrame:
