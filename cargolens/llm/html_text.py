@@ -9,7 +9,8 @@ form an equivalence class. A text belongs to the template if it stands on enough
 ``TEXT_PAGES`` at least, and its class holds an element around it that occurs once a page: the
 text then stands wherever that element does. Blocks that are nothing but template text are left out.
 
-``article`` or else ``main`` is the main slot; on hosts without, the deepest element with nine tenths of the text.
+``main``, or else ``article`` with the elements around it that hold no side matter (menus, headers,
+footers, forms, notices), is the main slot; on hosts without, all that is left is taken in page order.
 
 A page's text is what stands in its main slot, by blocks: side matter inside is left out, character
 references are decoded, white space is one space inside a block, blocks join with one newline.
@@ -157,15 +158,16 @@ def pick(tokens: list[tuple[str, int, int, int, int, bool]], pages: int) -> tupl
     """The main slot, of a host's (token, pages with it, occurrences, hash sum, characters, side); an empty one is the whole page."""
     valid = [t for t in tokens if "\n" not in t[0] and t[1] >= SUPPORT * pages]
     once = [t for t in valid if not t[5] and t[2] <= 1.5 * t[1] and t[4] > 0]
-    for tag in ("article", "main"):
+    for tag in ("main", "article"):
         if named := [t for t in once if t[0].rsplit("/", 1)[-1].split(".")[0] == tag]:
-            best = max(named, key=lambda t: (t[4], t[0]))
-            return best[0], len(once)
-    if not once:
-        return None
-    most = max(t[4] for t in once)
-    best = max((t for t in once if t[4] >= 0.9 * most), key=lambda t: (t[0].count("/"), t[4], t[0]))
-    return best[0], len(once)
+            slot = max(named, key=lambda t: (t[4], t[0]))[0]
+            while tag == "article" and "/" in slot:
+                above = slot.rsplit("/", 1)[0]
+                if any(t[5] and t[0].startswith(above + "/") and not t[0].startswith(slot + "/") for t in valid):
+                    break
+                slot = above
+            return slot, len(once)
+    return ("", len(once)) if once else None
 
 
 def template_texts(tokens: list[tuple[str, int, int, int, int, bool]], pages: int) -> list[str]:

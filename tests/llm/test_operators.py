@@ -265,6 +265,20 @@ def test_html_main_text(spark):
     assert html_text.report(pages.limit(0)).count() == 0
 
 
+def test_html_template_text_goes_and_titles_stay(spark):
+    page = "<html><body><div class='x1'><a href='/'>Start</a><p>We use no cookies at all</p></div>%s<p>Same on every page</p></body></html>"
+    plain = "<div class='content'><h1>Title %d</h1><p>Lead %d</p><div class='body'><p>%s</p></div></div>"
+    rows = [(i, f"http://d.example/{i}", page % (plain % (i, i, words(300, i)))) for i in range(6)]
+    rows += [(20 + i, f"http://e.example/{i}", f"<body><nav>Menu</nav><main><h1>T{i}</h1><article><p>{words(50, i)}</p></article></main></body>") for i in range(3)]
+    rows += [(30, "http://f.example/", rows[0][2])] * 7
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(6):
+        assert got[i] == f"Title {i}\nLead {i}\n{words(300, i)}"
+    assert got[21] == f"T1\n{words(50, 1)}"
+    # copies of one page are no evidence of a template
+    assert got[30].startswith("Start\nWe use no") and got[30].endswith("Same on every page")
+
+
 def test_template_classes():
     tokens = [(t, 3, c, c, n, s) for t, (c, n, s) in html_text.slots(PAGE % "<main><p>text</p></main>").items()]
     assert html_text.pick(tokens, 3)[0] == "html/body/main"
