@@ -88,10 +88,10 @@ def largest_files(files: DataFrame, n: int = 200) -> DataFrame:
     return files.orderBy(F.desc("size"), "path").limit(n)
 
 
-def text_report(findings: DataFrame, verdicts: DataFrame, target: str, verbose: bool = False, most: int = 1000) -> str:
-    """Of one target, for reading; ``most`` bounds the findings that are fetched."""
+def text_report(findings: DataFrame, verdicts: DataFrame, target: str, verbose: bool = False) -> str:
+    """Of one target, for reading: all of its findings, put together on the driver."""
     v = verdicts.where(F.col("target_id") == target).first()
-    rows = titled(findings.where(F.col("target_id") == target)).orderBy(severity_rank(F.col("severity")).desc(), F.desc("rule_id"), F.desc("location")).limit(most).collect()
+    rows = titled(findings.where(F.col("target_id") == target)).orderBy(severity_rank(F.col("severity")).desc(), F.desc("rule_id"), F.desc("location")).collect()
     lines = [f"{target}: {v.verdict}, score {v.score} of 100", ""]
     for s in reversed(SEVERITIES):
         group = [r for r in rows if r.severity == s]
@@ -106,9 +106,10 @@ def text_report(findings: DataFrame, verdicts: DataFrame, target: str, verbose:
     return "\n".join(lines if rows else [*lines, "No findings."])
 
 
-def html_report(findings: DataFrame, files: DataFrame, verdicts: DataFrame, target: str, most: int = 1000) -> str:
+def html_report(findings: DataFrame, files: DataFrame, verdicts: DataFrame, target: str) -> str:
+    """The same as a page, with the largest files."""
     v = verdicts.where(F.col("target_id") == target).first()
-    rows = titled(findings.where(F.col("target_id") == target)).orderBy(severity_rank(F.col("severity")).desc(), F.desc("rule_id"), F.desc("location")).limit(most).collect()
+    rows = titled(findings.where(F.col("target_id") == target)).orderBy(severity_rank(F.col("severity")).desc(), F.desc("rule_id"), F.desc("location")).collect()
     esc = html.escape
     cards = "".join(f"<section class={r.severity.lower()!r}><h2>{esc(r.rule_id)} {esc(r.title)}</h2><p>{esc(r.location)}</p><p>{esc(r.detail or '')}</p><ul>{''.join(f'<li>{esc(e[:300])}</li>' for e in (r.evidence or [])[:6])}</ul></section>" for r in rows)
     table = "".join(f"<tr><td>{esc(f.path)}</td><td>{f.size}</td><td>{esc(f.format)}</td></tr>" for f in largest_files(files.where(F.col("target_id") == target)).collect())

@@ -81,6 +81,14 @@ def test_npy_header_is_searched_to_its_end(spark, tmp_path):
     assert {(r.location, r.rule_id) for r in union(tensors.npy_findings(rows)).collect()} == {("0", "NPY-001"), ("1", "NPY-000"), ("2", "NPY-000"), ("3", "NPY-000"), ("4", "NPY-001")}
 
 
+def test_reports_list_all_findings(spark):
+    found = spark.range(1500).select(F.lit("t").alias("target_id"), F.lit("PKL-001").alias("rule_id"), F.lit("HIGH").alias("severity"), F.format_string("f%05d", "id").alias("location"), F.lit("").alias("detail"), F.array().cast("array<string>").alias("evidence"))
+    verdicts = spark.createDataFrame([("t", "BLOCK", 100)], "target_id string, verdict string, score int")
+    files = spark.createDataFrame([("t", "f", 1, "pickle")], "target_id string, path string, size long, format string")
+    assert reports.text_report(found, verdicts, "t").count("[HIGH]") == 1500
+    assert reports.html_report(found, files, verdicts, "t").count("<section") == 1500
+
+
 def test_reports(golden):
     import json
 
