@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+#: Tables that :func:`written` made, by application.
+_WRITTEN: dict[str, set[str]] = {}
 
 
 #: Rows and bytes of text that a Python worker gets at once: texts are long, and a worker's memory is small.
@@ -33,11 +35,13 @@ def small_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (a local session, as in tests) a temporary folder of this process
-    is made and set as the session's checkpoint directory."""
+    Only a local session (as in tests) may leave it unset: a temporary folder of this process is
+    made and set as the session's checkpoint directory. On a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="cargolens-")
@@ -55,28 +59,37 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, set()).add(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def remove(df: DataFrame) -> None:
     """Delete the files of a table that :func:`written` made and that no plan reads any more."""
     spark = df.sparkSession
-    files = df.inputFiles()
-    if not files:
-        return
-    folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-    if not str(folder).startswith(shared_dir(spark).split(":")[0]):
-        return
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    known = _WRITTEN.get(spark.sparkContext.applicationId, set())
+    names = {f.rsplit("/", 2)[-2] for f in df.inputFiles()}
+    for path in [p for p in known if p.rsplit("/", 1)[-1] in names]:
+        _delete(spark, path)
+        known.discard(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this session's operators wrote; call it once their results are stored elsewhere."""
+    for path in _WRITTEN.pop(spark.sparkContext.applicationId, set()):
+        _delete(spark, path)
 
 
 #: Bits of a key filter: 16 for each key, 32 MB at most. A full filter only lets more rows through.
 KEY_BITS, MOST_BITS = 16, 1 << 28
 
 
-def key_filter(keys: DataFrame):
-    """A broadcast bitmap of the column ``_k`` (long), as a function of such a column: true for each of
-    the keys and for few others. It spares rows that can't match the shuffle of a join."""
+def key_bitmap(keys: DataFrame):
+    """A broadcast bitmap of the column ``_k`` (long), as a function of an array of such keys, for tasks."""
     bits = min(1 << max(KEY_BITS * keys.count(), 1 << 16).bit_length(), MOST_BITS)
     at = f"(_k & {bits - 1}L)"
     words = keys.groupBy(F.expr(f"shiftright({at}, 6)").alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, int({at} & 63L)))").alias("b")).toArrow()
@@ -84,10 +97,21 @@ def key_filter(keys: DataFrame):
     bitmap[words["w"].to_numpy()] = words["b"].to_numpy()
     shared = keys.sparkSession.sparkContext.broadcast(bitmap)
 
+    def may_match(k: np.ndarray) -> np.ndarray:
+        k = k & np.int64(bits - 1)
+        return (shared.value[k >> 6] >> (k & 63)) & 1 == 1
+
+    return may_match
+
+
+def key_filter(keys: DataFrame):
+    """The same as a function of a column: true for each of the keys and for few others. It spares rows
+    that can't match the shuffle of a join."""
+    test = key_bitmap(keys)
+
     @F.pandas_udf("boolean")
     def may_match(k: pd.Series) -> pd.Series:
-        k = k.to_numpy(np.int64) & np.int64(bits - 1)
-        return pd.Series((shared.value[k >> 6] >> (k & 63)) & 1 == 1)
+        return pd.Series(test(k.to_numpy(np.int64)))
 
     return may_match
 

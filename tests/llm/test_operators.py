@@ -219,7 +219,7 @@ def test_mixing_edges(spark, docs):
 # --- decontamination -------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("bound", [decontaminate.BROADCAST_CHARS, 0])
+@pytest.mark.parametrize("bound", [decontaminate.BROADCAST_WINDOWS, 0])
 def test_decontamination_equals_brute_force(spark, docs, bound):
     shared = words(14, 77)
     more = [(100, f"a {shared.upper()}! b"), (101, shared[: len(shared) // 2]), (102, f"x {shared} y {shared}"), (103, words(40, 78)), (104, "tiny item"), (105, None)]
@@ -233,6 +233,13 @@ def test_decontamination_equals_brute_force(spark, docs, bound):
     assert got == want
     assert {r.doc_id: list(r.spans) for r in out}[102] == [1, 15, 16, 30]
     assert decontaminate.contamination(none(d), b, 10, bound).count() == 0
+    assert decontaminate.contamination(d, b.limit(0), 10, bound).where("n_hit <> 0 or size(items) > 0").count() == 0
+    # columns of any name stay, copies are met one by one, a long text is scanned to its end
+    long = words(30_000, 79) + " " + shared
+    more = spark.createDataFrame([(1, long, "a"), (1, long, "b"), (2, shared, "c"), (2, shared, "c"), (3, None, "d")], "doc_id long, text string, _k string").withColumn("items", F.lit(1)).withColumn("h", F.lit(2))
+    found = decontaminate.contamination(more, b, 10, bound)
+    assert found.columns == ["doc_id", "text", "_k", "h", "n_words", "n_hit", "items", "spans"]
+    assert sorted((r.doc_id, r["_k"], r.n_words, r.n_hit) for r in found.collect()) == [(1, "a", 30_014, 14), (1, "b", 30_014, 14), (2, "c", 14, 14), (2, "c", 14, 14), (3, "d", 0, 0)]
 
 
 def test_removed_documents_and_spans(spark):
