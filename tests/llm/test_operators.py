@@ -192,19 +192,36 @@ def test_mixing_meets_targets(spark):
     assert abs(n["fr"] / (n["en"] + n["fr"]) - 0.5) < 0.05
 
 
-def test_projected_steps_equal_numpy(spark):
+@pytest.mark.parametrize("targets", [(0.9, 0.08, 0.02), (0.34, 0.33, 0.33), (0.02, 0.96, 0.02)])
+def test_projected_fit_meets_targets_and_optimality(spark, targets):
+    """Rates by numpy from the fit's pull, the totals they give, and the conditions of the optimum."""
     rng = np.random.default_rng(1)
     p = rng.dirichlet([0.4] * 3, 300)
     n = rng.integers(0, 50, 300)
     df = spark.createDataFrame([(i, {"n": int(n[i]), "p": p[i].tolist()}) for i in range(300)], "doc_id long, _m struct<n:bigint,p:array<double>>")
-    steps = mixing.fit_rates(df, ["a", "b", "c"], {"a": 0.9, "b": 0.08, "c": 0.02})
-    r = np.ones(300)
-    for s in steps:
-        r = np.maximum(0, r - p @ np.array(s))
-    got = np.array([x.r for x in df.withColumn("r", mixing.rate(steps)).orderBy("doc_id").collect()])
-    assert np.allclose(got, r) and len(steps) > 1
+    pull = mixing.fit_rates(df, ["a", "b", "c"], dict(zip("abc", targets, strict=True)))
+    r = np.maximum(0, 1 - p @ np.array(pull))
+    got = np.array([x.r for x in df.withColumn("r", mixing.rate(pull)).orderBy("doc_id").collect()])
+    assert np.allclose(got, r)
     t = (r * n) @ p
-    assert np.abs(t / n.sum() - [0.9, 0.08, 0.02]).max() < 0.02
+    assert np.abs(t / n.sum() - targets).max() < 1e-4
+    # of all rates with these totals, none near by is nearer to 1
+    a = (n[:, None] * p).T
+    for seed in range(50):
+        d = np.random.default_rng(seed).normal(size=300) * (r > 0)
+        d -= a.T @ np.linalg.lstsq(a @ a.T, a @ d, rcond=None)[0] * (r > 0)
+        d = d - np.linalg.pinv(a * (r > 0)) @ (a @ d)
+        step = 1e-3 * min(1.0, (r[d < 0] / -d[d < 0]).min(initial=1.0))
+        assert (n * (r + step * d - 1) ** 2).sum() >= (n * (r - 1) ** 2).sum() - 1e-4
+
+
+def test_mixing_of_targets_beyond_reach_ends_near_them(spark):
+    """No document is all of one domain, so the share stays below 1."""
+    df = spark.createDataFrame([(i, {"n": 10, "p": [0.6, 0.4] if i % 2 else [0.3, 0.7]}) for i in range(40)], "doc_id long, _m struct<n:bigint,p:array<double>>")
+    pull = mixing.fit_rates(df, ["a", "b"], {"a": 1.0, "b": 0.0})
+    r = {i: x.r for i, x in enumerate(df.withColumn("r", mixing.rate(pull)).orderBy("doc_id").collect())}
+    # least squares over rates a of [.6, .4] and none of the rest: totals 120 a and 80 a against 400 and 0
+    assert r[0] == 0 and abs(200 * r[1] - 200 * 400 * 120 / (120**2 + 80**2)) < 1
 
 
 def test_mixing_edges(spark, docs):
