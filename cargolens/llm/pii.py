@@ -4,11 +4,14 @@ Base matches are leftmost and not overlapping for each kind and then validated (
 255, 16 to 19 digits that pass Luhn, 8 to 15 digits); one that fails is dropped. The CRF labels the
 words of each line (O or one of the kinds) from shape features of the word and its neighbours. It is
 trained by maximum likelihood on ``labelled_table()``, a few hundred short labelled sentences made by
-rule, and decoded by Viterbi in numpy over batches of lines of like length; lines without a digit or
-an at sign, which no valid span lacks, are not decoded. Its spans are trimmed of
+rule, and decoded by Viterbi in numpy. A word that prefers O by more than any transitions can win
+back is O on every best path, so lines are cut there and only the pieces between are searched, in batches
+of bounded size; lines without a digit or an at sign, which no valid span lacks, are not decoded. Memory
+is in proportion to the longest line, about 200 bytes a word. Its spans are trimmed of
 surrounding punctuation, validated as above and added where they touch no base span; base spans stay.
 
-Offsets are code points. Null and empty texts have no span; repeated rows give the same row again; an
+Offsets are code points. Null and empty texts have no span; of two labels with equal scores the first
+listed wins; repeated rows give the same row again; an
 empty table gives no rows; extra columns stay in :func:`scan`, and ``base``, ``added`` are replaced."""
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DIGIT = re.compile("[0-9]")
 _HINT = re.compile("[0-9@]")
+#: Words that are decoded at once, and words of the parts that a long line is cut into.
+CELLS, SPAN = 100_000, 512
 SPANS = "struct<base:array<struct<kind:int,start:int,end:int>>,added:array<struct<kind:int,start:int,end:int>>>"
 
 
@@ -223,42 +228,99 @@ class Field:
             forms.append(np.array(ids, np.int64))
         self.settle()
         out: list[np.ndarray] = [np.zeros(len(x), np.int8) for x in forms]
-        # A line whose every word prefers O by more than any transitions can win back needs no search.
-        slack = 2 * (self.moves.max() - self.moves.min()) + np.abs(self.ends).max() * 2
-        best = [self.scores[j] for j in range(3)]
-        margin = [b[:, 0] - b[:, 1:].max(1) for b in best] if len(self.forms) else [np.zeros(0)] * 3
-        hard = []
+        if not self.scores.shape[1]:
+            return out
+        # A word that prefers O by more than any transitions can win back is O on every best path: lines are cut there.
+        reach = np.concatenate([self.moves.ravel(), self.ends])
+        slack = 2 * (reach.max() - reach.min())
+        pieces: list[tuple[int, int, int]] = []
         for i, x in enumerate(forms):
-            m = margin[0][x].copy()
-            m[1:] += margin[1][x[:-1]]
-            m[:-1] += margin[2][x[1:]]
-            if len(x) and m.min() <= slack:
-                hard.append(i)
-        hard.sort(key=lambda i: len(forms[i]))
-        for k in range(0, len(hard), 256):
-            group = hard[k : k + 256]
-            length = len(forms[group[-1]])
-            e = np.zeros((len(group), length, 5))
-            mask = np.zeros((len(group), length), bool)
-            for r, i in enumerate(group):
-                x = forms[i]
-                e[r, : len(x)] = best[0][x]
-                e[r, 1 : len(x)] += best[1][x[:-1]]
-                e[r, : len(x) - 1] += best[2][x[1:]]
-                mask[r, : len(x)] = True
-            score, back = e[:, 0] + self.ends, np.zeros((length, len(group), 5), np.int8)
-            for t in range(1, length):
-                cand = score[:, :, None] + self.moves
-                back[t] = np.where(mask[:, t, None], cand.argmax(1), np.arange(5))
-                score = np.where(mask[:, t, None], cand.max(1) + e[:, t], score)
-            path = score.argmax(1)
-            for t in range(length - 1, -1, -1):
-                for r in np.flatnonzero(path) if path.any() else ():
-                    if mask[r, t]:
-                        out[group[r]][t] = path[r]
-                path = back[t][np.arange(len(group)), path] if t else path
+            e = self._emissions(x, 0, len(x))
+            open_ = np.concatenate(([0], (e[:, 0] - e[:, 1:].max(1) <= slack) if len(x) else [], [0])).astype(np.int8)
+            edge = np.flatnonzero(np.diff(open_))
+            pieces += [(i, a, b) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
+        pieces.sort(key=lambda p: p[2] - p[1])
+        while pieces and pieces[-1][2] - pieces[-1][1] > 4 * SPAN:
+            self._decode_long(forms, *pieces.pop(), out)
+        k = 0
+        while k < len(pieces):
+            # pieces of like length together, their cells bounded; one longer piece goes alone
+            end = k + 1
+            while end < len(pieces) and (end + 1 - k) * (pieces[end][2] - pieces[end][1]) <= CELLS:
+                end += 1
+            self._decode(forms, pieces[k:end], out)
+            k = end
         return out
 
+    def _emissions(self, x: np.ndarray, a: int, b: int) -> np.ndarray:
+        """Scores of the labels of words ``a`` to ``b`` of a line's forms, from the words and their neighbours."""
+        e = self.scores[0][x[a:b]].copy()
+        lo, hi = max(a, 1), min(b, len(x) - 1)
+        e[lo - a :] += self.scores[1][x[lo - 1 : b - 1]]
+        if hi > a:
+            e[: hi - a] += self.scores[2][x[a + 1 : hi + 1]]
+        return e
+
+    def _decode_long(self, forms: list[np.ndarray], i: int, a: int, b: int, out: list[np.ndarray]) -> None:
+        """The same for one long piece: its spans side by side, each from every label before it, then joined."""
+        x = forms[i]
+        e = self._emissions(x, a, b)
+        e[0] += self.moves[0] if a else self.ends
+        if b < len(x):
+            e[-1] += self.moves[:, 0]
+        n = -(-len(e) // SPAN)
+        pad = n * SPAN - len(e)
+        # words that aren't there take label O at no cost
+        filler = np.full((pad, 5), -np.inf)
+        filler[:, 0] = 0
+        free = np.full(pad, True)
+        e, over = np.concatenate([e, filler]).reshape(n, SPAN, 5), np.concatenate([np.full(len(e), False), free]).reshape(n, SPAN)
+        score = e[:, 0][:, None, :] + self.moves[None]
+        score[0] = e[0, 0]
+        score[over[:, 0]] = np.where(np.arange(5) == 0, 0.0, -np.inf)
+        back = np.zeros((SPAN, n, 5, 5), np.int8)
+        for t in range(1, SPAN):
+            moves = np.where(over[:, t, None, None], 0.0, self.moves)
+            cand = score[:, :, :, None] + moves[:, None]
+            back[t] = cand.argmax(2)
+            score = cand.max(2) + e[:, t][:, None, :]
+        best, before = score[0, 0], np.zeros((n, 5), np.int8)
+        for k in range(1, n):
+            cand = best[:, None] + score[k]
+            before[k], best = cand.argmax(0), cand.max(0)
+        last, first = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        last[-1] = best.argmax()
+        for k in range(n - 1, 0, -1):
+            first[k] = before[k, last[k]]
+            last[k - 1] = first[k]
+        path, found = last, np.zeros((n, SPAN), np.int8)
+        for t in range(SPAN - 1, -1, -1):
+            found[:, t] = path
+            path = back[t][np.arange(n), first, path] if t else path
+        out[i][a:b] = found.ravel()[: b - a]
+
+    def _decode(self, forms: list[np.ndarray], pieces: list[tuple[int, int, int]], out: list[np.ndarray]) -> None:
+        """Viterbi over pieces that stand between words labelled O, or a line's ends."""
+        rows, length = len(pieces), max(b - a for _, a, b in pieces)
+        e, size = np.zeros((rows, length, 5)), np.array([b - a for _, a, b in pieces])
+        for r, (i, a, b) in enumerate(pieces):
+            e[r, : b - a] = self._emissions(forms[i], a, b)
+            e[r, 0] += self.moves[0] if a else self.ends
+            if b < len(forms[i]):
+                e[r, b - a - 1] += self.moves[:, 0]
+        score, back = e[:, 0], np.zeros((length, rows, 5), np.int8)
+        for t in range(1, length):
+            cand = score[:, :, None] + self.moves
+            on = (t < size)[:, None]
+            back[t] = np.where(on, cand.argmax(1), np.arange(5))
+            score = np.where(on, cand.max(1) + e[:, t], score)
+        path, best = score.argmax(1), np.zeros((length, rows), np.int8)
+        for t in range(length - 1, -1, -1):
+            best[t] = path
+            path = back[t][np.arange(rows), path] if t else path
+        for r, (i, a, b) in enumerate(pieces):
+            out[i][a:b] = best[: b - a, r]
+
 
 def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     m = x.max(axis, keepdims=True)
@@ -268,9 +330,18 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
 _TRIM = "!?.,;:\"'$#*&%|<>[]{}"
 
 
-def field_spans(text: str, line_at: int, words: list[str], labels: np.ndarray, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Valid trimmed spans of a line's labelled words that touch no base span. line_at: where the line starts in the text."""
+def _reach(base: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of spans in order, and the furthest end of all spans up to each."""
+    at = sorted((a, b) for _, a, b in base)
+    return np.array([a for a, _ in at], np.int64), np.maximum.accumulate(np.array([b for _, b in at], np.int64)) if at else np.zeros(0, np.int64)
+
+
+def field_spans(text: str, line_at: int, words: list[str], labels: np.ndarray, base: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int, int]]:
+    """Valid trimmed spans of a line's labelled words that touch no base span. line_at: where the line starts in the text; base: ``_reach``."""
+    if not labels.any():
+        return []
     out, at, places = [], line_at, []
+    starts, ends = base
     for w in words:
         at = text.index(w, at)
         places.append((at, at + len(w)))
@@ -284,7 +355,8 @@ def field_spans(text: str, line_at: int, words: list[str], labels: np.ndarray, b
             a, b = places[i][0], places[j - 1][1]
             s = text[a:b]
             a, b = a + len(s) - len(s.lstrip(_TRIM)), b - (len(s) - len(s.rstrip(_TRIM)))
-            if a < b and valid(labels[i] - 1, text[a:b]) and not any(x < b and y > a for _, x, y in base):
+            before = int(np.searchsorted(starts, b))
+            if a < b and valid(labels[i] - 1, text[a:b]) and not (before and ends[before - 1] > a):
                 out.append((int(labels[i]) - 1, a, b))
         i = j
     return out
@@ -308,9 +380,12 @@ def find(texts: list[str], field: Field) -> list[tuple[list, list]]:
                 whose.append((d, at))
             at += len(line) + 1
     out: list[tuple[list, list]] = [(base_spans(t), []) for t in texts]
+    last, base = -1, None
     for ws, (d, at), labels in zip(lines, whose, field.label(lines), strict=True):
         if labels.any():
-            out[d][1].extend(field_spans(texts[d], at, ws, labels, out[d][0]))
+            if d != last:
+                last, base = d, _reach(out[d][0])
+            out[d][1].extend(field_spans(texts[d], at, ws, labels, base))
     return out
 
 

@@ -414,11 +414,54 @@ def test_pii_field_and_edges(spark, docs):
     assert (3, PII.index("+1"), PII.index("+1") + 17) in added and not set(base) & set(added)
     d = spark.createDataFrame([(1, PII), (2, None), (3, "")], "doc_id long, text string")
     got = by_id(pii.report(d))
-    assert (got[1].n_email, got[1].n_ip, got[1].n_card, got[1].n_phone) == (3, 2, 1, 0) and got[2].spans == got[3].spans == ""
+    # by the contract's patterns: a@b has no dot; three addresses are valid; +1 (017)'s match runs on into an address and has too many digits
+    assert (got[1].n_email, got[1].n_ip, got[1].n_card, got[1].n_phone) == (2, 3, 1, 0) and got[2].spans == got[3].spans == ""
     assert "<card>" in by_id(pii.redact(d, field))[1].text
     assert pii.report(docs).count() == docs.count() and pii.report(none(docs)).count() == 0
 
 
+def test_pii_of_very_long_lines_in_bounded_memory(monkeypatch):
+    """A line of 300,000 words with digits beside short ones; parts decoded side by side give the labels of one pass."""
+    import tracemalloc
+
+    field = pii.trained()
+    plain = ["word12"] * 300_000
+    plain[200_000] = "mail@host.example.org"
+    texts = [" ".join(plain), *["call +1 (017) 555-7713 now"] * 199]
+    tracemalloc.start()
+    found = pii.find(texts, field)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400_000_000 and found[0][0] == [(0, 1_400_000, 1_400_021)] and all(f[0] == [(3, 5, 22)] for f in found[1:])
+    long = [w for ws, _ in pii.labelled_table(900, seed=3) for w in ws]
+    assert len(long) > 5000
+    monkeypatch.setattr(pii, "SPAN", 64)
+    by_parts = field.label([long, ["12"] * 3001])
+    monkeypatch.setattr(pii, "SPAN", 1 << 20)
+    for x, y in zip(by_parts, field.label([long, ["12"] * 3001]), strict=True):
+        assert (x == y).all()
+
+
+def test_cut_lines_decode_like_whole_ones():
+    """Labels of lines by plain Viterbi over all words."""
+    field = pii.trained()
+    lines = [ws for ws, _ in pii.labelled_table(120, seed=5)] + [[], ["word"], ["4111"] * 7]
+    got = field.label(lines)
+    s = field.scores
+    for ws, labels in zip(lines, got, strict=True):
+        ids = [field.ids[w] for w in ws]
+        e = np.array([s[0][x] + (s[1][ids[t - 1]] if t else 0) + (s[2][ids[t + 1]] if t + 1 < len(ids) else 0) for t, x in enumerate(ids)]).reshape(-1, 5)
+        score, back = (e[0] + field.ends if len(ws) else np.zeros(5)), []
+        for x in e[1:]:
+            cand = score[:, None] + field.moves
+            back.append(cand.argmax(0))
+            score = cand.max(0) + x
+        path = [int(score.argmax())] if len(ws) else []
+        for b in back[::-1]:
+            path.append(int(b[path[-1]]))
+        assert labels.tolist() == path[::-1]
+
+
 def test_viterbi_is_best_path():
     field = pii.trained()
     line = ["x", "+1", "(017)", "555-7713", "4111"]
