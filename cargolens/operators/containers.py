@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import bz2
-import io
 import lzma
 import tarfile
 import zipfile
 import zlib
+from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import knowledge as K
@@ -24,13 +25,13 @@ def _kind(data: bytes) -> str | None:
     return "npy" if data[:6] == _NUMPY else "pickle" if data[:1] == b"\x80" else None
 
 
-def zip_members(data: bytes, only_npy: bool = False) -> list[dict]:
-    """Rows of an archive; one row with only ``error`` if it can't be opened."""
+def zip_members(file: BinaryIO, only_npy: bool = False) -> Iterator[dict]:
+    """Rows of an archive, one member at a time; one row with only ``error`` if it can't be opened."""
     try:
-        archive = zipfile.ZipFile(io.BytesIO(data))
+        archive = zipfile.ZipFile(file)
     except Exception as e:
-        return [{"error": f"container: {e}"}]
-    out = []
+        yield {"error": f"container: {e}"}
+        return
     with archive:
         for i, info in enumerate(archive.infolist()):
             name = info.filename
@@ -47,14 +48,26 @@ def zip_members(data: bytes, only_npy: bool = False) -> list[dict]:
                     row["content"] = blob if row["kind"] else None
                 except Exception as e:
                     row["error"] = str(e)[:500] or type(e).__name__
-            out.append(row)
-    return out
+            yield row
 
 
-def tar_members(data: bytes) -> list[dict]:
-    out = []
+def is_tar(file: BinaryIO) -> bool:
+    """Whether the tar reader takes a file, headers without the ustar mark included."""
     try:
-        with tarfile.open(fileobj=io.BytesIO(data), mode="r:*") as archive:
+        return tarfile.is_tarfile(file)
+    except Exception:
+        return False
+
+
+def may_be_tar(head: Column) -> Column:
+    """True for every file that :func:`is_tar` takes, and for few others: the checksum of an old header is octal digits; or all is zero; or it is an lzma stream."""
+    sums = F.decode(F.substring(head, 149, 8), "ISO-8859-1")
+    return F.coalesce((F.length(head) >= 512) & sums.rlike(r"^[0-7 \x00]{8}$") | (F.hex(F.substring(head, 1, 3)) == "5D0000"), F.lit(False))
+
+
+def tar_members(file: BinaryIO) -> Iterator[dict]:
+    try:
+        with tarfile.open(fileobj=file, mode="r:*") as archive:
             for i, m in enumerate(archive):
                 row = {"ord": i, "member": m.name, "is_dir": not m.isfile(), "size": m.size, "mode": m.mode or 0}
                 if m.isfile() and m.size <= K.MEMBER_LIMIT:
@@ -64,29 +77,28 @@ def tar_members(data: bytes) -> list[dict]:
                         row["content"] = blob if row["kind"] else None
                     except Exception as e:
                         row["error"] = str(e)[:500] or type(e).__name__
-                out.append(row)
+                yield row
     except tarfile.TarError as e:
-        out.append({"error": f"container: {e}"})
-    return out
+        yield {"error": f"container: {e}"}
 
 
 def bounded_inflate(data: bytes, codec: str, limit: int) -> tuple[bytes | None, int, str | None]:
     """(bytes, their number, error). At most ``limit`` + 1 bytes are made, so a bomb costs no more."""
     try:
-        if codec == "gzip":
+        if codec in ("gzip", "bzip2", "xz"):
+            # streams may be joined; zero bytes between gzip streams, and anything behind the others, are no data
             out, left = b"", data
             while left and len(out) <= limit:
-                d = zlib.decompressobj(31)
-                out += d.decompress(left, limit + 1 - len(out))
+                d = {"gzip": lambda: zlib.decompressobj(31), "bzip2": bz2.BZ2Decompressor, "xz": lzma.LZMADecompressor}[codec]()
+                try:
+                    out += d.decompress(left, limit + 1 - len(out))
+                except (OSError, lzma.LZMAError):
+                    if not out:
+                        raise
+                    break
                 if not d.eof and len(out) <= limit:
                     raise EOFError("compressed stream ends early")
-                left = d.unused_data.lstrip(b"\0")
-            return out, len(out), None
-        if codec in ("bzip2", "xz"):
-            d = bz2.BZ2Decompressor() if codec == "bzip2" else lzma.LZMADecompressor()
-            out = d.decompress(data, limit + 1)
-            if not d.eof and len(out) <= limit:
-                raise EOFError("compressed stream ends early")
+                left = d.unused_data.lstrip(b"\0") if codec == "gzip" else d.unused_data
             return out, len(out), None
         if codec == "zstd":
             import zstandard
@@ -99,18 +111,18 @@ def bounded_inflate(data: bytes, codec: str, limit: int) -> tuple[bytes | None,
     return None, 0, f"no codec {codec}"
 
 
-def stream_row(fmt: str, data: bytes, zstd: bool = False) -> tuple[dict, bytes | None]:
-    """What a compressed file holds, and its bytes where they are looked into.
+def stream_row(fmt: str, n: int, whole: Callable[[], bytes], zstd: bool = False) -> tuple[dict, bytes | None]:
+    """What a compressed file of ``n`` bytes holds, and its bytes where they are looked into.
 
     zstd streams are reported as unsupported unless ``zstd``, as scanners without that codec do."""
     limit = K.DECOMPRESSED_LIMIT
-    n, raw, size, error, inner = len(data), None, 0, None, None
+    raw, size, error, inner = None, 0, None, None
     if n > limit:
         outcome = "too-big"
     elif fmt == "zstd" and not zstd:
         outcome = "unsupported"
     else:
-        raw, size, error = bounded_inflate(data, fmt, limit)
+        raw, size, error = bounded_inflate(whole(), fmt, limit)
         outcome = "error" if error else "bomb" if size / max(n, 1) > K.RATIO_LIMIT else "too-big-inside" if size > limit else "ok"
     if outcome == "ok":
         inner = _kind(raw) or ("zip" if raw[:2] == b"PK" else "tar" if raw[257:262] == b"ustar" else "other")

@@ -107,12 +107,6 @@ def _utf8(data: pd.Series) -> pd.Series:
     return data.map(lambda b: bytes(b).decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n"), na_action="ignore")
 
 
-def config_findings(files: DataFrame) -> list[DataFrame]:
-    """CFG-000 to 003 over files named config.json."""
-    at = files.where("name = 'config.json' and format not in ('gzip', 'bzip2', 'xz', 'zstd', 'tar')").withColumn("x", config_facts(as_text(F.col("content"))))
-    return config_rules(at.withColumn("location", F.col("path")))
-
-
 def config_rules(at: DataFrame) -> list[DataFrame]:
     """at: location and ``x``, the facts of a config."""
     urls = [rule("CFG-003", F.array_contains("x.urls", k), "MEDIUM", "metadata", "medium", k) for k in ("quantization_config", "auto_map", "architectures")]
@@ -191,22 +185,17 @@ def keras_findings(at: DataFrame) -> list[DataFrame]:
     ]
 
 
-def index_drift(files: DataFrame) -> list[DataFrame]:
-    """REPO-007, an extension that is off by default: shards that an index file names and the directory lacks."""
-
-    @F.pandas_udf("array<string>")
-    def shards(texts: pd.Series) -> pd.Series:
-        def of(t: str) -> list[str]:
-            try:
-                return sorted(set(json.loads(t)["weight_map"].values()))
-            except Exception:
-                return []
+def index_row(x: object) -> dict:
+    """Shards that an index names."""
+    named = x.get("weight_map") if isinstance(x, dict) else None
+    return {"shards": sorted({str(v) for v in named.values()}) if isinstance(named, dict) else []}
 
-        return texts.map(of)
 
-    named = files.where("is_repo and name like '%.index.json'").select("target_id", F.col("path").alias("location"), F.explode(shards(as_text(F.col("content")))).alias("shard"))
+def index_drift(indexes: DataFrame, files: DataFrame) -> DataFrame:
+    """REPO-007, an extension that is off by default: shards that an index file names and the directory lacks. indexes: facts; files: target_id, path."""
+    named = indexes.select("target_id", "location", F.explode("shards").alias("shard"))
     here = files.select("target_id", base_name(F.col("path")).alias("shard")).distinct()
-    return [emit(named.join(here, ["target_id", "shard"], "left_anti"), rule("REPO-007", F.lit(True), "MEDIUM", "integrity", detail=F.col("shard")))]
+    return emit(named.join(here, ["target_id", "shard"], "left_anti"), rule("REPO-007", F.lit(True), "MEDIUM", "integrity", detail=F.col("shard")))
 
 
 def leaf_rows(docs: DataFrame) -> DataFrame:

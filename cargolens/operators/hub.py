@@ -70,11 +70,13 @@ def listing_findings(repos: DataFrame, configs: DataFrame | None = None) -> Data
     return union(out)
 
 
-def manifest_drift(local: DataFrame, repos: DataFrame, evidence: int = 12) -> DataFrame:
-    """PRV-007: local files that the repository's listing has under neither their path nor their name. local: target_id, path, with target_id the repository's id."""
-    remote = repos.select(F.col("id").alias("target_id"), F.explode("siblings").alias("s")).select("target_id", F.col("s.rfilename").alias("listed")).distinct()
+def manifest_drift(local: DataFrame, repos: DataFrame, evidence: int = 12, ids: DataFrame | None = None) -> DataFrame:
+    """PRV-007: local files that the repository's listing has under neither their path nor their name. local: target_id,
+    path; ids: target_id and the repository's id, by default the same. A repository without a listing says nothing."""
+    known = (ids if ids is not None else repos.select(F.col("id").alias("target_id"), "id")).distinct()
+    remote = known.join(repos.where("size(siblings) > 0"), "id").select("target_id", F.explode("siblings").alias("s")).select("target_id", F.col("s.rfilename").alias("listed")).distinct()
     name = base_name(F.col("path"))
-    ours = local.join(repos.select(F.col("id").alias("target_id")).distinct(), "target_id", "left_semi").where(~name.isin(*K.UNLISTED_FILES)).withColumn("name", name)
+    ours = local.select("target_id", "path").join(remote.select("target_id").distinct(), "target_id", "left_semi").where(~name.isin(*K.UNLISTED_FILES)).withColumn("name", name)
     by_path = ours.join(remote.withColumnRenamed("listed", "path"), ["target_id", "path"], "left_anti")
     gone = by_path.join(remote.withColumnRenamed("listed", "name"), ["target_id", "name"], "left_anti")
     per = gone.groupBy("target_id").agg(F.min("path").alias("location"), F.slice(F.array_sort(F.collect_set("path")), 1, evidence).alias("paths"))

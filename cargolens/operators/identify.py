@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import knowledge as K
+from ..functions.blob import Blob
 from ..functions.content import little_endian
 from ..model import emit, fixed, rule
+from .containers import is_tar, may_be_tar
 
 _PROBE = 4 << 20
 
@@ -52,8 +54,24 @@ def parses_to_stop(data: bytes) -> bool:
     return False
 
 
-def _trial(content: pd.Series) -> pd.Series:
-    return content.map(lambda b: b is not None and parses_to_stop(bytes(b)))
+def _trials(old: pd.Series, tar: pd.Series, content: pd.Series, uri: pd.Series, size: pd.Series) -> pd.DataFrame:
+    """Whether artifacts parse as old pickles, and whether the tar reader takes them, for those that are asked."""
+
+    def one(o: bool, t: bool, c: bytes | None, u: bytes | None, n: float) -> tuple[bool, bool]:
+        if not (o or t) or c is None:
+            return False, False
+        try:
+            blob = Blob(bytes(c), None if u is None else bytes(u), None if n != n else int(n))
+        except OSError:
+            return False, False
+        try:
+            return bool(o) and parses_to_stop(blob.read(0, _PROBE)), bool(t) and is_tar(blob.open())
+        except OSError:
+            return False, False
+        finally:
+            blob.close()
+
+    return pd.DataFrame([one(*x) for x in zip(old, tar, content, uri, size, strict=True)], columns=["old", "tar"])
 
 
 def _by_content(data: Column, ext: Column, m: Column) -> Column:
@@ -86,14 +104,20 @@ def _by_name(name: Column, ext: Column) -> Column:
 
 
 def identify(artifacts: DataFrame) -> DataFrame:
-    """``artifacts`` with ``format``. Only files that a native test lets through are parsed on trial;
-    of all others the trial gets a null in place of the content."""
+    """``artifacts`` with ``format``, and ``is_tar`` for files that the tar reader takes, whatever their format.
+
+    Where content is the head of a file (``uri``), it must hold 512 bytes at least. Only files that a native
+    test lets through are tried; of all others the trial gets nulls, which spares a second scan of the source."""
     content, ext = F.coalesce("content", F.lit(b"")), F.col("ext")
     sniffed = fixed(artifacts, _magic=magic(content))
-    sniffed = fixed(sniffed, _known=_by_content(content, ext, F.col("_magic")), _named=_by_name(F.col("name"), ext))
-    unsure = F.col("_known").isNull() & may_be_old_pickle(content)
-    tried = F.pandas_udf(_trial, "boolean")(F.when(unsure, content))
-    return fixed(sniffed.withColumn("_tried", tried), format=F.coalesce("_known", F.when(F.col("_tried"), "pickle"), "_named")).drop("_magic", "_known", "_named", "_tried")
+    sniffed = fixed(sniffed, _known=_by_content(content, ext, F.col("_magic")), _named=_by_name(F.col("name"), ext), _tar=may_be_tar(content))
+    packed = F.coalesce("_known", F.lit("")).isin("gzip", "bzip2", "xz", "zstd")
+    sniffed = fixed(sniffed, _old=F.col("_known").isNull() & may_be_old_pickle(content), _tar=F.col("_tar") & ~packed)
+    asked = F.col("_old") | F.col("_tar")
+    tried = F.pandas_udf(_trials, "struct<old:boolean,tar:boolean>")("_old", "_tar", *[F.when(asked, F.col(c)) for c in ("content", "uri", "size")])
+    out = sniffed.withColumn("_tried", tried)
+    out = fixed(out, format=F.coalesce("_known", F.when(F.col("_tried.old"), "pickle"), "_named"), is_tar=F.col("_tried.tar"))
+    return out.withColumn("is_tar", F.col("is_tar") | (F.col("format") == "tar")).drop("_magic", "_known", "_named", "_tar", "_old", "_tried")
 
 
 def format_of_name(name: Column, ext: Column) -> Column:
@@ -103,7 +127,7 @@ def format_of_name(name: Column, ext: Column) -> Column:
 
 def findings(files: DataFrame) -> list[DataFrame]:
     """FILE-001, FILE-002, LFS-001. files: identified artifacts; compressed and tar files are left out."""
-    plain = files.where(~F.col("format").isin("gzip", "bzip2", "xz", "zstd", "tar"))
+    plain = files.where(~F.col("format").isin("gzip", "bzip2", "xz", "zstd") & ~F.col("is_tar"))
     fmt = F.col("format")
     expected = F.create_map(*[x for k, v in K.EXPECTED_FORMATS.items() for x in (F.lit(k), F.array(*[F.lit(f) for f in v]))])
     wrong = F.col("ext").isin(*K.EXPECTED_FORMATS) & (fmt != "unknown") & ~F.array_contains(expected[F.col("ext")], fmt)

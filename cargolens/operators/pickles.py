@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import pickletools
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,29 +15,33 @@ from .. import knowledge as K
 from ..model import emit, rule
 
 FACTS = (
-    "protocol int, n_opcodes int, calls array<string>, exts array<string>, strings array<string>, error string, stop_pos int, trailing int, "
-    "imports array<struct<ord:int,module:string,attr:string,pos:int>>, ops array<struct<ord:int,opcode:string,arg:string,pos:int>>"
+    "protocol int, n_opcodes int, calls array<string>, exts array<string>, strings array<string>, error string, stop_pos long, trailing long, "
+    "imports array<struct<ord:int,module:string,attr:string,pos:long,first:boolean>>, ops array<struct<ord:int,opcode:string,arg:string,pos:long>>"
 )
 _EXT = ("EXT1", "EXT2", "EXT4")
 UNRESOLVED = "<unresolved>"
 
 
-def walk(data: bytes, keep_ops: int = 0, memo: bool = False) -> dict:
-    """Facts of a stream. Two pushed strings name what STACK_GLOBAL imports and are used up by it.
+def walk(stream: BinaryIO | bytes, size: int | None = None, keep_ops: int = 0, memo: bool = False) -> dict:
+    """Facts of a stream of ``size`` bytes, read as far as it parses. Two pushed strings name what STACK_GLOBAL imports and are used up by it.
 
     With ``memo``, strings that the stream fetches from its memo count as pushed; it is off for
     results that equal those of scanners which only see pushes."""
+    if isinstance(stream, bytes):
+        stream, size = io.BytesIO(stream), len(stream)
     pushed: list[str] = []
     cells: dict[int, str | None] = {}
     top: str | None = None
     out = {"protocol": None, "n_opcodes": 0, "calls": [], "exts": [], "strings": [], "error": None, "stop_pos": None, "trailing": 0, "imports": [], "ops": []}
     last = 0
+    seen: set[tuple[str, str]] = set()
 
     def imported(module: str, attr: str, pos: int) -> None:
-        out["imports"].append({"ord": len(out["imports"]), "module": module, "attr": attr, "pos": pos})
+        out["imports"].append({"ord": len(out["imports"]), "module": module, "attr": attr, "pos": pos, "first": (module, attr) not in seen})
+        seen.add((module, attr))
 
     try:
-        for op, arg, pos in pickletools.genops(io.BytesIO(data)):
+        for op, arg, pos in pickletools.genops(stream):
             last, name = pos, op.name
             out["n_opcodes"] += 1
             if len(out["ops"]) < keep_ops:
@@ -63,11 +68,11 @@ def walk(data: bytes, keep_ops: int = 0, memo: bool = False) -> dict:
             elif name in _EXT:
                 out["exts"].append(f"{name} at {pos}")
             elif name == "STOP":
-                out["stop_pos"], out["trailing"] = pos + 1, len(data) - pos - 1
+                out["stop_pos"], out["trailing"] = pos + 1, size - pos - 1
             if name in K.CALL_OPCODES:
                 out["calls"].append(name)
     except Exception as e:
-        out["error"], out["trailing"] = f"{type(e).__name__}: {e}"[:500], max(0, len(data) - last)
+        out["error"], out["trailing"] = f"{type(e).__name__}: {e}"[:500], max(0, size - last)
     return out
 
 
@@ -77,10 +82,10 @@ def facts(streams: DataFrame, keep_ops: int = 0, memo: bool = False) -> DataFram
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [walk(bytes(c), keep_ops, memo) for c in b.content]
+            rows = [walk(bytes(c), keep_ops=keep_ops, memo=memo) for c in b.content]
             out = pd.DataFrame({n: pd.Series([r[n] for r in rows], dtype=object) for n in names})
             for n in ("protocol", "n_opcodes", "stop_pos", "trailing"):
-                out[n] = pd.array(out[n], "Int32")
+                out[n] = pd.array(out[n], "Int64")
             out.insert(0, "location", b.location.to_numpy())
             out.insert(0, "target_id", b.target_id.to_numpy())
             yield out
@@ -116,8 +121,8 @@ def judged(imports: DataFrame) -> DataFrame:
 
 
 def first_imports(streams: DataFrame) -> DataFrame:
-    """A row for each name that a stream imports, at its first place. A stream's imports are one row's array, so no shuffle is needed."""
-    seen = F.filter("imports", lambda x, i: ~F.exists(F.slice("imports", 1, i), lambda y: (y["module"] == x["module"]) & (y["attr"] == x["attr"])))
+    """A row for each name that a stream imports, at its first place."""
+    seen = F.filter("imports", lambda x: x["first"])
     return streams.select("target_id", "location", (F.size("calls") > 0).alias("has_call"), F.explode(seen).alias("x")).select("target_id", "location", "has_call", "x.*")
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from .. import knowledge as K
 from ..functions.content import base_name, path_parts_contain
 from ..model import emit, rule
-from .documents import as_text, config_facts
 
 
 def ends(path: Column, suffixes: list[str]) -> Column:
@@ -37,10 +36,9 @@ def inventory(files: DataFrame) -> DataFrame:
     )
 
 
-def declared_maps(files: DataFrame) -> DataFrame:
-    """Targets whose root config.json names an auto_map."""
-    root = files.where("path = 'config.json'").withColumn("x", config_facts(as_text(F.col("content"))))
-    return root.where("x.ok and x.mentions_map").select("target_id").distinct()
+def declared_maps(configs: DataFrame) -> DataFrame:
+    """Targets whose root config.json names an auto_map. configs: facts of configs."""
+    return configs.where("path = 'config.json' and ok and mentions_map").select("target_id").distinct()
 
 
 def findings(targets: DataFrame, mapped: DataFrame) -> list[DataFrame]:

@@ -6,37 +6,47 @@ import json
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import knowledge as K
-from ..functions.content import latin1, little_endian, printable_runs
-from ..model import emit, fixed, rule
+from ..functions.blob import Blob
+from ..model import emit, rule
 
-TENSORS = "target_id string, path string, size long, header_size decimal(20,0), problem string, ord int, name string, dtype string, shape array<decimal(38,0)>, b decimal(38,0), e decimal(38,0), bad_offsets boolean, long_texts array<string>"
+TENSORS = "size long, header_size decimal(20,0), problem string, ord int, name string, dtype string, shape array<decimal(38,0)>, b decimal(38,0), e decimal(38,0), bad_offsets boolean, long_texts array<string>"
 _BIG = 100 << 20
 
 
-def tensor_rows(data: bytes) -> list[dict]:
-    """Rows of a safetensors file: one of the header (``ord`` null), one for each tensor with offsets."""
+#: Bytes of a header that are parsed; the format itself ends at 100 MB, and a longer header has a rule of its own.
+_PARSED = 512 << 20
+
+
+def tensor_rows(blob: Blob) -> Iterator[dict]:
+    """Rows of a safetensors file: one of the header (``ord`` null), one for each tensor with offsets. Only the header is read."""
     from decimal import Decimal
 
-    if len(data) < 8:
-        return [{"problem": "short"}]
-    n = int.from_bytes(data[:8], "little")
+    if blob.size < 8:
+        yield {"problem": "short"}
+        return
+    n = int.from_bytes(blob.read(0, 8), "little")
     head = {"header_size": Decimal(n)}
-    if not 0 < n <= len(data):
-        return [head | {"problem": "length"}]
+    if not 0 < n <= blob.size:
+        yield head | {"problem": "length"}
+        return
+    if n > _PARSED:
+        yield head
+        raise ValueError(f"a header of {n} bytes isn't parsed")
     try:
-        header = json.loads(data[8 : 8 + n])
+        header = json.loads(blob.read(8, n))
     except Exception:
-        return [head | {"problem": "json"}]
+        yield head | {"problem": "json"}
+        return
     if not isinstance(header, dict):
-        return [head]
+        yield head
+        return
     meta = header.pop("__metadata__", None)
     texts = [f"{k}: {len(v)} chars" for k, v in meta.items() if isinstance(v, str) and len(v) > 4096] if isinstance(meta, dict) else []
-    out = [head | {"long_texts": texts}]
+    yield head | {"long_texts": texts}
     whole = lambda x: isinstance(x, int) and abs(x) < 10**37
     for i, (name, spec) in enumerate(header.items()):
         offsets = spec.get("data_offsets") if isinstance(spec, dict) else None
@@ -49,23 +59,7 @@ def tensor_rows(data: bytes) -> list[dict]:
             row |= {"b": Decimal(b), "e": Decimal(e), "dtype": spec.get("dtype") if isinstance(spec.get("dtype"), str) else None}
             if isinstance(shape, list) and all(whole(x) for x in shape):
                 row["shape"] = [Decimal(x) for x in shape]
-        out.append(row)
-    return out
-
-
-def tensors(files: DataFrame) -> DataFrame:
-    """Header and tensor rows of the safetensors files of identified artifacts."""
-    names = [x.split()[0] for x in TENSORS.split(", ")]
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [{"target_id": t, "path": p, "size": len(c), **r} for t, p, c in zip(b.target_id, b.path, b.content, strict=True) for r in tensor_rows(bytes(c))]
-            out = pd.DataFrame(rows, columns=names).astype(object)
-            out = out.where(out.notna(), None)
-            out["ord"] = pd.array(out["ord"], "Int32")
-            yield out
-
-    return files.where("format = 'safetensors'").select("target_id", "path", "content").mapInPandas(read, TENSORS)
+        yield row
 
 
 def overlaps(spans: DataFrame, key: list[str]) -> DataFrame:
@@ -109,44 +103,28 @@ NPY = "n_bytes long, problem string, has_object boolean, evidence string"
 _NPY_SHOWN = 200
 
 
-def npy_row(data: bytes) -> dict:
+def npy_row(blob: Blob) -> dict:
     """What the rules ask of a npy file or member: its whole header is searched, none of it is passed on but the evidence."""
-    row: dict = {"n_bytes": len(data)}
-    if len(data) > K.MEMBER_LIMIT:
+    row: dict = {"n_bytes": blob.size}
+    if blob.size > K.MEMBER_LIMIT:
         return row
+    data = blob.read(0, 12)
     if len(data) < 10 or data[:6] != b"\x93NUMPY":
         return row | {"problem": "no header"}
     first = data[6] == 1
     start = 10 if first else 12
     if len(data) < start:
         return row | {"problem": "header ends early"}
-    head = data[start : start + int.from_bytes(data[8:start], "little")]
+    head = blob.read(start, int.from_bytes(data[8:start], "little"))
     found = b"|O" in head
     return row | {"has_object": found, "evidence": head.decode("latin-1").strip()[:_NPY_SHOWN] if found else None}
 
 
-def npy_facts(streams: DataFrame) -> DataFrame:
-    """The same of a table with content: native."""
-    data = F.col("content")
-    magic = F.hex(F.substring(data, 1, 6)) == "934E554D5059"
-    first = F.hex(F.substring(data, 7, 1)) == "01"
-    need, start = F.when(first, 10).otherwise(12), F.when(first, 11).otherwise(13)
-    n = F.when(first, little_endian(data, 8, 2)).otherwise(little_endian(data, 8, 4))
-    size = F.length(data)
-    # a header's length may be beyond the file's, and beyond an int
-    head = F.when((size <= K.MEMBER_LIMIT) & (size >= need), latin1(F.substring(data, start, F.least(n, size.cast("decimal(20,0)")).cast("int"))))
-    at = fixed(streams, _ok=F.coalesce(magic, F.lit(False)) & (size >= 10), _head=head)
-    problem = F.when(size.isNull() | (size > K.MEMBER_LIMIT), None).when(~F.col("_ok"), "no header").when(F.col("_head").isNull(), "header ends early")
-    found = (problem.isNull()) & F.col("_head").contains("|O")
-    return at.select("target_id", "location", size.cast("long").alias("n_bytes"), problem.alias("problem"), found.alias("has_object"), F.when(found, F.substring(F.trim("_head", F.lit(" \t\n\r\x0b\x0c")), 1, _NPY_SHOWN)).alias("evidence"))
-
-
 def npy_findings(streams: DataFrame) -> list[DataFrame]:
-    """NPY-000 and NPY-001. streams: target_id, location and the facts of npy files and members, or their content."""
-    facts = npy_facts(streams) if "content" in streams.columns else streams
+    """NPY-000 and NPY-001. streams: target_id, location and the facts of npy files and members."""
     return [
         emit(
-            facts,
+            streams,
             rule("NPY-000", F.col("n_bytes") > K.MEMBER_LIMIT, "MEDIUM", "integrity", "medium", "beyond the read limit"),
             rule("NPY-000", "problem = 'no header'", "LOW", "integrity", "medium", "no header"),
             rule("NPY-000", "problem = 'header ends early'", "MEDIUM", "integrity", "medium", "header ends early"),
@@ -155,40 +133,21 @@ def npy_findings(streams: DataFrame) -> list[DataFrame]:
     ]
 
 
-def graph_facts(files: DataFrame) -> DataFrame:
-    """Graph files of identified artifacts with what their rules ask for, from a bounded head of each: native."""
-    fmt = F.col("format")
-    head = lambda mb: F.substring("content", 1, mb << 20)
-    at = files.where(fmt.isin("hdf5", "onnx", "tf-protobuf", "gguf"))
-    at = fixed(at, _text=F.when(fmt == "hdf5", latin1(head(4))), _runs=F.when(fmt.isin("onnx", "tf-protobuf"), printable_runs(head(8))), version=F.when((fmt == "gguf") & (F.length("content") >= 8), little_endian(F.col("content"), 4, 4)).cast("long"))
-    names = lambda ops: F.array_sort(F.array_intersect(F.array(*[F.lit(o) for o in ops]), "_runs"))
-    odd = F.array_sort(F.array_distinct(F.filter("_runs", lambda s: (s.contains("..") | s.startswith("/")) & (F.length(s) < 200))))
-    text = F.col("_text")
-    marks = F.filter(F.array(*[F.lit(m) for m in K.HDF5_MARKERS]), lambda m: text.contains(m))
-    return fixed(
-        at,
-        has_lambda=text.contains('"class_name": "Lambda"') | text.contains('"class_name":"Lambda"'),
-        markers=F.when(fmt == "hdf5", marks),
-        ops=F.when(fmt == "onnx", names(K.ONNX_OPS)).when(fmt == "tf-protobuf", names(K.TF_OPS)),
-        odd=F.when((fmt == "onnx") & F.array_contains("_runs", "location"), odd),
-    ).select("target_id", F.col("path").alias("location"), "format", "has_lambda", "markers", "ops", "odd", "version")
-
-
 GRAPH = "format string, has_lambda boolean, markers array<string>, ops array<string>, odd array<string>, version long"
 _RUN = re.compile(rb"[\x20-\x7e]{4,}")
 
 
-def graph_row(fmt: str, data: bytes) -> dict:
-    """The same of one file, for a task that has its bytes at hand."""
+def graph_row(fmt: str, blob: Blob) -> dict:
+    """What the rules of graph files ask for, from a bounded head."""
     out: dict = {"format": fmt}
     if fmt == "hdf5":
-        head = data[: 4 << 20]
+        head = blob.read(0, 4 << 20)
         out["has_lambda"] = b'"class_name": "Lambda"' in head or b'"class_name":"Lambda"' in head
         out["markers"] = [m for m in K.HDF5_MARKERS if m.encode() in head]
     elif fmt == "gguf":
-        out["version"] = int.from_bytes(data[4:8], "little") if len(data) >= 8 else None
+        out["version"] = int.from_bytes(blob.read(4, 4), "little") if blob.size >= 8 else None
     else:
-        runs = {r.decode() for r in _RUN.findall(data[: 8 << 20])}
+        runs = {r.decode() for r in _RUN.findall(blob.read(0, 8 << 20))}
         out["ops"] = sorted(runs & set(K.ONNX_OPS if fmt == "onnx" else K.TF_OPS))
         if fmt == "onnx" and "location" in runs:
             out["odd"] = sorted(r for r in runs if (".." in r or r.startswith("/")) and len(r) < 200)[:5]
@@ -196,7 +155,7 @@ def graph_row(fmt: str, data: bytes) -> dict:
 
 
 def graph_findings(facts: DataFrame) -> list[DataFrame]:
-    """H5, ONX, TF and GGUF rules. facts: ``graph_facts``."""
+    """H5, ONX, TF and GGUF rules. facts: rows of ``graph_row``."""
     fmt, ops, version = F.col("format"), F.col("ops"), F.concat(F.lit("version "), F.col("version").cast("string"))
     return [
         emit(

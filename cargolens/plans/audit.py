@@ -29,6 +29,13 @@ class Audit:
     findings: DataFrame
     verdicts: DataFrame
     errors: DataFrame
+    #: Tables that the others share and the cluster keeps.
+    kept: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        """Give the kept tables' room back; results that are read afterwards are computed anew."""
+        for df in self.kept:
+            df.unpersist()
 
 
 def _wants(config: Config, *analyzers: str) -> bool:
@@ -38,13 +45,12 @@ def _wants(config: Config, *analyzers: str) -> bool:
 def file_facts(known: DataFrame, config: Config = Config()) -> DataFrame:
     """One pass over the content of identified artifacts. Facts are small; they are kept, so that the rules
     of all families share the pass, and a lost part is parsed again from its files."""
-    kinds = {k for k, analyzers in facts.ASKED_BY.items() if _wants(config, *analyzers)}
+    kinds = {k for k, analyzers in facts.ASKED_BY.items() if _wants(config, *analyzers)} - (set() if config.extensions else {"index"})
     return facts.extract(known, kinds, config.extensions, config.extensions).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def file_findings(known: DataFrame, config: Config = Config()) -> DataFrame:
-    """Findings of all rules that look into files. known: identified artifacts with content."""
-    found = file_facts(known, config)
+def file_findings(known: DataFrame, found: DataFrame, config: Config = Config()) -> DataFrame:
+    """Findings of all rules that look into files. known: identified artifacts; found: their facts."""
     of = lambda kind: facts.of(found, kind)
     with_x = lambda kind: found.where(F.col("kind") == kind).select("target_id", "location", F.col(kind).alias("x"))
     out = identify.findings(known) if _wants(config, "repository") else []
@@ -65,49 +71,71 @@ def file_findings(known: DataFrame, config: Config = Config()) -> DataFrame:
         out += documents.config_rules(with_x("config"))
     if _wants(config, "templates"):
         out += documents.template_findings(of("template"))
+    if config.extensions and _wants(config, "repository"):
+        out.append(documents.index_drift(of("index"), known))
     out = out or [f.limit(0) for f in identify.findings(known)]
     return governance.choose_analyzers(union(out), list(config.only), list(config.skip))
 
 
-def audit(artifacts: DataFrame, config: Config = Config(), identifiers: DataFrame | None = None, repos: DataFrame | None = None, corpus: DataFrame | None = None, baseline: DataFrame | None = None, as_of: str = "now") -> Audit:
+def audit(artifacts: DataFrame, config: Config = Config(), identifiers: DataFrame | None = None, repos: DataFrame | None = None, corpus: DataFrame | None = None, corpus_age_days: int | None = None, baseline: DataFrame | None = None, as_of: str = "now", by_ranges: bool = False) -> Audit:
     """artifacts: ``tree.artifacts`` rows. identifiers: target_id, repo_id, for name checks; repos:
-    metadata, for provenance rules; baseline: rule_id, location, sha256, whose findings are left out."""
-    readable = artifacts.where("content is not null")
-    errors = artifacts.where("error is not null").select("target_id", "path", "error")
-    known = identify.identify(readable)
-    sha = F.sha2("content", 256) if config.hash_files or baseline is not None else F.lit(None).cast("string")
-    skipped = artifacts.where("content is null").select("target_id", "path", "size", F.lit("unknown").alias("format"), F.lit(None).cast("string").alias("sha256"), F.lit(False).alias("inspected"))
-    files = known.select("target_id", "path", "size", "format", sha.alias("sha256"), F.lit(True).alias("inspected")).unionByName(skipped)
-    out = [file_findings(known, config)]
-    repo_files = artifacts.where("is_repo")
+    metadata of the same repositories, for provenance rules and for files that a listing lacks; corpus:
+    known names, ``corpus_age_days`` old; baseline: rule_id, location, sha256, whose findings are left out.
+
+    With ``by_ranges`` rows hold a file's head alone: formats are told from it, and parsers and hashes read
+    the file at ``uri``. What is known of each file is kept without any content, so files are listed and
+    identified once. A file that can't be read or parsed is an error of its target, and ends nothing."""
+    known = identify.identify(artifacts)
+    if config.hash_files or baseline is not None:
+        known = known.withColumn("sha256", tree.sha256_of_file())
+    else:
+        known = known.withColumn("sha256", F.lit(None).cast("string"))
+    kept: list[DataFrame] = []
+    if by_ranges:
+        known = known.withColumn("content", F.lit(None).cast("binary")).persist(StorageLevel.MEMORY_AND_DISK)
+        kept.append(known)
+    readable = known.where("error is null")
+    found = file_facts(readable, config)
+    kept.append(found)
+    failed = facts.of(found, "error").select("target_id", "path", F.col("message").alias("error"))
+    errors = known.where("error is not null").select("target_id", "path", "error").unionByName(failed)
+    broken = failed.select("target_id", "path", F.lit(True).alias("_broken")).distinct()
+    files = known.join(broken, ["target_id", "path"], "left").select(
+        "target_id", "path", "size", F.when(F.col("error").isNull(), F.col("format")).otherwise("unknown").alias("format"),
+        F.when(F.col("error").isNull() & F.col("_broken").isNull(), F.col("sha256")).alias("sha256"), (F.col("error").isNull() & F.col("_broken").isNull()).alias("inspected"),
+    )
+    out = [file_findings(readable, found, config)]
     if _wants(config, "repository", "provenance"):
-        rules = union(repository.findings(repository.inventory(repo_files), repository.declared_maps(readable.where("is_repo"))))
+        rules = union(repository.findings(repository.inventory(known.where("is_repo")), repository.declared_maps(facts.of(found, "config"))))
         out.append(governance.choose_analyzers(rules, list(config.only), list(config.skip)))
-    if config.extensions and _wants(config, "repository"):
-        out += documents.index_drift(known)
     if identifiers is not None and _wants(config, "naming"):
-        out.append(naming.findings(identifiers, corpus if corpus is not None else naming.seed_corpus(artifacts.sparkSession)))
+        out.append(naming.findings(identifiers, corpus if corpus is not None else naming.seed_corpus(artifacts.sparkSession), corpus_age_days))
     if repos is not None and _wants(config, "hub"):
         out.append(hub.provenance_findings(repos, as_of))
+        ids = identifiers.select("target_id", F.col("repo_id").alias("id")) if identifiers is not None else None
+        out.append(hub.manifest_drift(known, repos, ids=ids))
     findings = union(out)
     if baseline is not None:
         findings = governance.new_findings(findings, files, baseline).drop("is_new")
     left = governance.apply_policy(findings, config.policy)
-    return Audit(files, left, governance.verdicts(findings, artifacts, config.policy, errors), errors)
+    return Audit(files, left, governance.verdicts(findings, known, config.policy, errors), errors, tuple(kept))
 
 
-def audit_paths(spark: SparkSession, roots: list[str], config: Config = Config(), **more) -> Audit:
-    return audit(tree.artifacts(spark, roots), config, **more)
+def audit_paths(spark: SparkSession, roots: list[str], config: Config = Config(), max_file_mb: int = 4096, max_files: int | None = None, **more) -> Audit:
+    return audit(tree.artifacts(spark, roots, max_file_mb, max_files, tree.HEAD_BYTES), config, by_ranges=True, **more)
 
 
-def audit_hub(repos: DataFrame, config: Config = Config(), as_of: str = "now", corpus: DataFrame | None = None, configs: DataFrame | None = None, streams: DataFrame | None = None) -> Audit:
-    """The audit of remote repositories from their metadata; ``streams`` (target_id, location, content) are pickles read by ranges."""
+def audit_hub(repos: DataFrame, config: Config = Config(), as_of: str = "now", corpus: DataFrame | None = None, corpus_age_days: int | None = None, configs: DataFrame | None = None, streams: DataFrame | None = None) -> Audit:
+    """The audit of remote repositories from their metadata; ``streams`` (target_id, location, content, and error) are
+    pickles read by ranges, as ``remote_zip.remote_pickles`` gives them."""
     ids = repos.select(F.col("id").alias("target_id"), F.col("id").alias("repo_id"))
     known = corpus if corpus is not None else naming.seed_corpus(repos.sparkSession)
-    out = [naming.findings(ids, known), hub.provenance_findings(repos, as_of), hub.listing_findings(repos, configs)]
+    out = [naming.findings(ids, known, corpus_age_days), hub.provenance_findings(repos, as_of), hub.listing_findings(repos, configs)]
     if streams is not None:
-        out += pickles.findings(pickles.facts(streams))
+        out += pickles.findings(pickles.facts(streams.where("content is not null")))
     findings = union(out)
     files = hub.listed_files(repos).withColumn("sha256", F.lit(None).cast("string")).withColumn("inspected", F.lit(False))
-    none = ids.select("target_id", F.lit("").alias("path"), F.lit("").alias("error")).limit(0)
-    return Audit(files, governance.apply_policy(findings, config.policy), governance.verdicts(findings, ids, config.policy), none)
+    errors = ids.select("target_id", F.lit("").alias("path"), F.lit("").alias("error")).limit(0)
+    if streams is not None and "error" in streams.columns:
+        errors = streams.where("error is not null").select("target_id", F.col("location").alias("path"), "error")
+    return Audit(files, governance.apply_policy(findings, config.policy), governance.verdicts(findings, ids, config.policy, errors), errors)

@@ -15,9 +15,10 @@ from .. import knowledge as K
 from ..functions.content import printable_runs, suffix
 from ..functions.names import ascii_canonical, osa_distance
 from ..model import SEVERITIES, union
-from ..operators import containers, documents, governance, hub, identify, naming, pickles, reports, repository, tensors
+from ..operators import containers, documents, facts, governance, hub, identify, naming, pickles, reports, repository, tensors
 from ..sources.tree import described
-from .audit import audit
+from .audit import Config, audit, file_facts, file_findings
+from .cases import FAMILIES, Family
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -54,6 +55,11 @@ def _values(rows: list[tuple]) -> str:
     return "VALUES " + ", ".join(f"({', '.join(_quoted(x) for x in r)})" for r in rows)
 
 
+def _facts(files: DataFrame, kind: str) -> DataFrame:
+    """Facts of one kind, by the pass over contents that an audit makes."""
+    return facts.of(facts.extract(identify.identify(described(files)), {kind}), kind)
+
+
 # --- files -----------------------------------------------------------------------------------------
 
 _HEADS = ["504B0304", "894844460D0A1A0A", "47475546", "934E554D5059", "7F454C46", "425A68", K.LFS_PREFIX.encode().hex(), ""]
@@ -123,18 +129,18 @@ def _graph_files(spark, sf_dir, ext: str) -> DataFrame:
     p = _table(spark, sf_dir, "part")
     word = _pick(_GRAPH_WORDS, F.col("p_partkey") % 6)
     data = F.concat(F.unhex(F.lit("01")), F.encode(word, "UTF-8"), F.unhex(F.lit("00")), F.encode(F.when(F.col("p_partkey") % 4 == 0, "../up").otherwise("inside"), "UTF-8"), F.unhex(F.lit("02")), F.encode("p_name", "UTF-8"))
-    return described(p.select(F.col("p_partkey").cast("string").alias("target_id"), F.lit(f"m{ext}").alias("path"), data.alias("content"))).withColumn("is_repo", F.lit(True))
+    return p.select(F.col("p_partkey").cast("string").alias("target_id"), F.lit(f"m{ext}").alias("path"), data.alias("content"))
 
 
 @_query("onnx_rules", "SELECT p_partkey, 'ONX-001' AS rule_id, 'MEDIUM' AS severity FROM part WHERE p_partkey % 6 < 2 UNION ALL SELECT p_partkey, 'ONX-002', 'MEDIUM' FROM part WHERE p_partkey % 6 = 4 AND p_partkey % 4 = 0")
 def onnx_rules(spark, sf_dir):
-    found = union(tensors.graph_findings(tensors.graph_facts(identify.identify(_graph_files(spark, sf_dir, ".onnx")))))
+    found = union(tensors.graph_findings(_facts(_graph_files(spark, sf_dir, ".onnx"), "graph")))
     return found.select(F.col("target_id").cast("long").alias("p_partkey"), "rule_id", "severity")
 
 
 @_query("tensorflow_rules", "SELECT p_partkey, 'TF-001' AS rule_id, CASE WHEN p_partkey % 6 = 2 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM part WHERE p_partkey % 6 IN (2, 3)")
 def tensorflow_rules(spark, sf_dir):
-    found = union(tensors.graph_findings(tensors.graph_facts(identify.identify(_graph_files(spark, sf_dir, ".pb")))))
+    found = union(tensors.graph_findings(_facts(_graph_files(spark, sf_dir, ".pb"), "graph")))
     return found.select(F.col("target_id").cast("long").alias("p_partkey"), "rule_id", "severity")
 
 
@@ -145,16 +151,16 @@ _H5 = ["os.system", "eval(", '"class_name": "Lambda"', "dense"]
 def hdf5_rules(spark, sf_dir):
     p = _table(spark, sf_dir, "part")
     data = F.concat(F.unhex(F.lit("894844460D0A1A0A")), F.encode(F.concat("p_name", _pick(_H5, F.col("p_partkey") % 4), "p_type"), "UTF-8"))
-    files = described(p.select(F.col("p_partkey").cast("string").alias("target_id"), F.lit("m.h5").alias("path"), data.alias("content")))
-    return union(tensors.graph_findings(tensors.graph_facts(identify.identify(files)))).select(F.col("target_id").cast("long").alias("p_partkey"), "rule_id", "severity")
+    files = p.select(F.col("p_partkey").cast("string").alias("target_id"), F.lit("m.h5").alias("path"), data.alias("content"))
+    return union(tensors.graph_findings(_facts(files, "graph"))).select(F.col("target_id").cast("long").alias("p_partkey"), "rule_id", "severity")
 
 
 @_query("gguf_version", "SELECT p_partkey, CAST(p_partkey % 7 AS BIGINT) AS version, p_partkey % 7 NOT IN (1, 2, 3) AS odd FROM part")
 def gguf_version(spark, sf_dir):
     p = _table(spark, sf_dir, "part")
     data = F.concat(F.encode(F.lit("GGUF"), "UTF-8"), F.unhex(F.lpad(F.hex(F.col("p_partkey") % 7), 2, "0")), F.unhex(F.lit("000000")))
-    files = identify.identify(described(p.select(F.col("p_partkey").cast("string").alias("target_id"), F.lit("m.gguf").alias("path"), data.alias("content"))))
-    found = union(tensors.graph_findings(tensors.graph_facts(files))).groupBy("target_id").agg(F.max(F.regexp_extract("detail", r"\d+", 0).cast("long")).alias("version"), F.max(F.col("rule_id") == "GGUF-002").alias("odd"))
+    files = p.select(F.col("p_partkey").cast("string").alias("target_id"), F.lit("m.gguf").alias("path"), data.alias("content"))
+    found = union(tensors.graph_findings(_facts(files, "graph"))).groupBy("target_id").agg(F.max(F.regexp_extract("detail", r"\d+", 0).cast("long")).alias("version"), F.max(F.col("rule_id") == "GGUF-002").alias("odd"))
     return found.select(F.col("target_id").cast("long").alias("p_partkey"), "version", "odd")
 
 
@@ -163,8 +169,8 @@ def npy_rules(spark, sf_dir):
     p = _table(spark, sf_dir, "part")
     head = F.concat(F.lit("{'descr': '"), _pick(["|O", "", "<f4"], F.col("p_partkey") % 3), F.lit("', 'shape': (1,), }"))
     data = F.when(F.col("p_partkey") % 3 == 1, F.unhex(F.lit("934E554D505901"))).otherwise(F.concat(F.unhex(F.lit("934E554D50590100")), F.unhex(F.lpad(F.hex(F.length(head)), 2, "0")), F.unhex(F.lit("00")), F.encode(head, "UTF-8")))
-    rows = p.select(F.col("p_partkey").cast("string").alias("target_id"), F.lit("m.npy").alias("location"), data.alias("content"))
-    return union(tensors.npy_findings(rows)).select(F.col("target_id").cast("long").alias("p_partkey"), "rule_id", "severity")
+    rows = p.select(F.col("p_partkey").cast("string").alias("target_id"), F.lit("m.npy").alias("path"), data.alias("content"))
+    return union(tensors.npy_findings(_facts(rows, "npy"))).select(F.col("target_id").cast("long").alias("p_partkey"), "rule_id", "severity")
 
 
 # --- pickles ---------------------------------------------------------------------------------------
@@ -195,8 +201,8 @@ def pickle_imports(spark, sf_dir):
     name = F.split(_pick(_NAMES, F.col("p_partkey") % 10), ":")
     tail = F.when(F.col("p_partkey") % 2 == 0, F.unhex(F.lit("2952"))).otherwise(F.unhex(F.lit("4E"))), F.when(F.col("p_partkey") % 11 == 0, F.unhex(F.lit(""))).otherwise(F.unhex(F.lit("2E")))
     data = F.concat(F.unhex(F.lit("8002")), F.encode(F.concat(F.lit("c"), name[0], F.lit("\n"), name[1], F.lit("\n")), "UTF-8"), *tail)
-    rows = p.select(F.col("p_partkey").cast("string").alias("target_id"), F.lit("m.pkl").alias("location"), data.alias("content"))
-    return union(pickles.findings(pickles.facts(rows))).select(F.col("target_id").cast("long").alias("p_partkey"), "rule_id", "severity")
+    rows = p.select(F.col("p_partkey").cast("string").alias("target_id"), F.lit("m.pkl").alias("path"), data.alias("content"))
+    return union(pickles.findings(_facts(rows, "pickle"))).select(F.col("target_id").cast("long").alias("p_partkey"), "rule_id", "severity")
 
 
 _MODULES = ["os", "torch", "numpy", "builtins", "research", "torch.nn.modules", "urllib.request", "collections", "pickle", "sklearn.svm"]
@@ -225,7 +231,7 @@ def shell_markers(spark, sf_dir):
     d = _table(spark, sf_dir, "documents")
     s = F.concat("text", F.when(F.col("doc_id") % 3 == 0, _pick(K.SHELL_MARKERS, F.col("doc_id") % 15)).otherwise(""))
     none = F.array().cast("array<string>")
-    rows = d.select(F.col("doc_id").cast("string").alias("target_id"), F.lit("x").alias("location"), F.array(s).alias("strings"), none.alias("calls"), none.alias("exts"), F.lit(1).alias("n_opcodes"), F.lit(None).cast("string").alias("error"), F.array().cast("array<struct<ord:int,module:string,attr:string,pos:int>>").alias("imports"))
+    rows = d.select(F.col("doc_id").cast("string").alias("target_id"), F.lit("x").alias("location"), F.array(s).alias("strings"), none.alias("calls"), none.alias("exts"), F.lit(1).alias("n_opcodes"), F.lit(None).cast("string").alias("error"), F.array().cast("array<struct<ord:int,module:string,attr:string,pos:long,first:boolean>>").alias("imports"))
     return union(pickles.findings(rows)).where("rule_id = 'PKL-005'").select(F.col("target_id").cast("long").alias("doc_id"), "severity")
 
 
@@ -317,6 +323,29 @@ def notebook_lines(spark, sf_dir):
     return documents.line_flags(c).groupBy("conv_id").agg(F.max("hit").alias("hit"), F.max("severe").alias("severe"))
 
 
+# --- files of each family ---------------------------------------------------------------------------
+
+
+def _family(name: str, family: Family) -> None:
+    rows = [(i, r, s) for i, (_, found) in enumerate(family.files) for r, s in found]
+    expected = "VALUES " + ", ".join(f"({i}, '{r}', '{s}')" for i, r, s in rows)
+
+    @_query(name, f"WITH c(k, rule_id, severity) AS ({expected}) SELECT p_partkey, rule_id, severity FROM part JOIN c ON p_partkey % {len(family.files)} = k")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """A file of the family for each part, through the whole pass over contents and all rules of files."""
+        contents = F.array(*[F.lit(data) for data, _ in family.files])
+        p = _table(spark, sf_dir, "part")
+        files = p.select(F.col("p_partkey").cast("string").alias("target_id"), F.lit(family.path).alias("path"), contents[(F.col("p_partkey") % len(family.files)).cast("int")].alias("content"))
+        known = identify.identify(described(files))
+        config = Config(only=family.analyzers)
+        found = file_findings(known, file_facts(known, config), config)
+        return found.select(F.col("target_id").cast("long").alias("p_partkey"), "rule_id", "severity")
+
+
+for _name, _files in FAMILIES.items():
+    _family(_name, _files)
+
+
 # --- repositories ----------------------------------------------------------------------------------
 
 _PATHS = ["model.bin", "model.safetensors", "README.md", "code/run.py", "setup.py", "model.safetensors.sig", "notes.txt", ".well-known/key"]
@@ -410,6 +439,22 @@ def name_rules(spark, sf_dir):
     return naming.findings(ids, naming.seed_corpus(spark)).select(F.col("target_id").cast("long").alias("k"), "rule_id", "severity")
 
 
+_ODD_IDS = ["g00gle/own-a", "google-official/own-b", "openai/whisper-bsae", "someone-else/whisper-bsae", "g\u043e\u043egle/own-c", "openai/whisper-base"]
+
+
+@_query(
+    "name_rules_odd",
+    f"""WITH i AS (SELECT c_custkey AS k, c_custkey % {len(_ODD_IDS)} AS c FROM customer),
+e(c, rule_id, severity) AS (VALUES (0, 'SQT-003', 'HIGH'), (1, 'SQT-004', 'MEDIUM'), (2, 'SQT-006', 'MEDIUM'), (3, 'SQT-006', 'HIGH'), (4, 'SQT-001', 'HIGH'))
+SELECT k, rule_id, severity FROM i JOIN e USING (c) UNION ALL SELECT k, 'SQT-009', 'INFO' FROM i""",
+)
+def name_rules_odd(spark, sf_dir):
+    """Look-alikes, embedded names, mistyped models and other scripts, against a corpus of 91 days."""
+    ids = _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("target_id"), _pick(_ODD_IDS, F.col("c_custkey") % len(_ODD_IDS)).alias("repo_id"))
+    found = naming.findings(ids, naming.seed_corpus(spark), 91).where("rule_id in ('SQT-001', 'SQT-003', 'SQT-004', 'SQT-006', 'SQT-009')")
+    return found.select(F.col("target_id").cast("long").alias("k"), "rule_id", "severity")
+
+
 @_query("non_ascii", r"SELECT doc_id FROM documents WHERE regexp_matches(text, '[^\x00-\x7F]')")
 def non_ascii(spark, sf_dir):
     from ..functions.names import non_ascii as odd
@@ -431,14 +476,14 @@ def corpus_refresh(spark, sf_dir):
 
 _RULES = ["FMT-001", "PKL-001", "ZIP-003", "STF-005", "CFG-001", "PRV-005", "REPO-004", "TPL-001", "SIG-002", "NB-001", "PY-002", "SQT-007"]
 _CONF = ["high", "medium", "low"]
-_FINDINGS = f"SELECT 'u' || user_id AS target_id, {_sql_pick(_RULES, 'event_id % 12')} AS rule_id, {_sql_pick(list(SEVERITIES), 'CAST(value * 10 AS BIGINT) % 5')} AS severity, {_sql_pick(_CONF, 'event_id % 3')} AS confidence, 'f' || event_id % 50 AS location, event_type AS detail FROM events"
+_FINDINGS = f"SELECT 'u' || user_id || '-' || event_id % 60 AS target_id, {_sql_pick(_RULES, 'event_id % 12')} AS rule_id, {_sql_pick(list(SEVERITIES), 'CAST(value * 10 AS BIGINT) % 5')} AS severity, {_sql_pick(_CONF, 'event_id % 3')} AS confidence, 'f' || event_id % 50 AS location, event_type AS detail FROM events"
 
 
 def _findings(spark, sf_dir) -> DataFrame:
     e = _table(spark, sf_dir, "events")
     # rounded half to even, as the SQL's cast does
     severity = _pick(list(SEVERITIES), F.bround(F.col("value") * 10).cast("long") % 5)
-    return e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("target_id"), _pick(_RULES, F.col("event_id") % 12).alias("rule_id"), severity.alias("severity"), F.lit("execution").alias("category"), _pick(_CONF, F.col("event_id") % 3).alias("confidence"), F.concat(F.lit("f"), (F.col("event_id") % 50).cast("string")).alias("location"), F.col("event_type").alias("detail"), F.array("event_type").alias("evidence"))
+    return e.select(F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("-"), (F.col("event_id") % 60).cast("string")).alias("target_id"), _pick(_RULES, F.col("event_id") % 12).alias("rule_id"), severity.alias("severity"), F.lit("execution").alias("category"), _pick(_CONF, F.col("event_id") % 3).alias("confidence"), F.concat(F.lit("f"), (F.col("event_id") % 50).cast("string")).alias("location"), F.col("event_type").alias("detail"), F.array("event_type").alias("evidence"))
 
 
 def _scored(source: str) -> str:
@@ -463,24 +508,36 @@ def severity_counts(spark, sf_dir):
     return governance.scores(_findings(spark, sf_dir)).select("target_id", *[f"n_{s.lower()}" for s in SEVERITIES])
 
 
-@_query("verdict", f"WITH f AS (SELECT * FROM ({_FINDINGS}) WHERE rule_id NOT IN ('SQT-007', 'FMT-001', 'CFG-001', 'PRV-005')) SELECT target_id, score, {_VERDICT} FROM ({_scored('f')}) WHERE true")
+@_query(
+    "verdict",
+    f"""WITH a AS ({_FINDINGS}), f AS (SELECT * FROM a WHERE rule_id NOT IN ('SQT-007', 'FMT-001', 'CFG-001', 'PRV-005')),
+t AS (SELECT DISTINCT target_id FROM a), s AS (SELECT target_id, coalesce(score, 0) AS score, coalesce(max_rank, 0) AS max_rank FROM t LEFT JOIN ({_scored('f')}) USING (target_id))
+SELECT target_id, score, {_VERDICT} FROM s""",
+)
 def verdict(spark, sf_dir):
-    """Verdicts under a policy; every target of the findings has one."""
-    f = _findings(spark, sf_dir)
+    """Verdicts under a policy; a target that the policy leaves no finding has one too."""
     policy = governance.Policy(allow_pickle=True, allow_remote_code=True, ignore_rules=frozenset({"SQT-007"}))
-    v = governance.verdicts(f, governance.apply_policy(f, policy), policy)
-    return v.select("target_id", "score", "verdict", "max_severity")
+    f = _findings(spark, sf_dir)
+    return governance.verdicts(f, f, policy).select("target_id", "score", "verdict", "max_severity")
 
 
-@_query("exit_code", f"WITH f AS ({_FINDINGS}), s AS (SELECT target_id, {_VERDICT} FROM ({_scored('f')})) SELECT verdict, CASE verdict WHEN 'BLOCK' THEN 2 WHEN 'REVIEW' THEN 1 ELSE 0 END AS exit_code, count(*) AS n FROM s GROUP BY ALL")
+@_query(
+    "exit_code",
+    f"""WITH a AS ({_FINDINGS}), f AS (SELECT * FROM a WHERE detail <> 'click'), t AS (SELECT DISTINCT target_id FROM a),
+s AS (SELECT target_id, x.target_id IS NULL AS bare, coalesce(score, 0) AS score, coalesce(max_rank, 0) AS max_rank FROM t LEFT JOIN ({_scored('f')}) x USING (target_id)),
+v AS (SELECT *, {_VERDICT} FROM s)
+SELECT verdict, CASE WHEN bare AND target_id LIKE '%7' THEN 3 WHEN verdict = 'BLOCK' THEN 2 WHEN verdict = 'REVIEW' THEN 1 ELSE 0 END AS exit_code, count(*) AS n FROM v GROUP BY ALL""".replace("x.target_id IS NULL", "max_rank IS NULL"),
+)
 def exit_code(spark, sf_dir):
-    f = _findings(spark, sf_dir)
-    return governance.verdicts(f, f).groupBy("verdict", "exit_code").agg(F.count(F.lit(1)).alias("n"))
+    """Targets without findings, some of which had files that couldn't be read, beside those with findings."""
+    a = _findings(spark, sf_dir)
+    errors = a.where("target_id like '%7'").select("target_id", F.lit("f").alias("path"), F.lit("unreadable").alias("error"))
+    return governance.verdicts(a.where("detail <> 'click'"), a, errors=errors).groupBy("verdict", "exit_code").agg(F.count(F.lit(1)).alias("n"))
 
 
-@_query("policy_filter", f"SELECT rule_id, count(*) AS n FROM ({_FINDINGS}) WHERE rule_id NOT IN ('PKL-001', 'CFG-001', 'PRV-005') AND target_id NOT IN ('u1', 'u2') GROUP BY 1")
+@_query("policy_filter", f"SELECT rule_id, count(*) AS n FROM ({_FINDINGS}) WHERE rule_id NOT IN ('PKL-001', 'CFG-001', 'PRV-005') AND target_id NOT IN ('u1-1', 'u2-2') GROUP BY 1")
 def policy_filter(spark, sf_dir):
-    policy = governance.Policy(allow_remote_code=True, ignore_rules=frozenset({"PKL-001"}), allowlist_repos=frozenset({"u1", "u2"}))
+    policy = governance.Policy(allow_remote_code=True, ignore_rules=frozenset({"PKL-001"}), allowlist_repos=frozenset({"u1-1", "u2-2"}))
     return governance.apply_policy(_findings(spark, sf_dir), policy).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -498,14 +555,17 @@ def finding_order(spark, sf_dir):
 @_query(
     "baseline_diff",
     f"""WITH f AS ({_FINDINGS}), h AS (SELECT 'f' || doc_id % 50 AS p, max(sha256(text)) AS sha FROM documents GROUP BY 1),
-k AS (SELECT f.*, coalesce(sha, '') AS sha FROM f LEFT JOIN h ON p = location AND substr(location, 2)::INT % 2 = 0), b AS (SELECT DISTINCT rule_id, location, sha FROM k WHERE detail = 'click')
+k AS (SELECT f.*, coalesce(sha, '') AS sha, substr(location, 2)::INT AS nth FROM f LEFT JOIN h ON p = location AND substr(location, 2)::INT % 2 = 0),
+b AS (SELECT DISTINCT rule_id, location, CASE WHEN sha <> '' AND nth % 3 = 0 THEN 'changed' ELSE sha END AS sha FROM k WHERE rule_id < 'PRV')
 SELECT target_id, rule_id, location, count(*) AS n FROM k WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.rule_id = k.rule_id AND b.location = k.location AND b.sha = k.sha) GROUP BY ALL""",
 )
 def baseline_diff(spark, sf_dir):
+    """Half of the rules are in the baseline; of some files the content has changed since."""
     f = _findings(spark, sf_dir)
     h = _table(spark, sf_dir, "documents").groupBy(F.concat(F.lit("f"), (F.col("doc_id") % 50).cast("string")).alias("path")).agg(F.max(F.sha2("text", 256)).alias("sha256")).where("substring(path, 2) % 2 = 0")
     files = h.join(f.select("target_id", F.col("location").alias("path")).distinct(), "path")
-    base = governance.as_baseline(f.where("detail = 'click'"), files)
+    was = files.withColumn("sha256", F.when(F.expr("substring(path, 2) % 3 = 0"), "changed").otherwise(F.col("sha256")))
+    base = governance.as_baseline(f.where("rule_id < 'PRV'"), was)
     return governance.new_findings(f, files, base).groupBy("target_id", "rule_id", "location").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -528,9 +588,35 @@ def json_report(spark, sf_dir):
     return docs.select("target_id", F.size(F.from_json(F.get_json_object("document", "$.findings"), "array<struct<rule_id:string>>")).cast("long").alias("n"))
 
 
+_LEVEL = "CASE severity WHEN 'CRITICAL' THEN 'error' WHEN 'HIGH' THEN 'error' WHEN 'MEDIUM' THEN 'warning' ELSE 'note' END"
+
+
+@_query("sarif_results", f"SELECT target_id, rule_id, {_LEVEL} AS level, location AS uri, count(*) AS n FROM ({_FINDINGS}) GROUP BY ALL")
+def sarif_results(spark, sf_dir):
+    """Results as they stand in the text of each target's document."""
+    f = _findings(spark, sf_dir)
+    kind = "array<struct<ruleId:string,level:string,locations:array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>>>>>>"
+    results = reports.sarif(f, f).select("target_id", F.explode(F.from_json(F.get_json_object("document", "$.runs[0].results"), kind)).alias("r"))
+    uri = F.col("r.locations")[0]["physicalLocation"]["artifactLocation"]["uri"]
+    return results.groupBy("target_id", F.col("r.ruleId").alias("rule_id"), F.col("r.level").alias("level"), uri.alias("uri")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query(
+    "cyclonedx_parts",
+    f"""WITH f AS ({_FINDINGS}), c AS (SELECT target_id, count(DISTINCT location) + 1 AS n_components FROM f GROUP BY 1)
+SELECT target_id, lower(severity) AS severity, n_components, count(*) AS n FROM f JOIN c USING (target_id) GROUP BY ALL""",
+)
+def cyclonedx_parts(spark, sf_dir):
+    """Components and rated flaws as they stand in the text of each target's bill."""
+    f = _findings(spark, sf_dir)
+    files = f.select("target_id", F.col("location").alias("path"), F.sha2("location", 256).alias("sha256")).distinct()
+    bill = reports.cyclonedx(f, files).select("target_id", F.size(F.from_json(F.get_json_object("document", "$.components"), "array<struct<name:string>>")).cast("long").alias("n_components"), F.from_json(F.get_json_object("document", "$.vulnerabilities"), "array<struct<ratings:array<struct<severity:string>>>>").alias("v"))
+    return bill.select("target_id", "n_components", F.explode("v").alias("x")).groupBy("target_id", F.col("x.ratings")[0]["severity"].alias("severity"), "n_components").agg(F.count(F.lit(1)).alias("n"))
+
+
 @_query(
     "flagship",
-    f"""WITH d AS (SELECT CAST(doc_id % 97 AS VARCHAR) AS target_id, CASE WHEN doc_id % 5 = 0 THEN 'README.md' ELSE doc_id || {_sql_pick(['.txt', '.gguf', '.so', '.safetensors', '.json'], 'doc_id % 5')} END AS path, doc_id % 10 AS h, doc_id FROM documents),
+    f"""WITH d AS (SELECT CAST(doc_id // 3 AS VARCHAR) AS target_id, CASE WHEN doc_id % 5 = 0 THEN 'README.md' ELSE doc_id || {_sql_pick(['.txt', '.gguf', '.so', '.safetensors', '.json'], 'doc_id % 5')} END AS path, doc_id % 10 AS h, doc_id FROM documents),
 k AS (SELECT *, CASE WHEN h = 1 THEN 'gguf' WHEN h = 2 THEN 'native-executable' WHEN h = 3 THEN 'git-lfs-pointer' WHEN doc_id % 5 = 2 THEN 'code' WHEN doc_id % 5 IN (0, 4) THEN 'text' ELSE 'unknown' END AS format FROM d),
 t AS (SELECT target_id, bool_or(path = 'README.md') AS readme, bool_or(ends_with(path, '.gguf') OR ends_with(path, '.safetensors')) AS weights FROM k GROUP BY 1),
 f AS (SELECT target_id, 'INFO' AS severity, 'high' AS confidence FROM k WHERE format = 'gguf'
@@ -548,7 +634,7 @@ def flagship(spark, sf_dir):
     d = _table(spark, sf_dir, "documents")
     head = F.when(F.col("doc_id") % 10 == 1, F.unhex(F.lit("4747554609000000"))).when(F.col("doc_id") % 10 == 2, F.unhex(F.lit("7F454C46"))).when(F.col("doc_id") % 10 == 3, F.encode(F.lit(K.LFS_PREFIX), "UTF-8")).otherwise(F.encode(F.lit("# "), "UTF-8"))
     path = F.when(F.col("doc_id") % 5 == 0, "README.md").otherwise(F.concat(F.col("doc_id").cast("string"), _pick([".txt", ".gguf", ".so", ".safetensors", ".json"], F.col("doc_id") % 5)))
-    rows = d.select((F.col("doc_id") % 97).cast("string").alias("target_id"), path.alias("path"), F.concat(head, F.encode("text", "UTF-8")).alias("content"))
+    rows = d.select(F.floor(F.col("doc_id") / 3).cast("string").alias("target_id"), path.alias("path"), F.concat(head, F.encode("text", "UTF-8")).alias("content"))
     return audit(described(rows)).verdicts.select("target_id", "score", "verdict", "max_severity")
 
 

@@ -100,17 +100,21 @@ def member(entry: Entry, fetch: Fetch) -> bytes:
         return data
     if entry.method != 8:
         raise ValueError(f"method {entry.method}")
-    return zlib.decompressobj(-15).decompress(data, MEMBER_BYTES)
+    inflate = zlib.decompressobj(-15)
+    out = inflate.decompress(data, MEMBER_BYTES)
+    if inflate.unconsumed_tail or not inflate.eof:
+        raise ValueError("member beyond the read limit, or cut short")
+    return out
 
 
 def pickle_members(size: int, fetch: Fetch, most: int = 3) -> list[tuple[str, bytes]]:
-    """Up to ``most`` pickled members; of a file that is no ZIP its head, if it is a pickle stream."""
+    """Up to ``most`` pickled members; of a file that is no ZIP its head, if it is a pickle stream. A member that can't be read whole is an error."""
     try:
         named = [e for e in entries(size, fetch) if e.name.endswith((".pkl", ".pickle"))]
-        return [(e.name, member(e, fetch)) for e in sorted(named, key=lambda e: e.name)[:most]]
-    except Exception:
+    except (ValueError, struct.error):
         head = fetch(0, min(size, HEAD_BYTES))
         return [("", head)] if head[:1] == b"\x80" else []
+    return [(e.name, member(e, fetch)) for e in sorted(named, key=lambda e: e.name)[:most]]
 
 
 def remote_pickles(files: DataFrame, opener: Callable[[str], tuple[int, Fetch]] = http_fetch, most: int = 3) -> DataFrame:

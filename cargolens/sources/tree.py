@@ -1,23 +1,31 @@
-"""Artifact trees as a table: a Python data source that lists folders and reads files in tasks.
+"""Artifact trees as a table: a Python data source that lists folders in tasks, and tasks that read what is asked.
 
 Spark's ``binaryFile`` leaves out files whose names start with a dot or an underscore; an audit must
-see them, so listing is done here. Roots are folders or single files that every executor can open."""
+see them, so listing is done here. Roots are folders or single files that every executor can open. A
+listing is a narrow table of paths, which is dealt out anew; each file's head is read where its row
+lies, and what parsers need beyond it they read by ranges from ``uri``, the file's path as bytes."""
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from ..functions.blob import Blob
 from ..functions.content import base_name, suffix
 from ..model import fixed
 
-SCHEMA = "target_id string, path string, is_repo boolean, size long, content binary, error string"
+LISTING = "target_id string, path string, is_repo boolean, size long, uri binary"
+SCHEMA = f"{LISTING}, content binary, error string"
+#: Bytes of a file that an audit keeps in its row: enough to tell formats by.
+HEAD_BYTES = 64 << 10
 
 
 def walk(root: str, limit: int | None = None) -> Iterator[tuple[str, str, bool, int]]:
@@ -39,20 +47,25 @@ def walk(root: str, limit: int | None = None) -> Iterator[tuple[str, str, bool,
                 yield full, os.path.relpath(full, root), True, 0
 
 
-class _Files(InputPartition):
-    def __init__(self, rows: list[tuple[str, str, str, bool, int]]):
-        self.rows = rows
+def _shown(path: str) -> str:
+    """A path as text: bytes that aren't UTF-8 are escaped."""
+    return os.fsencode(path).decode("utf-8", "backslashreplace")
+
+
+class _Roots(InputPartition):
+    def __init__(self, roots: list[str]):
+        self.roots = roots
 
 
 class ArtifactTree(DataSource):
-    """Options: roots (newline-separated), maxFileMb, maxFiles, headBytes (0: whole files), partitionMb."""
+    """A row for each file below the roots. Options: roots (newline-separated), maxFiles (of each root)."""
 
     @classmethod
     def name(cls) -> str:
         return "artifact_tree"
 
     def schema(self) -> str:
-        return SCHEMA
+        return LISTING
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Reader(self.options)
@@ -61,51 +74,90 @@ class ArtifactTree(DataSource):
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.roots = [r for r in options.get("roots", "").split("\n") if r]
-        self.most = int(options.get("maxFileMb", "4096")) << 20
         self.files = int(options["maxFiles"]) if options.get("maxFiles") else None
-        self.head = int(options.get("headBytes", "0"))
-        self.target = int(options.get("partitionMb", "64")) << 20
 
     def partitions(self) -> list[InputPartition]:
-        """Files in groups of about ``partitionMb``; a large file is a group of its own."""
-        out, group, held = [], [], 0
-        for root in self.roots:
+        """A task walks a root, or some where there are very many."""
+        step = max(1, len(self.roots) // 10_000)
+        return [_Roots(self.roots[i : i + step]) for i in range(0, len(self.roots), step)] or [_Roots([])]
+
+    def read(self, partition: _Roots) -> Iterator[pa.RecordBatch]:
+        names, kinds = ["target_id", "path", "is_repo", "size", "uri"], [pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.binary()]
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+        rows = []
+        for root in partition.roots:
             for full, path, is_repo, size in walk(root, self.files):
-                cost = min(size, self.head) if self.head else size
-                if group and held + cost > self.target:
-                    out.append(_Files(group))
-                    group, held = [], 0
-                group.append((root, full, path, is_repo, size))
-                held += cost + 4096
-        return [*out, _Files(group)] if group or not out else out
-
-    def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
-        names = ["target_id", "path", "is_repo", "size", "content", "error"]
-        kinds = [pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.binary(), pa.string()]
-        for root, full, path, is_repo, size in partition.rows:
-            content = error = None
-            if size > self.most:
-                error = f"{size} bytes: skipped"
-            else:
-                try:
-                    with open(full, "rb") as f:
-                        content = f.read(self.head or -1)
-                except OSError as e:
-                    error = str(e)
-            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((root, path, is_repo, size, content, error), kinds, strict=True)], names=names)
+                rows.append((_shown(root), _shown(path), is_repo, size, os.fsencode(full)))
+                if len(rows) == 1000:
+                    yield batch(rows)
+                    rows = []
+        if rows:
+            yield batch(rows)
 
 
 def artifacts(spark: SparkSession, roots: list[str], max_file_mb: int = 4096, max_files: int | None = None, head_bytes: int = 0) -> DataFrame:
-    """Artifact rows of local roots. ``max_files`` bounds the files taken from each root, as a feature; by default all are."""
+    """Artifact rows of local roots; content is a file's first ``head_bytes``, or all of it for 0. ``max_files``
+    bounds the files taken from each root, as a feature; by default all are."""
     spark.dataSource.register(ArtifactTree)
-    reader = spark.read.format("artifact_tree").option("roots", "\n".join(roots)).option("maxFileMb", max_file_mb).option("headBytes", head_bytes)
-    return described((reader.option("maxFiles", max_files) if max_files is not None else reader).load())
+    reader = spark.read.format("artifact_tree").option("roots", "\n".join(roots))
+    listing = (reader.option("maxFiles", max_files) if max_files is not None else reader).load()
+    most = max_file_mb << 20
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                content = error = None
+                size = b.column(3)[i].as_py()
+                if size > most:
+                    error = f"{size} bytes: skipped"
+                else:
+                    try:
+                        with open(b.column(4)[i].as_py(), "rb") as f:
+                            content = f.read(head_bytes or -1)
+                    except OSError as e:
+                        error = _shown(str(e))
+                row = b.slice(i, 1)
+                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([content], pa.binary()), pa.array([error], pa.string())], names=[*row.schema.names, "content", "error"])
+
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    # where rows lie doesn't matter, so they are dealt out by name: a root with many files is many tasks
+    return described(listing.repartition(tasks, "uri").mapInArrow(read, SCHEMA))
 
 
 def described(rows: DataFrame) -> DataFrame:
     """Rows with target_id, path and content as artifact rows: with name, ext, and defaults for is_repo, size, error."""
-    for column, value in (("is_repo", F.lit(True)), ("size", F.length("content").cast("long")), ("error", F.lit(None).cast("string"))):
+    for column, value in (("is_repo", F.lit(True)), ("size", F.length("content").cast("long")), ("error", F.lit(None).cast("string")), ("uri", F.lit(None).cast("binary"))):
         if column not in rows.columns:
             rows = rows.withColumn(column, value)
     name = base_name(F.col("path"))
     return fixed(rows, name=name, ext=suffix(name))
+
+
+#: Files from this size on aren't hashed.
+HASHED = 512 << 20
+
+
+def _sha256(content: pd.Series, uri: pd.Series, size: pd.Series) -> pd.Series:
+    def one(c: bytes | None, u: bytes | None, n: float) -> str | None:
+        if c is None:
+            return None
+        sha = hashlib.sha256()
+        try:
+            with Blob(bytes(c), None if u is None else bytes(u), int(n)).open() as f:
+                while piece := f.read(1 << 20):
+                    sha.update(piece)
+        except OSError:
+            return None
+        return sha.hexdigest()
+
+    return pd.Series([one(*x) for x in zip(content, uri, size, strict=True)], dtype=object)
+
+
+def sha256_of_file() -> Column:
+    """SHA-256 of an artifact's bytes: native where the row has them all, else read from the file piece by piece."""
+    whole = F.col("uri").isNull() | (F.length("content") >= F.col("size"))
+    rest = F.pandas_udf(_sha256, "string")(F.when(~whole & (F.col("size") < HASHED), F.col("content")), F.col("uri"), F.col("size"))
+    return F.when(F.col("size") >= HASHED, F.lit(None)).when(whole, F.sha2("content", 256)).otherwise(rest)

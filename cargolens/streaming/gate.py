@@ -15,7 +15,9 @@ def gate(arrivals: DataFrame, out: str, checkpoint: str, config: Config = Config
     that is run again after a failure replaces what it wrote before. A target's rows must arrive together."""
 
     def judge(batch: DataFrame, number: int) -> None:
-        rows = admitted(audit(batch, config).verdicts).withColumn("batch", F.lit(number))
+        judged = audit(batch, config)
+        rows = admitted(judged.verdicts).withColumn("batch", F.lit(number))
         rows.write.mode("overwrite").parquet(f"{out}/{number:012d}")
+        judged.release()
 
     return arrivals.writeStream.foreachBatch(judge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

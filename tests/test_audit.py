@@ -1,10 +1,12 @@
 import io
+import os
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from cargolens import rules
+from cargolens.functions.blob import Blob
 from cargolens.operators import containers, governance, hub, naming, pickles, reports
 from cargolens.plans.audit import Config, audit, audit_hub, audit_paths
 from cargolens.sources import remote_zip, tree
@@ -72,15 +74,101 @@ def test_npy_header_is_searched_to_its_end(spark, tmp_path):
     assert sorted(r.location for r in found) == ["m.npy", "w.npz!arr.npy"] and {r.severity for r in found} == {"HIGH"}
     assert len(big) > 1 << 20 and {tuple(r.evidence) for r in found} == {(head[:200].decode(),)}
     odd = [big, big[:9], big[:11], b"x" * 20, fixtures.npy(), fixtures.npy("<f4"), big[:-30]]
-    rows = spark.createDataFrame([("t", str(i), x) for i, x in enumerate(odd)], "target_id string, location string, content binary")
-    native = {r.location: tuple(r)[2:] for r in tensors.npy_facts(rows).collect()}
-    for i, x in enumerate(odd):
-        r = tensors.npy_row(x)
-        assert native[str(i)] == (r["n_bytes"], r.get("problem"), r.get("has_object", False), r.get("evidence")) or r.get("problem")
-        assert native[str(i)][1] == r.get("problem")
+    got = [tensors.npy_row(Blob(x)) for x in odd]
+    assert [(r.get("problem"), r.get("has_object", False)) for r in got] == [(None, True), ("no header", False), ("header ends early", False), ("no header", False), (None, True), (None, False), (None, False)]
+    rows = spark.createDataFrame([("t", str(i), r) for i, r in enumerate(got)], f"target_id string, location string, x struct<{tensors.NPY.replace(' ', ':', 1).replace(', ', ',').replace(' string', ':string').replace(' boolean', ':boolean')}>").select("target_id", "location", "x.*")
     assert {(r.location, r.rule_id) for r in union(tensors.npy_findings(rows)).collect()} == {("0", "NPY-001"), ("1", "NPY-000"), ("2", "NPY-000"), ("3", "NPY-000"), ("4", "NPY-001")}
 
 
+def old_tar(members):
+    """A tar without the ustar mark, as version 7 wrote."""
+    out = b""
+    for name, (data, mode) in members.items():
+        head = bytearray(512)
+        head[: len(name)] = name.encode()
+        for at, n, value in ((100, 8, mode), (108, 8, 0), (116, 8, 0), (124, 12, len(data)), (136, 12, 0)):
+            head[at : at + n] = f"{value:0{n - 1}o}".encode() + b"\0"
+        head[148:156] = b" " * 8
+        head[148:156] = f"{sum(head):06o}\0 ".encode()
+        out += bytes(head) + data.ljust(-(-len(data) // 512) * 512, b"\0")
+    return out + b"\0" * 1024
+
+
+def hostile():
+    """Files that end a careless audit, and files whose payload a careless reader misses."""
+    import bz2
+    import json
+    import lzma
+
+    return {
+        "surrogate-pickle": {"m.pkl": bytes.fromhex("80048c03eda080942e")},
+        "surrogate-template": {"tokenizer_config.json": b'{"chat_template": "\\ud800 {{ x.__class__ }}"}'},
+        "surrogate-tensor": {"m.safetensors": fixtures.tensors({"\ud800": ("F32", [1], 4, 0)}, body=8)},
+        "surrogate-notebook": {"n.ipynb": json.dumps({"cells": [{"cell_type": "code", "source": ["!ls \udfff"]}]}).encode()},
+        "deep-sum": {"a.py": b"__import__('a'" + b"+'a'" * 1500 + b"+chr(1))\n"},
+        "deep-json": {"config.json": b"[" * 100_000, "n.ipynb": b"[" * 100_000},
+        "odd-notebook": {"n.ipynb": b'{"cells": [3]}'},
+        "joined-bz2": {"m.bz2": bz2.compress(b"\x80") + bz2.compress(fixtures.ECHO[1:])},
+        "joined-xz": {"m.xz": lzma.compress(b"\x80") + lzma.compress(fixtures.ECHO[1:])},
+        "bz2-and-garbage": {"m.bz2": bz2.compress(fixtures.ECHO) + b"tail"},
+        "old-tar": {"weights.dat": old_tar({"../up": (b"1", 0o644), "m.pkl": (fixtures.ECHO, 0o755)})},
+        "huge-numbers": {"m.safetensors": fixtures.tensors({"w": ("F32", [10**40], 0, 10**45)}, body=8)},
+        "clean": {"README.md": b"# fine\n", "model.safetensors": fixtures.SAFE},
+    }
+
+
+def test_no_file_ends_the_audit(spark, tmp_path):
+    roots = fixtures.write(tmp_path, hostile())
+    with open(os.fsencode(roots[-1]) + b"/bad\xff.txt", "wb") as f:
+        f.write(b"x")
+    a = audit_paths(spark, roots, Config(hash_files=True))
+    name = lambda r: r.target_id.rsplit("/", 1)[-1]
+    fired: dict[str, set] = {}
+    for r in a.findings.select("target_id", "rule_id").distinct().collect():
+        fired.setdefault(name(r), set()).add(r.rule_id)
+    verdicts = {name(r): r for r in a.verdicts.collect()}
+    assert set(verdicts) == set(hostile()) and verdicts["clean"].verdict == "ALLOW" and verdicts["clean"].exit_code == 0
+    assert "FMT-001" in fired["surrogate-pickle"] and "TPL-001" in fired["surrogate-template"] and "STF-004" in fired["surrogate-tensor"] and "NB-001" in fired["surrogate-notebook"]
+    assert "PY-002" in fired["deep-sum"] and "CFG-000" in fired["deep-json"] and "STF-004" in fired["huge-numbers"]
+    for t in ("joined-bz2", "joined-xz", "bz2-and-garbage", "old-tar"):
+        assert "PKL-001" in fired[t], t
+    assert {"ZIP-001", "ZIP-006"} <= fired["old-tar"]
+    assert {r.path for r in a.files.where("path like 'bad%'").collect()} == {"bad\\xff.txt"}
+    assert all(r.sha256 for r in a.files.where("inspected").collect())
+
+
+def test_a_failing_parser_is_an_error_of_its_file(spark, tmp_path, monkeypatch):
+    from cargolens.operators import facts
+
+    rows = list(facts.Parser({"npy"}).rows("p", "p", "npy", True, Blob(b"x", os.fsencode(__file__), 10**9)))
+    assert rows[0][1] == "npy"
+    broken = type("Broken", (Blob,), {"read": lambda self, *a: 1 // 0})
+    assert list(facts.Parser({"npy"}).rows("p", "p", "npy", True, broken(b"x"))) == [("p", "error", {"message": "ZeroDivisionError: integer division or modulo by zero"})]
+    # what Arrow refuses is an error too, and stands beside the rest
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    key = {"target_id": "t", "path": "p", "location": "p"}
+    batch = facts.as_batch([key | {"kind": "member", "member": {"member": m, "mode": mode}} for m, mode in (("a\ud800", 1), ("b", 10**12), ("c", 3))], to_arrow_schema(facts._schema()))
+    assert batch.column(3).to_pylist() == ["member", "error", "member"] and batch.to_pylist()[0]["member"]["member"] == "a\\ud800"
+
+
+def test_large_sparse_file_is_read_by_ranges(spark, tmp_path):
+    """3 GB of tensors behind a small header: neither the listing nor the parser takes them into memory."""
+    import json
+    import struct
+
+    head = json.dumps({"w": {"dtype": "F32", "shape": [3 << 28], "data_offsets": [0, 3 << 30]}, "v": {"dtype": "F32", "shape": [2], "data_offsets": [0, 8]}}).encode()
+    (tmp_path / "big").mkdir()
+    with open(tmp_path / "big" / "m.safetensors", "wb") as f:
+        f.write(struct.pack("<Q", len(head)) + head)
+        f.truncate(8 + len(head) + (3 << 30))
+    a = audit_paths(spark, [str(tmp_path / "big")], Config(hash_files=True))
+    assert {r.rule_id for r in a.findings.collect()} == {"STF-006", "REPO-004", "SIG-002"}
+    f = a.files.first()
+    assert f.inspected and f.size == 8 + len(head) + (3 << 30) and f.sha256 is None and a.errors.count() == 0
+    a.release()
+
+
 def test_reports_list_all_findings(spark):
     found = spark.range(1500).select(F.lit("t").alias("target_id"), F.lit("PKL-001").alias("rule_id"), F.lit("HIGH").alias("severity"), F.format_string("f%05d", "id").alias("location"), F.lit("").alias("detail"), F.array().cast("array<string>").alias("evidence"))
     verdicts = spark.createDataFrame([("t", "BLOCK", 100)], "target_id string, verdict string, score int")
@@ -194,6 +282,8 @@ def test_hub(spark):
     assert {"PRV-003", "PRV-004"} <= {r.rule_id for r in a.findings.where("target_id = 'old/m'").collect()}
     local = spark.createDataFrame([("new/m0", "model.bin"), ("new/m0", "x/a.py"), ("new/m0", "injected.py"), ("new/m0", "README.md")], "target_id string, path string")
     drift = hub.manifest_drift(local, repos).collect()
+    named = audit(tree.described(local.withColumn("content", F.lit(b"x"))), repos=repos, identifiers=local.select("target_id", F.col("target_id").alias("repo_id")).distinct(), corpus_age_days=91, as_of="2024-01-05T00:00:00Z")
+    assert {"PRV-007", "SQT-009"} <= {r.rule_id for r in named.findings.where("target_id = 'new/m0'").collect()}
     assert [(r.location, list(r.evidence)) for r in drift] == [("injected.py", ["injected.py"])]
 
 
@@ -211,6 +301,13 @@ def test_remote_zip(spark):
     rows = spark.createDataFrame([("t", u, u) for u in files], "target_id string, path string, url string")
     got = {r.location: bytes(r.content) for r in remote_zip.remote_pickles(rows, opener).collect()}
     assert got == {"a!archive/data.pkl": fixtures.ECHO, "b!archive/data.pkl": fixtures.state(), "c": fixtures.ECHO}
+    # a member that inflates beyond the limit is an error, not its first part
+    much = io.BytesIO()
+    with zipfile.ZipFile(much, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("data.pkl", b"\0" * (remote_zip.MEMBER_BYTES + 1))
+    files["d"] = much.getvalue()
+    r = remote_zip.remote_pickles(spark.createDataFrame([("t", "d", "d")], "target_id string, path string, url string"), opener).first()
+    assert r.content is None and "beyond the read limit" in r.error
 
 
 def test_score_properties(spark):
