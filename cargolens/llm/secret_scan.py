@@ -3,17 +3,25 @@
 Base matches are leftmost and not overlapping for each kind; one that fails its length test is
 dropped. Their places come from the lengths of the pieces between matches, as code points.
 
-The battery looks at runs of ``CANDIDATE`` characters. Their encoding is inferred (hex, base32,
-base64), each symbol gets its value in that alphabet, and three tests ask whether the symbols could
-be random: chi-squared of the alphabet's counts, runs above and below the alphabet's middle, and
-lag-1 serial correlation. Bonferroni joins the three. A run is ordinary text where randomness is
-rejected under Benjamini-Hochberg at level ``ALPHA``, over the candidates of its band of lengths,
-for long runs are rejected more easily; the rest are random enough to be keys. The ranking is made
-of counts of p-values in fixed bins, so that only the small table of bins is ordered, never a band's
-candidates. Short runs that mix no digits with letters are not candidates.
-
-Null and empty texts have no span; repeated rows give the same row again; an empty table gives no
-rows; extra columns stay in :func:`scan`, clashing ones are replaced."""
+The battery looks at all runs of ``CANDIDATE`` characters that mix digits with letters, those inside
+base spans included. Their encoding is inferred (hex, base32, base64), each symbol gets its value in
+that alphabet, and three tests ask whether the symbols could be random: chi-squared of the alphabet's
+counts, runs above and below the alphabet's middle, and lag-1 serial correlation. Bonferroni joins the
+three, and a run that they reject at ``RANDOM_LEVEL`` is no key. For the others the null hypothesis is
+ordinary text: of n symbols whose coincidence is that of text (``TEXT_COINCIDENCE``) chi-squared is
+noncentral, larger the longer the run, and ``p_text`` is the chance of one as small as the run's.
+Benjamini-Hochberg at ``ALPHA`` over these, within bands of length and over all candidates of the band,
+says which runs are reported, so the expected share of ordinary text among the reported is bounded, at
+each length. Ranks are made of counts of p-values in fixed bins: only the small table of bins is
+ordered, never a band's candidates.
+
+A reported run that no base span covers is added as kind ``random``; base spans stay, and those that a
+reported run touches are marked as verified.
+
+Null and empty texts have no span; very long texts are scanned whole, and places are added up in pieces,
+so a text's time grows little more than with its matches; equal p-values share a bin and are reported
+together; repeated rows give the same row again; an empty table gives no rows; extra columns stay in
+:func:`scan`, and ``base``, ``tested`` and ``added`` are replaced."""
 
 from __future__ import annotations
 
@@ -29,20 +37,31 @@ HEX_LONG = r"(?<![0-9a-f])[0-9a-f]{32,}+"
 KINDS = ("assign", "access", "hex")
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"
 ALPHA = 0.05
+RANDOM_LEVEL = 0.001
+#: Chance that two symbols of ordinary text are equal: of digits with some letters, of capitals, of words in mixed case.
+TEXT_COINCIDENCE = {"hex": 0.09, "base32": 0.066, "base64": 0.055}
 BANDS = (20, 24, 32, 40, 48, 64, 96, 128, 256)
 BINS_PER_DECADE = 50
 
 
+#: Matches whose places are added up in one piece.
+_PIECE = 256
+
+
 def _places(text: F.Column, pattern: str, group: int = 0) -> F.Column:
     """array<struct<start, end, hit>> of all matches of a pattern; ``hit`` is the group's text."""
     parts, found, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    sizes = F.transform(F.arrays_zip(F.slice(parts, 1, F.size(found)).alias("part"), found.alias("found"), hits.alias("hit")), lambda x: F.struct(F.length(x["part"]).alias("gap"), F.length(x["found"]).alias("n"), x["hit"].alias("hit")))
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / _PIECE).cast("int")), lambda i: F.slice(sizes, i * _PIECE + 1, _PIECE))
+    length = lambda piece: F.aggregate(piece, F.lit(0), lambda n, x: n + x["gap"] + x["n"])
+    offsets = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda acc, x: F.struct((acc["at"] + length(x)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
     step = lambda acc, x: F.struct(
-        (acc["at"] + F.length(x["part"]) + F.length(x["found"])).alias("at"),
-        F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["part"])).alias("start"), (acc["at"] + F.length(x["part"]) + F.length(x["found"])).alias("end"), x["hit"].alias("hit")))).alias("out"),
+        (acc["at"] + x["gap"] + x["n"]).alias("at"),
+        F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["n"]).alias("end"), x["hit"].alias("hit")))).alias("out"),
     )
-    zipped = F.arrays_zip(F.slice(parts, 1, F.size(found)).alias("part"), found.alias("found"), hits.alias("hit"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,hit:string>>").alias("out"))
-    return F.aggregate(zipped, start, step)["out"]
+    none = F.array().cast("array<struct<start:int,end:int,hit:string>>")
+    placed = F.zip_with(pieces, offsets, lambda piece, at: F.aggregate(piece, F.struct(at.alias("at"), none.alias("out")), step)["out"])
+    return F.when(F.size(found) > 0, F.flatten(placed)).otherwise(none)
 
 
 def _when_found(maybe: F.Column, text: F.Column, pattern: str, value: F.Column) -> F.Column:
@@ -78,7 +97,7 @@ def _normal_tail(z: F.Column) -> F.Column:
 
 
 def battery(runs: DataFrame) -> DataFrame:
-    """runs: rows with ``hit``. Adds encoding, n, z_chi, z_runs, z_serial, p and band."""
+    """runs: rows with ``hit``. Adds encoding, n, z_chi, z_runs, z_serial, p (of randomness), p_text (of ordinary text) and band."""
     hit = F.col("hit")
     kind = F.when(hit.rlike(r"^(?:[0-9a-f]+|[0-9A-F]+)$"), "hex").when(hit.rlike(r"^[A-Z2-7]+$"), "base32").otherwise("base64")
     out = runs.withColumn("encoding", kind)
@@ -100,6 +119,8 @@ def battery(runs: DataFrame) -> DataFrame:
     spread = F.expr("aggregate(v, 0D, (a, x) -> a + (x - _m) * (x - _m))")
     lagged = F.expr("aggregate(sequence(1, size(v) - 1), 0D, (a, i) -> a + (v[i] - _m) * (v[i - 1] - _m))")
     out = out.withColumn("_s", spread).withColumn("z_serial", F.when(F.col("_s") == 0, F.sqrt(n)).otherwise((lagged / F.col("_s") + 1 / n) * F.sqrt(n)))
+    excess = F.col("n") * (F.col("k") * F.create_map(*[F.lit(x) for kv in TEXT_COINCIDENCE.items() for x in kv])[F.col("encoding")] - 1)
+    out = out.withColumn("p_text", F.greatest(_normal_tail((df + excess - F.col("chi2")) / F.sqrt(2 * (df + 2 * excess))), F.lit(1e-40)))
     least = F.least(_normal_tail(F.col("z_chi")), 2 * _normal_tail(F.abs("z_runs")), 2 * _normal_tail(F.abs("z_serial")))
     band = F.lit(0)
     for b in BANDS[1:]:
@@ -108,38 +129,56 @@ def battery(runs: DataFrame) -> DataFrame:
 
 
 def random_runs(tested: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """The tested runs whose randomness stands under false-discovery control in their band."""
-    placed = tested.withColumn("bin", F.floor(-F.log10("p") * BINS_PER_DECADE).cast("int"))
+    """The tested runs that randomness isn't rejected for, and ordinary text is under false-discovery control in their band."""
+    placed = tested.withColumn("bin", F.floor(-F.log10("p_text") * BINS_PER_DECADE).cast("int"))
     counts = placed.groupBy("band", "bin").agg(F.count(F.lit(1)).alias("c"))
     # A bin's hypotheses are rejected where its largest p is at most alpha * (as many as lie in it and below) / all. The table has at most bands x 2000 rows.
     totals = counts.groupBy("band").agg(F.sort_array(F.collect_list(F.struct("bin", "c")), asc=False).alias("bins"), F.sum("c").alias("m"))
     ranked = totals.withColumn("sums", F.expr("aggregate(bins, cast(array() as array<struct<bin:int,upto:bigint>>), (acc, x) -> concat(acc, array(struct(x.bin as bin, if(size(acc) = 0, 0L, acc[size(acc) - 1].upto) + x.c as upto))))"))
     passed = F.expr(f"array_min(transform(filter(sums, s -> pow(10D, -s.bin / {float(BINS_PER_DECADE)}D) <= {alpha} * s.upto / m), s -> s.bin))")
     limits = ranked.select("band", F.coalesce(passed, F.lit(2**30)).alias("limit_bin"))
-    return placed.join(F.broadcast(limits), "band").where("bin < limit_bin").drop("bin", "limit_bin")
+    return placed.join(F.broadcast(limits), "band").where((F.col("bin") >= F.col("limit_bin")) & (F.col("p") >= RANDOM_LEVEL)).drop("bin", "limit_bin")
+
+
+def _uncovered(runs: F.Column, base: F.Column) -> F.Column:
+    """Of runs those that no single base span covers, by one pass over both in order of start."""
+    mark = lambda spans, tag: F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(tag).alias("tag"), x["end"].alias("end")))
+    both = F.array_sort(F.concat(mark(base, 0), mark(runs, 1)))
+    none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
+    span = lambda x: F.struct(x["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), x["end"].alias("end"), F.lit("random").alias("kind"))
+    step = lambda acc, x: F.struct(
+        F.when(x["tag"] == 0, F.greatest(acc["reach"], x["end"])).otherwise(acc["reach"]).alias("reach"),
+        F.when((x["tag"] == 1) & (x["end"] > acc["reach"]), F.concat(acc["out"], F.array(span(x)))).otherwise(acc["out"]).alias("out"),
+    )
+    return F.aggregate(both, F.struct(F.lit(0).alias("reach"), none.alias("out")), step)["out"]
 
 
 def scan(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """doc rows with ``base`` and ``added`` (random runs that touch no base span); the text isn't kept."""
+    """doc rows with ``base``, ``tested`` (runs that the battery reports, with their test values) and ``added`` (those that no base span covers); the text isn't kept."""
     from .common import written
 
     text = F.coalesce(F.col("text"), F.lit(""))
     mixed = lambda x: x["hit"].rlike("[0-9]") & x["hit"].rlike("[A-Za-z]")
     found = _when_found(text.rlike("[0-9]"), text, CANDIDATE, F.filter(_places(text, CANDIDATE), mixed))
-    keyed = base_spans(docs.withColumn("_row", F.monotonically_increasing_id())).withColumn("_runs", found).drop("text")
-    keyed = written(keyed, "secret-rows")
-    loose = keyed.where("size(_runs) > 0").select("_row", "base", F.explode("_runs").alias("x")).select("_row", "base", "x.*")
-    loose = loose.where(~F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))).drop("base")
-    random = random_runs(battery(loose), alpha)
-    added = random.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("rank"), "end", F.lit("random").alias("kind")))).alias("added"))
-    none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
-    return keyed.join(added, "_row", "left").withColumn("added", F.coalesce("added", none)).drop("_row", "_runs")
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "base", "tested", "added")]
+    rows = docs.select(F.struct(*own).alias("_own"), "text", F.monotonically_increasing_id().alias("_row"), found.alias("_runs"))
+    keyed = written(base_spans(rows).drop("text"), "secret-rows")
+    runs = keyed.where("size(_runs) > 0").select("_row", F.explode("_runs").alias("x")).select("_row", "x.*")
+    random = random_runs(battery(runs), alpha)
+    tested = random.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "encoding", "p", "p_text"))).alias("tested"))
+    out = keyed.join(tested, "_row", "left").withColumn("tested", F.coalesce("tested", F.array().cast("array<struct<start:int,end:int,encoding:string,p:double,p_text:double>>")))
+    return out.select("_own.*", "base", "tested", _uncovered(F.col("tested"), F.col("base")).alias("added"))
+
+
+def verified(base: F.Column, tested: F.Column) -> F.Column:
+    """The base spans that a reported run touches."""
+    return F.filter(base, lambda b: F.exists(tested, lambda t: (t["start"] < b["end"]) & (t["end"] > b["start"])))
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """The digest columns of the contract."""
+    """The digest columns of the contract, the number of added spans, and the base spans that the battery verifies."""
     out = scan(docs.select("doc_id", "text"))
     said = lambda c: F.concat_ws(",", F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
     count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     counts = [count(k) for k in KINDS]
-    return out.select("doc_id", *counts, F.sha2(said(F.col("base")), 256).alias("base_sha256"), said(F.array_sort(F.concat("base", "added"))).alias("spans"))
+    return out.select("doc_id", *counts, F.sha2(said(F.col("base")), 256).alias("base_sha256"), said(F.array_sort(F.concat("base", "added"))).alias("spans"), F.size("added").cast("long").alias("n_random"), said(verified(F.col("base"), F.col("tested"))).alias("verified"))
