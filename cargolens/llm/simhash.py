@@ -10,13 +10,13 @@ member, and links go into a union-find, so a bucket gives at most a link for eac
 many pairs it holds. A bucket beyond ``CHUNK`` members is cut into Gray-ordered chunks that act as
 its top nodes: pairs of chunks that the masks don't prune are dealt to different tasks.
 
-Routes of :func:`hamming_components` are blocks of bits, one more than may differ, so linked
-fingerprints share at least one block: the search is exact. :func:`near_duplicates` looks for
+Routes of :func:`hamming_components` are choices of blocks of bits, of which linked fingerprints share
+at least one: the search is exact. With more fingerprints there are more blocks, so routes stay small. :func:`near_duplicates` looks for
 Jaccard similarity of shingle sets instead, where fingerprints differ in many bits; its routes are
 ``ANCHORS`` min-wise hashes of the set, the index finds candidates of ``CANDIDATE_BITS`` bits or
 fewer by fingerprints of the sets, without repeats, and the sets decide.
 
-Null and empty texts have fingerprint zero and are linked like any other; fewer words than a shingle
+Very long texts are hashed whole. Null and empty texts have fingerprint zero and are linked like any other; fewer words than a shingle
 make one shingle; repeated rows stay rows in :func:`report` and one of them stays in
 :func:`drop_near_duplicates`; a null id ranks first there and is ignored as a component's smallest
 id; an empty table gives no rows; extra columns are kept, whatever their names."""
@@ -24,7 +24,7 @@ id; an empty table gives no rows; extra columns are kept, whatever their names."
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pandas as pd
@@ -234,16 +234,29 @@ def bucket_links(rows: DataFrame, bits: int, chunk: int = CHUNK) -> DataFrame:
     return out.unionByName(_bucket_links(dealt.repartition("route").sortWithinPartitions("route"), bits))
 
 
-def _block_routes(fp: F.Column, bits: int) -> F.Column:
-    """array<long>: the block's number and its bits, for bits + 1 blocks."""
-    n = bits + 1
+#: Fingerprints of a route that are expected at most; more blocks, and so longer routes, are taken where there are more.
+ROUTE_PRINTS = 1024
+
+
+def _block_routes(fp: F.Column, bits: int, intact: int = 1) -> F.Column:
+    """array<long>: a number and the bits of every choice of ``intact`` of ``bits`` + ``intact`` blocks.
+
+    Fingerprints that differ in ``bits`` bits have ``intact`` blocks in common, whichever they are."""
+    n = bits + intact
     edges = [64 * i // n for i in range(n + 1)]
-    return F.array(*[F.xxhash64(F.lit(i), F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1))) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))])
+    block = lambda i: F.shiftrightunsigned(fp, edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1))
+    return F.array(*[F.xxhash64(F.lit(k), *[block(i) for i in some]) for k, some in enumerate(combinations(range(n), intact))])
+
+
+def intact_blocks(prints: int, bits: int) -> int:
+    """Blocks of a route, so that random fingerprints would meet by ``ROUTE_PRINTS`` or fewer; every choice is exact."""
+    return next((k for k in range(1, 5) if prints >> (64 * k // (bits + k)) <= ROUTE_PRINTS), 4)
 
 
-def hamming_components(prints: DataFrame, bits: int = 2, chunk: int = CHUNK) -> DataFrame:
+def hamming_components(prints: DataFrame, bits: int = 2, chunk: int = CHUNK, intact: int | None = None) -> DataFrame:
     """prints: (fp) distinct. (fp, component): the smallest fingerprint that is reachable; fingerprints without a link are left out."""
-    routed = prints.select("fp", F.explode(_block_routes(F.col("fp"), bits)).alias("route")).withColumn("node", F.col("fp"))
+    blocks = intact or intact_blocks(prints.count(), bits)
+    routed = prints.select("fp", F.explode(_block_routes(F.col("fp"), bits, blocks)).alias("route")).withColumn("node", F.col("fp"))
     return components(bucket_links(routed, bits, chunk)).withColumnRenamed("node", "fp")
 
 
