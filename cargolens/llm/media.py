@@ -6,7 +6,9 @@ is stored once, and of shards that hold the same payload the first is read for a
 digest, the shard, offset and length; the header columns come from range reads of the first 33 bytes
 of a member; reading the payload back is a range read of the member.
 
-Null texts are empty and an empty text is one row of spaces. Equal texts get equal values. Repeated
+Null texts are empty and an empty text is one row of spaces; a very long text is one image, held whole
+by its task. Equal texts get equal values: of shards with the same payload the one with the smallest
+(path, offset) is read. Columns beside doc_id and text are not looked at, whatever their names. Repeated
 rows stay rows. An empty table gives no rows and no shard."""
 
 from __future__ import annotations
@@ -145,6 +147,13 @@ def with_header(manifest: DataFrame) -> DataFrame:
     return manifest.select(*[f.name for f in columns]).mapInPandas(read, f"{kinds}, width long, height long")
 
 
+def _pieces(members: DataFrame) -> int:
+    """Tasks that members are read by: of 64 MB of media at most, of 4 MB at least where that keeps all cores busy."""
+    total = members.agg(F.sum("length")).first()[0] or 0
+    cores = members.sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-total // (64 << 20)), min(-(-total // (4 << 20)), 4 * cores))
+
+
 def read_back(manifest: DataFrame) -> DataFrame:
     """A row for each distinct payload: its first stored member, read, decoded and described."""
     members = manifest.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*")
@@ -160,7 +169,9 @@ def read_back(manifest: DataFrame) -> DataFrame:
                 rows.append((digest, width, height, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(data)))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in FEATURES.split(", ")])
 
-    return members.repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset").mapInPandas(read, FEATURES)
+    # by numbers in place of the shards' long paths, which a range's sample would take to the driver
+    ordered = members.withColumn("_s", F.xxhash64("shard")).repartitionByRange(_pieces(manifest), "_s", "offset").sortWithinPartitions("_s", "offset")
+    return ordered.drop("_s").mapInPandas(read, FEATURES)
 
 
 def report(docs: DataFrame) -> DataFrame:
