@@ -7,9 +7,10 @@ Their vectors, ``MAX_LABELLED`` at most, are broadcast; each document's vector i
 of them by exact cosine in blocks, and its ``NEIGHBOURS`` nearest ones vote, weighted by similarity.
 
 Fitting uses a bounded sample of labelled rows: the ``MAX_LABELLED`` with the smallest hash of their
-id. Only the text is an input of a score. Null and empty texts get the score of an empty text; a
-repeated row gets the same score again; without any labelled row every score is 0.5; extra columns
-stay, and clashing ones (``score``, ``predicted``) are replaced."""
+id. Only the text is an input of a score. Null and empty texts get the score of an empty text; very long
+texts are counted whole; neighbours that tie with the last one vote too; a repeated row gets the same
+score again; without any labelled row every score is 0.5; extra columns stay, and clashing ones
+(``score``, ``predicted``) are replaced."""
 
 from __future__ import annotations
 
@@ -81,11 +82,16 @@ class Model:
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
 
     def score(self, x: np.ndarray, neighbours: int = NEIGHBOURS) -> np.ndarray:
-        s = (self.embed(x) @ self.neighbours.T).astype(np.float64)
+        """The share of label 1 in the vote of the nearest ones; all that are as near as the last of them vote too.
+
+        Cosines are rounded to five digits, so that a text scores alike in whatever block it stands."""
+        s = np.round((self.embed(x) @ self.neighbours.T).astype(np.float64), 5)
         k = min(neighbours, s.shape[1])
-        at = np.argpartition(-s, k - 1, axis=1)[:, :k]
-        w = np.maximum(np.take_along_axis(s, at, 1), 1e-6) ** SHARPNESS
-        return np.clip((w * self.labels[at]).sum(1) / w.sum(1), 0, 1)
+        last = -np.partition(-s, k - 1, axis=1)[:, k - 1]
+        row, at = np.nonzero(s >= last[:, None])
+        w = np.maximum(s[row, at], 1e-6) ** SHARPNESS
+        votes = lambda v: np.bincount(row, v, len(s))
+        return np.clip(votes(w * self.labels[at]) / votes(w), 0, 1)
 
 
 def held_out() -> F.Column:
