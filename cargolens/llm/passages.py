@@ -7,7 +7,10 @@ every later one is a repeat. Consecutive repeats of a document form a run; a run
 words or more is removed, so that short units which recur by chance stay. Offsets are code points of
 the original text.
 
-Null and empty texts have no unit. Copies and repeated rows: the first row by (doc_id, place in the
+With ``min_words`` of 1 every repeated unit goes; at ``MIN_WORDS`` a short line or sentence that recurs
+alone, as a heading or a licence's first line does, stays wherever it stands.
+
+Null and empty texts have no unit; a very long text is cut whole by its task. Copies and repeated rows: the first row by (doc_id, place in the
 table) keeps its text; the others lose theirs, for each row is a document of its own. Null ids rank
 first. An empty table gives no rows. Extra columns stay in :func:`cleaned`; clashing names don't
 matter, for the row is carried whole."""
@@ -27,8 +30,9 @@ from .decontaminate import words
 
 #: Words that a run of repeats must have to be removed.
 MIN_WORDS = 25
-#: Occurrences of a digest that one task gets, and digests that are dealt out so: the most common ones, a small broadcast.
-HOT_UNITS, HOT_MOST = 20_000, 10_000
+#: Occurrences of a digest that one task gets. A digest with more than these and a ten-thousandth of all units is dealt
+#: out; there can be 10,000 such digests at most, which bounds their broadcast.
+HOT_UNITS, HOT_SHARE = 20_000, 10_000
 _END = re.compile(r"[.!?]+[ \t\n\r]+|\n+")
 UNITS = "_row long, doc_id long, pos int, start int, end int, n_words int, digest binary"
 
@@ -73,7 +77,8 @@ def _removed(keyed: DataFrame, min_words: int) -> DataFrame:
     every = written(keyed.mapInPandas(cut, UNITS), "passage-units")
     first = written(every.groupBy("digest").agg(F.min(F.struct("doc_id", "_row", "pos", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "passage-firsts")
     # rows of a very common digest meet its first occurrence in several tasks
-    hot = F.broadcast(first.where(F.col("n") > HOT_UNITS).orderBy(F.desc("n"), "digest").limit(HOT_MOST).select("digest", F.ceil(F.col("n") / HOT_UNITS).cast("int").alias("salts")))
+    least = max(HOT_UNITS, every.count() // HOT_SHARE)
+    hot = F.broadcast(first.where(F.col("n") > least).select("digest", F.ceil(F.col("n") / least).cast("int").alias("salts")))
     dealt = every.join(hot, "digest", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("_row", "pos"), F.col("salts")).cast("int"), F.lit(0))).drop("salts")
     spread = first.join(hot, "digest", "left").select("digest", "first", F.explode(F.expr("sequence(0, coalesce(salts, 1) - 1)")).alias("salt"))
     again = dealt.join(spread, ["digest", "salt"]).where("_row <> first._row or pos <> first.pos")
