@@ -73,8 +73,8 @@ def brute_components(prints, bits):
     return {p: top(p) for p in prints}
 
 
-@pytest.mark.parametrize("chunk", [8192, 16])
-def test_hamming_components_of_dense_prints(spark, chunk):
+@pytest.mark.parametrize(("chunk", "intact"), [(8192, None), (16, 1), (8192, 3)])
+def test_hamming_components_of_dense_prints(spark, chunk, intact):
     """Random prints, tight balls and a chain; with a small chunk the hot blocks are cut in pieces."""
     rng = np.random.default_rng(5)
     prints = set(rng.integers(0, 1 << 62, 150).tolist())
@@ -86,7 +86,7 @@ def test_hamming_components_of_dense_prints(spark, chunk):
             prints.add(p)
     prints |= {(1 << i) - 1 for i in range(0, 60, 2)}
     df = spark.createDataFrame([(p,) for p in sorted(prints)], "fp long")
-    got = {r.fp: r.component for r in simhash.hamming_components(df, 2, chunk).collect()}
+    got = {r.fp: r.component for r in simhash.hamming_components(df, 2, chunk, intact).collect()}
     want = brute_components(sorted(prints), 2)
     assert {p: got.get(p, p) for p in prints} == want
 
@@ -112,6 +112,15 @@ def test_components_of_long_paths(spark):
     assert got == {**{i: 0 for i in range(51)}, 100: 100, 200: 100, 300: 100}
 
 
+def test_components_of_hubs(spark, monkeypatch):
+    """Nodes with many edges get their minima by broadcast; the components are those of all others."""
+    monkeypatch.setattr(graph, "HOT_EDGES", 3)
+    edges = [(1000, i) for i in range(40)] + [(i, 2000) for i in range(30, 60)] + [(5000, 5001), (5001, 5002), (-3, 5002)]
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in [*range(60), 1000, 2000]}, **{i: -3 for i in (5000, 5001, 5002, -3)}}
+    assert simhash.intact_blocks(10**6, 2) == 1 and simhash.intact_blocks(10**11, 2) == 2
+
+
 def jaccard(a, b):
     sets = [set(simhash.shingle_hashes(t, 5).tolist()) or {0} for t in (a, b)]
     return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
@@ -328,6 +337,21 @@ def test_quality_separates_and_handles_edges(spark, docs):
     assert quality.report(none(docs), labels).count() == 0
 
 
+def test_vote_equals_plain_count():
+    """Cosines and votes in plain Python; neighbours that tie with the last one vote, and copies score alike in any block."""
+    rng = np.random.default_rng(2)
+    texts = [words(20, i) if i % 3 else words(20, i // 2).upper() + "!" for i in range(60)]
+    x, y = np.stack([quality.terms(t) for t in [*texts, *texts[:20]]]), rng.integers(0, 2, 80)
+    m = quality.Model(x, y)
+    got = m.score(x, 7)
+    for i, v in enumerate(m.embed(x).astype(float)):
+        cos = [round(float(sum(a * b for a, b in zip(v, u, strict=True))), 5) for u in m.neighbours.astype(float)]
+        last = sorted(cos, reverse=True)[6]
+        votes = [(max(c, 1e-6) ** quality.SHARPNESS, l) for c, l in zip(cos, y, strict=True) if c >= last]
+        assert abs(got[i] - sum(w * l for w, l in votes) / sum(w for w, _ in votes)) < 0.02
+    assert (got[:20] == got[60:]).all() and m.score(x[5:6], 7)[0] == got[5]
+
+
 # --- media -----------------------------------------------------------------------------------------
 
 
@@ -499,10 +523,42 @@ def test_secrets_base_and_battery(spark, docs):
                     spans.append((m.start(), r, m.end(), k))
         said = ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(spans))
         assert got[i].base_sha256 == hashlib.sha256(said.encode()).hexdigest() and [got[i].n_assign, got[i].n_access, got[i].n_hex] == [sum(s[3] == k for s in spans) for k, _ in patterns]
-    assert got[3].spans == f"random:4:{4 + len(key)}"
+    # the key, and a run of hex signs by the contract's pattern, which is too regular for the battery
+    assert got[3].spans == f"random:4:{4 + len(key)},hex:75:145" and got[3].verified == "" and got[3].n_random == 1
     assert secret_scan.report(docs).count() == docs.count() and secret_scan.report(none(docs)).count() == 0
 
 
+def test_battery_finds_planted_keys_and_few_else(spark):
+    """Random keys of three encodings among names, paths and numbers of like length; recall and false share are measured."""
+    rng = np.random.default_rng(12)
+    b64, b32, up = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789ABCDEF"
+    key = lambda alphabet, n: "".join(rng.choice(list(alphabet), n))
+    plain = ["internal/module/path%d/with/names", "veryLongIdentifierNumber%dInCode", "model-%05d-of-00010-weights", "release_candidate_version_%d_final", "2024%04d2024010120240101T1200", "AAAAAAAAAAAAAAAAAAAAAAAAAA%d"]
+    rows, keys = [], set()
+    for i in range(120):
+        k = key((b64, b64, b32, up)[i % 4], (32, 44, 48, 64)[i % 4])
+        if re.search("[0-9]", k) and re.search("[A-Za-z]", k):
+            keys.add(len(rows))
+        rows.append((i, f"some words {k} and more"))
+    rows += [(1000 + i, f"see {plain[i % 6] % i} for it") for i in range(240)]
+    got = by_id(secret_scan.report(spark.createDataFrame(rows, "doc_id long, text string")))
+    hit = {i for i, r in got.items() if "random" in r.spans}
+    assert len(keys) > 100 and len(hit & keys) >= 0.9 * len(keys)
+    assert len([i for i in hit if i >= 1000]) <= 0.05 * len(hit)
+    # a base span that is a key is verified and given once
+    k = key("0123456789abcdef", 64)
+    r = secret_scan.report(spark.createDataFrame([(1, f"token={k} {k}")], "doc_id long, text string")).first()
+    assert r.spans == f"assign:0:70,hex:6:70,hex:71:135" == r.verified and r.n_random == 0
+
+
+def test_many_matches_have_their_places(spark):
+    text = "".join(f"é token={i:012d}x! " for i in range(1500))
+    want = ",".join(f"assign:{m.start()}:{m.end()}" for m in re.finditer(r"token=[0-9]+x", text))
+    d = spark.createDataFrame([(1, text, 2, 3), (1, text, 2, 3)], "doc_id long, text string, added int, _row int")
+    assert [r.spans for r in secret_scan.report(d).collect()] == [want] * 2
+    assert secret_scan.scan(d).columns == ["doc_id", "_row", "base", "tested", "added"]
+
+
 def test_battery_statistics(spark):
     hit = "".join(np.random.default_rng(8).choice(list("0123456789abcdef"), 64))
     r = secret_scan.battery(spark.createDataFrame([(hit,)], "hit string")).first()
