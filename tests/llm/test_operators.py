@@ -313,8 +313,42 @@ def test_html_template_text_goes_and_titles_stay(spark):
 
 
 def test_template_classes():
-    tokens = [(t, 3, c, c, n, s) for t, (c, n, s) in html_text.slots(PAGE % "<main><p>text</p></main>").items()]
-    assert html_text.pick(tokens, 3)[0] == "html/body/main"
+    own = html_text.slots(PAGE % "<main><p>text</p></main>")
+    found = html_text.classes([html_text.Token(t, 3, 3 * c, c, n, s, 3 * at) for t, (c, n, s, at) in own.items()], 3)
+    assert html_text.pick(found)[0] == "html/body/main"
+    assert html_text.takes_part("<div><p>a</p></div><div><p>b</p></div>", ["div", "div/p"])
+    assert not html_text.takes_part("<div><p>a</p></div><div></div>", ["div", "div/p"]) and not html_text.takes_part("", ["div"])
+
+
+def test_template_equals_plain_counting(spark):
+    """Hosts without article, main or telling class names: vectors as lists of counts, classes as equal lists."""
+    frame = "<html><body><div class='x1'><p>Follow our channel for more</p><a href='/'>Start</a></div>%s<div class='x9'><p>All rights are ours</p></div></body></html>"
+    unit = "<div class='u'><p>Read on</p><p>%s</p></div>"
+    rows = []
+    for h, n in (("a", 6), ("b", 8), ("c", 20)):
+        for i in range(n):
+            body = f"<h1>Title {h} {i}</h1>" + "".join(unit % words(20, 100 * i + k) for k in range(1 + i % 4)) + f"<p>{words(60, i)}</p>"
+            rows.append((len(rows), f"http://{h}.example/{i}", frame % body))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.host: sorted(t for c in r.template for t in c.texts) for r in html_text.templates(pages).collect()}
+    for h in "abc":
+        mine = [html_text.slots(p, True) for _, u, p in rows if f"//{h}." in u]
+        vector = {t: tuple(m[t][0] if t in m else 0 for m in mine) for m in mine for t in m}
+        texts = [t.split("\n") for t in vector if "\n" in t and sum(map(bool, vector[t])) >= max(html_text.TEXT_PAGES, 0.6 * len(mine))]
+        want = [k for path, k in texts if any(vector[path.rsplit("/", j)[0] if j else path] == vector[f"{path}\n{k}"] for j in range(path.count("/") + 1))]
+        assert got[f"{h}.example"] == sorted(want) and len(want) == 4
+    text = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    for i, _, page in rows:
+        assert not [x for x in ("Follow our", "Start", "All rights", "Read on") if x in text[i]] and text[i].startswith("Title")
+        assert text[i].count("\n") == page.count("class='u'") + 1
+
+
+def test_html_attributes_and_class_words(spark):
+    page = "<body><article><p title=it's class=a'b>One</p><div class='header-image'><p>Caption</p></div><div class='site-header'>Top</div><div class='comment-list'>Nice</div><div id=menu>Menu</div><p data-x = \"a > b\">Two</p></article></body>"
+    rows = [(i, "http://g.example/", page) for i in range(2)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("_host", F.lit(2)).withColumn("_slot", F.lit(3))
+    out = html_text.extract(d)
+    assert out.columns == ["page_id", "url", "_host", "_slot", "text"] and {r.text for r in out.collect()} == {"One\nCaption\nTwo"}
 
 
 # --- quality ---------------------------------------------------------------------------------------
