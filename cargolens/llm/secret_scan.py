@@ -42,26 +42,42 @@ RANDOM_LEVEL = 0.001
 TEXT_COINCIDENCE = {"hex": 0.09, "base32": 0.066, "base64": 0.055}
 BANDS = (20, 24, 32, 40, 48, 64, 96, 128, 256)
 BINS_PER_DECADE = 50
+#: Candidate runs that one task tests.
+TASK_RUNS = 2000
 
 
 #: Matches whose places are added up in one piece.
 _PIECE = 256
 
 
+def _let(value: F.Column, body) -> F.Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _places(text: F.Column, pattern: str, group: int = 0) -> F.Column:
     """array<struct<start, end, hit>> of all matches of a pattern; ``hit`` is the group's text."""
-    parts, found, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    sizes = F.transform(F.arrays_zip(F.slice(parts, 1, F.size(found)).alias("part"), found.alias("found"), hits.alias("hit")), lambda x: F.struct(F.length(x["part"]).alias("gap"), F.length(x["found"]).alias("n"), x["hit"].alias("hit")))
-    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / _PIECE).cast("int")), lambda i: F.slice(sizes, i * _PIECE + 1, _PIECE))
-    length = lambda piece: F.aggregate(piece, F.lit(0), lambda n, x: n + x["gap"] + x["n"])
-    offsets = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda acc, x: F.struct((acc["at"] + length(x)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+    matches = lambda g: F.regexp_extract_all(text, F.lit(pattern), F.lit(g))
+    none = F.array().cast("array<struct<start:int,end:int,hit:string>>")
+    size = lambda part, found: F.struct(F.length(part).alias("gap"), F.length(found).alias("n"), found.alias("hit"))
     step = lambda acc, x: F.struct(
         (acc["at"] + x["gap"] + x["n"]).alias("at"),
         F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["n"]).alias("end"), x["hit"].alias("hit")))).alias("out"),
     )
-    none = F.array().cast("array<struct<start:int,end:int,hit:string>>")
-    placed = F.zip_with(pieces, offsets, lambda piece, at: F.aggregate(piece, F.struct(at.alias("at"), none.alias("out")), step)["out"])
-    return F.when(F.size(found) > 0, F.flatten(placed)).otherwise(none)
+    length = lambda piece: F.aggregate(piece, F.lit(0), lambda n, x: n + x["gap"] + x["n"])
+
+    def sizes(found: F.Column) -> F.Column:
+        both = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(found)), found, size)
+        return both if not group else F.zip_with(both, matches(group), lambda x, h: F.struct(x["gap"].alias("gap"), x["n"].alias("n"), h.alias("hit")))
+
+    def pieces(all_: F.Column) -> F.Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / _PIECE).cast("int")), lambda i: F.slice(all_, i * _PIECE + 1, _PIECE))
+
+    def placed(parts: F.Column) -> F.Column:
+        offsets = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda acc, x: F.struct((acc["at"] + length(x)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+        return F.flatten(F.zip_with(parts, offsets, lambda piece, at: F.aggregate(piece, F.struct(at.alias("at"), none.alias("out")), step)["out"]))
+
+    return _let(matches(0), lambda found: F.when(F.size(found) > 0, _let(sizes(found), lambda all_: _let(pieces(all_), placed))).otherwise(none))
 
 
 def _when_found(maybe: F.Column, text: F.Column, pattern: str, value: F.Column) -> F.Column:
@@ -164,7 +180,9 @@ def scan(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     rows = docs.select(F.struct(*own).alias("_own"), "text", F.monotonically_increasing_id().alias("_row"), found.alias("_runs"))
     keyed = written(base_spans(rows).drop("text"), "secret-rows")
     runs = keyed.where("size(_runs) > 0").select("_row", F.explode("_runs").alias("x")).select("_row", "x.*")
-    random = random_runs(battery(runs), alpha)
+    # candidates are few and their tests long, so they are dealt out by their number, not by the table's bytes
+    tasks = -(-runs.count() // TASK_RUNS)
+    random = random_runs(battery(runs.repartition(tasks, "_row", "start") if tasks > 1 else runs), alpha)
     tested = random.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "encoding", "p", "p_text"))).alias("tested"))
     out = keyed.join(tested, "_row", "left").withColumn("tested", F.coalesce("tested", F.array().cast("array<struct<start:int,end:int,encoding:string,p:double,p_text:double>>")))
     return out.select("_own.*", "base", "tested", _uncovered(F.col("tested"), F.col("base")).alias("added"))
