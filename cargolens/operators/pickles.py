@@ -163,6 +163,40 @@ def _any_of(text: Column, words: list[str]) -> Column:
     return out
 
 
+def located(files: DataFrame, member: str | None = None) -> DataFrame:
+    """The streams of files, for :func:`explain`: (target_id, location, content, error). files: target_id, path, content.
+
+    Of an archive the streams of its pickled and npy members, or of the one named; of npy bytes what follows
+    their header; else the file itself. What can't be opened is an error of its row."""
+    from .containers import zip_members
+
+    def behind_header(data: bytes) -> bytes:
+        n = 2 if data[6] == 1 else 4
+        return data[8 + n + int.from_bytes(data[8 : 8 + n], "little") :]
+
+    def streams(data: bytes) -> Iterator[tuple[str, bytes]]:
+        if data[:4] != b"PK\x03\x04":
+            yield "", data
+            return
+        for m in zip_members(io.BytesIO(data)):
+            if "member" not in m:
+                raise ValueError(m["error"])
+            if member in (None, m["member"]) and m.get("kind") in ("pickle", "npy"):
+                yield f"!{m['member']}", m["content"]
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for target, path, content in zip(b.target_id, b.path, b.content, strict=True):
+                try:
+                    rows += [(target, path + at, behind_header(x) if x[:6] == b"\x93NUMPY" else x, None) for at, x in streams(bytes(content))]
+                except Exception as e:
+                    rows.append((target, path, None, f"{type(e).__name__}: {e}"[:500]))
+            yield pd.DataFrame(rows, columns=["target_id", "location", "content", "error"])
+
+    return files.select("target_id", "path", F.coalesce("content", F.lit(b"")).alias("content")).mapInPandas(read, "target_id string, location string, content binary, error string")
+
+
 def explain(streams: DataFrame, max_ops: int = 200) -> tuple[DataFrame, DataFrame]:
     """(trace, summary): the first opcodes in order with the import each makes and its bucket; a row for each stream."""
     f = facts(streams, keep_ops=max_ops)

@@ -219,6 +219,36 @@ def test_explain(spark):
     assert r.trailing == 5 and r.second_stream and r.tail_hex.startswith("8004")
 
 
+def test_explain_finds_the_streams_of_files(spark):
+    files = {"a.bin": fixtures.torch_zip(fixtures.ECHO), "b.npy": fixtures.npy(), "c.pkl": fixtures.ECHO, "d.zip": b"PK\x03\x04x", "e.npz": fixtures.archive({"x.npy": fixtures.npy(), "y.pkl": fixtures.ECHO})}
+    d = spark.createDataFrame([("t", p, bytearray(x)) for p, x in files.items()], "target_id string, path string, content binary")
+    got = {r.location: (None if r.content is None else bytes(r.content), r.error) for r in pickles.located(d).collect()}
+    tail = b"\x80\x04K\x01."
+    assert {k: v[0] for k, v in got.items()} == {"a.bin!archive/data.pkl": fixtures.ECHO, "b.npy": tail, "c.pkl": fixtures.ECHO, "d.zip": None, "e.npz!x.npy": tail, "e.npz!y.pkl": fixtures.ECHO}
+    assert "container" in got["d.zip"][1]
+    assert [r.location for r in pickles.located(d.where("path = 'e.npz'"), "y.pkl").collect()] == ["e.npz!y.pkl"]
+
+
+def test_stored_reports_corpus_and_policy(spark, golden, tmp_path):
+    from cargolens.sources import stored
+
+    _, a, _, _ = golden
+    stored.write_documents(reports.json_report(a.findings, a.files, a.verdicts), str(tmp_path / "r"))
+    base = stored.read_baseline(spark, str(tmp_path / "r"))
+    assert governance.new_findings(a.findings, a.files, base).isEmpty()
+    stored.write_documents(reports.sarif(a.findings, a.verdicts), str(tmp_path / "s"), as_text=True)
+    assert spark.read.text(str(tmp_path / "s")).count() == a.verdicts.count()
+    path = str(tmp_path / "corpus.json")
+    assert stored.read_corpus(spark, path).names.count() == naming.seed_corpus(spark).distinct().count()
+    stored.write_corpus(spark.createDataFrame([("org", "own-org"), ("model", "own-model")], "kind string, name string"), path)
+    c = stored.read_corpus(spark, path)
+    assert c.age_days == 0 and c.error is None and c.names.where("name like 'own-%'").count() == 2
+    (tmp_path / "corpus.json").write_text("{no")
+    assert stored.read_corpus(spark, path).error and stored.read_policy(None) == governance.Policy()
+    (tmp_path / "p.json").write_text('{"fail_on": "low", "ignore_rules": ["X-1"]}')
+    assert stored.read_policy(str(tmp_path / "p.json")).fail_on == "LOW"
+
+
 def test_tar_and_bounds(spark, tmp_path):
     trees = {"t": {"a.tar": fixtures.tar({"../x": (b"1", 0o644), "run": (b"1", 0o755), "m.pkl": (fixtures.ECHO, 0o644)})}}
     rows = audit_paths(spark, fixtures.write(tmp_path, trees)).findings.collect()
