@@ -182,7 +182,9 @@ def scan(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     runs = keyed.where("size(_runs) > 0").select("_row", F.explode("_runs").alias("x")).select("_row", "x.*")
     # candidates are few and their tests long, so they are dealt out by their number, not by the table's bytes
     tasks = -(-runs.count() // TASK_RUNS)
-    random = random_runs(battery(runs.repartition(tasks, "_row", "start") if tasks > 1 else runs), alpha)
+    dealt = runs.repartition(tasks, "_row", "start") if tasks > 1 else runs
+    # the ranking and what it selects both read the tests' results, which are written once
+    random = random_runs(written(battery(dealt).select("_row", "start", "end", "encoding", "p", "p_text", "band"), "tested-runs"), alpha)
     tested = random.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "encoding", "p", "p_text"))).alias("tested"))
     out = keyed.join(tested, "_row", "left").withColumn("tested", F.coalesce("tested", F.array().cast("array<struct<start:int,end:int,encoding:string,p:double,p_text:double>>")))
     return out.select("_own.*", "base", "tested", _uncovered(F.col("tested"), F.col("base")).alias("added"))
