@@ -26,9 +26,10 @@ def queries() -> dict[str, Query]:
         "op8_pii": lambda s, d: pii.report(docs(s, d)),
         "op9_secrets": lambda s, d: secret_scan.report(docs(s, d)),
         "op10_passages": lambda s, d: passages.repeated_passages(docs(s, d)),
+        "secret_base_spans": lambda s, d: secret_scan.base_report(docs(s, d)),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB statements of the operators that SQL can express."""
-    return {"op10_passages": passages.SQL}
+    return {"op10_passages": passages.SQL, "secret_base_spans": secret_scan.BASE_SQL}

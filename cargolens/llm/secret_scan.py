@@ -195,10 +195,38 @@ def verified(base: F.Column, tested: F.Column) -> F.Column:
     return F.filter(base, lambda b: F.exists(tested, lambda t: (t["start"] < b["end"]) & (t["end"] > b["start"])))
 
 
+def _said(spans: F.Column) -> F.Column:
+    return F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
+
+
+def _digest() -> list[F.Column]:
+    """Counts and hash of the base spans."""
+    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return [*map(count, KINDS), F.sha2(_said(F.col("base")), 256).alias("base_sha256")]
+
+
+def base_report(docs: DataFrame) -> DataFrame:
+    """The contract's columns of the base spans, which SQL can give too."""
+    return base_spans(docs.select("doc_id", "text")).select("doc_id", *_digest())
+
+
+def _sql_matches(rank: int, kind: str, pattern: str, least: int, group: int = 0) -> str:
+    quoted = "'" + pattern.replace("'", "''") + "'"
+    return f"SELECT doc_id, {rank} AS r, '{kind}' AS kind, {least} AS least, string_split_regex(t, {quoted}) AS p, regexp_extract_all(t, {quoted}) AS f, regexp_extract_all(t, {quoted}, {group}) AS g FROM d"
+
+
+BASE_SQL = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({_sql_matches(0, "assign", ASSIGN, 8, 2)} UNION ALL {_sql_matches(1, "access", ACCESS, 16)} UNION ALL {_sql_matches(2, "hex", "[0-9a-f]{32,}", 32)}),
+e AS (SELECT doc_id, r, kind, least, p, f, g, unnest(range(1, len(f) + 1)) AS i FROM m),
+s AS (SELECT doc_id, r, kind, least, length(f[i]) AS n, length(g[i]) AS hit,
+  CAST(coalesce(list_sum(list_transform(p[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(f[1:i-1], lambda x: length(x))), 0) AS BIGINT) AS a FROM e),
+k AS (SELECT doc_id, r, kind, a, a + n AS b FROM s WHERE hit >= least)
+SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  sha256(coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, r), '')) AS base_sha256 FROM d LEFT JOIN k USING (doc_id) GROUP BY d.doc_id"""
+
+
 def report(docs: DataFrame) -> DataFrame:
     """The digest columns of the contract, the number of added spans, and the base spans that the battery verifies."""
     out = scan(docs.select("doc_id", "text"))
-    said = lambda c: F.concat_ws(",", F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
-    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    counts = [count(k) for k in KINDS]
-    return out.select("doc_id", *counts, F.sha2(said(F.col("base")), 256).alias("base_sha256"), said(F.array_sort(F.concat("base", "added"))).alias("spans"), F.size("added").cast("long").alias("n_random"), said(verified(F.col("base"), F.col("tested"))).alias("verified"))
+    said = _said
+    return out.select("doc_id", *_digest(), said(F.array_sort(F.concat("base", "added"))).alias("spans"), F.size("added").cast("long").alias("n_random"), said(verified(F.col("base"), F.col("tested"))).alias("verified"))
