@@ -259,6 +259,38 @@ def test_tar_and_bounds(spark, tmp_path):
     assert n == 1001 and error is None
 
 
+def test_limits_of_streams_and_headers(spark):
+    """ENG-001, STF-000 and STF-002, which no small file fires; sizes are what the rules go by."""
+    from cargolens.model import union
+    from cargolens.operators import facts, tensors
+
+    big, none = containers.stream_row("gzip", (64 << 20) + 1, lambda: 1 // 0)
+    assert big["outcome"] == "too-big" and none is None
+    rows = [big | {"target_id": "t", "path": "a"}, big | {"target_id": "t", "path": "b", "size": 600_000, "raw_size": (64 << 20) + 1, "outcome": "too-big-inside"}]
+    kind = "target_id string, path string, " + facts.KINDS["stream"]
+    got = {(r.location, r.rule_id, r.confidence) for r in union(containers.stream_findings(spark.createDataFrame(rows, kind))).collect()}
+    assert got == {("a", "ENG-001", "high"), ("b", "ENG-001", "medium")}
+    assert list(tensors.tensor_rows(Blob(b"abc"))) == [{"problem": "short"}]
+    from decimal import Decimal
+
+    rows = [{"target_id": "t", "path": "a", "problem": "short"}, {"target_id": "t", "path": "b", "header_size": Decimal((100 << 20) + 1), "size": 1 << 40}]
+    kind = "target_id string, path string, " + facts.KINDS["tensor"]
+    assert {(r.location, r.rule_id) for r in union(tensors.safetensors_findings(spark.createDataFrame(rows, kind))).collect()} == {("a", "STF-000"), ("b", "STF-002")}
+
+
+def test_columns_over_names_and_sizes(spark):
+    from cargolens.functions.content import byte_size_text
+    from cargolens.functions.names import ascii_canonical, canonical
+
+    names = ["Meta-Llama_3.1 8B", "ＧＯＯＧＬＥ", "café-Model", ""]
+    got = [r.c for r in spark.createDataFrame(list(enumerate(names)), "i int, n string").select("i", canonical(F.col("n")).alias("c")).orderBy("i").collect()]
+    assert got[0] == "metallama318b" and got[1] == "google" and got[3] == ""
+    assert spark.createDataFrame([("A-b_C",)], "n string").select(ascii_canonical(F.col("n"))).first()[0] == "abc"
+    sizes = [0, 1023, 1024, 1536, 5 << 30, 1 << 50]
+    shown = [r.s for r in spark.createDataFrame(list(enumerate(sizes)), "i int, n long").select("i", byte_size_text(F.col("n")).alias("s")).orderBy("i").collect()]
+    assert shown == ["0.0B", "1023.0B", "1.0KB", "1.5KB", "5.0GB", "1.0PB"]
+
+
 def test_old_protocol_look_alikes(spark):
     from cargolens.operators import identify
 
