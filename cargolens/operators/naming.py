@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import knowledge as K
 from ..functions.names import canonical, confusable_candidates, non_ascii, osa_distance
-from ..model import emit, rule
+from ..model import FINDING_COLUMNS, emit, rule
 
 #: Names up to which the corpus is broadcast.
 BROADCAST_NAMES = 200_000
@@ -69,7 +69,13 @@ def nearest_joined(names: DataFrame, keys: DataFrame, cap: int) -> DataFrame:
 
 
 def findings(ids: DataFrame, corpus: DataFrame, corpus_age_days: int | None = None, broadcast_names: int = BROADCAST_NAMES) -> DataFrame:
-    """SQT-001 to 009. ids: target_id, repo_id; corpus: kind, name."""
+    """SQT-001 to 009. ids: target_id, repo_id; corpus: kind, name. Each identifier is judged once, however many targets have it."""
+    once = ids.select("repo_id").where("repo_id is not null").distinct().withColumn("target_id", F.col("repo_id"))
+    found = _judged(once, corpus, corpus_age_days, broadcast_names).withColumnRenamed("target_id", "repo_id")
+    return found.join(ids.select("target_id", "repo_id"), "repo_id").select(*FINDING_COLUMNS)
+
+
+def _judged(ids: DataFrame, corpus: DataFrame, corpus_age_days: int | None, broadcast_names: int) -> DataFrame:
     known = keyed_corpus(corpus)
     small = known.limit(broadcast_names + 1).count() <= broadcast_names
     hint = F.broadcast if small else lambda df: df
