@@ -94,31 +94,34 @@ def audit(artifacts: DataFrame, config: Config = Config(), identifiers: DataFram
     if by_ranges:
         known = known.withColumn("content", F.lit(None).cast("binary")).persist(StorageLevel.MEMORY_AND_DISK)
         kept.append(known)
-    readable = known.where("error is null")
+    # of a table at hand the rows themselves tell what needs no format
+    rows = known if by_ranges else artifacts
+    could = F.col("error").isNull() if by_ranges else F.col("error").isNull() & F.col("content").isNotNull()
+    readable = known.where(could)
     found = file_facts(readable, config)
     kept.append(found)
     failed = facts.of(found, "error").select("target_id", "path", F.col("message").alias("error"))
-    errors = known.where("error is not null").select("target_id", "path", "error").unionByName(failed)
+    errors = rows.where("error is not null").select("target_id", "path", "error").unionByName(failed)
     broken = failed.select("target_id", "path", F.lit(True).alias("_broken")).distinct()
     files = known.join(broken, ["target_id", "path"], "left").select(
-        "target_id", "path", "size", F.when(F.col("error").isNull(), F.col("format")).otherwise("unknown").alias("format"),
-        F.when(F.col("error").isNull() & F.col("_broken").isNull(), F.col("sha256")).alias("sha256"), (F.col("error").isNull() & F.col("_broken").isNull()).alias("inspected"),
+        "target_id", "path", "size", F.when(could, F.col("format")).otherwise("unknown").alias("format"),
+        F.when(could & F.col("_broken").isNull(), F.col("sha256")).alias("sha256"), (could & F.col("_broken").isNull()).alias("inspected"),
     )
     out = [file_findings(readable, found, config)]
     if _wants(config, "repository", "provenance"):
-        rules = union(repository.findings(repository.inventory(known.where("is_repo")), repository.declared_maps(facts.of(found, "config"))))
+        rules = union(repository.findings(repository.inventory(rows.where("is_repo")), repository.declared_maps(facts.of(found, "config"))))
         out.append(governance.choose_analyzers(rules, list(config.only), list(config.skip)))
     if identifiers is not None and _wants(config, "naming"):
         out.append(naming.findings(identifiers, corpus if corpus is not None else naming.seed_corpus(artifacts.sparkSession), corpus_age_days))
     if repos is not None and _wants(config, "hub"):
         out.append(hub.provenance_findings(repos, as_of))
         ids = identifiers.select("target_id", F.col("repo_id").alias("id")) if identifiers is not None else None
-        out.append(hub.manifest_drift(known, repos, ids=ids))
+        out.append(hub.manifest_drift(rows, repos, ids=ids))
     findings = union(out)
     if baseline is not None:
         findings = governance.new_findings(findings, files, baseline).drop("is_new")
     left = governance.apply_policy(findings, config.policy)
-    return Audit(files, left, governance.verdicts(findings, known, config.policy, errors), errors, tuple(kept))
+    return Audit(files, left, governance.verdicts(findings, rows, config.policy, errors), errors, tuple(kept))
 
 
 def audit_paths(spark: SparkSession, roots: list[str], config: Config = Config(), max_file_mb: int = 4096, max_files: int | None = None, **more) -> Audit:
