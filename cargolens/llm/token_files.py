@@ -31,7 +31,7 @@ PERCENTILE = 98
 END_ID = 2
 MAGIC = b"CLPF0001"
 #: Pieces that a worker keeps.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 350_000
 _HEAD = struct.Struct("<IBHH")
 _L, _N = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
 #: Characters beyond those that _PIECES knows.
@@ -51,7 +51,7 @@ class Encoder:
 
     A text of plain characters is cut into the byte-level pre-tokenizer's pieces, whose ids don't
     depend on their neighbours; pieces met for the first time are encoded, many in one call with line
-    ends between them, and kept in a cache that starts anew when it is full. Other texts, and texts
+    ends between them, and kept in a cache that keeps only the pieces at hand when it is full. Other texts, and texts
     that name an added token, are encoded as they are."""
 
     def __init__(self, path: str):
@@ -86,10 +86,12 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         odd = self.odd.search
         split = [None if odd(t) else _PIECES.findall(t) for t in texts]
+        here = set().union(*filter(None, split))
         if len(self.pieces) > CACHE_PIECES:
-            self.pieces.clear()
+            # what these texts hold is mostly what all texts hold, so it stays
+            self.pieces = {p: self.pieces[p] for p in here if p in self.pieces}
         known = self.pieces
-        if new := [p for p in set().union(*filter(None, split)) if p not in known]:
+        if new := [p for p in here if p not in known]:
             self._learn(new)
         get = self.pieces.__getitem__
         return [self._ids(t).tobytes() if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
