@@ -121,3 +121,18 @@ def file_system(uri: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
+
+
+def numbered(df: DataFrame, tree: str, order: list, name: str = "numbered") -> DataFrame:
+    """``df`` with ``pos``, the place of a row among those of its ``tree`` (a column without nulls) in ``order`` from 0, and ``n``, how
+    many they are. Rows are dealt out by range, so a tree of any size is many tasks; what is ordered by a window are the
+    parts of a tree in the ranges, one for each range and tree."""
+    from pyspark.sql import Window
+
+    by = [F.col(tree).asc(), *order]
+    rows = written(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()), name)
+    rows = rows.withColumn("_part", F.shiftright("_at", 33))
+    parts = rows.groupBy(tree, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_size"))
+    whole = Window.partitionBy(tree)
+    parts = parts.select(tree, "_part", (F.sum("_size").over(whole.orderBy("_part")) - F.col("_size") - F.col("_first")).alias("_shift"), F.sum("_size").over(whole).alias("n"))
+    return rows.join(parts, [tree, "_part"]).withColumn("pos", F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift")

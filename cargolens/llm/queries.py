@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, media, mixing, passages, pii, quality, secret_scan, simhash, token_files
+from . import bpe_words, collocations, decontaminate, html_text, media, merkle, mixing, passages, pii, quality, secret_scan, simhash, token_files
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,10 +26,13 @@ def queries() -> dict[str, Query]:
         "op8_pii": lambda s, d: pii.report(docs(s, d)),
         "op9_secrets": lambda s, d: secret_scan.report(docs(s, d)),
         "op10_passages": lambda s, d: passages.repeated_passages(docs(s, d)),
+        "op11_collocations": lambda s, d: collocations.top_phrases(docs(s, d)),
+        "op12_bpe_words": lambda s, d: bpe_words.report(docs(s, d)),
+        "op13_merkle": lambda s, d: merkle.manifest(docs(s, d)),
         "secret_base_spans": lambda s, d: secret_scan.base_report(docs(s, d)),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB statements of the operators that SQL can express."""
-    return {"op10_passages": passages.SQL, "secret_base_spans": secret_scan.BASE_SQL}
+    return {"op10_passages": passages.SQL, "secret_base_spans": secret_scan.BASE_SQL, "op11_collocations": collocations.SQL, "op13_merkle": merkle.SQL}
