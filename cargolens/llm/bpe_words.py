@@ -118,7 +118,11 @@ def word_table(blocks: DataFrame, tokenizer: str) -> DataFrame:
     words = entries(blocks).groupBy("key", "word").agg(F.count(F.lit(1)).alias("blocks"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from tokenizers import normalizers
+
         t = load(tokenizer)
+        # words are normalised; once more could reorder marks that lower-casing set free
+        t.normalizer = normalizers.Sequence([])
         for b in batches:
             ids = [e.ids for e in t.encode_batch_fast(b.column("word").to_pylist(), add_special_tokens=False)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], ["key", "word", "blocks", "ids"])

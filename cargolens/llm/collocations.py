@@ -30,18 +30,18 @@ from pyspark.sql import functions as F
 
 from .common import key_bitmap, numbered, remove, written
 from .perfect_hash import PerfectHash, mixed
-from .wordblocks import entries, pack, unpack, with_values, word_blocks
+from .wordblocks import BLOCK_CHARS, entries, pack, unpack, with_values, word_blocks
 
 #: Occurrences that a candidate has at least, words of the longest phrase, rows for each language.
 LEAST, LONGEST, TOP = 30, 4, 2000
 #: A candidate goes if a longer one around it has this percentage of its occurrences.
 INSIDE = 80
-#: Buckets of the sketch: a byte each in a task, a bit each once it is summed.
+#: Buckets of the sketch, a power of two of at least CHUNK: a byte each in a task, a bit each once it is summed.
 BUCKETS = 1 << 24
 #: Candidates whose keys (16 bytes each), hash and counts (8 bytes) are broadcast at once.
 SLOTS_A_PASS = 1 << 21
 #: Numbers of an array that are summed in one group, and arrays that one group sums.
-CHUNK, FAN = 1 << 18, 16
+CHUNK, FAN = 1 << 16, 16
 
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _TOKENS = re.compile(rb"[^ \t.,;:!?\n-\r]+|[.,;:!?\n-\r]")
@@ -89,9 +89,9 @@ def _as_chunks(part: int, x: np.ndarray) -> Iterator[pa.RecordBatch]:
 class Length:
     """What tasks need to find the occurrences of phrases of ``k`` words that may be frequent."""
 
-    def __init__(self, k: int, shorter=None):
+    def __init__(self, k: int, shorter=None, buckets: int = BUCKETS):
         #: shorter: a bitmap test of the hashes of frequent phrases of k - 1 words; None for pairs, whose words are frequent.
-        self.k, self.shorter, self.sketch = k, shorter, None
+        self.k, self.shorter, self.sketch, self.buckets = k, shorter, None, buckets
 
     def occurrences(self, ids: np.ndarray) -> np.ndarray:
         """Keys of the block's phrases as rows of four numbers (0 beyond k)."""
@@ -114,7 +114,7 @@ class Length:
         for i in range(k):
             keys[:, i] = ids[at + i]
         if self.sketch is not None and len(keys):
-            b = mixed(keys, 1) & np.uint64(BUCKETS - 1)
+            b = mixed(keys, 1) & np.uint64(self.buckets - 1)
             bits = self.sketch.value
             keys = keys[(bits[(b >> np.uint64(3)).astype(np.int64)] >> (b & np.uint64(7)).astype(np.uint8)) & 1 == 1]
         return keys
@@ -138,11 +138,13 @@ def _mapped(blocks: DataFrame, of_block: Callable, at_end: Callable, ddl: str) -
 def _sketched(blocks: DataFrame, length: Length, least: int) -> None:
     """Gives ``length`` the bits of the buckets that hold ``least`` occurrences or more."""
 
+    buckets = length.buckets
+
     def count(state: dict, ids: np.ndarray):
-        b = (mixed(length.occurrences(ids), 1) & np.uint64(BUCKETS - 1)).astype(np.int64)
+        b = (mixed(length.occurrences(ids), 1) & np.uint64(buckets - 1)).astype(np.int64)
         if len(b):
             if "n" not in state:
-                state["n"] = np.zeros(BUCKETS, np.uint8)
+                state["n"] = np.zeros(buckets, np.uint8)
             at, n = np.unique(b, return_counts=True)
             state["n"][at] = np.minimum(state["n"][at] + np.minimum(n, least), least)
         return ()
@@ -151,7 +153,7 @@ def _sketched(blocks: DataFrame, length: Length, least: int) -> None:
         return _as_chunks(part, state["n"]) if "n" in state else ()
 
     chunks = tree_sum(_mapped(blocks, count, end, "part int, chunk int, data binary"), "u1", least)
-    bits = np.zeros(BUCKETS >> 3, np.uint8)
+    bits = np.zeros(buckets >> 3, np.uint8)
     for chunk, n in chunks.items():
         bits[chunk * (CHUNK >> 3) : (chunk + 1) * (CHUNK >> 3)] = np.packbits(n >= least, bitorder="little")
     length.sketch = blocks.sparkSession.sparkContext.broadcast(bits)
@@ -266,11 +268,11 @@ def _with_parts(phrases: DataFrame, k: int, slots: dict[int, list[Slots]]) -> Da
     return out
 
 
-def mine(docs: DataFrame, least: int = LEAST, slots_a_pass: int = SLOTS_A_PASS) -> tuple[DataFrame, DataFrame]:
+def mine(docs: DataFrame, least: int = LEAST, slots_a_pass: int = SLOTS_A_PASS, buckets: int = BUCKETS, block_chars: int = BLOCK_CHARS) -> tuple[DataFrame, DataFrame]:
     """All candidates (lang, phrase, k, a, l, r, score, longer: the most occurrences of a longer candidate around it) and the languages' n."""
     spark = docs.sparkSession
     key = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
-    blocks = word_blocks(docs.select(F.lit(0).alias("doc_id"), "lang", "text"), key, _split, tuple(bytes([c]) for c in _BREAKS), "phrase-blocks")
+    blocks = word_blocks(docs.select(F.lit(0).alias("doc_id"), "lang", "text"), key, _split, tuple(bytes([c]) for c in _BREAKS), "phrase-blocks", block_chars)
     words = entries(blocks).groupBy("key", "word").agg(F.sum("n").cast("long").alias("f"), F.count(F.lit(1)).alias("blocks"))
     words = written(words, "phrase-words")
     totals = words.groupBy(F.col("key").alias("lang")).agg(F.sum("f").alias("n"))
@@ -293,7 +295,7 @@ def mine(docs: DataFrame, least: int = LEAST, slots_a_pass: int = SLOTS_A_PASS)
     remove(blocks)
     slots, found, shorter = {}, [], None
     for k in range(2, LONGEST + 1):
-        length = Length(k, shorter)
+        length = Length(k, shorter, buckets)
         _sketched(ids, length, least)
         phrases, slots[k] = _counted(ids, length, least, slots_a_pass)
         if not phrases.limit(1).count():
@@ -329,9 +331,9 @@ def mine(docs: DataFrame, least: int = LEAST, slots_a_pass: int = SLOTS_A_PASS)
     return whole.select("lang", F.concat_ws(" ", "w0", "w1", "w2", "w3").alias("phrase"), "k", F.col("f").alias("a"), "cut.l", "cut.r", "cut.score", "longer"), totals
 
 
-def top_phrases(docs: DataFrame, least: int = LEAST, top: int = TOP, slots_a_pass: int = SLOTS_A_PASS) -> DataFrame:
+def top_phrases(docs: DataFrame, least: int = LEAST, top: int = TOP, slots_a_pass: int = SLOTS_A_PASS, buckets: int = BUCKETS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The first ``top`` phrases of each language: lang, rank, phrase, a, l, r, n, score."""
-    phrases, totals = mine(docs, least, slots_a_pass)
+    phrases, totals = mine(docs, least, slots_a_pass, buckets, block_chars)
     kept = phrases.where(100 * F.col("longer") < INSIDE * F.col("a"))
     order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
     ranked = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)

@@ -62,7 +62,7 @@ class _Block:
         return pa.RecordBatch.from_pylist([{"block": number, "doc_id": self.docs, "sizes": self.sizes, "slots": pack(slots), "key": key, "word": word, "n": counts}], _SCHEMA)
 
 
-def word_blocks(docs: DataFrame, key: Column, split: Callable[[], Callable[[str], list]], breaks: tuple = (), name: str = "word-blocks") -> DataFrame:
+def word_blocks(docs: DataFrame, key: Column, split: Callable[[], Callable[[str], list]], breaks: tuple = (), name: str = "word-blocks", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The written blocks of ``docs`` (doc_id, text). Words belong to a ``key`` (not null); ``split()`` gives a
     task's function from a text (null: empty) to its words; words equal to one of ``breaks`` get slot 0."""
 
@@ -74,7 +74,7 @@ def word_blocks(docs: DataFrame, key: Column, split: Callable[[], Callable[[str]
             for d, k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 t = t or ""
                 block.add(d, k, tokens(t), len(t))
-                if block.chars >= BLOCK_CHARS:
+                if block.chars >= block_chars:
                     yield block.row(number)
                     number, block = number + 1, _Block(breaks)
         if block.docs:

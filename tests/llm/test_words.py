@@ -93,19 +93,17 @@ def test_phrases_equal_brute_force(spark, prose, least, top, slots):
     assert got == brute_phrases(prose, least, top) and got
 
 
-def test_full_buckets_lose_nothing(spark, prose, monkeypatch):
-    """A sketch so small that all occurrences share buckets lets all through; the counts stay."""
-    monkeypatch.setattr(collocations, "BUCKETS", 64)
-    monkeypatch.setattr(collocations, "CHUNK", 16)
-    got = sorted(map(tuple, collocations.top_phrases(table(spark, prose), 5, 50).collect()))
-    assert got == brute_phrases(prose, 5, 50)
+def test_full_buckets_lose_nothing(spark, prose):
+    """A sketch so small that most occurrences share buckets lets nearly all through; the counts stay."""
+    bigger = [(i, " ".join(f"w{(i * 7 + j * j) % 400}" for j in range(900)), "en") for i in range(1000, 1300)] + prose
+    small, large = (sorted(map(tuple, collocations.top_phrases(table(spark, bigger), 5, 50, buckets=b).collect())) for b in (1 << 16, 1 << 22))
+    assert small == large == brute_phrases(bigger, 5, 50)
 
 
 def test_hot_words_are_dealt_out(spark, prose, monkeypatch):
-    monkeypatch.setattr(wordblocks, "BLOCK_CHARS", 200)
     monkeypatch.setattr(wordblocks, "HOT_BLOCKS", 3)
     monkeypatch.setattr(wordblocks, "HOT_SHARE", 1000)
-    got = sorted(map(tuple, collocations.top_phrases(table(spark, prose), 5, 50).collect()))
+    got = sorted(map(tuple, collocations.top_phrases(table(spark, prose), 5, 50, block_chars=200).collect()))
     assert got == brute_phrases(prose, 5, 50)
 
 
@@ -129,7 +127,7 @@ ODD = [
 ]
 
 
-def test_bpe_equals_the_tokenizer(spark, monkeypatch):
+def test_bpe_equals_the_tokenizer(spark):
     rng = random.Random(11)
     letters = "aAbB '.s1é́ßΣİ日 \n\t\xa0‍<|>endoftext" + "".join(chr(rng.randrange(0xA0, 0x3000)) for _ in range(60))
     rows = [(i, t, "en") for i, t in enumerate(ODD)] + [(None, "null id", None)]
@@ -143,7 +141,7 @@ def test_bpe_equals_the_tokenizer(spark, monkeypatch):
         digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
         want.append((i, len(ids), digest(" ".join(map(str, ids))), digest(t.decode(ids, skip_special_tokens=False))))
     key = lambda r: (r[0] is None, r[0] or 0)
-    monkeypatch.setattr(bpe_words, "STEP", 7)
+    assert bpe_words._digest(iter([["", "1 2"], [], ["", ""], ["3", ""]])) == digest("1 2 3")
     assert sorted(map(tuple, bpe_words.report(docs).collect()), key=key) == sorted(want, key=key)
     small = docs.where("doc_id < 150 or doc_id is null")
     encoded = sorted(((r.doc_id, r.ids) for r in bpe_words.encode(small).collect()), key=key)
