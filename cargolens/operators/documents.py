@@ -33,10 +33,7 @@ def _json_udf(kind: str, read):
     """A Pandas UDF over text that parses with the json module, whose dialect (NaN, repeated keys) the rules are defined on."""
 
     def parsed(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            rows.append(json_row(read, t))
-        return pd.DataFrame(rows)
+        return pd.DataFrame([json_row_or_not(read, t) for t in texts])
 
     return lambda text: F.pandas_udf(parsed, kind)(text)
 
@@ -55,13 +52,24 @@ config_facts = _json_udf("struct<ok:boolean,auto_map:string,custom:string,urls:a
 
 
 def notebook_row(x: object) -> dict:
-    if not isinstance(x, dict):
-        return {"ok": True, "lines": []}
-    out = []
-    for i, cell in enumerate(x.get("cells", [])):
-        if cell.get("cell_type") == "code":
-            out += [{"cell": i, "line": s.strip()} for s in "".join(cell.get("source", [])).splitlines()]
-    return {"ok": True, "lines": out}
+    """Lines of code cells. Each cell is judged by itself: ``problem`` names the first that is none, and the lines of the others stay."""
+    out, odd = [], []
+    if x is not None and not isinstance(x, dict):
+        odd.append(f"a notebook is no {type(x).__name__}")
+    cells = x.get("cells", []) if isinstance(x, dict) else []
+    if not isinstance(cells, list):
+        odd.append(f"cells are no list but a {type(cells).__name__}")
+        cells = cells.values() if isinstance(cells, dict) else []
+    for i, cell in enumerate(cells):
+        if not isinstance(cell, dict):
+            odd.append(f"cell {i} is a {type(cell).__name__}")
+        elif cell.get("cell_type") == "code":
+            source = cell.get("source", [])
+            parts = [source] if isinstance(source, str) else source if isinstance(source, list) else []
+            if not isinstance(source, (str, list)) or not all(isinstance(p, str) for p in parts):
+                odd.append(f"the source of cell {i} is no text")
+            out += [{"cell": i, "line": s.strip()} for s in "".join(p for p in parts if isinstance(p, str)).splitlines()]
+    return {"ok": True, "lines": out} | ({"problem": odd[0]} if odd else {})
 
 
 def keras_row(x: object) -> dict:
@@ -91,9 +99,18 @@ TEMPLATE = "ok boolean, leaves array<struct<path:string,value:string>>"
 
 
 def json_row(read, text: str) -> dict:
-    """``read`` of a parsed document; what isn't JSON is not ok."""
+    """``read`` of a parsed document; what isn't JSON is not ok. What ``read`` itself can't bear is raised."""
     try:
-        return read(json.loads(text))
+        x = json.loads(text)
+    except (ValueError, RecursionError):
+        return read(None) | {"ok": False}
+    return read(x)
+
+
+def json_row_or_not(read, text: str) -> dict:
+    """The same for a column, where a document that ``read`` can't bear is not ok."""
+    try:
+        return json_row(read, text)
     except Exception:
         return read(None) | {"ok": False}
 
@@ -138,10 +155,7 @@ def template_row(name: str, text: str) -> dict:
     text = text[: 4 << 20]
     if name.lower().endswith(".jinja"):
         return {"ok": True, "leaves": [{"path": "<file>", "value": text}]}
-    try:
-        return {"ok": True, "leaves": leaves(json.loads(text))}
-    except Exception:
-        return {"ok": False, "leaves": []}
+    return json_row(lambda x: {"ok": True, "leaves": leaves(x)}, text)
 
 
 def template_findings(rows: DataFrame) -> list[DataFrame]:

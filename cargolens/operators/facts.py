@@ -6,6 +6,7 @@ facts that were found before. Names and texts with lone surrogates, which UTF-8
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,7 +19,8 @@ from . import containers, documents, pickles, source_code, tensors
 
 #: Fields by kind of fact; a row holds one of them.
 KINDS = {
-    "pickle": pickles.FACTS,
+    "pickle": pickles.STREAM,
+    "import": pickles.IMPORTS,
     "member": "container string, ord int, member string, is_dir boolean, comp_size long, size long, external_attr long, mode int, kind string, error string",
     "stream": "format string, size long, raw_size long, error string, outcome string, inner string",
     "tensor": "size long, header_size decimal(20,0), problem string, ord int, name string, dtype string, shape array<decimal(38,0)>, b decimal(38,0), e decimal(38,0), bad_offsets boolean, long_texts array<string>",
@@ -34,7 +36,7 @@ KINDS = {
 }
 #: Analyzers that ask for a kind.
 ASKED_BY = {
-    "pickle": ("pickle",), "member": ("archive",), "stream": ("archive",), "tensor": ("tensors",), "npy": ("tensors",), "graph": ("graph", "keras", "tensors"),
+    "pickle": ("pickle",), "import": ("pickle",), "member": ("archive",), "stream": ("archive",), "tensor": ("tensors",), "npy": ("tensors",), "graph": ("graph", "keras", "tensors"),
     "keras": ("keras",), "config": ("config", "repository", "provenance"), "index": ("repository",), "template": ("templates",), "notebook": ("code",), "source": ("code",),
 }
 _PACKED = ("gzip", "bzip2", "xz", "zstd")
@@ -51,10 +53,12 @@ def _said(e: BaseException) -> str:
 class Parser:
     """Fact rows of one file: (location, kind, fact)."""
 
-    def __init__(self, kinds: set[str], memo: bool = False, zstd: bool = False):
-        self.kinds, self.memo, self.zstd = kinds | {"error"}, memo, zstd
+    def __init__(self, kinds: set[str], memo: bool = False, zstd: bool = False, strict: bool = False):
+        self.kinds, self.memo, self.zstd, self.strict = kinds | {"error"}, memo, zstd, strict
+        self.streams = 0
 
     def rows(self, path: str, name: str, fmt: str, is_repo: bool, blob: Blob) -> Iterator[tuple[str, str, dict]]:
+        self.streams = 0
         try:
             for location, kind, fact in self._all(path, name, fmt, is_repo, blob):
                 if kind in self.kinds:
@@ -83,9 +87,13 @@ class Parser:
         elif fmt in ("hdf5", "onnx", "tf-protobuf", "gguf"):
             yield path, "graph", tensors.graph_row(fmt, blob)
         elif fmt == "python-source" and "source" in self.kinds:
-            yield path, "source", {"facts": source_code.facts(_text(blob.whole()))}
+            yield path, "source", {"facts": source_code.facts(_text(blob.whole()), self.strict)}
         elif fmt == "notebook":
-            yield path, "notebook", documents.json_row(documents.notebook_row, _text(blob.whole()))
+            row = documents.json_row(documents.notebook_row, _text(blob.whole()))
+            problem = row.pop("problem", None)
+            yield path, "notebook", row
+            if problem:
+                raise ValueError(problem)
         if name == "config.json":
             yield path, "config", documents.json_row(documents.config_row, _text(blob.whole()))
         if is_repo and "index" in self.kinds and name.endswith(".index.json"):
@@ -95,7 +103,15 @@ class Parser:
 
     def _pickle(self, location: str, blob: Blob) -> Iterator[tuple[str, str, dict]]:
         if "pickle" in self.kinds:
-            yield location, "pickle", pickles.walk(blob.open(), blob.size, memo=self.memo)
+            w, n = pickles.Walk(blob.open(), blob.size, memo=self.memo), self.streams
+            self.streams += 1
+            rows = w.import_rows()
+            names, more = next(rows, []), next(rows, None)
+            if more is not None:
+                for part in chain((names, more), rows):
+                    yield location, "import", {"stream": n, "names": part}
+                names = None
+            yield location, "pickle", {"stream": n, "names": names} | w.summary
 
     def _npy(self, location: str, blob: Blob) -> Iterator[tuple[str, str, dict]]:
         yield location, "npy", tensors.npy_row(blob)
@@ -153,17 +169,22 @@ def as_batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
         return pa.RecordBatch.from_pylist([{c: row[c] for c in ("target_id", "path", "location")} | {"kind": "error", "error": {"message": _said(e)}}], schema=schema)
 
 
-def extract(known: DataFrame, kinds: set[str], memo: bool = False, zstd: bool = False) -> DataFrame:
+#: Facts of one Arrow batch, and rows of imports (as many names each as pickles.ROW_NAMES says) among them.
+BATCH, BATCH_IMPORTS = 500, 4
+
+
+def extract(known: DataFrame, kinds: set[str], memo: bool = False, zstd: bool = False, strict: bool = False) -> DataFrame:
     """known: identified artifacts. A row for each fact of the kinds, without any content; a file that
     no wanted kind can come from isn't handed to Python. Files with a ``uri`` are read here, by ranges."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = _schema()
     arrow = to_arrow_schema(schema)
-    parser = Parser(kinds, memo, zstd)
+    parser = Parser(kinds, memo, zstd, strict)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[dict] = []
+        heavy = 0
         for batch in batches:
             columns = [batch.column(i) for i in range(8)]
             for i in range(batch.num_rows):
@@ -175,9 +196,10 @@ def extract(known: DataFrame, kinds: set[str], memo: bool = False, zstd: bool =
                     continue
                 for location, kind, fact in parser.rows(path, name, fmt, repo, blob):
                     out.append({"target_id": target, "path": path, "location": location, "kind": kind, kind: fact})
-                    if len(out) >= 500:
+                    heavy += kind == "import"
+                    if len(out) >= BATCH or heavy >= BATCH_IMPORTS:
                         yield as_batch(out, arrow)
-                        out = []
+                        out, heavy = [], 0
         if out:
             yield as_batch(out, arrow)
 

@@ -14,77 +14,143 @@ from pyspark.sql import functions as F
 from .. import knowledge as K
 from ..model import emit, rule
 
-FACTS = (
-    "protocol int, n_opcodes int, calls array<string>, exts array<string>, strings array<string>, error string, stop_pos long, trailing long, "
-    "imports array<struct<ord:int,module:string,attr:string,pos:long,first:boolean>>, ops array<struct<ord:int,opcode:string,arg:string,pos:long>>"
-)
+_SUMMARY = "protocol int, n_opcodes long, n_calls long, n_imports long, calls array<string>, exts array<string>, strings array<string>, error string, stop_pos long, trailing long"
+FACTS = f"{_SUMMARY}, imports array<struct<ord:long,module:string,attr:string,pos:long,first:boolean>>, ops array<struct<ord:int,opcode:string,arg:string,pos:long>>"
+_NAMES = "names array<struct<module:string,attr:string,pos:long>>"
+#: What an audit keeps of a stream: its summary with its imports, or those of a stream with very many in rows of their own.
+STREAM, IMPORTS = f"stream int, {_SUMMARY}, {_NAMES}", f"stream int, {_NAMES}"
 _EXT = ("EXT1", "EXT2", "EXT4")
 UNRESOLVED = "<unresolved>"
+#: Pushed strings that are kept, and their characters; names remembered as seen, and names and characters of one row of imports.
+MOST_PUSHED, PUSHED_CHARS, MOST_SEEN, ROW_NAMES, ROW_CHARS = 1 << 19, 32 << 20, 100_000, 500, 1 << 20
+#: Opcodes for extension registries that are kept for evidence.
+KEPT_EXTS = 5
+_PUTS, _GETS = ("PUT", "BINPUT", "LONG_BINPUT", "MEMOIZE"), ("GET", "BINGET", "LONG_BINGET")
+_NAMED = frozenset([*K.STRING_OPCODES, *K.CALL_OPCODES, *_EXT, "GLOBAL", "INST", "STACK_GLOBAL", "PROTO", "STOP"])
+
+
+class Walk:
+    """One pass over the opcodes of a stream of ``size`` bytes, as far as it parses: imports as they come, then ``summary``.
+
+    Two pushed strings name what STACK_GLOBAL imports and are used up by it. With ``memo``, strings that the
+    stream fetches from its memo count as pushed; it is off for results that equal those of scanners which only
+    see pushes. What is held doesn't grow with the stream: the newest pushed strings stay, and a stream that goes
+    back beyond them ends in an error, which is a finding."""
+
+    def __init__(self, stream: BinaryIO | bytes, size: int | None = None, keep_ops: int = 0, memo: bool = False):
+        self.stream, self.size = (io.BytesIO(stream), len(stream)) if isinstance(stream, bytes) else (stream, size)
+        self.keep_ops, self.memo = keep_ops, memo
+        self.ops: list[dict] = []
+        self.summary = {"protocol": None, "n_opcodes": 0, "n_calls": 0, "n_imports": 0, "calls": [], "exts": [], "strings": [], "error": None, "stop_pos": None, "trailing": 0}
+        self.pushed: list[str] = []
+        self.chars = self.dropped = 0
+
+    def _push(self, text: str) -> None:
+        self.pushed.append(text)
+        self.chars += len(text)
+        if len(self.pushed) > 2 * MOST_PUSHED or (self.chars > 2 * PUSHED_CHARS and len(self.pushed) > 8):
+            gone = self.pushed[: len(self.pushed) // 2]
+            self.dropped += len(gone)
+            self.chars -= sum(map(len, gone))
+            del self.pushed[: len(gone)]
+
+    def _two(self) -> tuple[str, str]:
+        if len(self.pushed) > 1:
+            two = tuple(self.pushed[-2:])
+            del self.pushed[-2:]
+            self.chars -= len(two[0]) + len(two[1])
+            return two
+        if self.dropped:
+            raise ValueError("more pushed strings are used than are kept")
+        return UNRESOLVED, UNRESOLVED
+
+    def imports(self) -> Iterator[tuple[str, str, int]]:
+        out, cells, top, last, n = self.summary, {}, None, 0, 0
+        try:
+            for op, arg, pos in pickletools.genops(self.stream):
+                last, name = pos, op.name
+                n += 1
+                if n <= self.keep_ops:
+                    self.ops.append({"ord": n - 1, "opcode": name, "arg": None if arg is None else str(arg)[:200], "pos": pos})
+                if self.memo:
+                    if name in _PUTS:
+                        if len(cells) > MOST_PUSHED:
+                            raise ValueError("more memo cells than are kept")
+                        cells[len(cells) if arg is None else int(arg)] = top
+                        continue
+                    top = cells.get(arg) if name in _GETS else None
+                    if top is not None:
+                        self._push(top)
+                if name not in _NAMED:
+                    continue
+                if name in K.STRING_OPCODES:
+                    top = arg.decode("utf-8", "replace") if isinstance(arg, bytes) else arg
+                    self._push(top)
+                    if len(out["strings"]) < K.MAX_STRINGS:
+                        out["strings"].append(top)
+                elif name in ("GLOBAL", "INST"):
+                    out["n_imports"] += 1
+                    module, _, attr = (arg or "").partition(" ")
+                    yield module, attr, pos
+                elif name == "STACK_GLOBAL":
+                    out["n_imports"] += 1
+                    yield *self._two(), pos
+                elif name == "PROTO":
+                    out["protocol"] = arg
+                elif name in _EXT:
+                    if len(out["exts"]) < KEPT_EXTS:
+                        out["exts"].append(f"{name} at {pos}")
+                elif name == "STOP":
+                    out["stop_pos"], out["trailing"] = pos + 1, self.size - pos - 1
+                if name in K.CALL_OPCODES:
+                    out["n_calls"] += 1
+                    if name not in out["calls"]:
+                        out["calls"].append(name)
+        except Exception as e:
+            out["error"], out["trailing"] = f"{type(e).__name__}: {e}"[:500], max(0, self.size - last)
+        out["n_opcodes"] = n
+
+    def import_rows(self) -> Iterator[list[dict]]:
+        """Imports in lists of bounded size. A name may come more than once where a stream has very many; the first has the least place."""
+        seen: set[tuple[str, str]] = set()
+        row, chars = [], 0
+        for module, attr, pos in self.imports():
+            if (module, attr) in seen:
+                continue
+            if len(seen) >= MOST_SEEN or len(module) + len(attr) > ROW_CHARS:
+                seen.clear()
+            seen.add((module, attr))
+            row.append({"module": module, "attr": attr, "pos": pos})
+            chars += len(module) + len(attr)
+            if len(row) >= ROW_NAMES or chars >= ROW_CHARS:
+                yield row
+                row, chars = [], 0
+        if row:
+            yield row
 
 
 def walk(stream: BinaryIO | bytes, size: int | None = None, keep_ops: int = 0, memo: bool = False) -> dict:
-    """Facts of a stream of ``size`` bytes, read as far as it parses. Two pushed strings name what STACK_GLOBAL imports and are used up by it.
-
-    With ``memo``, strings that the stream fetches from its memo count as pushed; it is off for
-    results that equal those of scanners which only see pushes."""
-    if isinstance(stream, bytes):
-        stream, size = io.BytesIO(stream), len(stream)
-    pushed: list[str] = []
-    cells: dict[int, str | None] = {}
-    top: str | None = None
-    out = {"protocol": None, "n_opcodes": 0, "calls": [], "exts": [], "strings": [], "error": None, "stop_pos": None, "trailing": 0, "imports": [], "ops": []}
-    last = 0
+    """All facts of one stream: its summary, its first imports (all of them with ``keep_ops``, for a trace), and its first opcodes."""
+    w = Walk(stream, size, keep_ops, memo)
     seen: set[tuple[str, str]] = set()
-
-    def imported(module: str, attr: str, pos: int) -> None:
-        out["imports"].append({"ord": len(out["imports"]), "module": module, "attr": attr, "pos": pos, "first": (module, attr) not in seen})
+    imports = []
+    for k, (module, attr, pos) in enumerate(w.imports()):
+        first = (module, attr) not in seen
+        if first or keep_ops:
+            imports.append({"ord": k, "module": module, "attr": attr, "pos": pos, "first": first})
         seen.add((module, attr))
-
-    try:
-        for op, arg, pos in pickletools.genops(stream):
-            last, name = pos, op.name
-            out["n_opcodes"] += 1
-            if len(out["ops"]) < keep_ops:
-                out["ops"].append({"ord": len(out["ops"]), "opcode": name, "arg": None if arg is None else str(arg)[:200], "pos": pos})
-            fetched = cells.get(len(cells) if arg is None else arg) if memo and name in ("GET", "BINGET", "LONG_BINGET") else None
-            if memo and name in ("PUT", "BINPUT", "LONG_BINPUT", "MEMOIZE"):
-                cells[len(cells) if arg is None else int(arg)] = top
-                continue
-            top = fetched
-            if name in K.STRING_OPCODES or fetched is not None:
-                top = fetched if fetched is not None else arg.decode("utf-8", "replace") if isinstance(arg, bytes) else arg
-                pushed.append(top)
-                if fetched is None and len(out["strings"]) < K.MAX_STRINGS:
-                    out["strings"].append(top)
-            elif name in ("GLOBAL", "INST"):
-                module, _, attr = (arg or "").partition(" ")
-                imported(module, attr, pos)
-            elif name == "STACK_GLOBAL":
-                imported(*(pushed[-2:] if len(pushed) > 1 else (UNRESOLVED, UNRESOLVED)), pos)
-                if len(pushed) > 1:
-                    del pushed[-2:]
-            elif name == "PROTO":
-                out["protocol"] = arg
-            elif name in _EXT:
-                out["exts"].append(f"{name} at {pos}")
-            elif name == "STOP":
-                out["stop_pos"], out["trailing"] = pos + 1, size - pos - 1
-            if name in K.CALL_OPCODES:
-                out["calls"].append(name)
-    except Exception as e:
-        out["error"], out["trailing"] = f"{type(e).__name__}: {e}"[:500], max(0, size - last)
-    return out
+    return w.summary | {"imports": imports, "ops": w.ops}
 
 
 def facts(streams: DataFrame, keep_ops: int = 0, memo: bool = False) -> DataFrame:
     """streams: target_id, location, content. The same with the facts in place of the content."""
-    names = [f.strip().split(" ")[0] for f in ("protocol", "n_opcodes", "calls", "exts", "strings", "error", "stop_pos", "trailing", "imports", "ops")]
+    names = [f.split(" ")[0] for f in _SUMMARY.split(", ")] + ["imports", "ops"]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [walk(bytes(c), keep_ops=keep_ops, memo=memo) for c in b.content]
             out = pd.DataFrame({n: pd.Series([r[n] for r in rows], dtype=object) for n in names})
-            for n in ("protocol", "n_opcodes", "stop_pos", "trailing"):
+            for n in ("protocol", "n_opcodes", "n_calls", "n_imports", "stop_pos", "trailing"):
                 out[n] = pd.array(out[n], "Int64")
             out.insert(0, "location", b.location.to_numpy())
             out.insert(0, "target_id", b.target_id.to_numpy())
@@ -122,13 +188,21 @@ def judged(imports: DataFrame) -> DataFrame:
 
 def first_imports(streams: DataFrame) -> DataFrame:
     """A row for each name that a stream imports, at its first place."""
-    seen = F.filter("imports", lambda x: x["first"])
-    return streams.select("target_id", "location", (F.size("calls") > 0).alias("has_call"), F.explode(seen).alias("x")).select("target_id", "location", "has_call", "x.*")
+    seen = F.col("names") if "names" in streams.columns else F.filter("imports", lambda x: x["first"])
+    return streams.select("target_id", "location", (F.col("n_calls") > 0).alias("has_call"), F.explode(seen).alias("x")).select("target_id", "location", "has_call", "x.module", "x.attr", "x.pos")
+
+
+def imports_of(streams: DataFrame, rows: DataFrame) -> DataFrame:
+    """The same of streams with very many names, from an audit's rows of imports, which may repeat a name; one stream's are dealt to many tasks."""
+    key = ["target_id", "location", "stream"]
+    named = rows.select(*key, F.explode("names").alias("x")).groupBy(*key, "x.module", "x.attr").agg(F.min("x.pos").alias("pos"))
+    return named.join(streams.where("names is null").select(*key, (F.col("n_calls") > 0).alias("has_call")), key).select("target_id", "location", "has_call", "module", "attr", "pos")
 
 
-def findings(streams: DataFrame) -> list[DataFrame]:
-    """FMT-001 and PKL-001 to 005. streams: facts."""
-    names = judged(first_imports(streams))
+def findings(streams: DataFrame, imports: DataFrame | None = None) -> list[DataFrame]:
+    """FMT-001 and PKL-001 to 005. streams: facts; imports: an audit's rows of imports, of streams whose facts don't hold them."""
+    seen = first_imports(streams)
+    names = judged(seen if imports is None else seen.unionByName(imports_of(streams, imports)))
     known = F.col("known_severity")
     armed = F.when(~F.col("has_call") & (known == "CRITICAL"), "HIGH").otherwise(known)
     where = F.array(F.concat(F.lit("offset "), F.col("pos").cast("string"), F.lit(": "), "module", F.lit("."), "attr"))
@@ -202,7 +276,7 @@ def explain(streams: DataFrame, max_ops: int = 200) -> tuple[DataFrame, DataFram
     f = facts(streams, keep_ops=max_ops)
     imports = judged(f.select("target_id", "location", F.explode("imports").alias("x")).select("target_id", "location", "x.module", "x.attr", "x.pos"))
     trace = f.select("target_id", "location", F.explode("ops").alias("x")).select("target_id", "location", "x.*").join(imports, ["target_id", "location", "pos"], "left")
-    summary = f.select("target_id", "location", "protocol", "n_opcodes", F.size("imports").alias("n_imports"), F.size("calls").alias("n_calls"), "stop_pos", "trailing", "error")
+    summary = f.select("target_id", "location", "protocol", "n_opcodes", "n_imports", "n_calls", "stop_pos", "trailing", "error")
     tail = streams.select("target_id", "location", "content").join(summary, ["target_id", "location"]).withColumn("tail", F.when(F.col("stop_pos").isNotNull(), F.expr("substring(content, stop_pos + 1, 32)")))
     second = F.coalesce((F.length("tail") > 0) & F.hex(F.substring("tail", 1, 1)).isin("80", "28", "5D", "7D", "63"), F.lit(False))
     return trace, tail.select(*summary.columns, F.lower(F.hex("tail")).alias("tail_hex"), second.alias("second_stream"))

@@ -19,7 +19,7 @@ class Config:
     only: tuple[str, ...] = ()
     skip: tuple[str, ...] = ()
     hash_files: bool = False
-    #: Rules and readings beyond the common set: bytes after STOP, names from the memo, missing shards, zstd.
+    #: Rules and readings beyond the common set: bytes after STOP, names from the memo, missing shards, zstd; an error for sources that the parser can't bear.
     extensions: bool = False
 
 
@@ -46,7 +46,7 @@ def file_facts(known: DataFrame, config: Config = Config()) -> DataFrame:
     """One pass over the content of identified artifacts. Facts are small; they are kept, so that the rules
     of all families share the pass, and a lost part is parsed again from its files."""
     kinds = {k for k, analyzers in facts.ASKED_BY.items() if _wants(config, *analyzers)} - (set() if config.extensions else {"index"})
-    return facts.extract(known, kinds, config.extensions, config.extensions).persist(StorageLevel.MEMORY_AND_DISK)
+    return facts.extract(known, kinds, config.extensions, config.extensions, config.extensions).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def file_findings(known: DataFrame, found: DataFrame, config: Config = Config()) -> DataFrame:
@@ -56,7 +56,7 @@ def file_findings(known: DataFrame, found: DataFrame, config: Config = Config())
     out = identify.findings(known) if _wants(config, "repository") else []
     if _wants(config, "pickle"):
         streams = of("pickle")
-        out += pickles.findings(streams) + ([pickles.trailing_findings(streams)] if config.extensions else [])
+        out += pickles.findings(streams, of("import")) + ([pickles.trailing_findings(streams)] if config.extensions else [])
     if _wants(config, "archive"):
         out += containers.findings(of("member").drop("location")) + containers.stream_findings(of("stream"))
     if _wants(config, "keras"):

