@@ -47,6 +47,17 @@ def listed_files(repos: DataFrame) -> DataFrame:
     return rows.withColumn("format", format_of_name(name, suffix(name)))
 
 
+def deep_files(repos: DataFrame, endpoint: str, revision: str = "main", most: int = 6) -> tuple[DataFrame, DataFrame]:
+    """What an audit reads of remote repositories: (target_id, path, url) of the first ``most`` pickled files in the order
+    of the listing, and of their config.json."""
+    names = F.transform("siblings", lambda s: s["rfilename"])
+    url = F.concat(F.lit(endpoint.rstrip("/") + "/"), "target_id", F.lit(f"/resolve/{revision}/"), F.array_join(F.transform(F.split("path", "/"), lambda p: F.replace(F.url_encode(p), F.lit("+"), F.lit("%20"))), "/"))
+    at = repos.select(F.col("id").alias("target_id"), names.alias("names"))
+    weights = at.select("target_id", F.explode(F.slice(F.filter("names", lambda n: ends(n, K.WEIGHT_ENDS_PICKLE)), 1, most)).alias("path")).withColumn("url", url)
+    configs = at.where(F.array_contains("names", "config.json")).select("target_id", F.lit("config.json").alias("path")).withColumn("url", url)
+    return weights, configs
+
+
 def listing_findings(repos: DataFrame, configs: DataFrame | None = None) -> DataFrame:
     """REPO-001 and REPO-006 from the listing alone, and CFG-001 where ``configs`` (target_id, content) has the repository's config.json."""
     from .documents import as_text, config_facts

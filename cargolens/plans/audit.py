@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import partial
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..model import union
 from ..operators import containers, documents, facts, governance, hub, identify, naming, pickles, repository, source_code, tensors
-from ..sources import tree
+from ..sources import hub_listing, remote_zip, tree
 
 
 @dataclass(frozen=True)
@@ -130,15 +131,31 @@ def audit_paths(spark: SparkSession, roots: list[str], config: Config = Config()
 
 def audit_hub(repos: DataFrame, config: Config = Config(), as_of: str = "now", corpus: DataFrame | None = None, corpus_age_days: int | None = None, configs: DataFrame | None = None, streams: DataFrame | None = None) -> Audit:
     """The audit of remote repositories from their metadata; ``streams`` (target_id, location, content, and error) are
-    pickles read by ranges, as ``remote_zip.remote_pickles`` gives them."""
+    pickles read by ranges, as ``remote_zip.remote_pickles`` gives them, and ``configs`` (the same columns) their config.json.
+    Repositories with an ``error`` keep what their name tells, and are errors of their targets."""
+    lost = repos.where("error is not null").select(F.col("id").alias("target_id"), F.lit("").alias("path"), "error") if "error" in repos.columns else None
     ids = repos.select(F.col("id").alias("target_id"), F.col("id").alias("repo_id"))
-    known = corpus if corpus is not None else naming.seed_corpus(repos.sparkSession)
-    out = [naming.findings(ids, known, corpus_age_days), hub.provenance_findings(repos, as_of), hub.listing_findings(repos, configs)]
+    if lost is not None:
+        repos = repos.where("error is null")
+    known = corpus if corpus is not None else naming.seed_corpus(ids.sparkSession)
+    out = [naming.findings(ids, known, corpus_age_days), hub.provenance_findings(repos, as_of), hub.listing_findings(repos, configs.where("content is not null") if configs is not None else None)]
     if streams is not None:
         out += pickles.findings(pickles.facts(streams.where("content is not null")))
     findings = union(out)
     files = hub.listed_files(repos).withColumn("sha256", F.lit(None).cast("string")).withColumn("inspected", F.lit(False))
-    errors = ids.select("target_id", F.lit("").alias("path"), F.lit("").alias("error")).limit(0)
-    if streams is not None and "error" in streams.columns:
-        errors = streams.where("error is not null").select("target_id", F.col("location").alias("path"), "error")
+    read = [x.where("error is not null").select("target_id", F.col("location").alias("path"), "error") for x in (streams, configs) if x is not None and "error" in x.columns]
+    errors = union([*([lost] if lost is not None else []), *read] or [ids.select("target_id", F.lit("").alias("path"), F.lit("").alias("error")).limit(0)])
     return Audit(files, governance.apply_policy(findings, config.policy), governance.verdicts(findings, ids, config.policy, errors), errors)
+
+
+def audit_hub_online(spark: SparkSession, ids: list[str], config: Config = Config(), endpoint: str = hub_listing.DEFAULT, revision: str = "main", most: int = 6, members: int = 3, **options) -> Audit:
+    """From ids to verdicts in one call: metadata, then each repository's config.json and the pickled members of its first
+    ``most`` weight files, read by ranges in tasks. What was read is kept, so that the results share one pass over the hub."""
+    repos = hub_listing.repositories(spark, ids, endpoint=endpoint, **options).persist(StorageLevel.MEMORY_AND_DISK)
+    weights, configs = hub.deep_files(repos.where("error is null"), endpoint, revision, most)
+    opener = partial(remote_zip.http_fetch, token=options.get("token"))
+    tasks = max(1, min(10_000, len(ids)))
+    streams = remote_zip.remote_pickles(weights.repartition(tasks), opener, members).persist(StorageLevel.MEMORY_AND_DISK)
+    read = remote_zip.remote_documents(configs.repartition(tasks), opener).persist(StorageLevel.MEMORY_AND_DISK)
+    a = audit_hub(repos, config, configs=read, streams=streams)
+    return replace(a, kept=(repos, streams, read))

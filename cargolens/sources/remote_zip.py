@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import struct
-import time
-import urllib.error
-import urllib.request
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -14,11 +11,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import web
+from .web import Fetch
+
 #: The longest end record with its comment; fixed by the format.
 TAIL_BYTES = 65_557
 MEMBER_BYTES = 32 << 20
 HEAD_BYTES = 2 << 20
-Fetch = Callable[[int, int], bytes]
 
 
 @dataclass(frozen=True)
@@ -33,27 +32,7 @@ class Entry:
 
 def http_fetch(url: str, token: str | None = None, attempts: int = 3, timeout: int = 60) -> tuple[int, Fetch]:
     """Length of a remote file and a function that reads a range of it, with retries that honour Retry-After."""
-
-    def call(method: str, span: str | None = None) -> tuple[dict, bytes]:
-        headers = {"Authorization": f"Bearer {token}"} if token else {}
-        if span:
-            headers["Range"] = span
-        for k in range(attempts):
-            try:
-                with urllib.request.urlopen(urllib.request.Request(url, headers=headers, method=method), timeout=timeout) as r:
-                    return dict(r.headers), r.read()
-            except urllib.error.HTTPError as e:
-                if k + 1 == attempts or e.code < 500 and e.code != 429:
-                    raise
-                time.sleep(min(30.0, float(e.headers.get("Retry-After") or 2**k)))
-            except urllib.error.URLError:
-                if k + 1 == attempts:
-                    raise
-                time.sleep(2**k)
-        raise AssertionError
-
-    head, _ = call("HEAD")
-    return int(head["Content-Length"]), lambda start, n: call("GET", f"bytes={start}-{start + n - 1}")[1]
+    return web.ranges(url, token, attempts, timeout)
 
 
 def entries(size: int, fetch: Fetch) -> list[Entry]:
@@ -95,7 +74,11 @@ def member(entry: Entry, fetch: Fetch) -> bytes:
     if entry.comp_size > MEMBER_BYTES:
         raise ValueError("member beyond the read limit")
     n, extra = struct.unpack_from("<HH", fetch(entry.offset, 30), 26)
-    data = fetch(entry.offset + 30 + n + extra, entry.comp_size) if entry.comp_size else b""
+    return inflated(entry, fetch(entry.offset + 30 + n + extra, entry.comp_size) if entry.comp_size else b"")
+
+
+def inflated(entry: Entry, data: bytes) -> bytes:
+    """A member's content from its stored bytes."""
     if entry.method == 0:
         return data
     if entry.method != 8:
@@ -132,3 +115,26 @@ def remote_pickles(files: DataFrame, opener: Callable[[str], tuple[int, Fetch]]
             yield pd.DataFrame(rows, columns=["target_id", "location", "content", "error"])
 
     return files.select("target_id", "path", F.col("url")).mapInPandas(read, "target_id string, location string, content binary, error string")
+
+
+#: Bytes of a remote document that are read whole.
+DOCUMENT_BYTES = 16 << 20
+
+
+def remote_documents(files: DataFrame, opener: Callable[[str], tuple[int, Fetch]] = http_fetch) -> DataFrame:
+    """files: target_id, path, url. (target_id, location, content, error) of small files that are read whole."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for target, path, url in zip(b.target_id, b.path, b.url, strict=True):
+                try:
+                    size, fetch = opener(url)
+                    if size > DOCUMENT_BYTES:
+                        raise ValueError(f"{size} bytes aren't read whole")
+                    rows.append((target, path, fetch(0, size) if size else b"", None))
+                except Exception as e:
+                    rows.append((target, path, None, f"{type(e).__name__}: {e}"[:500]))
+            yield pd.DataFrame(rows, columns=["target_id", "location", "content", "error"])
+
+    return files.select("target_id", "path", "url").mapInPandas(read, "target_id string, location string, content binary, error string")
