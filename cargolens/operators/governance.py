@@ -84,7 +84,17 @@ def scores(findings: DataFrame) -> DataFrame:
     Only the number of findings of each (severity, confidence) matters: of n equal ones that follow k
     others the sum is a geometric series, so findings are counted first and a target with any number
     of them is a few rows."""
-    counts = findings.groupBy("target_id", "severity", "confidence").agg(F.count(F.lit(1)).alias("n"))
+    return scores_of(counted(findings))
+
+
+def counted(findings: DataFrame) -> DataFrame:
+    """(target_id, severity, confidence, n): all that a score needs of findings."""
+    return findings.groupBy("target_id", "severity", "confidence").agg(F.count(F.lit(1)).alias("n"))
+
+
+def scores_of(counts: DataFrame) -> DataFrame:
+    """:func:`scores` from counts; a target's rows of one severity and confidence are added up."""
+    counts = counts.groupBy("target_id", "severity", "confidence").agg(F.sum("n").alias("n"))
     factor = F.coalesce(_lookup(K.CONFIDENCE_FACTOR, "confidence"), F.lit(1.0))
     before = Window.partitionBy("target_id", "severity").orderBy(F.desc("factor"), "confidence").rowsBetween(Window.unboundedPreceding, -1)
     ranked = counts.withColumn("factor", factor).withColumn("k", F.coalesce(F.sum("n").over(before), F.lit(0)))
@@ -98,7 +108,11 @@ def scores(findings: DataFrame) -> DataFrame:
 
 def verdicts(findings: DataFrame, targets: DataFrame, policy: Policy = Policy(), errors: DataFrame | None = None) -> DataFrame:
     """A row for each target: score, max_severity, counts, verdict and exit_code. errors: target_id of files that couldn't be read."""
-    s = scores(apply_policy(findings, policy))
+    return verdicts_of(scores(apply_policy(findings, policy)), targets, policy, errors)
+
+
+def verdicts_of(s: DataFrame, targets: DataFrame, policy: Policy = Policy(), errors: DataFrame | None = None) -> DataFrame:
+    """The same from ``scores``."""
     out = targets.select("target_id").distinct().join(s, "target_id", "left").fillna(0)
     listed = F.col("target_id").isin(*policy.allowlist_repos) if policy.allowlist_repos else F.lit(False)
     fail = SEVERITIES.index(policy.fail_on)

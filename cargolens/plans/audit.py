@@ -39,14 +39,14 @@ class Audit:
             df.unpersist()
 
 
-def _wants(config: Config, *analyzers: str) -> bool:
+def wants(config: Config, *analyzers: str) -> bool:
     return any((not config.only or a in config.only) and a not in config.skip for a in analyzers)
 
 
 def file_facts(known: DataFrame, config: Config = Config()) -> DataFrame:
     """One pass over the content of identified artifacts. Facts are small; they are kept, so that the rules
     of all families share the pass, and a lost part is parsed again from its files."""
-    kinds = {k for k, analyzers in facts.ASKED_BY.items() if _wants(config, *analyzers)} - (set() if config.extensions else {"index"})
+    kinds = {k for k, analyzers in facts.ASKED_BY.items() if wants(config, *analyzers)} - (set() if config.extensions else {"index"})
     return facts.extract(known, kinds, config.extensions, config.extensions, config.extensions).persist(StorageLevel.MEMORY_AND_DISK)
 
 
@@ -54,43 +54,47 @@ def file_findings(known: DataFrame, found: DataFrame, config: Config = Config())
     """Findings of all rules that look into files. known: identified artifacts; found: their facts."""
     of = lambda kind: facts.of(found, kind)
     with_x = lambda kind: found.where(F.col("kind") == kind).select("target_id", "location", F.col(kind).alias("x"))
-    out = identify.findings(known) if _wants(config, "repository") else []
-    if _wants(config, "pickle"):
+    out = identify.findings(known) if wants(config, "repository") else []
+    if wants(config, "pickle"):
         streams = of("pickle")
         out += pickles.findings(streams, of("import")) + ([pickles.trailing_findings(streams)] if config.extensions else [])
-    if _wants(config, "archive"):
+    if wants(config, "archive"):
         out += containers.findings(of("member").drop("location")) + containers.stream_findings(of("stream"))
-    if _wants(config, "keras"):
+    if wants(config, "keras"):
         out += documents.keras_findings(with_x("keras"))
-    if _wants(config, "tensors"):
+    if wants(config, "tensors"):
         out += tensors.safetensors_findings(of("tensor")) + tensors.npy_findings(of("npy"))
-    if _wants(config, "graph", "keras", "tensors"):
+    if wants(config, "graph", "keras", "tensors"):
         out += tensors.graph_findings(of("graph"))
-    if _wants(config, "code"):
+    if wants(config, "code"):
         out += source_code.findings(source_code.fact_rows(of("source"))) + documents.notebook_findings(of("notebook"))
-    if _wants(config, "config"):
+    if wants(config, "config"):
         out += documents.config_rules(with_x("config"))
-    if _wants(config, "templates"):
+    if wants(config, "templates"):
         out += documents.template_findings(of("template"))
-    if config.extensions and _wants(config, "repository"):
+    if config.extensions and wants(config, "repository"):
         out.append(documents.index_drift(of("index"), known))
     out = out or [f.limit(0) for f in identify.findings(known)]
     return governance.choose_analyzers(union(out), list(config.only), list(config.skip))
 
 
-def audit(artifacts: DataFrame, config: Config = Config(), identifiers: DataFrame | None = None, repos: DataFrame | None = None, corpus: DataFrame | None = None, corpus_age_days: int | None = None, baseline: DataFrame | None = None, as_of: str = "now", by_ranges: bool = False) -> Audit:
-    """artifacts: ``tree.artifacts`` rows. identifiers: target_id, repo_id, for name checks; repos:
-    metadata of the same repositories, for provenance rules and for files that a listing lacks; corpus:
-    known names, ``corpus_age_days`` old; baseline: rule_id, location, sha256, whose findings are left out.
+@dataclass(frozen=True)
+class Inspected:
+    """What is known of files after the pass over their contents, before rules over whole targets."""
 
-    With ``by_ranges`` rows hold a file's head alone: formats are told from it, and parsers and hashes read
-    the file at ``uri``. What is known of each file is kept without any content, so files are listed and
-    identified once. A file that can't be read or parsed is an error of its target, and ends nothing."""
+    files: DataFrame
+    #: The artifact rows, as those rules read them.
+    rows: DataFrame
+    facts: DataFrame
+    findings: DataFrame
+    errors: DataFrame
+    kept: tuple[DataFrame, ...]
+
+
+def inspect(artifacts: DataFrame, config: Config = Config(), by_ranges: bool = False, hashes: bool = False) -> Inspected:
+    """Identify and parse files, and judge each by itself."""
     known = identify.identify(artifacts)
-    if config.hash_files or baseline is not None:
-        known = known.withColumn("sha256", tree.sha256_of_file())
-    else:
-        known = known.withColumn("sha256", F.lit(None).cast("string"))
+    known = known.withColumn("sha256", tree.sha256_of_file() if hashes else F.lit(None).cast("string"))
     kept: list[DataFrame] = []
     if by_ranges:
         known = known.withColumn("content", F.lit(None).cast("binary")).persist(StorageLevel.MEMORY_AND_DISK)
@@ -108,13 +112,26 @@ def audit(artifacts: DataFrame, config: Config = Config(), identifiers: DataFram
         "target_id", "path", "size", F.when(could, F.col("format")).otherwise("unknown").alias("format"),
         F.when(could & F.col("_broken").isNull(), F.col("sha256")).alias("sha256"), (could & F.col("_broken").isNull()).alias("inspected"),
     )
-    out = [file_findings(readable, found, config)]
-    if _wants(config, "repository", "provenance"):
-        rules = union(repository.findings(repository.inventory(rows.where("is_repo")), repository.declared_maps(facts.of(found, "config"))))
+    return Inspected(files, rows, found, file_findings(readable, found, config), errors, tuple(kept))
+
+
+def audit(artifacts: DataFrame, config: Config = Config(), identifiers: DataFrame | None = None, repos: DataFrame | None = None, corpus: DataFrame | None = None, corpus_age_days: int | None = None, baseline: DataFrame | None = None, as_of: str = "now", by_ranges: bool = False) -> Audit:
+    """artifacts: ``tree.artifacts`` rows. identifiers: target_id, repo_id, for name checks; repos:
+    metadata of the same repositories, for provenance rules and for files that a listing lacks; corpus:
+    known names, ``corpus_age_days`` old; baseline: rule_id, location, sha256, whose findings are left out.
+
+    With ``by_ranges`` rows hold a file's head alone: formats are told from it, and parsers and hashes read
+    the file at ``uri``. What is known of each file is kept without any content, so files are listed and
+    identified once. A file that can't be read or parsed is an error of its target, and ends nothing."""
+    seen = inspect(artifacts, config, by_ranges, config.hash_files or baseline is not None)
+    rows, files = seen.rows, seen.files
+    out = [seen.findings]
+    if wants(config, "repository", "provenance"):
+        rules = union(repository.findings(repository.inventory(rows.where("is_repo")), repository.declared_maps(facts.of(seen.facts, "config"))))
         out.append(governance.choose_analyzers(rules, list(config.only), list(config.skip)))
-    if identifiers is not None and _wants(config, "naming"):
+    if identifiers is not None and wants(config, "naming"):
         out.append(naming.findings(identifiers, corpus if corpus is not None else naming.seed_corpus(artifacts.sparkSession), corpus_age_days))
-    if repos is not None and _wants(config, "hub"):
+    if repos is not None and wants(config, "hub"):
         out.append(hub.provenance_findings(repos, as_of))
         ids = identifiers.select("target_id", F.col("repo_id").alias("id")) if identifiers is not None else None
         out.append(hub.manifest_drift(rows, repos, ids=ids))
@@ -122,7 +139,7 @@ def audit(artifacts: DataFrame, config: Config = Config(), identifiers: DataFram
     if baseline is not None:
         findings = governance.new_findings(findings, files, baseline).drop("is_new")
     left = governance.apply_policy(findings, config.policy)
-    return Audit(files, left, governance.verdicts(findings, rows, config.policy, errors), errors, tuple(kept))
+    return Audit(files, left, governance.verdicts(findings, rows, config.policy, seen.errors), seen.errors, seen.kept)
 
 
 def audit_paths(spark: SparkSession, roots: list[str], config: Config = Config(), max_file_mb: int = 4096, max_files: int | None = None, **more) -> Audit:

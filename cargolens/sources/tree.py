@@ -1,7 +1,8 @@
 """Artifact trees as a table: a Python data source that lists folders in tasks, and tasks that read what is asked.
 
 Spark's ``binaryFile`` leaves out files whose names start with a dot or an underscore; an audit must
-see them, so listing is done here. Roots are folders or single files that every executor can open. A
+see them, so listing is done here: by rounds of folders, or root by root in order where the files of
+a root are bounded. Roots are folders or single files that every executor can open. A
 listing is a narrow table of paths, which is dealt out anew; each file's head is read where its row
 lies, and what parsers need beyond it they read by ranges from ``uri``, the file's path as bytes."""
 
@@ -13,6 +14,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -98,12 +100,87 @@ class _Reader(DataSourceReader):
             yield batch(rows)
 
 
+#: Entries that a task lists before it hands the folders that are left to others, and folders that a task starts with.
+SHARE, FOLDERS = 2000, 4
+
+
+def _entries(root: bytes, start: bytes, share: int) -> Iterator[tuple]:
+    """Files below a folder, and what is left of its folders once ``share`` entries were seen: (root, path, size or None of a folder)."""
+    left, seen = [start], 0
+    while left:
+        folder = left.pop()
+        if seen >= share and folder != start:
+            yield root, folder, None
+            continue
+        try:
+            with os.scandir(folder) as found:
+                for e in found:
+                    seen += 1
+                    if e.is_dir():
+                        if e.name != b".git" and not e.is_symlink():
+                            left.append(e.path)
+                    else:
+                        try:
+                            yield root, e.path, os.path.getsize(e.path)
+                        except OSError:
+                            yield root, e.path, 0
+        except OSError:
+            continue
+
+
+def listing(spark: SparkSession, roots: list[str], share: int = SHARE) -> DataFrame:
+    """A row for each file below the roots, as the data source gives them, listed in rounds: folders that a task leaves
+    are rows that the next round deals out, so one root of any size and shape is listed by many tasks. What a round
+    found is kept until the listing is read; rounds grow with the depth of what is left."""
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["root", "uri", "size", "is_repo"]
+        rows: list[tuple] = []
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.bool_())], names=names)
+
+        for b in batches:
+            for root, folder in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if os.path.isfile(folder):
+                    rows.append((root, folder, os.path.getsize(folder), False))
+                    continue
+                for r in _entries(root, folder, share):
+                    rows.append((*r, True))
+                    if len(rows) >= 1000:
+                        yield batch()
+                        rows = []
+        if rows:
+            yield batch()
+
+    def described_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            roots, uris = b.column(0).to_pylist(), b.column(1).to_pylist()
+            shown = [_shown(os.fsdecode(r)) for r in roots]
+            paths = [_shown(os.fsdecode(os.path.relpath(u, r) if k else os.path.basename(u))) for r, u, k in zip(roots, uris, b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(shown), pa.array(paths), b.column(3), b.column(2), b.column(1)], names=["target_id", "path", "is_repo", "size", "uri"])
+
+    front = spark.createDataFrame(pa.table({"root": pa.array([os.fsencode(r) for r in roots], pa.binary()), "uri": pa.array([os.fsencode(r) for r in roots], pa.binary())}))
+    n, files = len(roots), None
+    while n:
+        found = front.repartition(max(1, min(-(-n // FOLDERS), 10_000))).mapInArrow(expand, "root binary, uri binary, size long, is_repo boolean").persist(StorageLevel.MEMORY_AND_DISK)
+        some = found.where("size is not null")
+        files = some if files is None else files.unionByName(some)
+        front = found.where("size is null").select("root", "uri")
+        n = front.count()
+    if files is None:
+        return spark.createDataFrame([], LISTING)
+    return files.mapInArrow(described_paths, LISTING)
+
+
 def artifacts(spark: SparkSession, roots: list[str], max_file_mb: int = 4096, max_files: int | None = None, head_bytes: int = 0) -> DataFrame:
     """Artifact rows of local roots; content is a file's first ``head_bytes``, or all of it for 0. ``max_files``
     bounds the files taken from each root, as a feature; by default all are."""
-    spark.dataSource.register(ArtifactTree)
-    reader = spark.read.format("artifact_tree").option("roots", "\n".join(roots))
-    listing = (reader.option("maxFiles", max_files) if max_files is not None else reader).load()
+    if max_files is None:
+        listed = listing(spark, roots)
+    else:
+        spark.dataSource.register(ArtifactTree)
+        listed = spark.read.format("artifact_tree").option("roots", "\n".join(roots)).option("maxFiles", max_files).load()
     most = max_file_mb << 20
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +201,7 @@ def artifacts(spark: SparkSession, roots: list[str], max_file_mb: int = 4096, ma
 
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     # where rows lie doesn't matter, so they are dealt out by name: a root with many files is many tasks
-    return described(listing.repartition(tasks, "uri").mapInArrow(read, SCHEMA))
+    return described(listed.repartition(tasks, "uri").mapInArrow(read, SCHEMA))
 
 
 def described(rows: DataFrame) -> DataFrame:

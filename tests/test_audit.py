@@ -462,3 +462,61 @@ def test_gate_streams(spark, tmp_path):
     q.awaitTermination(120)
     got = {r.target_id: r.admitted for r in spark.read.parquet(str(tmp_path / "out" / "*")).collect()}
     assert got == {"clean-model": True, "os-system": False}
+
+
+def test_stateful_gate_equals_the_audit(spark, golden, tmp_path):
+    """Files of all golden targets arrive in a random order in batches, with a restart and a batch that is run again: the verdicts are the audit's."""
+    import random
+    import shutil
+
+    from cargolens.streaming.gate import StatefulGate
+
+    _, _, _, verdicts = golden
+    rows = [(t, p, True, len(d), bytearray(d)) for t in fixtures.GOLDEN for p, d in fixtures.TREES[t].items()]
+    rows += [("broken", "n.ipynb", True, 3, bytearray(b'{"cells": [3]}')), ("broken", "README.md", True, 3, bytearray(b"abc"))]
+    random.Random(2).shuffle(rows)
+    schema = "target_id string, path string, is_repo boolean, size long, content binary"
+    g, src = StatefulGate(str(tmp_path / "gate")), str(tmp_path / "in")
+    parts = [rows[k::4] for k in range(4)]
+    flat = tree.described(spark.createDataFrame(rows[:1], schema))
+    for k, part in enumerate(parts):
+        tree.described(spark.createDataFrame(part, schema)).coalesce(1).write.mode("append").parquet(src)
+        arrivals = spark.readStream.schema(flat.schema).option("maxFilesPerTrigger", 1).parquet(src)
+        assert g.collect(arrivals).awaitTermination(150)
+        if k == 2:
+            # a batch that was run again leaves other files under its number, which don't count twice
+            again = str(tmp_path / "gate" / "partials" / "batch=2")
+            shutil.copytree(again, str(tmp_path / "copy"))
+            assert g.judge(spark).awaitTermination(150)
+            spark.read.parquet(str(tmp_path / "copy")).write.mode("overwrite").parquet(again)
+        if k != 1:
+            assert g.judge(spark).awaitTermination(150)
+    got = {r.target_id: (r.score, r.verdict, r.exit_code) for r in g.verdicts(spark).collect()}
+    want = {t: fixtures.GOLDEN[t][:3] for t in fixtures.GOLDEN}
+    assert {t: v for t, v in got.items() if t != "broken"} == want and got["broken"] == (0, "ALLOW", 0 if got["broken"][2] == 0 else 3)
+    whole = {r.t: (r.n_critical, r.n_high, r.n_medium, r.n_low, r.n_info, r.max_severity) for r in verdicts.collect()}
+    assert {r.target_id: (r.n_critical, r.n_high, r.n_medium, r.n_low, r.n_info, r.max_severity) for r in g.verdicts(spark).collect() if r.target_id != "broken"} == {t: whole[t] for t in want}
+    assert {r.target_id for r in g.verdicts(spark).where("parts > 1").collect()}
+
+
+def test_quiet_targets_settle(spark, tmp_path):
+    """Two shares of a target, then silence: its timer tells that it has settled, and a share that comes again changes nothing."""
+    import time
+
+    from cargolens.streaming.gate import PARTIAL, StatefulGate
+
+    g = StatefulGate(str(tmp_path), quiet_seconds=0.5)
+    share = lambda n: spark.createDataFrame([("t", {"HIGH|high": n}, 1, True, None, False, ["m.bin"], [], True, [], True, [])], PARTIAL).coalesce(1)
+    for k in (0, 1):
+        share(k + 1).write.parquet(str(tmp_path / "partials" / f"batch={k}"))
+    q = g.judge(spark, processingTime="0 seconds")
+    try:
+        end = time.time() + 120
+        while time.time() < end:
+            time.sleep(1)
+            if q.lastProgress and (tmp_path / "verdicts").exists() and g.verdicts(spark).where("settled").count():
+                break
+        r = g.verdicts(spark).first()
+    finally:
+        q.stop()
+    assert r.settled and r.parts == 2 and r.n_high == 3 and r.n_medium == 1 and r.verdict == "REVIEW"

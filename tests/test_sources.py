@@ -241,3 +241,46 @@ def test_ids_to_verdicts_in_one_call(spark, server):
     assert ("many/m", "PKL-001") not in fired and not server.spans("/many/m/resolve/main/6.bin") and server.spans("/many/m/resolve/main/5.bin")
     assert {(r.target_id, r.path) for r in a.errors.collect()} == {("gone/m", "")} and verdicts["gone/m"].exit_code in (1, 3)
     a.release()
+
+
+# --- listing by rounds -----------------------------------------------------------------------------
+
+
+def test_listing_by_rounds_equals_a_walk(spark, tmp_path):
+    import os
+
+    from cargolens.sources import tree
+
+    deep = tmp_path / "deep"
+    for k in range(60):
+        folder = deep / f"d{k % 7}" / f"e{k}" / ("x/" * (k % 5))
+        folder.mkdir(parents=True)
+        for i in range(k % 9):
+            (folder / f".f{i}").write_bytes(b"x" * i)
+    (deep / ".git").mkdir()
+    (deep / ".git" / "hidden").write_bytes(b"x")
+    os.symlink(deep / "d1", deep / "link")
+    os.symlink("nowhere", deep / "broken")
+    os.symlink(deep / "d1" / "e1", deep / "d2" / "again")
+    with open(os.fsencode(str(deep)) + b"/odd\xff.txt", "wb") as f:
+        f.write(b"x")
+    (tmp_path / "one.bin").write_bytes(b"123")
+    (tmp_path / "empty").mkdir()
+    roots = [str(deep), str(tmp_path / "one.bin"), str(tmp_path / "empty")]
+    want = sorted((tree._shown(r), tree._shown(path), repo, size, os.fsencode(full)) for r in roots for full, path, repo, size in tree.walk(r))
+    for share in (1, 10, 2000):
+        assert sorted((r.target_id, r.path, r.is_repo, r["size"], bytes(r.uri)) for r in tree.listing(spark, roots, share).collect()) == want, share
+    assert tree.listing(spark, []).count() == 0
+
+
+def test_one_large_root_is_listed_by_many_tasks(spark, tmp_path):
+    """One root of 20,000 files in 500 folders."""
+    from cargolens.sources import tree
+
+    for k in range(500):
+        (tmp_path / f"d{k}").mkdir()
+        for i in range(40):
+            (tmp_path / f"d{k}" / f"f{i}").touch()
+    rows = tree.listing(spark, [str(tmp_path)], 400)
+    per = rows.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert sum(r["count"] for r in per) == 20_000 and len(per) > 50
