@@ -14,6 +14,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,24 @@ BLOCK_CHARS = 16 << 20
 HOT_BLOCKS, HOT_SHARE, HOT_LENGTH = 20_000, 10_000, 1000
 
 _SCHEMA = pa.schema([("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("slots", pa.binary()), ("key", pa.list_(pa.string())), ("word", pa.list_(pa.string())), ("n", pa.list_(pa.int32()))])
+_PART = pa.struct([("bucket", pa.int32()), ("words", pa.binary()), ("at", pa.binary())])
+_DEALT = pa.schema([*list(_SCHEMA)[:4], ("parts", pa.list_(_PART))])
+_DEALT_DDL = "block long, doc_id array<long>, sizes array<int>, slots binary, parts array<struct<bucket:int,words:binary,at:binary>>"
+_DDL = "block long, doc_id array<long>, sizes array<int>, slots binary, key array<string>, word array<string>, n array<int>"
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, their bytes by place, compressed."""
+    return zstandard.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+_PART = pa.struct([("bucket", pa.int32()), ("words", pa.binary()), ("at", pa.binary())])
+_DEALT = pa.schema([*list(_SCHEMA)[:4], ("parts", pa.list_(_PART))])
+_DEALT_DDL = "block long, doc_id array<long>, sizes array<int>, slots binary, parts array<struct<bucket:int,words:binary,at:binary>>"
 _DDL = "block long, doc_id array<long>, sizes array<int>, slots binary, key array<string>, word array<string>, n array<int>"
 
 
@@ -37,6 +56,17 @@ def unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
+def pack_texts(texts: list[bytes]) -> bytes:
+    return zstandard.compress(np.array([len(texts), *map(len, texts)], "<u4").tobytes() + b"".join(texts), 6)
+
+
+def unpack_texts(data: bytes) -> list[bytes]:
+    data = zstandard.decompress(data)
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    ends = np.cumsum(np.frombuffer(data, "<u4", n, 4), dtype=np.int64) + 4 * (n + 1)
+    return [data[a:b] for a, b in zip([4 * (n + 1), *ends[:-1].tolist()], ends.tolist(), strict=True)] if n else []
+
+
 class _Block:
     def __init__(self, breaks: tuple):
         self.breaks, self.number, self.keys = breaks, count(1), {}
@@ -50,6 +80,22 @@ class _Block:
         self.sizes.append(len(tokens))
         self.chars += chars
 
+    def dealt(self, number: int, buckets: int) -> pa.RecordBatch:
+        """The block with its words in lists by bucket, each in order, for an exchange by bucket. Slots are ranks by
+        frequency, which pack best; a block without words has one empty list."""
+        slots = np.concatenate(self.parts)
+        counts = np.bincount(slots, minlength=next(self.number))
+        rank = np.zeros(len(counts), np.uint32)
+        rank[1 + np.argsort(-counts[1:], kind="stable")] = np.arange(1, len(counts))
+        lists = defaultdict(list)
+        for known in self.keys.values():
+            for w, slot in known.items():
+                if slot:
+                    data = w.encode("utf-8", "surrogatepass")
+                    lists[zlib.crc32(data) % buckets].append((data, slot))
+        parts = [{"bucket": b, "words": pack_texts([w for w, _ in sorted(x)]), "at": pack(rank[[slot for _, slot in sorted(x)]])} for b, x in (lists or {0: []}).items()]
+        return pa.RecordBatch.from_pylist([{"block": number, "doc_id": self.docs, "sizes": self.sizes, "slots": pack(rank[slots]), "parts": parts}], _DEALT)
+
     def row(self, number: int) -> pa.RecordBatch:
         slots = np.concatenate(self.parts)
         n = next(self.number) - 1
@@ -62,9 +108,11 @@ class _Block:
         return pa.RecordBatch.from_pylist([{"block": number, "doc_id": self.docs, "sizes": self.sizes, "slots": pack(slots), "key": key, "word": word, "n": counts}], _SCHEMA)
 
 
-def word_blocks(docs: DataFrame, key: Column, split: Callable[[], Callable[[str], list]], breaks: tuple = (), name: str = "word-blocks", block_chars: int = BLOCK_CHARS) -> DataFrame:
+def word_blocks(docs: DataFrame, key: Column, split: Callable[[], Callable[[str], list]], breaks: tuple = (), name: str = "word-blocks", block_chars: int = BLOCK_CHARS, buckets: int = 0) -> DataFrame:
     """The written blocks of ``docs`` (doc_id, text). Words belong to a ``key`` (not null); ``split()`` gives a
-    task's function from a text (null: empty) to its words; words equal to one of ``breaks`` get slot 0."""
+    task's function from a text (null: empty) to its words; words equal to one of ``breaks`` get slot 0. With
+    ``buckets`` a block has ``parts`` in place of key, word and n: its words packed by the bucket of their hash."""
+    row = (lambda block, number: block.dealt(number, buckets)) if buckets else (lambda block, number: block.row(number))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -75,12 +123,12 @@ def word_blocks(docs: DataFrame, key: Column, split: Callable[[], Callable[[str]
                 t = t or ""
                 block.add(d, k, tokens(t), len(t))
                 if block.chars >= block_chars:
-                    yield block.row(number)
+                    yield row(block, number)
                     number, block = number + 1, _Block(breaks)
         if block.docs:
-            yield block.row(number)
+            yield row(block, number)
 
-    return written(docs.select(F.col("doc_id").cast("long"), key.alias("key"), "text").mapInArrow(cut, _DDL), name)
+    return written(docs.select(F.col("doc_id").cast("long"), key.alias("key"), "text").mapInArrow(cut, _DEALT_DDL if buckets else _DDL), name)
 
 
 def entries(blocks: DataFrame) -> DataFrame:
