@@ -163,20 +163,54 @@ def _as_rows(keys: np.ndarray, **more) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({**{c: pa.array(keys[:, i].astype(np.int32)) for i, c in enumerate(_KEYS)}, **more})
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    wide = keys.astype(np.uint64)
+    first, last = wide[:, 0] << np.uint64(32) | wide[:, 1], wide[:, 2] << np.uint64(32) | wide[:, 3]
+    order = np.lexsort((last, first))
+    keys, first, last = keys[order], first[order], last[order]
+    return keys[np.concatenate([[True], (first[1:] != first[:-1]) | (last[1:] != last[:-1])])] if len(keys) else keys
+
+
 def _candidates(blocks: DataFrame, length: Length) -> DataFrame:
-    """Distinct candidates."""
+    """Distinct candidates, packed by the bucket of their hash: bucket, n, keys. Written. A block's candidates are a row for each bucket."""
+    buckets = max(64, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def find(state: dict, ids: np.ndarray):
-        keys = length.occurrences(ids)
+        keys = _distinct(length.occurrences(ids))
         if len(keys):
-            h = mixed(keys, 2)
-            order = np.argsort(h, kind="stable")
-            keys, h = keys[order], h[order]
-            # equal keys have equal hashes and stand together; what a hash shared by two keys repeats is merged by distinct()
-            new = np.concatenate([[True], (h[1:] != h[:-1]) | (keys[1:] != keys[:-1]).any(1)])
-            yield _as_rows(keys[new])
-
-    return _mapped(blocks, find, lambda state, part: (), _KEYED).distinct()
+            bucket = (mixed(keys, 2) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            keys, bucket = keys[order], bucket[order]
+            starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            parts = [pack(part.ravel()) for part in np.split(keys, starts[1:])]
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[starts], pa.int32()), "keys": parts})
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+        for b in batches:
+            for bucket, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                some = held.setdefault(bucket, [])
+                some.append(unpack(data).reshape(-1, LONGEST))
+                if len(some) > FAN:
+                    held[bucket] = [_distinct(np.concatenate(some))]
+        for bucket, some in held.items():
+            keys = _distinct(np.concatenate(some))
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "n": pa.array([len(keys)], pa.int64()), "keys": [pack(keys.ravel())]})
+
+    packed = _mapped(blocks, find, lambda state, part: (), "bucket int, keys binary")
+    return written(packed.repartition(buckets, "bucket").mapInArrow(merge, "bucket int, n long, keys binary"), "candidates")
+
+
+def _passes(sizes: dict[int, int], most: int) -> list[list[int]]:
+    """Buckets by pass: as many as hold ``most`` candidates, or one that holds more."""
+    out, held = [], most + 1
+    for bucket, n in sorted(sizes.items()):
+        if held + n > most:
+            out.append([])
+            held = 0
+        out[-1].append(bucket)
+        held += n
+    return out
 
 
 class Slots:
@@ -213,19 +247,16 @@ class Slots:
 def _counted(blocks: DataFrame, length: Length, least: int, slots_a_pass: int) -> tuple[DataFrame, list[Slots]]:
     """The frequent phrases of a length (a, b, c, d, f, h), written, and the slots of each pass."""
     spark = blocks.sparkSession
-    found = written(_candidates(blocks, length), "candidates")
-    passes = -(-found.count() // slots_a_pass)
-    turn = F.pmod(F.xxhash64(*_KEYS), F.lit(max(1, passes)))
+    found = _candidates(blocks, length)
     all_slots, frequent = [], None
-    for p in range(passes):
-        mine = found.where(turn == p)
-        table = mine.select(*_KEYS).toArrow()
-        slots = Slots(spark, np.stack([table[c].to_numpy() for c in _KEYS], 1).astype(np.uint32))
+    for buckets in _passes({r.bucket: r.n for r in found.select("bucket", "n").collect()}, slots_a_pass):
+        mine = found.where(F.col("bucket").isin(buckets)).select("keys")
+        slots = Slots(spark, np.concatenate([unpack(x).reshape(-1, LONGEST) for x in mine.toArrow()["keys"].to_pylist()]))
         slots.count(blocks, length)
 
         def read(batches: Iterator[pa.RecordBatch], slots=slots) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                keys = _matrix(b)
+            for data in (x for b in batches for x in b.column(0).to_pylist()):
+                keys = unpack(data).reshape(-1, LONGEST)
                 f = slots.read(keys)
                 keys, f = keys[f >= least], f[f >= least]
                 yield _as_rows(keys, f=pa.array(f), h=pa.array(mixed(keys, 0).view(np.int64)))
