@@ -32,6 +32,19 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+#: What a worker process keeps between tasks: one thing at a time.
+_KEPT: dict[str, object] = {}
+
+
+def kept(name: str, make):
+    """What ``make`` gives, kept in this process for tasks that ask for the same name; what another name kept is let go first,
+    so that a worker which serves one stage after the other holds one stage's cache or model."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
 

@@ -15,12 +15,15 @@ score again; without any labelled row every score is 0.5; extra columns stay, an
 from __future__ import annotations
 
 from collections.abc import Iterator
+from uuid import uuid4
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import kept
+
 #: Labelled documents that are kept as neighbours; bounds what is collected and broadcast.
 MAX_LABELLED = 4000
 NEIGHBOURS = 15
@@ -29,6 +32,8 @@ DIMENSIONS = 96
 SHARPNESS = 32
 THRESHOLD = 0.3
 
+#: Bytes whose trigrams are counted at once.
+STEP = 1 << 18
 _KINDS = 12
 _CLASS = np.full(256, 11, np.int64)
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[128:] = 0, 1, 2, 10
@@ -49,9 +54,13 @@ def _graded(out: np.ndarray, slot: int, x: float) -> None:
 def terms(text: str | None) -> np.ndarray:
     text = text or ""
     out = np.zeros(TERMS)
-    k = _CLASS[np.frombuffer(text.encode("utf-8", "replace"), np.uint8)]
-    if len(k) > 2:
-        out[: _KINDS**3] = np.bincount(k[:-2] * _KINDS**2 + k[1:-1] * _KINDS + k[2:], minlength=_KINDS**3) / (len(k) - 2)
+    data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+    if len(data) > 2:
+        counts = np.zeros(_KINDS**3, np.int64)
+        for i in range(0, len(data) - 2, STEP):
+            k = _CLASS[data[i : i + STEP + 2]]
+            counts += np.bincount(k[:-2] * _KINDS**2 + k[1:-1] * _KINDS + k[2:], minlength=_KINDS**3)
+        out[: _KINDS**3] = counts / (len(data) - 2)
     w, lines = text.lower().split(), [x for x in text.split("\n") if x]
     n = max(len(w), 1)
     _graded(out, 0, len(set(w)) / n)
@@ -125,11 +134,11 @@ def scored(docs: DataFrame, model: Model | None, neighbours: int = NEIGHBOURS) -
     """``docs`` with ``score``, 0 to 1."""
     if model is None:
         return docs.withColumn("score", F.lit(0.5))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, model_id = docs.sparkSession.sparkContext.broadcast(model), uuid4().hex
 
     @F.pandas_udf("double")
     def vote(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        m = shared.value
+        m = kept(f"quality {model_id}", lambda: shared.value)
         for texts in batches:
             out = [m.score(np.stack([terms(t) for t in texts.iloc[i : i + 256]]), neighbours) for i in range(0, len(texts), 256)]
             yield pd.Series(np.concatenate(out) if out else [], dtype="float64")

@@ -6,7 +6,8 @@ list (position, difference) for the rest. The footer has the index of block star
 token count, and its place in order. Texts are dealt out by ranges of ``doc_id`` (ties by text stay
 together), so file order is document order and only one count per file meets on the driver.
 
-Null texts are empty: they get the end id alone. Repeated rows are
+Null and empty texts get the end id alone. A very long text is encoded whole by its task; clashing names don't matter,
+for only ``doc_id`` and ``text`` are read. Repeated rows are
 documents of their own. An empty table gives no rows. Null ids sort first."""
 
 from __future__ import annotations
@@ -17,21 +18,21 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import file_system, shared_path, written
+from .common import file_system, kept, shared_path, written
 
 BLOCK = 4096
 PERCENTILE = 98
 END_ID = 2
 MAGIC = b"CLPF0001"
-#: Pieces that a worker keeps.
-CACHE_PIECES = 350_000
+#: Bytes of pieces that a worker keeps, by an estimate; what one piece takes besides its text and ids; and the longest piece kept.
+CACHE_BYTES, PIECE_BYTES, KEPT_LENGTH = 80 << 20, 200, 256
 _HEAD = struct.Struct("<IBHH")
 _L, _N = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
 #: Characters beyond those that _PIECES knows.
@@ -51,8 +52,8 @@ class Encoder:
 
     A text of plain characters is cut into the byte-level pre-tokenizer's pieces, whose ids don't
     depend on their neighbours; pieces met for the first time are encoded, many in one call with line
-    ends between them, and kept in a cache that keeps only the pieces at hand when it is full. Other texts, and texts
-    that name an added token, are encoded as they are."""
+    ends between them, and kept in a cache of bounded bytes that keeps only the pieces at hand when it is full; long
+    pieces aren't kept. Other texts, and texts that name an added token, are encoded as they are."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -62,6 +63,7 @@ class Encoder:
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.odd = re.compile("|".join([_ODD, *added]))
         self.pieces: dict[str, bytes] = {}
+        self.held = 0
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -87,24 +89,28 @@ class Encoder:
         odd = self.odd.search
         split = [None if odd(t) else _PIECES.findall(t) for t in texts]
         here = set().union(*filter(None, split))
-        if len(self.pieces) > CACHE_PIECES:
+        if self.held > CACHE_BYTES:
             # what these texts hold is mostly what all texts hold, so it stays
             self.pieces = {p: self.pieces[p] for p in here if p in self.pieces}
+            self.held = self._size(self.pieces)
         known = self.pieces
-        if new := [p for p in here if p not in known]:
+        new = [p for p in here if p not in known]
+        if new:
             self._learn(new)
         get = self.pieces.__getitem__
-        return [self._ids(t).tobytes() if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
+        out = [self._ids(t).tobytes() if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
+        for p in [p for p in new if len(p) > KEPT_LENGTH]:
+            del self.pieces[p]
+        self.held += self._size(p for p in new if len(p) <= KEPT_LENGTH)
+        return out
 
-
-_ENCODERS: dict[str, Encoder] = {}
+    def _size(self, pieces: Iterable[str]) -> int:
+        return sum(PIECE_BYTES + len(p) + len(self.pieces[p]) for p in pieces)
 
 
 def encoder(path: str) -> Encoder:
-    """One for each worker process, so what a task learnt serves the next."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """One for each worker process, so what a task learnt serves the next of its stage."""
+    return kept(f"encoder {path}", lambda: Encoder(path))
 
 
 def pack_block(ids: np.ndarray) -> bytes:
