@@ -50,29 +50,43 @@ def json_report(findings: DataFrame, files: DataFrame, verdicts: DataFrame) -> D
     return empty.select("target_id", F.to_json(F.struct(F.lit(TOOL).alias("tool"), F.col("target_id").alias("target"), "verdict", "score", "max_severity", "exit_code", "findings", "files")).alias("document"))
 
 
-def sarif(findings: DataFrame, targets: DataFrame) -> DataFrame:
-    """(target_id, document): SARIF 2.1.0; a rule is described by its first finding."""
-    f = titled(findings)
-    text = lambda c: F.struct(c.alias("text"))
-    rule = F.struct(F.col("rule_id").alias("id"), text(F.col("title")).alias("shortDescription"), F.struct("category", _level(1).alias("security-severity")).alias("properties"))
-    per_rule = first_of_rule(findings).groupBy("target_id").agg(F.array_sort(F.collect_list(rule)).alias("rules"))
+SARIF_SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
+
+
+def sarif_rule() -> Column:
+    """Of the first finding of a rule."""
+    return F.struct(F.col("rule_id").alias("id"), F.struct(F.col("title").alias("text")).alias("shortDescription"), F.struct("category", _level(1).alias("security-severity")).alias("properties"))
+
+
+def sarif_result() -> Column:
     message = F.substring(F.concat_ws(": ", "title", F.when(F.col("detail") != "", F.col("detail"))), 1, 2000)
     place = F.array(F.struct(F.struct(F.struct(outer_path(F.col("location")).alias("uri")).alias("artifactLocation")).alias("physicalLocation")))
-    result = F.struct(F.col("rule_id").alias("ruleId"), _level(0).alias("level"), text(message).alias("message"), place.alias("locations"), F.struct("severity", "confidence", "evidence").alias("properties"))
-    out = targets.select("target_id").distinct().join(per_rule, "target_id", "left").join(_listed(f, result, "results"), "target_id", "left")
+    return F.struct(F.col("rule_id").alias("ruleId"), _level(0).alias("level"), F.struct(message.alias("text")).alias("message"), place.alias("locations"), F.struct("severity", "confidence", "evidence").alias("properties"))
+
+
+def sarif(findings: DataFrame, targets: DataFrame) -> DataFrame:
+    """(target_id, document): SARIF 2.1.0; a rule is described by its first finding."""
+    per_rule = first_of_rule(findings).groupBy("target_id").agg(F.array_sort(F.collect_list(sarif_rule())).alias("rules"))
+    out = targets.select("target_id").distinct().join(per_rule, "target_id", "left").join(_listed(titled(findings), sarif_result(), "results"), "target_id", "left")
     out = out.withColumn("results", F.coalesce("results", F.array())).withColumn("rules", F.coalesce("rules", F.array()))
     run = F.struct(F.struct(F.struct(F.lit(TOOL).alias("name"), "rules").alias("driver")).alias("tool"), "results")
-    return out.select("target_id", F.to_json(F.struct(F.lit("https://json.schemastore.org/sarif-2.1.0.json").alias("$schema"), F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("document"))
+    return out.select("target_id", F.to_json(F.struct(F.lit(SARIF_SCHEMA).alias("$schema"), F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("document"))
 
 
-def cyclonedx(findings: DataFrame, files: DataFrame) -> DataFrame:
-    """(target_id, document): a CycloneDX 1.6 bill of the model and its files, findings as vulnerabilities."""
+def cyclonedx_file() -> Column:
     hashes = F.when(F.col("sha256").isNotNull(), F.array(F.struct(F.lit("SHA-256").alias("alg"), F.col("sha256").alias("content"))))
-    part = F.struct(F.concat(F.lit("file:"), "path").alias("bom-ref"), F.lit("file").alias("type"), F.col("path").alias("name"), hashes.alias("hashes"))
-    parts = files.groupBy("target_id").agg(F.array_sort(F.collect_list(part)).alias("files"))
+    return F.struct(F.concat(F.lit("file:"), "path").alias("bom-ref"), F.lit("file").alias("type"), F.col("path").alias("name"), hashes.alias("hashes"))
+
+
+def cyclonedx_flaw() -> Column:
     rating = F.array(F.struct(F.lower("severity").alias("severity"), F.lit("other").alias("method")))
-    flaw = F.struct(F.col("rule_id").alias("id"), F.concat_ws(":", F.lit("finding"), "rule_id", "location").alias("bom-ref"), F.col("title").alias("description"), rating.alias("ratings"), F.array(F.struct(F.concat(F.lit("file:"), outer_path(F.col("location"))).alias("ref"))).alias("affects"))
-    out = parts.join(_listed(titled(findings), flaw, "vulnerabilities"), "target_id", "left")
+    return F.struct(F.col("rule_id").alias("id"), F.concat_ws(":", F.lit("finding"), "rule_id", "location").alias("bom-ref"), F.col("title").alias("description"), rating.alias("ratings"), F.array(F.struct(F.concat(F.lit("file:"), outer_path(F.col("location"))).alias("ref"))).alias("affects"))
+
+
+def cyclonedx(findings: DataFrame, files: DataFrame) -> DataFrame:
+    """(target_id, document): a CycloneDX 1.6 bill of the model and its files, findings as vulnerabilities."""
+    parts = files.groupBy("target_id").agg(F.array_sort(F.collect_list(cyclonedx_file())).alias("files"))
+    out = parts.join(_listed(titled(findings), cyclonedx_flaw(), "vulnerabilities"), "target_id", "left")
     model = F.struct(F.concat(F.lit("model:"), "target_id").alias("bom-ref"), F.lit("machine-learning-model").alias("type"), F.col("target_id").alias("name"))
     with_hashes = F.struct(model["bom-ref"].alias("bom-ref"), model["type"].alias("type"), model["name"].alias("name"), F.lit(None).cast("array<struct<alg:string,content:string>>").alias("hashes"))
     bom = F.struct(F.lit("CycloneDX").alias("bomFormat"), F.lit("1.6").alias("specVersion"), F.lit(1).alias("version"), F.struct(model.alias("component")).alias("metadata"), F.concat(F.array(with_hashes), F.col("files")).alias("components"), F.coalesce("vulnerabilities", F.array()).alias("vulnerabilities"))

@@ -28,12 +28,24 @@ def write_documents(documents: DataFrame, path: str, as_text: bool = False) -> N
         documents.write.mode("overwrite").parquet(path)
 
 
+def _documents(spark: SparkSession, path: str) -> DataFrame:
+    """(doc, d): parsed JSON reports of a table, of text files with one a line, or of ``.json`` files that hold one each."""
+    if path.endswith(".json"):
+        # one that can't be read must not pass as an empty baseline
+        return spark.read.schema(_REPORT).option("multiLine", True).option("mode", "FAILFAST").json(path).select(F.monotonically_increasing_id().cast("string").alias("doc"), F.struct("findings", "files").alias("d"))
+    if any(f.endswith(".parquet") for f in spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).inputFiles()):
+        return spark.read.parquet(path).select(F.col("target_id").alias("doc"), F.from_json("document", _REPORT).alias("d"))
+    return spark.read.schema(_REPORT).option("mode", "FAILFAST").json(path).select(F.monotonically_increasing_id().cast("string").alias("doc"), F.struct("findings", "files").alias("d"))
+
+
 def read_baseline(spark: SparkSession, path: str) -> DataFrame:
-    """(rule_id, location, sha256) of the findings in JSON reports that ``write_documents`` wrote as a table."""
-    doc = spark.read.parquet(path).select("target_id", F.from_json("document", _REPORT).alias("d"))
-    found = doc.select("target_id", F.explode("d.findings").alias("f")).select("target_id", F.coalesce("f.rule_id", F.lit("")).alias("rule_id"), F.coalesce("f.location", F.lit("")).alias("location"))
-    hashes = doc.select("target_id", F.explode("d.files").alias("f")).where("f.sha256 is not null").select("target_id", F.col("f.path").alias("_file"), F.col("f.sha256").alias("sha256")).dropDuplicates(["target_id", "_file"])
-    keyed = found.withColumn("_file", outer_path(F.col("location"))).join(hashes, ["target_id", "_file"], "left")
+    """(rule_id, location, sha256) of the findings in JSON reports: those that ``write_documents`` or ``document_parts`` wrote,
+    and ``.json`` reports of other scanners with the same rules, whose ids may have a prefix of their own."""
+    doc = _documents(spark, path)
+    rule = F.regexp_extract(F.coalesce("f.rule_id", F.lit("")), r"([A-Z0-9]+-[0-9]+[a-z]?)?$", 1)
+    found = doc.select("doc", F.explode("d.findings").alias("f")).select("doc", rule.alias("rule_id"), F.coalesce("f.location", F.lit("")).alias("location"))
+    hashes = doc.select("doc", F.explode("d.files").alias("f")).where("f.sha256 is not null").select("doc", F.col("f.path").alias("_file"), F.col("f.sha256").alias("sha256")).dropDuplicates(["doc", "_file"])
+    keyed = found.withColumn("_file", outer_path(F.col("location"))).join(hashes, ["doc", "_file"], "left")
     return keyed.select("rule_id", "location", F.coalesce("sha256", F.lit("")).alias("sha256")).distinct()
 
 
