@@ -40,6 +40,8 @@ INSIDE = 80
 BUCKETS = 1 << 24
 #: Candidates whose keys (16 bytes each), hash and counts (8 bytes) are broadcast at once.
 SLOTS_A_PASS = 1 << 21
+#: Words whose phrases a task holds at once.
+STEP = 1 << 18
 #: Numbers of an array that are summed in one group, and arrays that one group sums.
 CHUNK, FAN = 1 << 16, 16
 
@@ -93,8 +95,14 @@ class Length:
         #: shorter: a bitmap test of the hashes of frequent phrases of k - 1 words; None for pairs, whose words are frequent.
         self.k, self.shorter, self.sketch, self.buckets = k, shorter, None, buckets
 
-    def occurrences(self, ids: np.ndarray) -> np.ndarray:
-        """Keys of the block's phrases as rows of four numbers (0 beyond k)."""
+    def occurrences(self, ids: np.ndarray) -> Iterator[np.ndarray]:
+        """Keys of the block's phrases as rows of four numbers (0 beyond k), some at a time."""
+        for i in range(0, len(ids), STEP):
+            keys = self._at(ids[i : i + STEP + self.k - 1])
+            if len(keys):
+                yield keys
+
+    def _at(self, ids: np.ndarray) -> np.ndarray:
         k, n = self.k, len(ids) - self.k + 1
         if n <= 0:
             return np.zeros((0, LONGEST), np.uint32)
@@ -141,10 +149,10 @@ def _sketched(blocks: DataFrame, length: Length, least: int) -> None:
     buckets = length.buckets
 
     def count(state: dict, ids: np.ndarray):
-        b = (mixed(length.occurrences(ids), 1) & np.uint64(buckets - 1)).astype(np.int64)
-        if len(b):
-            if "n" not in state:
-                state["n"] = np.zeros(buckets, np.uint8)
+        if "n" not in state:
+            state["n"] = np.zeros(buckets, np.uint8)
+        for keys in length.occurrences(ids):
+            b = (mixed(keys, 1) & np.uint64(buckets - 1)).astype(np.int64)
             at, n = np.unique(b, return_counts=True)
             state["n"][at] = np.minimum(state["n"][at] + np.minimum(n, least), least)
         return ()
@@ -164,8 +172,7 @@ def _as_rows(keys: np.ndarray, **more) -> pa.RecordBatch:
 
 
 def _distinct(keys: np.ndarray) -> np.ndarray:
-    wide = keys.astype(np.uint64)
-    first, last = wide[:, 0] << np.uint64(32) | wide[:, 1], wide[:, 2] << np.uint64(32) | wide[:, 3]
+    first, last = (keys[:, i].astype(np.uint64) << np.uint64(32) | keys[:, i + 1] for i in (0, 2))
     order = np.lexsort((last, first))
     keys, first, last = keys[order], first[order], last[order]
     return keys[np.concatenate([[True], (first[1:] != first[:-1]) | (last[1:] != last[:-1])])] if len(keys) else keys
@@ -176,8 +183,9 @@ def _candidates(blocks: DataFrame, length: Length) -> DataFrame:
     buckets = max(64, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def find(state: dict, ids: np.ndarray):
-        keys = _distinct(length.occurrences(ids))
-        if len(keys):
+        parts = [_distinct(keys) for keys in length.occurrences(ids)]
+        if parts:
+            keys = _distinct(np.concatenate(parts))
             bucket = (mixed(keys, 2) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             keys, bucket = keys[order], bucket[order]
@@ -225,9 +233,11 @@ class Slots:
         size, shared = self.size, self.hash
 
         def of_block(state: dict, ids: np.ndarray):
-            slots = shared.value.slots(length.occurrences(ids))
-            n = np.bincount(slots[slots >= 0], minlength=size)
-            state["n"] = n if "n" not in state else state["n"] + n
+            if "n" not in state:
+                state["n"] = np.zeros(size, np.int64)
+            for keys in length.occurrences(ids):
+                slots = shared.value.slots(keys)
+                state["n"] += np.bincount(slots[slots >= 0], minlength=size)
             return ()
 
         def end(state: dict, part: int):
