@@ -1,8 +1,8 @@
 """Name confusion: repository identifiers against a corpus of well-known names.
 
 The corpus is small by nature (thousands of names), and its size is checked before it is broadcast;
-beyond the bound, exact look-ups become shuffle joins and nearest names are found by a join on the
-strings that one deletion leaves, which two names within one edit or swap always share in part."""
+beyond the bound, exact look-ups become shuffle joins, nearest names meet by what deletions leave of short
+names or by segments of long ones, and embedded names by their rarest gram."""
 
 from __future__ import annotations
 
@@ -56,18 +56,66 @@ def _deletions(key: F.Column) -> F.Column:
     return F.array_distinct(F.concat(F.array(key), F.transform(F.sequence(F.lit(1), F.greatest(F.length(key), F.lit(1))), lambda i: F.concat(F.substring(key, 1, i - 1), F.substring(key, i + 1, F.length(key))))))
 
 
-def nearest_joined(names: DataFrame, keys: DataFrame, cap: int) -> DataFrame:
-    """The same for a corpus of any size: names within ``cap`` edits or swaps share a string after at most ``cap`` deletions each."""
-    spread = lambda df, c: df.withColumn("_d", F.array(F.col(c)))
-    a, b = spread(names, "key"), spread(keys, "known_key")
+#: Known names up to this length meet by what deletions leave, longer ones by segments, whose number doesn't grow with the length.
+DELETED_LENGTH = 20
+
+
+def _deletion_pairs(names: DataFrame, keys: DataFrame, cap: int) -> DataFrame:
+    """Pairs that share a string after at most ``cap`` deletions each, as names within ``cap`` edits or swaps do."""
+    a, b = names.withColumn("_d", F.array("key")), keys.withColumn("_d", F.array("known_key"))
     for _ in range(cap):
         step = F.array_distinct(F.flatten(F.transform("_d", _deletions)))
         a, b = a.withColumn("_d", step), b.withColumn("_d", step)
-    pairs = a.withColumn("_d", F.explode("_d")).join(b.withColumn("_d", F.explode("_d")), "_d").select("key", "known_key", "name").distinct()
+    return a.withColumn("_d", F.explode("_d")).join(b.withColumn("_d", F.explode("_d")), "_d").select("key", "known_key", "name")
+
+
+def _segment_pairs(names: DataFrame, keys: DataFrame, cap: int, least: int) -> DataFrame:
+    """Pairs of a known name of ``least`` characters or more that share one of its segments, at most ``cap`` places off.
+
+    An edit touches one segment and a swap at most two, so of ``2 * cap + 1`` segments one is whole in any name
+    within ``cap`` edits or swaps. A segment's number and the known name's length are part of the key."""
+    n = 2 * cap + 1
+    start, size = f"int(m * i div {n})", f"int(m * (i + 1) div {n} - m * i div {n})"
+    parts = keys.withColumn("m", F.length("known_key")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("part", F.expr(f"substring(known_key, {start} + 1, {size})"))
+    probes = names.withColumn("l", F.length("key")).where(F.col("l") >= least - cap)
+    probes = probes.withColumn("m", F.explode(F.expr(f"sequence(greatest({least}, l - {cap}), greatest({least}, l + {cap}))"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    probes = probes.withColumn("at", F.explode(F.expr(f"transform(sequence(-{cap}, {cap}), s -> {start} + s)"))).where(f"at >= 0 and at + {size} <= l")
+    probes = probes.withColumn("part", F.expr(f"substring(key, at + 1, {size})")).select("key", "m", "i", "part").distinct()
+    return probes.join(parts, ["m", "i", "part"]).select("key", "known_key", "name")
+
+
+def candidate_pairs(names: DataFrame, keys: DataFrame, cap: int, deleted_length: int = DELETED_LENGTH) -> DataFrame:
+    """(key, known_key, name) that hold all pairs within ``cap`` edits or swaps."""
+    short = _deletion_pairs(names.where(F.length("key") <= deleted_length + cap), keys.where(F.length("known_key") <= deleted_length), cap)
+    long = _segment_pairs(names, keys.where(F.length("known_key") > deleted_length), cap, deleted_length + 1)
+    return short.unionByName(long).where(F.abs(F.length("key") - F.length("known_key")) <= cap).distinct()
+
+
+def nearest_joined(names: DataFrame, keys: DataFrame, cap: int) -> DataFrame:
+    """The same for a corpus of any size, from candidates that meet in joins."""
+    pairs = candidate_pairs(names, keys, cap)
     pairs = pairs.withColumn("distance", F.when(F.col("key") == F.col("known_key"), 0).otherwise(osa_distance(F.col("key"), F.col("known_key"))))
     return pairs.where(F.col("distance") <= cap).groupBy("key").agg(F.min(F.struct("distance", "name")).alias("x")).select("key", "x.*")
 
 
+#: Characters of a known name from which on another name may embed it.
+EMBEDDED = 5
+
+
+def embedded(names: DataFrame, keys: DataFrame) -> DataFrame:
+    """names: (key); keys: (known_key, name). (key, name) of all known names of ``EMBEDDED`` characters or more that a name
+    contains, for a corpus of any size: a known name is indexed under that one of its grams which the fewest names have,
+    and a name looks up each of its grams, as many as it has characters."""
+    grams = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (EMBEDDED - 1)), lambda i: F.substring(c, i, F.lit(EMBEDDED))))).alias("gram")
+    of_names = names.where(F.length("key") >= EMBEDDED).select("key", grams(F.col("key")))
+    counts = of_names.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    of_keys = keys.where(F.length("known_key") >= EMBEDDED).select("known_key", "name", grams(F.col("known_key")))
+    # a known name with a gram that no name has is in none of them
+    rarest = of_keys.join(counts, "gram", "left").groupBy("known_key", "name").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("x")).where("x.n > 0")
+    pairs = of_names.join(rarest.select("known_key", "name", F.col("x.gram").alias("gram")), "gram")
+    return pairs.where(F.col("key").contains(F.col("known_key"))).select("key", "name")
+
+
 def findings(ids: DataFrame, corpus: DataFrame, corpus_age_days: int | None = None, broadcast_names: int = BROADCAST_NAMES) -> DataFrame:
     """SQT-001 to 009. ids: target_id, repo_id; corpus: kind, name. Each identifier is judged once, however many targets have it."""
     once = ids.select("repo_id").where("repo_id is not null").distinct().withColumn("target_id", F.col("repo_id"))
@@ -94,12 +142,11 @@ def _judged(ids: DataFrame, corpus: DataFrame, corpus_age_days: int | None, broa
     left = names.join(folded, "key", "left_anti")
     close = near(left, orgs.select(F.col("key").alias("known_key"), "name"), 2).where("distance > 0")
     rest = left.join(close, "key", "left_anti")
-    inside = (F.length("known_key") >= 5) & F.col("key").contains(F.col("known_key"))
+    keys = orgs.select(F.col("key").alias("known_key"), "name")
     if small:
-        embeds = rest.join(F.broadcast(orgs.select(F.col("key").alias("known_key"), "name")), inside)
+        embeds = rest.join(F.broadcast(keys), (F.length("known_key") >= EMBEDDED) & F.col("key").contains(F.col("known_key")))
     else:
-        pieces = rest.withColumn("known_key", F.explode(F.expr("array_distinct(flatten(transform(sequence(1, length(key)), i -> transform(sequence(i, length(key)), j -> substring(key, i, j - i + 1)))))")))
-        embeds = pieces.join(orgs.select(F.col("key").alias("known_key"), "name"), "known_key").where(inside)
+        embeds = embedded(rest, keys)
     embeds = embeds.groupBy("key").agg(F.min("name").alias("name"))
     near_models = near(at.where("known_model is null").select(F.col("model_key").alias("key")).distinct(), models.select(F.col("key").alias("known_key"), "name"), 1).where("distance = 1")
 
