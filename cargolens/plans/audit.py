@@ -95,24 +95,21 @@ def inspect(artifacts: DataFrame, config: Config = Config(), by_ranges: bool = F
     """Identify and parse files, and judge each by itself."""
     known = identify.identify(artifacts)
     known = known.withColumn("sha256", tree.sha256_of_file() if hashes else F.lit(None).cast("string"))
-    kept: list[DataFrame] = []
-    if by_ranges:
-        known = known.withColumn("content", F.lit(None).cast("binary")).persist(StorageLevel.MEMORY_AND_DISK)
-        kept.append(known)
+    known = known.withColumn("_there", F.col("error").isNull() & (F.lit(True) if by_ranges else F.col("content").isNotNull()))
+    # what is known of files is kept without their content, so rules about files don't identify them again
+    told = known.withColumn("content", F.lit(None).cast("binary")).persist(StorageLevel.MEMORY_AND_DISK)
     # of a table at hand the rows themselves tell what needs no format
-    rows = known if by_ranges else artifacts
-    could = F.col("error").isNull() if by_ranges else F.col("error").isNull() & F.col("content").isNotNull()
-    readable = known.where(could)
-    found = file_facts(readable, config)
-    kept.append(found)
+    rows = told if by_ranges else artifacts
+    could = F.col("_there")
+    found = file_facts((told if by_ranges else known).where(could), config)
     failed = facts.of(found, "error").select("target_id", "path", F.col("message").alias("error"))
     errors = rows.where("error is not null").select("target_id", "path", "error").unionByName(failed)
     broken = failed.select("target_id", "path", F.lit(True).alias("_broken")).distinct()
-    files = known.join(broken, ["target_id", "path"], "left").select(
+    files = told.join(broken, ["target_id", "path"], "left").select(
         "target_id", "path", "size", F.when(could, F.col("format")).otherwise("unknown").alias("format"),
         F.when(could & F.col("_broken").isNull(), F.col("sha256")).alias("sha256"), (could & F.col("_broken").isNull()).alias("inspected"),
     )
-    return Inspected(files, rows, found, file_findings(readable, found, config), errors, tuple(kept))
+    return Inspected(files, rows, found, file_findings(told.where(could), found, config), errors, (told, found))
 
 
 def audit(artifacts: DataFrame, config: Config = Config(), identifiers: DataFrame | None = None, repos: DataFrame | None = None, corpus: DataFrame | None = None, corpus_age_days: int | None = None, baseline: DataFrame | None = None, as_of: str = "now", by_ranges: bool = False) -> Audit:
