@@ -9,7 +9,10 @@ that alphabet, and three tests ask whether the symbols could be random: chi-squa
 counts, runs above and below the alphabet's middle, and lag-1 serial correlation. Bonferroni joins the
 three, and a run that they reject at ``RANDOM_LEVEL`` is no key. For the others the null hypothesis is
 ordinary text: of n symbols whose coincidence is that of text (``TEXT_COINCIDENCE``) chi-squared is
-noncentral, larger the longer the run, and ``p_text`` is the chance of one as small as the run's.
+noncentral, larger the longer the run, and ``p_text`` is the chance of one as small as the run's. Ordinary
+runs of hex digits are of two kinds, words and patterns of few symbols, or numbers with a letter here and
+there (``NUMBER_LETTERS`` of their symbols), which have few letters but not few symbols; ``p_text`` is the
+larger of the chances under both, so a run is reported only where neither explains it.
 Benjamini-Hochberg at ``ALPHA`` over these, within bands of length and over all candidates of the band,
 says which runs are reported, so the expected share of ordinary text among the reported is bounded, at
 each length. Ranks are made of counts of p-values in fixed bins: only the small table of bins is
@@ -38,8 +41,10 @@ KINDS = ("assign", "access", "hex")
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"
 ALPHA = 0.05
 RANDOM_LEVEL = 0.001
-#: Chance that two symbols of ordinary text are equal: of digits with some letters, of capitals, of words in mixed case.
-TEXT_COINCIDENCE = {"hex": 0.09, "base32": 0.066, "base64": 0.055}
+#: Chance that two symbols of ordinary text are equal: of words and patterns of hex digits, of capitals, of words in mixed case.
+TEXT_COINCIDENCE = {"hex": 0.14, "base32": 0.066, "base64": 0.055}
+#: Share of letters in numbers that are written with hex digits.
+NUMBER_LETTERS = 0.1
 BANDS = (20, 24, 32, 40, 48, 64, 96, 128, 256)
 BINS_PER_DECADE = 50
 #: Candidate runs that one task tests.
@@ -136,7 +141,10 @@ def battery(runs: DataFrame) -> DataFrame:
     lagged = F.expr("aggregate(sequence(1, size(v) - 1), 0D, (a, i) -> a + (v[i] - _m) * (v[i - 1] - _m))")
     out = out.withColumn("_s", spread).withColumn("z_serial", F.when(F.col("_s") == 0, F.sqrt(n)).otherwise((lagged / F.col("_s") + 1 / n) * F.sqrt(n)))
     excess = F.col("n") * (F.col("k") * F.create_map(*[F.lit(x) for kv in TEXT_COINCIDENCE.items() for x in kv])[F.col("encoding")] - 1)
-    out = out.withColumn("p_text", F.greatest(_normal_tail((df + excess - F.col("chi2")) / F.sqrt(2 * (df + 2 * excess))), F.lit(1e-40)))
+    of_text = _normal_tail((df + excess - F.col("chi2")) / F.sqrt(2 * (df + 2 * excess)))
+    letters = F.expr("double(size(filter(v, x -> x >= 10)))")
+    of_number = _normal_tail((letters - 0.5 - n * NUMBER_LETTERS) / F.sqrt(n * NUMBER_LETTERS * (1 - NUMBER_LETTERS)))
+    out = out.withColumn("p_text", F.greatest(of_text, F.when(F.col("encoding") == "hex", of_number).otherwise(of_text), F.lit(1e-40)))
     least = F.least(_normal_tail(F.col("z_chi")), 2 * _normal_tail(F.abs("z_runs")), 2 * _normal_tail(F.abs("z_serial")))
     band = F.lit(0)
     for b in BANDS[1:]:

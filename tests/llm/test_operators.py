@@ -585,6 +585,46 @@ def test_battery_finds_planted_keys_and_few_else(spark):
     assert r.spans == f"assign:0:70,hex:6:70,hex:71:135" == r.verified and r.n_random == 0
 
 
+@pytest.mark.parametrize(("name", "lengths"), [("hex", (32, 40, 64)), ("base64", (32, 44)), ("base32", (32, 48))])
+def test_battery_at_each_length(spark, name, lengths):
+    """Random runs of one encoding among ids, dates, paths, words and repeated patterns of the same length: recall and false share of each length by itself."""
+    rng = np.random.default_rng(len(name))
+    alphabet = {"hex": "0123456789abcdef", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"}[name]
+    rows, length = [], {}
+
+    def add(text, n, key):
+        length[len(rows)] = n, key and bool(re.search("[0-9]", text)) and bool(re.search("[A-Za-z]", text))
+        rows.append((len(rows), f"see {text} for it"))
+
+    def plain(i, n):
+        number = "".join(rng.choice(list("0123456789"), n))
+        k = int(rng.integers(n))
+        made = {
+            "hex": [number[:k] + "e" + number[k + 1 :], ("20240131" + f"{i:06d}") * n, "deadbeef0" * n, "0123456789abcdef" * n, f"{i:04x}" + "0" * n, "cafe1babe" * n],
+            "base64": ["internal/module/path1/with/long/names/of/parts/in/it", "veryLongIdentifierNumber1InSomeSourceCodeOfOurOwn", f"release_candidate_version_{i % 7}_final_of_the_model_x", "x1" * n, f"2024-01-31/{i:06d}/00/00/00/00/00/00/00/00/00/00/00"],
+            "base32": ["RELEASE2OF2THE2MODEL2WITH2NAMES2IN2IT", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567" * 2, "A2" * n, "AAAAAAAA2222222233333333444444445555"],
+        }[name]
+        return (made[i % len(made)] * 2)[:n]
+
+    for n in lengths:
+        for i in range(100):
+            add("".join(rng.choice(list(alphabet), n)), n, True)
+            add(plain(i, n), n, False)
+    found = secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).where("size(tested) > 0").select("doc_id").collect()
+    hit = {r.doc_id for r in found}
+    for n in lengths:
+        keys = {i for i, (m, key) in length.items() if m == n and key}
+        mine = {i for i in hit if length[i][0] == n}
+        assert len(mine & keys) >= 0.9 * len(keys), (name, n, len(mine & keys), len(keys))
+        assert len({i for i in mine if i % 2}) <= secret_scan.ALPHA * len(mine), (name, n)
+
+
+def test_battery_verifies_keys_of_the_documents(spark):
+    """The synthetic documents hold random hex keys, which the battery confirms."""
+    rows = secret_scan.report(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("verified <> ''").collect()
+    assert len(rows) > 5 and all(x in r.spans.split(",") for r in rows for x in r.verified.split(","))
+
+
 def test_many_matches_have_their_places(spark):
     text = "".join(f"é token={i:012d}x! " for i in range(1500))
     want = ",".join(f"assign:{m.start()}:{m.end()}" for m in re.finditer(r"token=[0-9]+x", text))
