@@ -3,8 +3,10 @@
 A file is a row of blocks of ``BLOCK`` ids, then a footer. A block holds its minimum, the bit width
 that covers ``PERCENTILE`` percent of the differences from it, the packed low bits, and an exception
 list (position, difference) for the rest. The footer has the index of block starts, each document's
-token count, and its place in order. Texts are dealt out by ranges of ``doc_id`` (ties by text stay
-together), so file order is document order and only one count per file meets on the driver.
+token count, and its place in order. Texts are encoded where they are read, and what is dealt out by ranges of ``doc_id``
+are their ids, two bytes each where the vocabulary allows; the ranges' bounds come from ``doc_id`` alone. So file order is document
+order and only one count per file meets on the driver. Rows of one id stand in order of their texts' hashes, and an id
+that fills more than a range is cut by them, so that it is several files.
 
 Null and empty texts get the end id alone. A very long text is encoded whole by its task; clashing names don't matter,
 for only ``doc_id`` and ``text`` are read. Repeated rows are
@@ -18,7 +20,7 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,6 +35,10 @@ END_ID = 2
 MAGIC = b"CLPF0001"
 #: Bytes of pieces that a worker keeps, by an estimate; what one piece takes besides its text and ids; and the longest piece kept.
 CACHE_BYTES, PIECE_BYTES, KEPT_LENGTH = 80 << 20, 200, 256
+#: Characters of the texts that are cut into pieces at a time; a longer text is cut alone.
+STEP_CHARS = 1 << 20
+#: Documents in a file, at most, on average.
+ROWS_A_FILE = 50_000
 _HEAD = struct.Struct("<IBHH")
 _L, _N = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
 #: Characters beyond those that _PIECES knows.
@@ -52,17 +58,20 @@ class Encoder:
 
     A text of plain characters is cut into the byte-level pre-tokenizer's pieces, whose ids don't
     depend on their neighbours; pieces met for the first time are encoded, many in one call with line
-    ends between them, and kept in a cache of bounded bytes that keeps only the pieces at hand when it is full; long
-    pieces aren't kept. Other texts, and texts that name an added token, are encoded as they are."""
+    ends between them, and kept in a cache of bounded bytes; long pieces aren't kept. The cache has two halves: when the
+    young one is full it becomes the old one, and the pieces that are met again move from there to the next. Other texts, and
+    texts that name an added token, are encoded as they are."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.short = self.tokenizer.get_vocab_size() <= 1 << 16
         self.line_end = self._ids("\n")[0]
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.odd = re.compile("|".join([_ODD, *added]))
         self.pieces: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.held = 0
 
     def _ids(self, text: str) -> np.ndarray:
@@ -71,8 +80,8 @@ class Encoder:
     def _learn(self, new: list[str]) -> None:
         lone = [p for p in new if "\n" in p]
         part = [p for p in new if "\n" not in p]
-        for i in range(0, len(part), 2000):
-            some = part[i : i + 2000]
+        for i in range(0, len(part), 400):
+            some = part[i : i + 400]
             ids = self._ids("\n".join(some))
             ends = np.flatnonzero(ids == self.line_end)
             if len(ends) != len(some) - 1:
@@ -88,24 +97,39 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         odd = self.odd.search
         split = [None if odd(t) else _PIECES.findall(t) for t in texts]
+        if self.held > CACHE_BYTES // 2:
+            self.old, self.pieces, self.held = self.pieces, {}, 0
         here = set().union(*filter(None, split))
-        if self.held > CACHE_BYTES:
-            # what these texts hold is mostly what all texts hold, so it stays
-            self.pieces = {p: self.pieces[p] for p in here if p in self.pieces}
-            self.held = self._size(self.pieces)
-        known = self.pieces
-        new = [p for p in here if p not in known]
-        if new:
-            self._learn(new)
+        here.difference_update(self.pieces.keys())
+        again = here & self.old.keys()
+        for p in again:
+            self.pieces[p] = self.old.pop(p)
+        here -= again
+        if here:
+            self._learn(list(here))
         get = self.pieces.__getitem__
         out = [self._ids(t).tobytes() if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
-        for p in [p for p in new if len(p) > KEPT_LENGTH]:
-            del self.pieces[p]
-        self.held += self._size(p for p in new if len(p) <= KEPT_LENGTH)
+        held = self.held + PIECE_BYTES * (len(here) + len(again))
+        for some in (here, again):
+            for p in some:
+                if len(p) > KEPT_LENGTH:
+                    del self.pieces[p]
+                else:
+                    held += len(p) + len(self.pieces[p])
+        self.held = held
         return out
 
-    def _size(self, pieces: Iterable[str]) -> int:
-        return sum(PIECE_BYTES + len(p) + len(self.pieces[p]) for p in pieces)
+
+def steps(texts: list[str]) -> Iterator[slice]:
+    """Slices of ``texts`` with about ``STEP_CHARS`` characters each."""
+    first = held = 0
+    for i, t in enumerate(texts):
+        if held and held + len(t) > STEP_CHARS:
+            yield slice(first, i)
+            first, held = i, 0
+        held += len(t) + 64
+    if first < len(texts):
+        yield slice(first, len(texts))
 
 
 def encoder(path: str) -> Encoder:
@@ -218,13 +242,52 @@ def read_tokens(path: str, first: int = 0, count: int | None = None) -> np.ndarr
         return ids[first - a * BLOCK : end - a * BLOCK]
 
 
-def write_tokens(docs: DataFrame, folder: str | None = None, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
+def encoded(docs: DataFrame, files: int, bounds: list[int], tokenizer: str, end_id: int = END_ID) -> DataFrame:
+    """A row for each document: its file's rank, doc_id, the hash that orders rows of one id, and its ids, two or four bytes each."""
+    at = np.array(bounds, np.int64)
+    last = files - 1
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        enc = encoder(tokenizer)
+        short = enc.short and end_id < 1 << 16
+        end = np.array([end_id], "<u2" if short else "<u4").tobytes()
+        for b in batches:
+            known = b.doc_id.notna().to_numpy()
+            d = b.doc_id.fillna(0).to_numpy(np.int64)
+            low, high = np.searchsorted(at, d, "left"), np.searchsorted(at, d, "right")
+            # an id that is the bound of several ranges is cut by its rows' hashes, in their order
+            share = ((b["_h"].to_numpy(np.int64) >> 32) + (1 << 31)) * (high - low + 1) >> 32
+            rank = np.where(known, np.minimum(low + share, last), 0).astype(np.int32)
+            texts = [t or "" for t in b.text]
+            for part in steps(texts):
+                ids = enc.encode(texts[part])
+                if short:
+                    ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
+                yield pd.DataFrame({"rank": rank[part], "doc_id": b.doc_id.iloc[part].to_numpy(), "_h": b["_h"].iloc[part].to_numpy(), "short": short, "ids": [x + end for x in ids]})
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"))
+    return rows.mapInPandas(encode, "rank int, doc_id long, _h long, short boolean, ids binary")
+
+
+def dealt(docs: DataFrame, rows_a_file: int = ROWS_A_FILE) -> tuple[DataFrame, int, list[int]]:
+    """``docs``, dealt out anew if its own splits are uneven (few row groups), the number of files, and the bounds of their ranges of ids."""
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows, most = docs.groupBy(F.spark_partition_id().alias("p")).count().agg(F.sum("count"), F.max("count")).first()
+    rows = rows or 0
+    files = max(1, min(rows, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_a_file))))
+    if files == 1:
+        return docs, 1, []
+    bounds = docs.agg(F.percentile_approx("doc_id", [i / files for i in range(1, files)], min(20 * files, 1 << 20))).first()[0]
+    return docs.repartition(files) if most > 2 * rows / files else docs, files, sorted(bounds or [])
+
+
+def write_tokens(docs: DataFrame, folder: str | None = None, tokenizer: str | None = None, end_id: int = END_ID, rows_a_file: int = ROWS_A_FILE) -> DataFrame:
     """Writes the files and returns the table of them: file, its rank, documents, tokens, first token.
 
     A task writes a file of its own name; only the files of tasks that ended well are in the table."""
     spark = docs.sparkSession
     folder, tokenizer = folder or shared_path(spark, "token-files"), tokenizer or default_tokenizer()
-    end = np.array([end_id], "<u4").tobytes()
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -233,22 +296,26 @@ def write_tokens(docs: DataFrame, folder: str | None = None, tokenizer: str | No
         fs, inner = file_system(folder)
         fs.create_dir(inner, recursive=True)
         name = f"tokens-{rank:06d}-{uuid.uuid4().hex}.clpf"
-        enc, n, tokens = encoder(tokenizer), 0, 0
+        n, tokens = 0, 0
         with fs.open_output_stream(f"{inner}/{name}") as f:
             w = Writer(f)
             for b in batches:
+                size = np.where(b.short, 2, 4)
+                counts = (b.ids.map(len).to_numpy() // size).tolist()
+                known = [None if d is None or d != d else int(d) for d in b.doc_id.astype(object)]
                 for i in range(0, len(b), 64):
-                    part = b.iloc[i : i + 64]
-                    ids = [x + end for x in enc.encode([t or "" for t in part.text])]
-                    w.add([(None if d is None or d != d else int(d), len(x) // 4) for d, x in zip(part.doc_id.astype(object), ids, strict=True)], b"".join(ids))
-                    n, tokens = n + len(ids), tokens + sum(map(len, ids)) // 4
+                    data = [np.frombuffer(x, f"<u{k}").astype("<u4").tobytes() for x, k in zip(b.ids.iloc[i : i + 64], size[i : i + 64].tolist(), strict=True)]
+                    w.add(list(zip(known[i : i + 64], counts[i : i + 64], strict=True)), b"".join(data))
+                n, tokens = n + len(b), tokens + sum(counts)
             w.close()
         if n:
             yield pd.DataFrame({"file": [f"{folder}/{name}"], "rank": [rank], "docs": [n], "tokens": [tokens]})
         else:
             fs.delete_file(f"{inner}/{name}")
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    docs, count, bounds = dealt(docs, rows_a_file)
+    ids = encoded(docs, count, bounds, tokenizer, end_id)
+    ordered = ids.repartitionById(count, F.col("rank")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "_h").select("doc_id", "short", "ids")
     files = written(ordered.mapInPandas(write, "file string, rank int, docs long, tokens long"), "token-manifest")
     starts, total = [], 0
     for r in files.orderBy("rank").collect():

@@ -429,6 +429,24 @@ def test_token_files_round_trip(spark, docs):
     assert token_files.report(none(docs)).count() == 0
 
 
+def test_token_files_of_a_hot_id(spark):
+    """An id with most rows is several files, whose order is that of ids and of the texts' hashes; a cache that is ever full changes nothing."""
+    rows = [(7 if i % 3 else i, words(i % 40, i)) for i in range(900)] + [(None, "a"), (None, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    files = token_files.write_tokens(docs, rows_a_file=60)
+    got = [(r.doc_id, r.n_tokens, r.ids_crc32) for r in token_files.read_documents(files).orderBy("start", "n_tokens").collect()]
+    known = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).orderBy(F.col("doc_id").asc_nulls_first(), "h").collect()
+    e = token_files.Encoder(token_files.default_tokenizer())
+    want = []
+    for r in known:
+        e.held = token_files.CACHE_BYTES
+        ids = e.encode([r.text])[0] + np.array([2], "<u4").tobytes()
+        want.append((r.doc_id, len(ids) // 4, zlib.crc32(ids)))
+    assert got == want
+    sizes = [r.docs for r in files.collect()]
+    assert len(sizes) > 8 and max(sizes) < 200
+
+
 @pytest.mark.parametrize("text", ["a  b", "a \n b", "x\n\ny", "x \n", "  ", "", "it's 'scare' don't'll", "é² ½a 12a3 ñ", "日本 語　x", "<|endoftext|> a<|endoftext|>b", "a\tb\r\nc", " lead", "tail ", "x'\ns y", "\n\n a", "a.\nb c!?\n!x", "ǅ ʰ ͅ", "a­b \u0085c"])
 def test_encoder_equals_tokenizer(text):
     from tokenizers import Tokenizer
