@@ -34,7 +34,7 @@ PERCENTILE = 98
 END_ID = 2
 MAGIC = b"CLPF0001"
 #: Bytes of pieces that a worker keeps, by an estimate; what one piece takes besides its text and ids; and the longest piece kept.
-CACHE_BYTES, PIECE_BYTES, KEPT_LENGTH = 80 << 20, 200, 256
+CACHE_BYTES, PIECE_BYTES, KEPT_LENGTH = 112 << 20, 200, 256
 #: Characters of the texts that are cut into pieces at a time; a longer text is cut alone.
 STEP_CHARS = 1 << 20
 #: Documents in a file, at most, on average.
@@ -43,8 +43,8 @@ _HEAD = struct.Struct("<IBHH")
 _L, _N = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
 #: Characters beyond those that _PIECES knows.
 _ODD = r"[^\n -~\u00a1-\u024f]"
-#: The byte-level pre-tokenizer's pattern over the other characters.
-_PIECES = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
+#: The byte-level pre-tokenizer's pattern over the other characters; none of its runs ever gives back a character, so they are possessive.
+_PIECES = re.compile(rf" ?[{_L}]++|'(?:s|t|re|ve|m|ll|d)| ?[{_N}]++| ?[^ \n{_L}{_N}]++|\s+(?!\S)|\s++")
 
 
 def default_tokenizer() -> str:
@@ -100,7 +100,7 @@ class Encoder:
         if self.held > CACHE_BYTES // 2:
             self.old, self.pieces, self.held = self.pieces, {}, 0
         here = set().union(*filter(None, split))
-        here.difference_update(self.pieces.keys())
+        here = here.difference(self.pieces)
         again = here & self.old.keys()
         for p in again:
             self.pieces[p] = self.old.pop(p)
@@ -109,14 +109,11 @@ class Encoder:
             self._learn(list(here))
         get = self.pieces.__getitem__
         out = [self._ids(t).tobytes() if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
-        held = self.held + PIECE_BYTES * (len(here) + len(again))
+        for p in [p for p in here if len(p) > KEPT_LENGTH]:
+            del self.pieces[p]
+            here.discard(p)
         for some in (here, again):
-            for p in some:
-                if len(p) > KEPT_LENGTH:
-                    del self.pieces[p]
-                else:
-                    held += len(p) + len(self.pieces[p])
-        self.held = held
+            self.held += PIECE_BYTES * len(some) + sum(map(len, some)) + sum(map(len, map(get, some)))
         return out
 
 
