@@ -520,3 +520,17 @@ def test_quiet_targets_settle(spark, tmp_path):
     finally:
         q.stop()
     assert r.settled and r.parts == 2 and r.n_high == 3 and r.n_medium == 1 and r.verdict == "REVIEW"
+
+
+def test_prose_that_spells_opcodes_is_no_pickle():
+    import pickle
+
+    from cargolens.operators.identify import parses_to_stop
+
+    prose = [b"Ndedou. Threes, with the lytiha", b"Ntthnd. Thbleanat", b"Ndthea. Thhare thndanre", b"h\x00N."]
+    assert not any(map(parses_to_stop, prose))
+    looped = [1]
+    looped.append(looped)
+    streams = [pickle.dumps(x, p) for p in (0, 1) for x in (None, looped, {"a": (1, [2.5, b"x"], {})}, ValueError("x"), frozenset("ab"))]
+    # what fails behind a call has acted
+    assert all(map(parses_to_stop, [*streams, b"cos\nsystem\n(S'x'\ntRdd.", b"(I1\n1N.", b"Nq\x000h\x00."]))
