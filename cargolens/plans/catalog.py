@@ -252,9 +252,11 @@ UNION ALL SELECT 'ZIP-007', 'MEDIUM', count(DISTINCT l_orderkey) FROM m WHERE m
 def zip_members(spark, sf_dir):
     li = _table(spark, sf_dir, "lineitem")
     none = lambda kind: F.lit(None).cast(kind)
+    # rounded half to even, as the SQL's casts do
+    even = lambda c: F.bround(c).cast("long")
     rows = li.select(
         F.col("l_orderkey").cast("string").alias("target_id"), F.lit("m.zip").alias("path"), F.lit("zip").alias("container"), F.col("l_linenumber").alias("ord"), _pick(_MEMBERS, F.col("l_partkey") % 8).alias("member"), F.lit(False).alias("is_dir"),
-        (F.col("l_quantity").cast("long") * 400).alias("comp_size"), (F.round("l_extendedprice").cast("long") * 100).alias("size"), F.when(F.col("l_suppkey") % 5 == 0, 0xA1FF0000).otherwise(0).cast("long").alias("external_attr"), none("int").alias("mode"), none("string").alias("kind"), none("string").alias("error"), none("binary").alias("content"),
+        (even("l_quantity") * 400).alias("comp_size"), (even("l_extendedprice") * 100).alias("size"), F.when(F.col("l_suppkey") % 5 == 0, 0xA1FF0000).otherwise(0).cast("long").alias("external_attr"), none("int").alias("mode"), none("string").alias("kind"), none("string").alias("error"), none("binary").alias("content"),
     )
     return union(containers.findings(rows)).groupBy("rule_id", "severity").agg(F.count(F.lit(1)).alias("n"))
 

@@ -534,3 +534,17 @@ def test_prose_that_spells_opcodes_is_no_pickle():
     streams = [pickle.dumps(x, p) for p in (0, 1) for x in (None, looped, {"a": (1, [2.5, b"x"], {})}, ValueError("x"), frozenset("ab"))]
     # what fails behind a call has acted
     assert all(map(parses_to_stop, [*streams, b"cos\nsystem\n(S'x'\ntRdd.", b"(I1\n1N.", b"Nq\x000h\x00."]))
+
+
+def test_zip_sizes_round_half_to_even_as_the_sql_does(spark, tmp_path):
+    import duckdb
+
+    from cargolens.plans import catalog
+
+    rows = [(1, 1, 1, 1, q, 800 * q + 0.5) for q in (11.0, 12.0, 13.0)] + [(2, 5, 5, 1, 12.5, 9600.5), (3, 5, 5, 1, 13.5, 10400.5)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+        expected = c.execute(catalog.oracle_sql()["zip_members"]).fetchall()
+    got = {r.rule_id: r.n for r in catalog.queries()["zip_members"](spark, str(tmp_path)).collect()}
+    assert got == {rule: n for rule, _, n in expected if n}
