@@ -711,3 +711,26 @@ def test_passages_equal_sql(spark, tmp_path):
     got = passages.repeated_passages(spark.read.parquet(path)).toPandas()[want.columns]
     key = list(want.columns)
     assert got.astype("int64").sort_values(key).values.tolist() == want.astype("int64").sort_values(key).values.tolist() and len(got)
+
+
+def test_a_shared_passage_makes_no_group_of_candidates(spark, monkeypatch):
+    from cargolens.llm import simhash
+
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 7))
+    shared = [word() for _ in range(30)]
+    texts = [" ".join([word() for _ in range(20)] + shared + [word() for _ in range(20)]) for _ in range(300)]
+    texts += [texts[0] + " more", texts[5] + " more"]
+    seen = {}
+    real = simhash.written
+
+    def noted(df, name):
+        out = real(df, name)
+        if name == "candidates":
+            seen[name] = sorted(r.doc_id for r in out.select("doc_id").collect())
+        return out
+
+    monkeypatch.setattr(simhash, "written", noted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    gone = {r.doc_id: r.kept_doc_id for r in simhash.near_duplicates(docs).collect()}
+    assert gone == {300: 0, 301: 5} and seen["candidates"] == [0, 5, 300, 301]
