@@ -22,7 +22,7 @@ def queries() -> dict[str, Query]:
         "op4_html_text": lambda s, d: html_text.report(table(s, d, "pages")),
         "op5_quality": lambda s, d: quality.report(docs(s, d), labels(s, d)),
         "op6_media": lambda s, d: media.report(docs(s, d)),
-        "op7_token_files": lambda s, d: token_files.report(docs(s, d)),
+        "op7_token_files": lambda s, d: token_files.report(docs(s, d), cache_bytes=token_files.ALONE_BYTES),
         "op8_pii": lambda s, d: pii.report(docs(s, d)),
         "op9_secrets": lambda s, d: secret_scan.report(docs(s, d)),
         "op10_passages": lambda s, d: passages.repeated_passages(docs(s, d)),

@@ -35,6 +35,8 @@ END_ID = 2
 MAGIC = b"CLPF0001"
 #: Bytes of pieces that a worker keeps, by an estimate; what one piece takes besides its text and ids; and the longest piece kept.
 CACHE_BYTES, PIECE_BYTES, KEPT_LENGTH = 112 << 20, 200, 256
+#: The same where a worker does nothing else: a pipeline's workers have served other stages before.
+ALONE_BYTES = 208 << 20
 #: Characters of the texts that are cut into pieces at a time; a longer text is cut alone.
 STEP_CHARS = 1 << 20
 #: Documents in a file, at most, on average.
@@ -62,9 +64,11 @@ class Encoder:
     young one is full it becomes the old one, and the pieces that are met again move from there to the next. Other texts, and
     texts that name an added token, are encoded as they are."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_bytes: int | None = None):
         from tokenizers import Tokenizer
 
+        self.cache_bytes = cache_bytes
+
         self.tokenizer = Tokenizer.from_file(path)
         self.short = self.tokenizer.get_vocab_size() <= 1 << 16
         self.line_end = self._ids("\n")[0]
@@ -97,7 +101,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         odd = self.odd.search
         split = [None if odd(t) else _PIECES.findall(t) for t in texts]
-        if self.held > CACHE_BYTES // 2:
+        if self.held > (self.cache_bytes or CACHE_BYTES) // 2:
             self.old, self.pieces, self.held = self.pieces, {}, 0
         here = set().union(*filter(None, split))
         here = here.difference(self.pieces)
@@ -129,9 +133,9 @@ def steps(texts: list[str]) -> Iterator[slice]:
         yield slice(first, len(texts))
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache_bytes: int | None = None) -> Encoder:
     """One for each worker process, so what a task learnt serves the next of its stage."""
-    return kept(f"encoder {path}", lambda: Encoder(path))
+    return kept(f"encoder {path} {cache_bytes}", lambda: Encoder(path, cache_bytes))
 
 
 def pack_block(ids: np.ndarray) -> bytes:
@@ -239,13 +243,13 @@ def read_tokens(path: str, first: int = 0, count: int | None = None) -> np.ndarr
         return ids[first - a * BLOCK : end - a * BLOCK]
 
 
-def encoded(docs: DataFrame, files: int, bounds: list[int], tokenizer: str, end_id: int = END_ID) -> DataFrame:
+def encoded(docs: DataFrame, files: int, bounds: list[int], tokenizer: str, end_id: int = END_ID, cache_bytes: int | None = None) -> DataFrame:
     """A row for each document: its file's rank, doc_id, the hash that orders rows of one id, and its ids, two or four bytes each."""
     at = np.array(bounds, np.int64)
     last = files - 1
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, cache_bytes)
         short = enc.short and end_id < 1 << 16
         end = np.array([end_id], "<u2" if short else "<u4").tobytes()
         for b in batches:
@@ -267,7 +271,8 @@ def encoded(docs: DataFrame, files: int, bounds: list[int], tokenizer: str, end_
 
 
 def dealt(docs: DataFrame, rows_a_file: int = ROWS_A_FILE) -> tuple[DataFrame, int, list[int]]:
-    """``docs``, dealt out anew if its own splits are uneven (few row groups), the number of files, and the bounds of their ranges of ids."""
+    """``docs``, dealt out anew if its own splits are so few or uneven that cores would wait, the number of files, and the bounds of their
+    ranges of ids. A share is what a core gets, not a file: splits are packed by bytes, so their rows differ a little at any size."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows, most = docs.groupBy(F.spark_partition_id().alias("p")).count().agg(F.sum("count"), F.max("count")).first()
@@ -276,10 +281,11 @@ def dealt(docs: DataFrame, rows_a_file: int = ROWS_A_FILE) -> tuple[DataFrame, i
     if files == 1:
         return docs, 1, []
     bounds = docs.agg(F.percentile_approx("doc_id", [i / files for i in range(1, files)], min(20 * files, 1 << 20))).first()[0]
-    return docs.repartition(files) if most > 2 * rows / files else docs, files, sorted(bounds or [])
+    share = rows / min(files, spark.sparkContext.defaultParallelism)
+    return docs.repartition(files) if most > 2 * share else docs, files, sorted(bounds or [])
 
 
-def write_tokens(docs: DataFrame, folder: str | None = None, tokenizer: str | None = None, end_id: int = END_ID, rows_a_file: int = ROWS_A_FILE) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str | None = None, tokenizer: str | None = None, end_id: int = END_ID, rows_a_file: int = ROWS_A_FILE, cache_bytes: int | None = None) -> DataFrame:
     """Writes the files and returns the table of them: file, its rank, documents, tokens, first token.
 
     A task writes a file of its own name; only the files of tasks that ended well are in the table."""
@@ -311,7 +317,7 @@ def write_tokens(docs: DataFrame, folder: str | None = None, tokenizer: str | No
             fs.delete_file(f"{inner}/{name}")
 
     docs, count, bounds = dealt(docs, rows_a_file)
-    ids = encoded(docs, count, bounds, tokenizer, end_id)
+    ids = encoded(docs, count, bounds, tokenizer, end_id, cache_bytes)
     ordered = ids.repartitionById(count, F.col("rank")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "_h").select("doc_id", "short", "ids")
     files = written(ordered.mapInPandas(write, "file string, rank int, docs long, tokens long"), "token-manifest")
     starts, total = [], 0
@@ -350,5 +356,5 @@ def read_documents(files: DataFrame) -> DataFrame:
     return files.select("file", "start").repartition(n, "file").mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def report(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    return read_documents(write_tokens(docs, tokenizer=tokenizer))
+def report(docs: DataFrame, tokenizer: str | None = None, cache_bytes: int | None = None) -> DataFrame:
+    return read_documents(write_tokens(docs, tokenizer=tokenizer, cache_bytes=cache_bytes))

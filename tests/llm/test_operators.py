@@ -734,3 +734,15 @@ def test_a_shared_passage_makes_no_group_of_candidates(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     gone = {r.doc_id: r.kept_doc_id for r in simhash.near_duplicates(docs).collect()}
     assert gone == {300: 0, 301: 5} and seen["candidates"] == [0, 5, 300, 301]
+
+
+def test_token_texts_are_dealt_out_only_where_cores_would_wait(spark):
+    from cargolens.llm import token_files
+
+    as_docs = lambda df: df.selectExpr("id as doc_id", "'a b' as text")
+    sizes = lambda df: sorted(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+    uneven = as_docs(spark.range(0, 200, 1, 1).union(spark.range(200, 900, 1, 7)))
+    same, files, _ = token_files.dealt(uneven, 20)
+    assert files == 45 and sizes(same) == [100] * 7 + [200]
+    single, files, _ = token_files.dealt(as_docs(spark.range(0, 900, 1, 1)), 20)
+    assert files == 45 and max(sizes(single)) < 100
