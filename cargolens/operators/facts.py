@@ -5,7 +5,9 @@ facts that were found before. Names and texts with lone surrogates, which UTF-8
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterable, Iterator
+from hashlib import sha256
 from itertools import chain
 
 import pyarrow as pa
@@ -50,6 +52,40 @@ def _said(e: BaseException) -> str:
     return f"{type(e).__name__}: {e}"[:500]
 
 
+#: Facts of equal files that a task keeps: so many files of so many characters of facts each at most.
+SAME_FILES, SAME_CHARS = 256, 1 << 16
+
+
+class Same:
+    """Facts of the files that a task met last, by path, format and digest: repositories hold copies, and copies have equal facts."""
+
+    def __init__(self):
+        self.kept: OrderedDict[tuple, list] = OrderedDict()
+
+    def rows(self, parser: Parser, path: str, name: str, fmt: str, repo: bool, blob: Blob) -> Iterator[tuple[str, str, dict]]:
+        if not blob.at_hand:
+            yield from parser.rows(path, name, fmt, repo, blob)
+            return
+        key = (path, name, fmt, repo, sha256(blob.content).digest())
+        if (known := self.kept.get(key)) is not None:
+            self.kept.move_to_end(key)
+            blob.close()
+            yield from known
+            return
+        found, left = [], SAME_CHARS
+        for row in parser.rows(path, name, fmt, repo, blob):
+            if left >= 0:
+                found.append(row)
+                left -= len(str(row[2])) + 100
+            yield row
+            if left < 0:
+                found = []
+        if left >= 0:
+            self.kept[key] = found
+            if len(self.kept) > SAME_FILES:
+                self.kept.popitem(last=False)
+
+
 class Parser:
     """Fact rows of one file: (location, kind, fact)."""
 
@@ -184,7 +220,7 @@ def extract(known: DataFrame, kinds: set[str], memo: bool = False, zstd: bool =
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[dict] = []
-        heavy = 0
+        heavy, same = 0, Same()
         for batch in batches:
             columns = [batch.column(i) for i in range(8)]
             for i in range(batch.num_rows):
@@ -194,7 +230,7 @@ def extract(known: DataFrame, kinds: set[str], memo: bool = False, zstd: bool =
                 except OSError as e:
                     out.append({"target_id": target, "path": path, "location": path, "kind": "error", "error": {"message": _said(e)}})
                     continue
-                for location, kind, fact in parser.rows(path, name, fmt, repo, blob):
+                for location, kind, fact in same.rows(parser, path, name, fmt, repo, blob):
                     out.append({"target_id": target, "path": path, "location": location, "kind": kind, kind: fact})
                     heavy += kind == "import"
                     if len(out) >= BATCH or heavy >= BATCH_IMPORTS:

@@ -328,6 +328,15 @@ def notebook_lines(spark, sf_dir):
 # --- files of each family ---------------------------------------------------------------------------
 
 
+#: Files that one task makes and parses.
+FILES_A_TASK = 5000
+
+
+def _spread(keys: DataFrame) -> DataFrame:
+    """``keys`` dealt out to tasks while they are narrow: a table of few row groups is few tasks, however many files its rows become."""
+    return keys.repartition(max(keys.sparkSession.sparkContext.defaultParallelism, -(-keys.count() // FILES_A_TASK)), *keys.columns)
+
+
 def _family(name: str, family: Family) -> None:
     rows = [(i, r, s) for i, (_, found) in enumerate(family.files) for r, s in found]
     expected = "VALUES " + ", ".join(f"({i}, '{r}', '{s}')" for i, r, s in rows)
@@ -336,7 +345,7 @@ def _family(name: str, family: Family) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         """A file of the family for each part, through the whole pass over contents and all rules of files."""
         contents = F.array(*[F.lit(data) for data, _ in family.files])
-        p = _table(spark, sf_dir, "part")
+        p = _spread(_table(spark, sf_dir, "part").select("p_partkey"))
         files = p.select(F.col("p_partkey").cast("string").alias("target_id"), F.lit(family.path).alias("path"), contents[(F.col("p_partkey") % len(family.files)).cast("int")].alias("content"))
         known = identify.identify(described(files))
         config = Config(only=family.analyzers)

@@ -548,3 +548,25 @@ def test_zip_sizes_round_half_to_even_as_the_sql_does(spark, tmp_path):
         expected = c.execute(catalog.oracle_sql()["zip_members"]).fetchall()
     got = {r.rule_id: r.n for r in catalog.queries()["zip_members"](spark, str(tmp_path)).collect()}
     assert got == {rule: n for rule, _, n in expected if n}
+
+
+def test_equal_files_are_parsed_once_and_found_everywhere(spark, tmp_path):
+    from cargolens.operators import facts
+    from cargolens.plans import cases, catalog
+
+    parsed = []
+
+    class Counted(facts.Parser):
+        def rows(self, path, *rest):
+            parsed.append(path)
+            yield from super().rows(path, *rest)
+
+    bomb, up = (cases.FAMILIES["zip_archives"].files[i][0] for i in (3, 1))
+    same, parser = facts.Same(), Counted({"member"})
+    files = [("a.zip", bomb), ("a.zip", up), ("a.zip", bomb), ("b.zip", bomb), ("a.zip", up)]
+    got = [list(same.rows(parser, p, p, "zip", False, Blob(d))) for p, d in files]
+    assert got == [list(facts.Parser({"member"}).rows(p, p, "zip", False, Blob(d))) for p, d in files] and parsed == ["a.zip", "a.zip", "b.zip"]
+    # one row group of keys is dealt out before files are made of it
+    spark.range(1, 20_001).selectExpr("id as p_partkey").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    sizes = [r["count"] for r in catalog._spread(spark.read.parquet(f"{tmp_path}/part.parquet")).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) >= 4 and max(sizes) <= 6_000
