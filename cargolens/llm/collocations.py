@@ -1,15 +1,15 @@
 """Phrase collocations: phrases of two to four words scored by their weakest cut, for each language.
 
 Documents become word numbers in packed blocks (``wordblocks``); only words of ``least`` occurrences or more
-have a number, any other breaks a phrase. Lengths are mined in turn. Occurrences whose shorter phrases are
-all frequent are counted in buckets of a sketch; what falls in buckets of ``least`` or more is a candidate,
-so no frequent phrase is lost. Candidates, ``slots_a_pass`` at a time, get a minimal perfect hash with their
-keys; mappers count verified occurrences by slot in numpy arrays, which are summed as a tree. The two parts
-of a phrase's cut are read by slot from the counts of the shorter lengths.
+have a number, any other breaks a phrase. Lengths are mined in turn, each in one pass over the packed numbers
+(about a byte and a half a word): a task counts a block's different phrases in numpy, as far as their shorter
+phrases are frequent, packs them by the bucket of their hash and sends each bucket's list to the task that sums
+it. What a pass shuffles is at most a row of a list for each occurrence, and what a task holds is one bucket,
+whose number grows with the words; so time, disk and memory grow no faster than the input. The parts of a
+phrase's cut and the longer phrases around it meet in joins.
 
-At any size the counts are exact; the sketch is as large as ``BUCKETS`` says, so in a much larger corpus it
-lets more candidates through, and there are more passes over the packed numbers (about a byte and a half a
-word), one for each ``slots_a_pass`` candidates: raise both with the executors' memory.
+A bitmap of bounded size says which shorter phrases are frequent. Where there are so many that it is full, it
+lets more occurrences through; the counts are exact at any size.
 
 Null texts are empty, a null ``lang`` is ``und``, repeated rows count again, ids aren't read. A very long
 text is cut whole in one task. Ties end with the phrase, so ranks are unique. An empty table, or one without
@@ -19,8 +19,8 @@ are read."""
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -28,22 +28,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import key_bitmap, numbered, remove, written
-from .perfect_hash import PerfectHash, mixed
+from .common import MOST_BITS, key_bitmap, numbered, remove, written
+from .perfect_hash import mixed
 from .wordblocks import BLOCK_CHARS, entries, pack, unpack, with_values, word_blocks
 
 #: Occurrences that a candidate has at least, words of the longest phrase, rows for each language.
 LEAST, LONGEST, TOP = 30, 4, 2000
 #: A candidate goes if a longer one around it has this percentage of its occurrences.
 INSIDE = 80
-#: Buckets of the sketch, a power of two of at least CHUNK: a byte each in a task, a bit each once it is summed.
-BUCKETS = 1 << 24
-#: Candidates whose keys (16 bytes each), hash and counts (8 bytes) are broadcast at once.
-SLOTS_A_PASS = 1 << 21
-#: Words whose phrases a task holds at once.
-STEP = 1 << 18
-#: Numbers of an array that are summed in one group, and arrays that one group sums.
-CHUNK, FAN = 1 << 16, 16
+#: Occurrences of phrases, on average at most, whose counts one task sums at once (40 bytes each, if all differ).
+ROWS_A_BUCKET = 1 << 21
+#: Words whose phrases a task holds at once; those whose phrases it counts together; lists that are summed at a time.
+STEP, COUNTED, FAN = 1 << 18, 1 << 22, 16
 
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _TOKENS = re.compile(rb"[^ \t.,;:!?\n-\r]+|[.,;:!?\n-\r]")
@@ -55,50 +51,18 @@ def _split() -> Callable[[str], list[bytes]]:
     return lambda text: [*_TOKENS.findall(text.encode("utf-8", "surrogatepass").lower()), b"\n"]
 
 
-def tree_sum(arrays: DataFrame, dtype: str, top: int | None = None) -> dict[int, np.ndarray]:
-    """Sums of arrays by chunk; arrays: part, chunk, data (deflated). Values stop at ``top`` if it is given.
-
-    ``FAN`` arrays meet in one group, then ``FAN`` of the sums, until one is left; all chunks together are as
-    bounded as the array that was cut in them."""
-    arrays = written(arrays, "counts")
-    parts = (arrays.agg(F.max("part")).first()[0] or 0) + 1
-
-    def summed(table: pa.Table) -> pa.Table:
-        total = None
-        for data in table.column("data"):
-            x = np.frombuffer(zlib.decompress(data.as_py()), dtype)
-            total = x.astype(np.int64) if total is None else total + x
-        total = total if top is None else np.minimum(total, top)
-        return pa.table({"part": pa.array([table.column("part")[0].as_py() // FAN], pa.int32()), "chunk": table.column("chunk")[:1].combine_chunks(), "data": [zlib.compress(total.astype(dtype).tobytes(), 1)]})
-
-    rows = arrays
-    while True:
-        rows = rows.withColumn("group", F.expr(f"part div {FAN}")).groupBy("group", "chunk").applyInArrow(summed, "part int, chunk int, data binary")
-        parts = -(-parts // FAN)
-        if parts <= 1:
-            break
-    out = {r.chunk: np.frombuffer(zlib.decompress(r.data), dtype) for r in rows.collect()}
-    remove(arrays)
-    return out
-
-
-def _as_chunks(part: int, x: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for i in range(0, len(x), CHUNK):
-        if (piece := x[i : i + CHUNK]).any():
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "chunk": pa.array([i // CHUNK], pa.int32()), "data": [zlib.compress(piece.tobytes(), 1)]})
-
-
 class Length:
     """What tasks need to find the occurrences of phrases of ``k`` words that may be frequent."""
 
-    def __init__(self, k: int, shorter=None, buckets: int = BUCKETS):
+    def __init__(self, k: int, shorter=None):
         #: shorter: a bitmap test of the hashes of frequent phrases of k - 1 words; None for pairs, whose words are frequent.
-        self.k, self.shorter, self.sketch, self.buckets = k, shorter, None, buckets
+        self.k, self.shorter = k, shorter
 
     def occurrences(self, ids: np.ndarray) -> Iterator[np.ndarray]:
-        """Keys of the block's phrases as rows of four numbers (0 beyond k), some at a time."""
-        for i in range(0, len(ids), STEP):
-            keys = self._at(ids[i : i + STEP + self.k - 1])
+        """Keys of the phrases as rows of four numbers (0 beyond k), those of about ``COUNTED`` words at a time."""
+        for first in range(0, len(ids), COUNTED):
+            last = min(first + COUNTED, len(ids))
+            keys = np.concatenate([self._at(ids[i : min(i + STEP, last) + self.k - 1]) for i in range(first, last, STEP)])
             if len(keys):
                 yield keys
 
@@ -114,203 +78,92 @@ class Length:
             sub = np.zeros((len(ids), LONGEST), np.uint32)
             for i in range(k - 1):
                 sub[: len(ids) - i, i] = ids[i:]
-            test = np.unique(np.concatenate([at, at + 1]))
+            test = np.zeros(len(ids), bool)
+            test[at] = test[at + 1] = True
+            test = np.flatnonzero(test)
             good = np.zeros(len(ids), bool)
             good[test] = self.shorter(mixed(sub[test], 0).view(np.int64))
             at = at[good[at] & good[at + 1]]
         keys = np.zeros((len(at), LONGEST), np.uint32)
         for i in range(k):
             keys[:, i] = ids[at + i]
-        if self.sketch is not None and len(keys):
-            b = mixed(keys, 1) & np.uint64(self.buckets - 1)
-            bits = self.sketch.value
-            keys = keys[(bits[(b >> np.uint64(3)).astype(np.int64)] >> (b & np.uint64(7)).astype(np.uint8)) & 1 == 1]
         return keys
 
 
-def _mapped(blocks: DataFrame, of_block: Callable, at_end: Callable, ddl: str) -> DataFrame:
-    """Rows of ``of_block(state, ids)`` for each block and of ``at_end(state, part)`` for each task; state is a dict of the task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        state: dict = {}
-        for b in batches:
-            for data in b.column(0):
-                yield from of_block(state, unpack(data.as_py()))
-        yield from at_end(state, TaskContext.get().partitionId())
-
-    return blocks.select("ids").mapInArrow(run, ddl)
-
-
-def _sketched(blocks: DataFrame, length: Length, least: int) -> None:
-    """Gives ``length`` the bits of the buckets that hold ``least`` occurrences or more."""
-
-    buckets = length.buckets
-
-    def count(state: dict, ids: np.ndarray):
-        if "n" not in state:
-            state["n"] = np.zeros(buckets, np.uint8)
-        for keys in length.occurrences(ids):
-            b = (mixed(keys, 1) & np.uint64(buckets - 1)).astype(np.int64)
-            at, n = np.unique(b, return_counts=True)
-            state["n"][at] = np.minimum(state["n"][at] + np.minimum(n, least), least)
-        return ()
-
-    def end(state: dict, part: int):
-        return _as_chunks(part, state["n"]) if "n" in state else ()
-
-    chunks = tree_sum(_mapped(blocks, count, end, "part int, chunk int, data binary"), "u1", least)
-    bits = np.zeros(buckets >> 3, np.uint8)
-    for chunk, n in chunks.items():
-        bits[chunk * (CHUNK >> 3) : (chunk + 1) * (CHUNK >> 3)] = np.packbits(n >= least, bitorder="little")
-    length.sketch = blocks.sparkSession.sparkContext.broadcast(bits)
-
-
-def _as_rows(keys: np.ndarray, **more) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({**{c: pa.array(keys[:, i].astype(np.int32)) for i, c in enumerate(_KEYS)}, **more})
-
-
-def _distinct(keys: np.ndarray) -> np.ndarray:
-    first, last = (keys[:, i].astype(np.uint64) << np.uint64(32) | keys[:, i + 1] for i in (0, 2))
-    order = np.lexsort((last, first))
-    keys, first, last = keys[order], first[order], last[order]
-    return keys[np.concatenate([[True], (first[1:] != first[:-1]) | (last[1:] != last[:-1])])] if len(keys) else keys
-
-
-def _candidates(blocks: DataFrame, length: Length) -> DataFrame:
-    """Distinct candidates, packed by the bucket of their hash: bucket, n, keys. Written. A block's candidates are a row for each bucket."""
-    buckets = max(64, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-    def find(state: dict, ids: np.ndarray):
-        parts = [_distinct(keys) for keys in length.occurrences(ids)]
-        if parts:
-            keys = _distinct(np.concatenate(parts))
-            bucket = (mixed(keys, 2) % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            keys, bucket = keys[order], bucket[order]
-            starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            parts = [pack(part.ravel()) for part in np.split(keys, starts[1:])]
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[starts], pa.int32()), "keys": parts})
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {}
-        for b in batches:
-            for bucket, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                some = held.setdefault(bucket, [])
-                some.append(unpack(data).reshape(-1, LONGEST))
-                if len(some) > FAN:
-                    held[bucket] = [_distinct(np.concatenate(some))]
-        for bucket, some in held.items():
-            keys = _distinct(np.concatenate(some))
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "n": pa.array([len(keys)], pa.int64()), "keys": [pack(keys.ravel())]})
-
-    packed = _mapped(blocks, find, lambda state, part: (), "bucket int, keys binary")
-    return written(packed.repartition(buckets, "bucket").mapInArrow(merge, "bucket int, n long, keys binary"), "candidates")
-
-
-def _passes(sizes: dict[int, int], most: int) -> list[list[int]]:
-    """Buckets by pass: as many as hold ``most`` candidates, or one that holds more."""
-    out, held = [], most + 1
-    for bucket, n in sorted(sizes.items()):
-        if held + n > most:
-            out.append([])
-            held = 0
-        out[-1].append(bucket)
-        held += n
-    return out
-
-
-class Slots:
-    """The perfect hash of one pass's candidates and their counts, on the driver and in tasks."""
-
-    def __init__(self, spark, keys: np.ndarray):
-        self.size = len(keys)
-        self.hash = spark.sparkContext.broadcast(PerfectHash(keys))
-        self.counts = None
-
-    def count(self, blocks: DataFrame, length: Length) -> None:
-        size, shared = self.size, self.hash
-
-        def of_block(state: dict, ids: np.ndarray):
-            if "n" not in state:
-                state["n"] = np.zeros(size, np.int64)
-            for keys in length.occurrences(ids):
-                slots = shared.value.slots(keys)
-                state["n"] += np.bincount(slots[slots >= 0], minlength=size)
-            return ()
-
-        def end(state: dict, part: int):
-            return _as_chunks(part, state["n"].astype("<i8")) if "n" in state else ()
-
-        total = np.zeros(size, np.int64)
-        for chunk, n in tree_sum(_mapped(blocks, of_block, end, "part int, chunk int, data binary"), "<i8").items():
-            total[chunk * CHUNK : chunk * CHUNK + len(n)] = n
-        self.counts = blocks.sparkSession.sparkContext.broadcast(total)
-
-    def read(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of keys; 0 for those of other passes."""
-        slots = self.hash.value.slots(keys)
-        return np.where(slots >= 0, self.counts.value[slots], 0) if self.size else np.zeros(len(keys), np.int64)
-
-
-def _counted(blocks: DataFrame, length: Length, least: int, slots_a_pass: int) -> tuple[DataFrame, list[Slots]]:
-    """The frequent phrases of a length (a, b, c, d, f, h), written, and the slots of each pass."""
-    spark = blocks.sparkSession
-    found = _candidates(blocks, length)
-    all_slots, frequent = [], None
-    for buckets in _passes({r.bucket: r.n for r in found.select("bucket", "n").collect()}, slots_a_pass):
-        mine = found.where(F.col("bucket").isin(buckets)).select("keys")
-        slots = Slots(spark, np.concatenate([unpack(x).reshape(-1, LONGEST) for x in mine.toArrow()["keys"].to_pylist()]))
-        slots.count(blocks, length)
-
-        def read(batches: Iterator[pa.RecordBatch], slots=slots) -> Iterator[pa.RecordBatch]:
-            for data in (x for b in batches for x in b.column(0).to_pylist()):
-                keys = unpack(data).reshape(-1, LONGEST)
-                f = slots.read(keys)
-                keys, f = keys[f >= least], f[f >= least]
-                yield _as_rows(keys, f=pa.array(f), h=pa.array(mixed(keys, 0).view(np.int64)))
-
-        rows = written(mine.mapInArrow(read, f"{_KEYED}, f long, h long"), "frequent")
-        frequent = rows if frequent is None else frequent.unionByName(rows)
-        all_slots.append(slots)
-    if frequent is None:
-        frequent = spark.createDataFrame([], f"{_KEYED}, f long, h long")
-    return frequent, all_slots
-
-
-def _matrix(b: pa.RecordBatch) -> np.ndarray:
-    return np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in _KEYS], 1).astype(np.uint32)
-
-
-def _with_parts(phrases: DataFrame, k: int, slots: dict[int, list[Slots]]) -> DataFrame:
-    """``phrases`` of ``k`` words with ``left`` and ``right``: counts of the cuts' parts of two words or more, by cut (0: a word)."""
-    cuts, plain = range(1, k), phrases.columns
-    out = phrases.withColumn("left", F.expr(f"array_repeat(0L, {k - 1})")).withColumn("right", F.expr(f"array_repeat(0L, {k - 1})"))
-    names = [*plain, "left", "right"]
-    types = f"{_KEYED}, f long, h long, left array<long>, right array<long>"
-    for size in range(2, k):
-        for some in slots.get(size, []):
-
-            def add(batches: Iterator[pa.RecordBatch], some=some, size=size) -> Iterator[pa.RecordBatch]:
-                for b in batches:
-                    keys = _matrix(b)
-                    sides = {c: np.array(b.column(c).to_pylist(), np.int64).reshape(len(keys), k - 1) for c in ("left", "right")}
-                    for cut in cuts:
-                        for side, lo, hi in (("left", 0, cut), ("right", cut, k)):
-                            if hi - lo == size:
-                                part = np.zeros_like(keys)
-                                part[:, :size] = keys[:, lo:hi]
-                                sides[side][:, cut - 1] += some.read(part)
-                    cols = {c: b.column(c) for c in plain} | {c: pa.array(x.tolist(), pa.list_(pa.int64())) for c, x in sides.items()}
-                    yield pa.RecordBatch.from_pydict(cols)
-
-            out = out.mapInArrow(add, types).select(*names)
-    return out
-
-
-def mine(docs: DataFrame, least: int = LEAST, slots_a_pass: int = SLOTS_A_PASS, buckets: int = BUCKETS, block_chars: int = BLOCK_CHARS) -> tuple[DataFrame, DataFrame]:
-    """All candidates (lang, phrase, k, a, l, r, score, longer: the most occurrences of a longer candidate around it) and the languages' n."""
+def _summed(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different keys in the order of their hashes, the sums of ``n`` (None: 1 each), and the hashes."""
+    h = mixed(keys, 0)
+    order = np.argsort(h)
+    keys, h = keys[order], h[order]
+    new = np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)])
+    if (new[1:] & (h[1:] == h[:-1])).any():  # different keys of one hash may stand in turns
+        again = np.lexsort((*keys.T, h))
+        order, keys, h = order[again], keys[again], h[again]
+        new[1:] = (keys[1:] != keys[:-1]).any(1)
+    first = np.flatnonzero(new)
+    total = np.diff(first, append=len(keys)) if n is None else np.add.reduceat(n[order], first)
+    return keys[first], total, h[first]
+
+
+def _packed(keys: np.ndarray, n: np.ndarray, k: int) -> bytes:
+    """Keys and counts by column; a count's upper half is a column of its own."""
+    return pack(np.concatenate([*keys.T[:k], n & 0xFFFFFFFF, n >> 32]).astype(np.uint32))
+
+
+def _unpacked(data: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
+    columns = unpack(data).reshape(k + 2, -1)
+    keys = np.zeros((columns.shape[1], LONGEST), np.uint32)
+    keys[:, :k] = columns[:k].T
+    return keys, columns[k].astype(np.int64) | columns[k + 1].astype(np.int64) << 32
+
+
+def _counted(blocks: DataFrame, length: Length, least: int, buckets: int) -> DataFrame:
+    """The frequent phrases of a length (a, b, c, d, f, h), written. A block's phrases are a row for each bucket of their hash."""
+    k, fan = length.k, FAN
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for data in (x for b in batches for x in b.column(0)):
+            for keys in length.occurrences(unpack(data.as_py())):
+                # buckets are ranges of the hash, in whose order the keys stand
+                keys, n, h = _summed(keys)
+                bucket = (h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+                starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist()
+                rows = [_packed(keys[i:j], n[i:j], k) for i, j in zip(starts, [*starts[1:], len(keys)], strict=True)]
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[starts].astype(np.int32)), "phrases": rows})
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (x for b in batches for x in zip(b.column(0).to_pylist(), b.column(1), strict=True))
+        for _, same in groupby(rows, lambda x: x[0]):
+            some: list[tuple[np.ndarray, np.ndarray]] = []
+            held = fresh = 0
+            for _, data in same:
+                some.append(_unpacked(data.as_py(), k))
+                fresh += len(some[-1][1])
+                if len(some) > fan and fresh > held:  # at twice what was left, so that sums aren't summed again for every few lists
+                    some = [_summed(*map(np.concatenate, zip(*some, strict=True)))[:2]]
+                    held, fresh = len(some[0][1]), 0
+            keys, f, h = _summed(*map(np.concatenate, zip(*some, strict=True)))
+            keys, f, h = keys[f >= least], f[f >= least], h[f >= least]
+            yield pa.RecordBatch.from_pydict({**{c: pa.array(keys[:, i].astype(np.int32)) for i, c in enumerate(_KEYS)}, "f": pa.array(f), "h": pa.array(h.view(np.int64))})
+
+    lists = blocks.select("ids").mapInArrow(count, "bucket int, phrases binary")
+    tasks = min(buckets, max(64, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return written(lists.repartitionById(tasks, F.col("bucket") % tasks).sortWithinPartitions("bucket").mapInArrow(total, f"{_KEYED}, f long, h long"), "frequent")
+
+
+def _inner(phrases: DataFrame) -> DataFrame:
+    """A row for each phrase of two words or more inside a longer one: the longer one's keys (o_a, ...) and f, ``lo`` and ``size`` of the inner one and its keys."""
+    of = lambda lo, size: F.struct(F.lit(lo).alias("lo"), F.lit(size).alias("size"), *[F.col(_KEYS[lo + i]).alias(c) if i < size else F.lit(0).alias(c) for i, c in enumerate(_KEYS)])
+    of_three = [(0, 2), (1, 2)]
+    of_four = [*of_three, (2, 2), (0, 3), (1, 3)]
+    parts = F.when(F.col("k") == 3, F.array(*[of(*x) for x in of_three])).otherwise(F.array(*[of(*x) for x in of_four]))
+    return phrases.where("k > 2").select(*[F.col(c).alias(f"o_{c}") for c in _KEYS], F.col("f").alias("o_f"), F.explode(parts).alias("x")).select(*[f"o_{c}" for c in _KEYS], "o_f", "x.*")
+
+
+def mine(docs: DataFrame, least: int = LEAST, rows_a_bucket: int = ROWS_A_BUCKET, buckets: int = MOST_BITS, block_chars: int = BLOCK_CHARS) -> tuple[DataFrame, DataFrame]:
+    """All candidates (lang, phrase, k, a, l, r, score, longer: the most occurrences of a longer candidate around it) and the languages' n.
+
+    ``buckets``: bits of the bitmap of shorter phrases, at most, a power of two."""
     spark = docs.sparkSession
     key = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
     blocks = word_blocks(docs.select(F.lit(0).alias("doc_id"), "lang", "text"), key, _split, tuple(bytes([c]) for c in _BREAKS), "phrase-blocks", block_chars)
@@ -334,34 +187,28 @@ def mine(docs: DataFrame, least: int = LEAST, slots_a_pass: int = SLOTS_A_PASS,
 
     ids = written(with_values(blocks, frequent, F.col("id")).select(numbers("slots", "at").alias("ids")), "phrase-ids")
     remove(blocks)
-    slots, found, shorter = {}, [], None
+    n_words = words.where(F.col("f") >= least).agg(F.sum("f")).first()[0] or 0
+    parts = shorter = None
     for k in range(2, LONGEST + 1):
-        length = Length(k, shorter, buckets)
-        _sketched(ids, length, least)
-        phrases, slots[k] = _counted(ids, length, least, slots_a_pass)
+        phrases = _counted(ids, Length(k, shorter), least, max(64, -(-n_words // rows_a_bucket)))
         if not phrases.limit(1).count():
             break
-        found.append((k, phrases))
-        shorter = key_bitmap(phrases.select(F.col("h").alias("_k")))
-    if not found:
-        return spark.createDataFrame([], "lang string, phrase string, k int, a long, l long, r long, score long, longer long"), totals
-    parts = None
-    for k, phrases in found:
-        one = _with_parts(phrases, k, slots).withColumn("k", F.lit(k))
+        one = phrases.select(F.lit(k).alias("k"), *_KEYS, "f")
         parts = one if parts is None else parts.unionByName(one)
-    parts = written(parts, "phrases")
-    inner = None
-    for k, _ in found[1:]:
-        for size in range(2, k):
-            for lo in range(k - size + 1):
-                cols = [F.col(_KEYS[lo + i]).alias(_KEYS[i]) if i < size else F.lit(0).alias(_KEYS[i]) for i in range(LONGEST)]
-                some = parts.where(F.col("k") == k).select(*cols, F.col("f").alias("longer"))
-                inner = some if inner is None else inner.unionByName(some)
-    whole = parts
-    if inner is None:
-        whole = whole.withColumn("longer", F.lit(0).cast("long"))
-    else:
-        whole = whole.join(inner.groupBy(*_KEYS).agg(F.max("longer").alias("longer")), _KEYS, "left").withColumn("longer", F.coalesce("longer", F.lit(0)))
+        if k < LONGEST:
+            shorter = key_bitmap(phrases.select(F.col("h").alias("_k")), buckets)
+    remove(ids)
+    if parts is None:
+        return spark.createDataFrame([], "lang string, phrase string, k int, a long, l long, r long, score long, longer long"), totals
+    # each phrase inside another one takes the longer one's count and gives its own
+    inner = _inner(parts)
+    longer = inner.groupBy(*_KEYS).agg(F.max("o_f").alias("longer"))
+    of = lambda lo, size: F.max(F.when((F.col("lo") == lo) & (F.col("size") == size), F.col("f")))
+    sides = inner.drop("o_f").join(parts.select(*_KEYS, "f"), _KEYS).groupBy(*[F.col(f"o_{c}").alias(c) for c in _KEYS])
+    sides = sides.agg(of(0, 2).alias("ab"), of(1, 2).alias("bc"), of(2, 2).alias("cd"), of(0, 3).alias("abc"), of(1, 3).alias("bcd"))
+    whole = parts.join(longer, _KEYS, "left").withColumn("longer", F.coalesce("longer", F.lit(0).cast("long"))).join(sides, _KEYS, "left")
+    # counts of the cuts' parts of two words or more, by cut (0: a word)
+    whole = whole.withColumn("left", F.expr("array(0L, ab, abc)")).withColumn("right", F.expr("if(k = 3, array(bc, 0L), array(bcd, cd, 0L))"))
     for i, c in enumerate(_KEYS):
         whole = whole.join(frequent.select(F.col("id").alias(c), F.col("word").alias(f"w{i}"), F.col("f").alias(f"f{i}"), *([F.col("key").alias("lang")] if not i else [])), c, "left" if i > 1 else "inner")
     ends = F.element_at(F.array("f0", "f1", "f2", "f3"), F.col("k"))
@@ -372,9 +219,9 @@ def mine(docs: DataFrame, least: int = LEAST, slots_a_pass: int = SLOTS_A_PASS,
     return whole.select("lang", F.concat_ws(" ", "w0", "w1", "w2", "w3").alias("phrase"), "k", F.col("f").alias("a"), "cut.l", "cut.r", "cut.score", "longer"), totals
 
 
-def top_phrases(docs: DataFrame, least: int = LEAST, top: int = TOP, slots_a_pass: int = SLOTS_A_PASS, buckets: int = BUCKETS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def top_phrases(docs: DataFrame, least: int = LEAST, top: int = TOP, rows_a_bucket: int = ROWS_A_BUCKET, buckets: int = MOST_BITS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The first ``top`` phrases of each language: lang, rank, phrase, a, l, r, n, score."""
-    phrases, totals = mine(docs, least, slots_a_pass, buckets, block_chars)
+    phrases, totals = mine(docs, least, rows_a_bucket, buckets, block_chars)
     kept = phrases.where(100 * F.col("longer") < INSIDE * F.col("a"))
     order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
     ranked = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)

@@ -101,9 +101,9 @@ def clear(spark: SparkSession) -> None:
 KEY_BITS, MOST_BITS = 16, 1 << 28
 
 
-def key_bitmap(keys: DataFrame):
+def key_bitmap(keys: DataFrame, most_bits: int = MOST_BITS):
     """A broadcast bitmap of the column ``_k`` (long), as a function of an array of such keys, for tasks."""
-    bits = min(1 << max(KEY_BITS * keys.count(), 1 << 16).bit_length(), MOST_BITS)
+    bits = min(1 << max(KEY_BITS * keys.count(), 1 << 16).bit_length(), most_bits)
     at = f"(_k & {bits - 1}L)"
     words = keys.groupBy(F.expr(f"shiftright({at}, 6)").alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, int({at} & 63L)))").alias("b")).toArrow()
     bitmap = np.zeros(bits >> 6, np.int64)

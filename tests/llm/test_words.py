@@ -100,6 +100,33 @@ def test_full_buckets_lose_nothing(spark, prose):
     assert small == large == brute_phrases(bigger, 5, 50)
 
 
+def test_phrases_take_one_pass_a_length(spark):
+    """However many candidates there are, and however few a task sums at once."""
+    rng = random.Random(7)
+    rows = [(i, " ".join(f"w{rng.randrange(40)}" for _ in range(200)), "en") for i in range(100)]
+
+    def jobs(rows_a_bucket):
+        name = f"phrases {rows_a_bucket}"
+        spark.sparkContext.setJobGroup(name, name)
+        got = sorted(map(tuple, collocations.top_phrases(table(spark, rows), 5, 50, rows_a_bucket).collect()))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert got == brute_phrases(rows, 5, 50)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+    assert jobs(100) <= jobs(1 << 20) + 5
+
+
+def test_sums_of_keys_with_one_hash(monkeypatch):
+    """Keys of equal hash that stand in turns are told apart."""
+    monkeypatch.setattr(collocations, "mixed", lambda keys, seed: np.zeros(len(keys), np.uint64))
+    keys = np.array([[1, 2, 0, 0], [3, 4, 0, 0]] * 5 + [[1, 2, 5, 0]], np.uint32)
+    for n, want in ((None, [5, 5, 1]), (np.arange(11) << 40, [20 << 40, 25 << 40, 10 << 40])):
+        got, total, _ = collocations._summed(keys, n)
+        assert dict(zip(map(tuple, got.tolist()), total.tolist(), strict=True)) == dict(zip([(1, 2, 0, 0), (3, 4, 0, 0), (1, 2, 5, 0)], want, strict=True))
+        again, counts = collocations._unpacked(collocations._packed(got, total, 3), 3)
+        assert (again == got).all() and (counts == total).all()
+
+
 def test_hot_words_are_dealt_out(spark, prose, monkeypatch):
     monkeypatch.setattr(wordblocks, "HOT_BLOCKS", 3)
     monkeypatch.setattr(wordblocks, "HOT_SHARE", 1000)
