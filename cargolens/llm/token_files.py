@@ -21,6 +21,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -36,7 +37,7 @@ MAGIC = b"CLPF0001"
 #: Bytes of pieces that a worker keeps, by an estimate; what one piece takes besides its text and ids; and the longest piece kept.
 CACHE_BYTES, PIECE_BYTES, KEPT_LENGTH = 112 << 20, 200, 256
 #: The same where a worker does nothing else: a pipeline's workers have served other stages before.
-ALONE_BYTES = 208 << 20
+ALONE_BYTES = 320 << 20
 #: Characters of the texts that are cut into pieces at a time; a longer text is cut alone.
 STEP_CHARS = 1 << 20
 #: Documents in a file, at most, on average.
@@ -44,9 +45,11 @@ ROWS_A_FILE = 50_000
 _HEAD = struct.Struct("<IBHH")
 _L, _N = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
 #: Characters beyond those that _PIECES knows.
-_ODD = r"[^\n -~\u00a1-\u024f]"
+_ODD = re.compile(r"[^\n -~\u00a1-\u024f]")
 #: The byte-level pre-tokenizer's pattern over the other characters; none of its runs ever gives back a character, so they are possessive.
 _PIECES = re.compile(rf" ?[{_L}]++|'(?:s|t|re|ve|m|ll|d)| ?[{_N}]++| ?[^ \n{_L}{_N}]++|\s+(?!\S)|\s++")
+#: The byte-level alphabet: bytes that aren't visible Latin-1 characters stand as those from U+0100 on.
+_BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 
 
 def default_tokenizer() -> str:
@@ -59,21 +62,23 @@ class Encoder:
     """ids of whole texts as bytes of little-endian unsigned 32-bit integers.
 
     A text of plain characters is cut into the byte-level pre-tokenizer's pieces, whose ids don't
-    depend on their neighbours; pieces met for the first time are encoded, many in one call with line
-    ends between them, and kept in a cache of bounded bytes; long pieces aren't kept. The cache has two halves: when the
-    young one is full it becomes the old one, and the pieces that are met again move from there to the next. Other texts, and
-    texts that name an added token, are encoded as they are."""
+    depend on their neighbours; pieces met for the first time go to the tokenizer's model as they are, for they need
+    no more cutting, and are kept in a cache of bounded bytes; long pieces aren't kept. The cache has two halves: when the
+    young one is full it becomes the old one, and the pieces that are met again move from there to the next. Other texts,
+    texts that name an added token, and texts for a tokenizer of another kind are encoded as they are."""
 
     def __init__(self, path: str, cache_bytes: int | None = None):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.cache_bytes = cache_bytes
 
         self.tokenizer = Tokenizer.from_file(path)
         self.short = self.tokenizer.get_vocab_size() <= 1 << 16
-        self.line_end = self._ids("\n")[0]
-        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.odd = re.compile("|".join([_ODD, *added]))
+        self.model = self.tokenizer.model
+        cut = self.tokenizer.pre_tokenizer
+        self.by_pieces = self.tokenizer.normalizer is None and isinstance(cut, ByteLevel) and cut.use_regex and not cut.add_prefix_space
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.held = 0
@@ -81,26 +86,21 @@ class Encoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
+    def _odd(self, text: str) -> bool:
+        return not self.by_pieces or _ODD.search(text) is not None or any(map(text.__contains__, self.added))
+
     def _learn(self, new: list[str]) -> None:
-        lone = [p for p in new if "\n" in p]
-        part = [p for p in new if "\n" not in p]
-        for i in range(0, len(part), 400):
-            some = part[i : i + 400]
-            ids = self._ids("\n".join(some))
-            ends = np.flatnonzero(ids == self.line_end)
-            if len(ends) != len(some) - 1:
-                lone += some
-                continue
-            data, at = ids.tobytes(), 0
-            for p, end in zip(some, [*ends.tolist(), len(ids)], strict=True):
-                self.pieces[p] = data[4 * at : 4 * end]
-                at = end + 1
-        for p in lone:
-            self.pieces[p] = self._ids(p).tobytes()
+        tokenize = self.model.tokenize
+        for i in range(0, len(new), 4096):
+            some = new[i : i + 4096]
+            ids = [[t.id for t in tokenize(p.encode().decode("latin-1").translate(_BYTES))] for p in some]
+            data, at = np.fromiter(chain.from_iterable(ids), "<u4").tobytes(), 0
+            for p, n in zip(some, map(len, ids), strict=True):
+                self.pieces[p] = data[at : at + 4 * n]
+                at += 4 * n
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        odd = self.odd.search
-        split = [None if odd(t) else _PIECES.findall(t) for t in texts]
+        split = [None if self._odd(t) else _PIECES.findall(t) for t in texts]
         if self.held > (self.cache_bytes or CACHE_BYTES) // 2:
             self.old, self.pieces, self.held = self.pieces, {}, 0
         here = set().union(*filter(None, split))

@@ -457,6 +457,25 @@ def test_encoder_equals_tokenizer(text):
         assert np.frombuffer(e.encode(["other words", text])[1], "<u4").tolist() == want
 
 
+@pytest.mark.parametrize("spaced", [False, True])
+def test_encoder_learns_by_the_model(tmp_path, monkeypatch, spaced):
+    """New pieces of plain texts cost no call of the whole tokenizer; a tokenizer that cuts in another way gets whole texts."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.loads(open(token_files.default_tokenizer(), encoding="utf-8").read())
+    spec["pre_tokenizer"]["add_prefix_space"] = spaced
+    (tmp_path / "t.json").write_text(json.dumps(spec), encoding="utf-8")
+    texts = ["plain words and 123, \u00e9t\u00e9 \u024f\n\nend", "x" * 3000, "other  words"]
+    want = [x.ids for x in Tokenizer.from_file(str(tmp_path / "t.json")).encode_batch(texts, add_special_tokens=False)]
+    e, whole = token_files.Encoder(str(tmp_path / "t.json")), []
+    ids = e._ids
+    monkeypatch.setattr(e, "_ids", lambda t: whole.append(t) or ids(t))
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == want
+    assert whole == (texts if spaced else [])
+
+
 @pytest.mark.parametrize("top", [0, 1, 300, 50257, 1 << 25, (1 << 32) - 1])
 def test_blocks(top):
     x = np.random.default_rng(top).integers(0, top, 999, dtype=np.uint32, endpoint=True)
