@@ -6,6 +6,7 @@ names or by segments of long ones, and embedded names by their rarest gram."""
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,21 +117,26 @@ def embedded(names: DataFrame, keys: DataFrame) -> DataFrame:
     return pairs.where(F.col("key").contains(F.col("known_key"))).select("key", "name")
 
 
-def findings(ids: DataFrame, corpus: DataFrame, corpus_age_days: int | None = None, broadcast_names: int = BROADCAST_NAMES) -> DataFrame:
-    """SQT-001 to 009. ids: target_id, repo_id; corpus: kind, name. Each identifier is judged once, however many targets have it."""
+def findings(ids: DataFrame, corpus: DataFrame, corpus_age_days: int | None = None, broadcast_names: int = BROADCAST_NAMES, kept: list[DataFrame] | None = None) -> DataFrame:
+    """SQT-001 to 009. ids: target_id, repo_id; corpus: kind, name. Each identifier is judged once, however many targets have it.
+
+    The folded names are persisted; ``kept`` gets these tables, for the caller to unpersist."""
     once = ids.select("repo_id").where("repo_id is not null").distinct().withColumn("target_id", F.col("repo_id"))
-    found = _judged(once, corpus, corpus_age_days, broadcast_names).withColumnRenamed("target_id", "repo_id")
+    found = _judged(once, corpus, corpus_age_days, broadcast_names, kept).withColumnRenamed("target_id", "repo_id")
     return found.join(ids.select("target_id", "repo_id"), "repo_id").select(*FINDING_COLUMNS)
 
 
-def _judged(ids: DataFrame, corpus: DataFrame, corpus_age_days: int | None, broadcast_names: int) -> DataFrame:
-    known = keyed_corpus(corpus)
+def _judged(ids: DataFrame, corpus: DataFrame, corpus_age_days: int | None, broadcast_names: int, kept: list[DataFrame] | None) -> DataFrame:
+    # names are folded in Python, so that is done once and kept: the branches below would each do it again, with workers of their own
+    known = keyed_corpus(corpus).persist(StorageLevel.MEMORY_AND_DISK)
     small = known.limit(broadcast_names + 1).count() <= broadcast_names
     hint = F.broadcast if small else lambda df: df
     near = nearest if small else nearest_joined
     of = lambda kind: known.where(F.col("kind") == kind)
     org_names, orgs, models = corpus.where("kind = 'org'").select(F.col("name").alias("org")).distinct(), of("org"), of("model")
-    at = split_ids(ids).withColumn("location", F.col("repo_id"))
+    at = split_ids(ids).withColumn("location", F.col("repo_id")).persist(StorageLevel.MEMORY_AND_DISK)
+    if kept is not None:
+        kept += [known, at]
     at = at.join(hint(orgs.select(F.col("key").alias("org_key"), F.col("name").alias("known_org"))), "org_key", "left")
     at = at.join(hint(org_names.withColumn("exact", F.lit(True))), "org", "left")
     at = at.join(hint(models.select(F.col("key").alias("model_key"), F.col("name").alias("known_model"))), "model_key", "left")

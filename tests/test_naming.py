@@ -72,3 +72,14 @@ def test_large_and_small_corpus_agree(spark):
     rows = spark.createDataFrame([(str(k), i) for k, i in enumerate(ids)], "target_id string, repo_id string")
     one, two = (sorted(map(str, naming.findings(rows, corpus, broadcast_names=n).collect())) for n in (10**6, 0))
     assert one == two and len(one) > 200
+
+
+def test_names_are_folded_once(spark):
+    """Each Python fold has workers of its own, so it is done in two tables that are kept and can be let go."""
+    ids = spark.createDataFrame([("t", "opnai/own"), ("u", "meta_llama/phi-2")], "target_id string, repo_id string")
+    kept = []
+    found = naming.findings(ids, naming.seed_corpus(spark), kept=kept)
+    assert len(kept) == 2 and all(df.storageLevel.useDisk for df in kept)
+    assert {(r.target_id, r.rule_id) for r in found.collect()} == {("t", "SQT-002"), ("u", "SQT-008")}
+    for df in kept:
+        df.unpersist()
